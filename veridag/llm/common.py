@@ -52,3 +52,10 @@ def with_outputs(row: str, df: DataFrame, outputs: dict[str, Column]) -> DataFra
     low = {name.lower() for name in outputs}
     kept = [F.col(row)[f.name].alias(f.name) for f in df.schema[row].dataType.fields if f.name.lower() not in low]
     return df.select(*kept, *[c.alias(name) for name, c in outputs.items()])
+
+
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Bounds the rows that Spark sends to Python at once, so that a batch of long texts fits in a worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)

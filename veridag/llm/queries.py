@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridag.llm.common import LOWER, UPPER, table
+from veridag.llm.jaccard import near_duplicates
 from veridag.llm.linededup import drop_shared_lines
 from veridag.llm.pii import find_pii
 from veridag.llm.sharding import shard_rows
@@ -31,6 +32,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), ngram=3, num=90, den=100)
+
+
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_shared_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
