@@ -9,6 +9,7 @@ from veridag.llm import langid, warc
 from veridag.llm.common import LOWER, UPPER, table
 from veridag.llm.jaccard import near_duplicates
 from veridag.llm.linededup import drop_shared_lines
+from veridag.llm.multiindex import near_vectors
 from veridag.llm.pii import find_pii
 from veridag.llm.sharding import shard_rows
 
@@ -63,6 +64,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_shared_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
