@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridag.llm import langid, warc
+from veridag.llm import langid, pieces, warc
 from veridag.llm.common import LOWER, UPPER, table
 from veridag.llm.jaccard import near_duplicates
 from veridag.llm.linededup import drop_shared_lines
@@ -85,3 +85,11 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (goes) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT goes), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+
+@query
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, model = table(spark, sf_dir, "documents"), pieces.read_model()
+    coded = pieces.decode_pieces(pieces.encode_pieces(docs, model), model)
+    # The hash of the decoded text shows the round trip: it equals that of the text.
+    return coded.select("doc_id", "n_pieces", "ids", "scores", "alternatives", F.sha2("decoded", 256).alias("decoded_sha256"))
