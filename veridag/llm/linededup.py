@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridag.llm.common import BLANKS, ascii_lower, with_outputs
+from veridag.llm.common import BLANKS, ascii_lower, stored, with_outputs
 
 
 def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -28,6 +28,7 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keyed = keyed.select("id", "row_hash", "n", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(17), "key").alias("h2"))
 
     shared = keyed.groupBy("h1", "h2").agg(F.count_distinct("id").alias("n_docs"), F.max("id").alias("keeper")).where(F.col("n_docs") >= min_docs)
+    shared = stored(shared)  # so that the join sees two plain shuffles and can split the partition of a very common line
     hits = keyed.join(shared, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
     at = hits.groupBy("id", "row_hash", "n").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     # One byte a line, 1 where it goes: runs of 0 between the dropped positions.

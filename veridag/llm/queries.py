@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridag.llm import langid, pieces, warc
+from veridag.llm.boilerplate import extract_main_text
 from veridag.llm.common import LOWER, UPPER, table
 from veridag.llm.jaccard import near_duplicates
 from veridag.llm.linededup import drop_shared_lines
@@ -28,6 +29,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(F.array_join("base_spans", ","), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"))
 
 
+@query
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = extract_main_text(table(spark, sf_dir, "pages"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "by_markup")
+
+
 @query
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = shard_rows(table(spark, sf_dir, "documents"))
