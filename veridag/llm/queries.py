@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veridag.llm import langid, pieces, warc
 from veridag.llm.boilerplate import extract_main_text
 from veridag.llm.common import LOWER, UPPER, table
+from veridag.llm.decontam import find_leaks
 from veridag.llm.jaccard import near_duplicates
 from veridag.llm.linededup import drop_shared_lines
 from veridag.llm.multiindex import near_vectors
@@ -64,6 +65,12 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
 """
 
 
+@query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", "item_id", F.round("cosine", 4).alias("cosine"), F.round("lcs", 4).alias("lcs"), "answer")
+
+
 @query
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
