@@ -29,19 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder and read again: a cut in the lineage that survives lost executors."""
+    """The same rows, written to the shared folder and read again: a cut in the lineage that survives lost executors.
+
+    Unlike checkpoint(), it also gives the planner the true size: sizes guessed from the plan multiply in a loop of joins.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder, for small tables of iterative jobs."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z alone.  lower() is the fast form where the text is pure ASCII."""
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

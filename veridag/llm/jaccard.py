@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridag.llm.common import checkpointed, small_batches, stored
+from veridag.llm.common import small_batches, stored
 from veridag.llm.components import components
 
 #: More words than d + 1, so that a sketch with at most so many empty words need not be joined by them.
@@ -127,26 +127,33 @@ def linked(near: DataFrame, ties: DataFrame, texts: DataFrame, ngram: int, num:
     """Components (id, comp) of ties (a, b) and of the links among near (key, id, n), where equal keys propose a pair.
 
     Within a key, a round proposes one leader to the members of other components; links merge components, which ends
-    most keys.  What star_rounds leave, pairs of different components that share a key, is then verified in full, so no
-    component is missed, while a key whose members are alike never makes all its pairs.
+    most keys.  What is left, pairs of different components that share a key, is verified in full once it is no more than
+    twice the rows of near, or after star_rounds: no component is missed, and a key of like members never makes all pairs.
     """
     edges, tested, labels = ties, ties, components(ties)
+    size = near.count()
     for k in range(star_rounds + 1):
         rows = near.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        of_comp = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+        across = of_comp.groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
+        left = across.agg(F.sum("pairs")).first()[0] or 0
+        full = k == star_rounds or left <= 2 * size
+        if not left:
+            break
         lead = F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("draw"), "id", "comp", "n")).alias("lead")
         open_keys = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), lead).where("low < high").select("key", "lead")
         one = open_keys.select("key", F.col("lead.id").alias("a"), F.col("lead.comp").alias("a_comp"), F.col("lead.n").alias("a_n"))
-        if k == star_rounds:
+        if full:
             one = rows.join(open_keys, "key").select("key", F.col("id").alias("a"), F.col("comp").alias("a_comp"), F.col("n").alias("a_n"))
-        both = rows.withColumnRenamed("id", "b").join(one, "key").where("comp < a_comp" if k == star_rounds else "comp <> a_comp")
+        both = rows.withColumnRenamed("id", "b").join(one, "key").where("comp < a_comp" if full else "comp <> a_comp")
         both = both.where(F.least("a_n", "n") * den >= F.greatest("a_n", "n") * num)
         pairs = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = checkpointed(pairs.join(tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            continue
-        found = checkpointed(verified(pairs, texts, ngram, num, den))
+        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"))
+        found = stored(verified(pairs, texts, ngram, num, den))
         edges, tested = edges.unionByName(found), tested.unionByName(pairs)
         labels = components(edges)
+        if full:
+            break
     return labels
 
 
@@ -167,7 +174,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = sets.select("id", "n", "fp_a", "fp_b").join(reps, ["n", "fp_a", "fp_b"], "left")
     members = stored(members.select("id", "n", F.coalesce("rep", "id").alias("rep")))
     several = members.where("n > 0").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("high")).where("a < high")
-    ties = checkpointed(members.join(several, "id").where("a < rep").select("a", F.col("rep").alias("b")).distinct())
+    ties = stored(members.join(several, "id").where("a < rep").select("a", F.col("rep").alias("b")).distinct())
 
     firsts = sets.join(members.where("id = rep and n > 0").select("id").distinct(), "id", "left_semi")
     keyed = stored(firsts.select("id", "n", "keys")).select("id", "n", F.explode("keys").alias("key"))

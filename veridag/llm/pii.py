@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridag.llm.common import checkpointed, stored
+from veridag.llm.common import stored
 
 KINDS = ("email", "ip", "card", "phone")
 # The contract's patterns.  A match can only begin at the head of a run of its first class or where the last match ended,
@@ -90,7 +90,7 @@ def fits(shape: Column, value: Column, kind: Column) -> Column:
 
 def discovered(seen: DataFrame, rounds: int, min_support: int, min_pattern: float, min_instance: float) -> DataFrame:
     """(value, kind) of unseen identifiers.  seen: an occurrence a row with value, seed (its kind or null), shape, patterns."""
-    edges = checkpointed(seen.select("value", "seed", "shape", F.explode("patterns").alias("pattern")).groupBy("value", "seed", "shape", "pattern").agg(F.count(F.lit(1)).alias("n")))
+    edges = stored(seen.select("value", "seed", "shape", F.explode("patterns").alias("pattern")).groupBy("value", "seed", "shape", "pattern").agg(F.count(F.lit(1)).alias("n")))
     degree = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("degree"))
     unseen = edges.where("seed is null").select("value", "shape", "pattern")
     reach = unseen.groupBy("value", "shape").agg(F.count(F.lit(1)).alias("reach"))
@@ -102,7 +102,7 @@ def discovered(seen: DataFrame, rounds: int, min_support: int, min_pattern: floa
         trusted = scored.where((F.col("support") >= min_support) & (F.col("mass") / F.col("degree") >= min_pattern)).select("pattern", "kind", "score")
         near = unseen.join(trusted, "pattern").where(fits(F.col("shape"), F.col("value"), F.col("kind")))
         instances = near.groupBy("value", "shape", "kind").agg(F.sum("score").alias("score")).join(reach, ["value", "shape"])
-        instances = checkpointed(instances.select("value", "shape", "kind", (F.col("score") / F.col("reach")).alias("r")))
+        instances = stored(instances.select("value", "shape", "kind", (F.col("score") / F.col("reach")).alias("r")))
         again = instances.join(unseen, ["value", "shape"]).select("value", "pattern", "kind", "r", F.lit(0).alias("support"))
         votes = seeds.unionByName(again)
     best = instances.where(F.col("r") >= min_instance).groupBy("value", "shape").agg(F.max(F.struct("r", "kind")).alias("top"))

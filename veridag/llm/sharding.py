@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridag.llm.common import checkpointed
+from veridag.llm.common import stored
 
 
 def admitted_shares(flows: dict[tuple[int, int], int], sizes: list[int], capacity: float) -> list[float]:
@@ -49,7 +49,7 @@ def propagate(cells: DataFrame, sizes: list[int], rounds: int, slack: float) ->
         table = F.array(*[F.lit(x) for x in share])
         draw = F.pmod(F.xxhash64("grp", "first", F.lit(k)), F.lit(1 << 20)) / float(1 << 20)
         goes = (draw < F.element_at(table, F.col("target") + 1)) & (F.col("n") <= capacity / 2)
-        cells = checkpointed(moves.select("grp", "first", "n", "label", F.when(goes, F.col("target")).otherwise(F.col("label")).alias("to")))
+        cells = stored(moves.select("grp", "first", "n", "label", F.when(goes, F.col("target")).otherwise(F.col("label")).alias("to")))
         moved = counts_of(cells.where("label <> to"), ["label", "to"])
         for (a, b), v in moved.items():
             sizes[a], sizes[b] = sizes[a] - v, sizes[b] + v
@@ -77,20 +77,20 @@ def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("bytes"), F.crc32(text).alias("crc"), F.xxhash64(text).alias("grp"))
     mixed = F.xxhash64("id", "grp", F.lit(3))
     base = base.withColumn("first", F.pmod(mixed, F.lit(n_shards)).cast("int")).withColumn("mixed", F.xxhash64("id", "grp", F.lit(5)))
-    base = checkpointed(base)
+    base = stored(base)
 
     cells = base.groupBy("grp", "first").agg(F.count(F.lit(1)).alias("n"))
     first = counts_of(cells, ["first"])
     sizes = [first.get(s, 0) for s in range(n_shards)]
     rows = sum(sizes)
     linked = cells.groupBy("grp").agg(F.sum("n").alias("all")).where("all > 1").select("grp")
-    cells = checkpointed(cells.join(linked, "grp").select("grp", "first", "n", F.col("first").alias("label")))
+    cells = stored(cells.join(linked, "grp").select("grp", "first", "n", F.col("first").alias("label")))
     cells = propagate(cells, list(sizes), rounds, slack)
 
     buckets = max(64, -(-rows // (n_shards * bucket_rows)))
     placed = base.join(cells.select("grp", "first", "label"), ["grp", "first"], "left")
     placed = placed.select("id", "bytes", "crc", "mixed", F.coalesce("label", "first").alias("label"), F.col("label").isNull().cast("int").alias("single"), F.pmod("mixed", F.lit(buckets)).cast("int").alias("bucket"))
-    placed = checkpointed(placed)
+    placed = stored(placed)
 
     # Number the rows of each shard: count per bucket, prefix sums over the small table of counts, then rows in a bucket.
     counts = placed.groupBy("label", "single", "bucket").agg(F.count(F.lit(1)).alias("n"))
