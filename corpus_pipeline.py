@@ -1,15 +1,72 @@
-"""A corpus from raw documents to pieces, in stages that each work on all that the one before kept."""
+"""A corpus from raw documents to pieces, in stages that each work on all that the one before kept.
+
+Language ID lets go of documents without a language, line dedup of lines that documents share, the n-gram join of all
+but one document of each near-duplicate group, decontamination of documents that hold benchmark items; the last stage
+encodes what is left.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veridag.llm import langid, pieces
+from veridag.llm.common import stored, table
+from veridag.llm.decontam import find_leaks
+from veridag.llm.jaccard import near_duplicates
+from veridag.llm.linededup import drop_shared_lines
+
+#: Below this share of a document's words in its language, it has none: with four languages, chance gives about 0.25.
+MIN_SCORE = 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents with a language of their own, which replaces a missing label."""
+    known = langid.identify(docs, langid.train(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
+    return known.select(*[F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops shared lines, and documents of which nothing but blanks is left; n_chars follows."""
+    kept = drop_shared_lines(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return kept.select(*[F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each group of documents whose 5-word shingle sets have similarity 0.8 or more."""
+    first = near_duplicates(docs, ngram=5, num=80, den=100).where("component_id = doc_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold or paraphrase a benchmark item."""
+    leaks = stored(find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each text's best segmentation; what doesn't decode to its text would be an error of the encoder."""
+    model = pieces.read_model()
+    coded = pieces.decode_pieces(pieces.encode_pieces(docs, model, n_best=1), model)
+    return coded.select("doc_id", "n_pieces", "ids", F.sha2("decoded", 256).alias("text_sha256"))
+
+
+STAGES = [
+    ("language ID", language),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", decontaminate),
+    ("SentencePiece encoding", encode),
+]
 
-STAGES: list = []
+#: The learned stages can't be said in SQL; tests compare the others with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """STAGES on documents, each stage's rows written to the shared folder and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        docs = stored(docs) if k < len(STAGES) - 1 else docs
     return docs
