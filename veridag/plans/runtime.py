@@ -103,8 +103,10 @@ def windowed_counts(spark, sf_dir):
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def streamed_dedup(spark, sf_dir):
     """Events read twice as a stream, deduplicated by id within the watermark, and written to a table that is read again."""
-    schema = table(spark, sf_dir, "events").schema
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    events = table(spark, sf_dir, "events")
+    folder, _, name = events.inputFiles()[0].rpartition("/")  # the table is one file, or a folder of them
+    glob = "*.parquet" if folder.endswith(".parquet") else name
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", glob).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
     once = streams.deduplicated(source.unionByName(source), "40 days")
     name = f"dedup_{uuid.uuid4().hex}"
     base = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
