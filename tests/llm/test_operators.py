@@ -1,0 +1,368 @@
+"""The operators of the training-data subpackage against brute force, on small tables with nulls, ties, repeats and odd texts."""
+
+import base64
+import hashlib
+import html
+import itertools
+import re
+import zlib
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from veridag.llm import decontam, langid, pieces, warc
+from veridag.llm.boilerplate import blocks, extract_main_text, main_text
+from veridag.llm.components import components
+from veridag.llm.jaccard import near_duplicates
+from veridag.llm.linededup import drop_shared_lines
+from veridag.llm.multiindex import near_vectors, traverse
+from veridag.llm.pii import find_pii
+from veridag.llm.sharding import shard_rows
+
+WORDS = [f"w{i}x" for i in range(400)]
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs(spark, rows, schema="doc_id long, text string"):
+    return spark.createDataFrame(rows, schema)
+
+
+def rng_text(seed, n=60):
+    rng = np.random.default_rng(seed)
+    return " ".join(WORDS[i] for i in rng.integers(0, len(WORDS), n))
+
+
+# --- PII ---
+
+PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        n = int(c) * (1 + i % 2)
+        total += n - 9 if n > 9 else n
+    return total % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for kind, pattern in PATTERNS:
+        for m in re.finditer(pattern, text or ""):
+            d = re.sub("[^0-9]", "", m.group())
+            if {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m.group().split(".")), "card": 13 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+PII_TEXTS = [
+    None, "", "é a.b@c.d_e@f.gh x@y z@q.r.", "1.2.3.4.5.6.7.8 and 256.1.1.1 007.0.0.255 1.2.3", "4111 1111 1111 1111 4111-1111-1111-1112 4111111111111111", "+1 (743) 555-3824 +49 30 1 +1-2", "a" * 50_000,
+    "@" * 100, "1" * 20_000, "a1@b.c" * 300, "++++ 4 1 1 1", "日本 x@例.jp me@host.io 1.1.1.1",
+]
+
+
+def test_pii_base_spans(spark):
+    got = {r["doc_id"]: r for r in find_pii(docs(spark, list(enumerate(PII_TEXTS)))).collect()}
+    for i, t in enumerate(PII_TEXTS):
+        assert got[i]["base_spans"] == base_spans(t), i
+        assert got[i]["n_email"] == sum(s.startswith("email") for s in base_spans(t))
+        assert set(base_spans(t)) <= set(got[i]["spans"])
+
+
+def test_pii_patterns_find_unseen_identifiers(spark):
+    rows = [(i, f"please call us at +1 (743) 555-38{i:02d} during office hours thanks") for i in range(8)]
+    rows += [(50, "please call us at 743 555 9911 during office hours thanks"), (51, "page 743 555 9911 33 of the old book on mice"), (52, "clean words only here"), (None, None)]
+    got = {r["doc_id"]: r["spans"] for r in find_pii(docs(spark, rows)).collect()}
+    assert got[50] == ["phone:18:30"] and got[51] == [] and got[52] == [] and got[None] == []
+    assert find_pii(docs(spark, [])).count() == 0
+
+
+# --- HTML ---
+
+
+def test_html_article(spark):
+    page = '<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><a>x</a></nav><!-- ad --><div class="ad">Buy</div><article><h1>A &amp; b</h1><p><b>One\n two<br>three<p>Fo<i>ur</i>&nbsp;!</p><div class="sidebar"><div>s</div></div><form>f</form><section id="comments"><article><p>c</p></article></section></article><footer>&copy; x</footer></body></html>'
+    assert main_text(blocks(page)) == "A & b\nOne two three\nFour !"
+    rows = [(1, "http://h/1", page), (2, None, None), (3, "http://h/2", ""), (4, "http://h/3", "<article><p>cut &am"), (4, "http://h/3", "<article><p>cut &am"), (None, "x", "plain < text")]
+    got = [tuple(r)[:3] for r in extract_main_text(docs(spark, rows, "page_id long, url string, html string")).collect()]
+    assert sorted(got, key=repr) == sorted([(1, "http://h/1", "A & b\nOne two three\nFour !"), (2, None, ""), (3, "http://h/2", ""), (4, "http://h/3", "cut &am"), (4, "http://h/3", "cut &am"), (None, "x", "plain < text")], key=repr)
+
+
+def test_html_repeated_runs_go_where_markup_says_nothing(spark):
+    frame = "<div>Home Shop News About us Contact our team today please</div><div>{}</div><div>All rights reserved by the owners of this fine site</div>"
+    rows = [(i, f"http://h/{i}", frame.format(f"N{i} tells of {rng_text(i, 12)}")) for i in range(5)]
+    got = {r["page_id"]: (r["text"], r["by_markup"]) for r in extract_main_text(docs(spark, rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: (f"N{i} tells of {rng_text(i, 12)}", False) for i in range(5)}
+
+
+# --- Sharding ---
+
+
+@pytest.mark.parametrize("n", [0, 5, 403])
+def test_sharding(spark, n):
+    rows = [(i if i % 50 else None, None if i % 17 == 0 else "é same" if i % 3 == 0 else rng_text(i, 5)) for i in range(n)]
+    got = shard_rows(docs(spark, rows + rows[:1])).collect()
+    assert len(got) == n + bool(n)
+    sizes = [sum(r["shard"] == s for r in got) for s in range(16)]
+    assert max(sizes) - min(sizes) <= 1
+    for s in range(16):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sizes[s]))
+    want = sorted((t or "").encode() for _, t in rows + rows[:1])
+    assert sorted((r["size"], r["text_crc32"]) for r in got) == sorted((len(t) + 1, zlib.crc32(t)) for t in want)
+
+
+def test_sharding_keeps_small_groups_together(spark):
+    rows = [(i, f"copy {i // 4}" if i < 400 else rng_text(i, 5)) for i in range(3200)]
+    shard = {r["doc_id"]: r["shard"] for r in shard_rows(docs(spark, rows)).collect()}
+    split = sum(len({shard[4 * g + k] for k in range(4)}) > 1 for g in range(100))
+    assert split <= 10  # by the hash alone, nearly all of them are
+
+
+# --- Near duplicates ---
+
+
+def sets_of(text, n):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def brute_components(rows, n, num, den):
+    sets = [(i, sets_of(t, n)) for i, t in rows if i is not None]
+    comp = {i: i for i, _ in sets}
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for (a, x), (b, y) in itertools.combinations(sets, 2):
+        if x and y and den * len(x & y) >= num * len(x | y):
+            lo, hi = sorted((find(a), find(b)))
+            comp[hi] = lo
+    return {i: find(i) for i in comp}, {i: len(s) for i, s in sets}
+
+
+@pytest.mark.parametrize("n, num, den", [(3, 90, 100), (5, 80, 100)])
+def test_near_duplicates(spark, n, num, den):
+    rng = np.random.default_rng(n)
+    rows = [(1000, None), (1001, ""), (1002, " \t "), (1003, "one"), (1004, "ONE"), (1005, "one two"), (1006, "É b c d"), (1007, "é b c d"), (None, "one two")]
+    for g in range(12):
+        base = rng_text(g, int(rng.integers(4, 150))).split()
+        for k in range(int(rng.integers(1, 7))):
+            w = list(base)
+            for _ in range(k):
+                w[int(rng.integers(len(w)))] = WORDS[int(rng.integers(400))]
+            rows.append((len(rows), " ".join(w)))
+    comp, size = brute_components(rows, n, num, den)
+    got = near_duplicates(docs(spark, rows), ngram=n, num=num, den=den).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r["component_id"] is None) if r["doc_id"] is None else (r["component_id"], r["n_shingles"]) == (comp[r["doc_id"]], size[r["doc_id"]])
+    assert near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_components(spark):
+    edges = [(1, 2), (2, 3), (5, 4), (9, 5), (9, 10), (7, 7)] + [(100 + i, 101 + i) for i in range(40)]
+    got = {r["id"]: r["comp"] for r in components(docs(spark, edges, "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 9: 4, 10: 4, 7: 7} | {100 + i: 100 for i in range(41)}
+
+
+# --- WARC ---
+
+
+def test_warc_round_trip(spark, tmp_path):
+    rows = [(3, "http://a/é x", "same"), (1, "http://b", "same"), (2, None, None), (4, "u", ""), (5, "v", "WARC/1.1\r\n\r\nodd \0 é" * 500), (None, "w", "same"), (1, "http://b", "same")]
+    pages = docs(spark, rows, "page_id long, url string, html string").withColumn("record_type", F.lit("clash"))
+    folder = f"file://{tmp_path}/bundles"
+    index = warc.write_bundles(pages, folder, frame_bytes=300)
+    got = sorted((tuple(r) for r in warc.read_bundles(index, folder).collect()), key=repr)
+    digest = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
+    first = {}
+    for i, _, t in rows:
+        if i is not None:
+            first[t or ""] = min(first.get(t or "", i), i)
+    assert len(got) == len(rows)
+    for (page, _, kind, to, size, d, payload), (i, _, t) in zip(sorted(got, key=lambda r: (repr(r[0]), r[5])), sorted(rows, key=lambda r: (repr(r[0]), digest(r[2])))):
+        data = (t or "").encode()
+        assert page == i and size == len(data) and d == digest(t)
+        assert (kind, to) == (("response", None) if i == first[t or ""] else ("revisit", first[t or ""]))
+        assert bytes(payload) == (data if kind == "response" else b"")
+    one = warc.fetch_records(index, folder, docs(spark, [(5,)], "page_id long")).collect()
+    assert [bytes(r["payload"]).decode() for r in one] == [rows[4][2]]
+    assert warc.read_bundles(warc.write_bundles(pages.limit(0), folder), folder).count() == 0
+
+
+# --- Decontamination ---
+
+
+def test_decontamination(spark):
+    items = [(i, rng_text(1000 + i, 30) + f" the answer is {WORDS[i]} {WORDS[i + 1]}") for i in range(12)]
+    rows = [(i, rng_text(i, 300)) for i in range(60)] + [(100, None), (101, ""), (102, "short")]
+    leaks = set()
+    for k in range(12):
+        w = rng_text(500 + k, 200).split()
+        at = 17 * k
+        rows.append((200 + k, " ".join(w[:at]) + " " + items[k][1].upper() + ". " + " ".join(w[at:])))
+        leaks.add((200 + k, k))
+    edited = items[3][1].split()
+    edited[5:6], edited[11] = [], "changed"
+    rows.append((300, rng_text(900, 100) + " " + " ".join(edited) + " " + rng_text(901, 100)))
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs(spark, rows), docs(spark, [*items, (50, None), (51, "")], "item_id long, text string")).collect()}
+    assert got == leaks | {(300, 3)}
+    assert decontam.find_leaks(docs(spark, []), docs(spark, items, "item_id long, text string")).count() == 0
+    assert decontam.find_leaks(docs(spark, rows), docs(spark, [], "item_id long, text string")).count() == 0
+
+
+def test_common_subsequence():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        a, b = (rng.integers(0, 5, rng.integers(1, 12)).tolist() for _ in range(2))
+        table = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, j in itertools.product(range(len(a)), range(len(b))):
+            table[i + 1, j + 1] = table[i, j] + 1 if a[i] == b[j] else max(table[i, j + 1], table[i + 1, j])
+        assert decontam.common_length(decontam.positions(a), len(a), b) == table[-1, -1]
+
+
+# --- Language ID ---
+
+
+def test_language_id(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.train(table)
+    got = langid.identify(table, model).join(table.select("doc_id", F.col("lang").alias("gold")), "doc_id").where(langid.held_out("doc_id"))
+    right, n = got.where("gold = lang_pred").count(), got.count()
+    assert n > 20 and right / n >= 0.97
+    odd = [(1, None, "x"), (2, "", "x"), (3, "12 34 !!", "x"), (None, "the and of that " * 2000, None)]
+    rows = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs(spark, odd, "doc_id long, text string, lang_pred string"), model).collect()}
+    assert rows[1] == rows[2] == rows[3] == ("und", 0.0) and rows[None][0] == "en" and 0 < rows[None][1] <= 1
+    assert langid.identify(table.limit(0), langid.train(table.limit(0))).count() == 0
+
+
+def test_forward_backward():
+    rng = np.random.default_rng(2)
+    emit, trans, length = rng.normal(size=(2, 4, 3)), rng.normal(size=(3, 3)), np.array([4, 2])
+    marginal, _ = langid.forward_backward(emit, length, trans)
+    for c in range(2):
+        n = length[c]
+        want, total = np.zeros((n, 3)), 0.0
+        for path in itertools.product(range(3), repeat=n):
+            p = np.exp(sum(emit[c, i, s] for i, s in enumerate(path)) + sum(trans[a, b] for a, b in zip(path, path[1:])))
+            total += p
+            for i, s in enumerate(path):
+                want[i, s] += p
+        assert np.allclose(marginal[c, :n], want / total)
+
+
+# --- Vectors ---
+
+
+def test_traversal_visits_in_order():
+    rng = np.random.default_rng(3)
+    a, b = rng.random(5), rng.random(7)
+    want = sorted(range(35), key=lambda k: a[k // 7] + b[k % 7])
+    assert traverse(a, b, 35) == want
+
+
+def test_near_vectors(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(40, 16))
+    vecs = [(100 * g + k, (base[g] + 0.05 * k * rng.normal(size=16)).tolist(), g % 2) for g in range(40) for k in range(1 + g % 4)]
+    vecs += [(9001, vecs[5][1], vecs[5][2]), (9002, [2 * x for x in vecs[5][1]], vecs[5][2]), (9003, vecs[5][1], 1 - vecs[5][2])]
+    bad = [(9101, None, 0), (9102, [0.0] * 16, 0), (9103, [float("nan")] + [1.0] * 15, 0), (9104, [None] + [1.0] * 15, 0), (9105, vecs[0][1], None), (None, vecs[0][1], 0), (9106, [], 0), (9107, [1e200] * 16, 1)]
+    rows = vecs + bad
+    got = {r["vec_id"]: r for r in near_vectors(docs(spark, rows, "vec_id long, embedding array<double>, label int")).collect()}
+    x = np.array([v for _, v, _ in vecs])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.93) & (np.array([v[2] for v in vecs])[:, None] == np.array([v[2] for v in vecs]))
+    np.fill_diagonal(near, False)
+    links, found = near.sum(axis=1), np.array([got[v[0]]["n_links"] for v in vecs])
+    assert (found <= links).all() and found.sum() >= 0.9 * links.sum()
+    for i, _, _ in bad:
+        assert got[i]["n_links"] == 0 and got[i]["component_id"] == i
+    assert got[None]["kept"] is None and len(got) == len(rows)
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values() if r["vec_id"] is not None)
+    assert near_vectors(docs(spark, [], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+# --- Lines ---
+
+
+def test_line_dedup(spark):
+    long = "a line that is long enough"
+    rows = [(1, f"{long}\nx\n{long}"), (2, f"  {long.upper()}\t\ny"), (3, f"{long}\n{long}"), (3, f"z\n{long}"), (4, None), (5, ""), (6, "x"), (7, "x\n"), (None, f"{long}\nq"), (8, "É line that is long enough"), (9, "é line that is long enough"), (10, "é line that is long enough")]
+    df = docs(spark, [(*r, "other", 5) for r in rows], "doc_id long, text string, n_lines string, at int")
+    keys = {}
+    norm = lambda s: re.sub("[A-Z]", lambda m: m.group().lower(), s.strip(" \t\n\x0b\x0c\r"))
+    for i, t in rows:
+        for s in (t or "").split("\n"):
+            keys.setdefault(norm(s), set()).add(i)
+    want = []
+    for i, t in rows:
+        kept = [s for s in (t or "").split("\n") if not (len(norm(s)) >= 20 and len(keys[norm(s)] - {None}) >= 3 and i != max(keys[norm(s)] - {None}))]
+        want.append((i, "\n".join(kept), len((t or "").split("\n")), len((t or "").split("\n")) - len(kept), 5))
+    got = [(r["doc_id"], r["text"], r["n_lines"], r["n_dropped"], r["at"]) for r in drop_shared_lines(df).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert drop_shared_lines(df.limit(0)).count() == 0
+
+
+# --- Pieces ---
+
+
+def test_pieces_round_trip_and_n_best(spark):
+    model = pieces.read_model()
+    own = pieces.Lattice(model, 3)
+
+    def paths(s):
+        s = pieces.SPACE + s.replace(pieces.SPACE, pieces.LITERAL).replace(" ", pieces.SPACE)
+
+        def go(i):
+            if i == len(s):
+                yield 0.0
+                return
+            for j, score, _ in own.arcs_from(s, i):
+                for rest in go(j):
+                    yield score + rest
+
+        return sorted(go(0), reverse=True)[:3]
+
+    texts = [None, "", " ", "  two  spaces ", "the thing", "é日\n.", "▁ literal", "in the\0end", "x" * 3000, "THE!! end.", "²."]
+    rows = pieces.decode_pieces(pieces.encode_pieces(docs(spark, list(enumerate(texts))), model, n_best=3), model).collect()
+    for r in rows:
+        t = texts[r["doc_id"]]
+        assert r["decoded"] == (t or "") and len(r["ids"]) == r["n_pieces"]
+        if t and len(t) < 12:
+            assert [round(x, 3) for x in r["scores"]] == [round(x, 3) for x in paths(t)]
+    assert pieces.encode_pieces(docs(spark, []), model).count() == 0
+
+
+# --- Pipeline ---
+
+
+def test_pipeline_stages(spark, sf_dir):
+    import corpus_pipeline
+
+    kept = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns, at = kept.columns, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = kept
+        kept = stage(spark, kept, sf_dir)
+        kept = spark.createDataFrame(pd.DataFrame(kept.toPandas()), schema=kept.schema)
+        assert kept.columns == columns, name
+        at[name] = (before, kept)
+    before, after = (df.toPandas() for df in at["language ID"])
+    assert len(after) >= 0.98 * len(before)
+    before, after = (df.toPandas() for df in at["n-gram Jaccard join"])
+    comp, _ = brute_components(list(zip(before["doc_id"], before["text"])), 5, 80, 100)
+    assert set(after["doc_id"]) == set(comp.values())
+    items = [re.findall(r"\w+", t.lower()) for t in spark.read.parquet(f"{sf_dir}/benchmark.parquet").toPandas()["text"]]
+    before, after = (df.toPandas() for df in at["benchmark decontamination"])
+    holds = {i for i, t in zip(before["doc_id"], before["text"]) if any(f" {' '.join(w)} " in f" {' '.join(re.findall(chr(92) + 'w+', t.lower()))} " for w in items)}
+    assert set(before["doc_id"]) - set(after["doc_id"]) == holds
+    last = corpus_pipeline.STAGES[-1][1](spark, kept, sf_dir).toPandas().set_index("doc_id")["text_sha256"]
+    assert all(last[i] == hashlib.sha256(t.encode()).hexdigest() for i, t in zip(after["doc_id"], after["text"]))
+
+
+def test_html_entities_are_decoded_once():
+    assert main_text(blocks("<article>&amp;lt; &#233; &eacute;</article>")) == html.unescape("&amp;lt; &#233; &eacute;")
