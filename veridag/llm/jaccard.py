@@ -2,7 +2,7 @@
 
 Each shingle XORs its hash into one word of a document's sketch.  Two sketches of w words differ in at most as many words
 as there are shingles in just one of the documents, so if that is at most d, d + 1 words leave one that is equal: sketches
-are joined by equal words within a size band, and what they propose is verified on the texts.
+are joined by equal words within a size band.  A second sketch of single bits bounds what is left to verify on the texts.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from veridag.llm.common import small_batches, stored
 from veridag.llm.components import components
 
+#: 64-bit words of the bit sketch.
+BIT_WORDS = 8
 #: More words than d + 1, so that a sketch with at most so many empty words need not be joined by them.
 SPARE = 2
 
@@ -123,38 +125,47 @@ def verified(pairs: DataFrame, texts: DataFrame, ngram: int, num: int, den: int)
     return right.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
 
 
-def linked(near: DataFrame, ties: DataFrame, texts: DataFrame, ngram: int, num: int, den: int, star_rounds: int = 3) -> DataFrame:
-    """Components (id, comp) of ties (a, b) and of the links among near (key, id, n), where equal keys propose a pair.
+def bit_sketches(texts: DataFrame, ngram: int) -> DataFrame:
+    """(id, s0, s1, …): for each bit, the parity of the shingles that hash to it."""
+    columns = [f"s{i}" for i in range(BIT_WORDS)]
 
-    Within a key, a round proposes one leader to the members of other components; links merge components, which ends
-    most keys.  What is left, pairs of different components that share a key, is verified in full once it is no more than
-    twice the rows of near, or after star_rounds: no component is missed, and a key of like members never makes all pairs.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = WordHashes()
+        for b in batches:
+            bits = [np.bincount((shingles(t, ngram, words) >> np.uint64(7)).astype(np.int64) % (64 * BIT_WORDS), minlength=64 * BIT_WORDS) & 1 for t in b["text"]]
+            packed = np.packbits(np.array(bits, np.uint8).reshape(len(b), -1), axis=1).view(np.int64)
+            yield pd.DataFrame(packed.reshape(len(b), -1), columns=columns).assign(id=b["id"].to_numpy())
+
+    return texts.mapInPandas(run, ", ".join(f"{c} long" for c in columns) + ", id long")
+
+
+def linked(near: DataFrame, ties: DataFrame, texts: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
+    """Components (id, comp) of ties (a, b) and of the links among near (key, id, n, held), where equal keys propose a pair.
+
+    First, each key proposes one leader to its other members: that which shares most keys with others, so that all of a
+    group of copies meet their common source.  Then the pairs of a key that are still in different components are
+    proposed, if their sizes and the bits in which their sketches differ leave them a chance.  All that is proposed is
+    counted in full, so no link between components is missed, and a key of like members never makes all its pairs.
     """
-    edges, tested, labels = ties, ties, components(ties)
-    size = near.count()
-    for k in range(star_rounds + 1):
-        rows = near.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        of_comp = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-        across = of_comp.groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
-        left = across.agg(F.sum("pairs")).first()[0] or 0
-        full = k == star_rounds or left <= 2 * size
-        if not left:
-            break
-        lead = F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("draw"), "id", "comp", "n")).alias("lead")
-        open_keys = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), lead).where("low < high").select("key", "lead")
-        one = open_keys.select("key", F.col("lead.id").alias("a"), F.col("lead.comp").alias("a_comp"), F.col("lead.n").alias("a_n"))
-        if full:
-            one = rows.join(open_keys, "key").select("key", F.col("id").alias("a"), F.col("comp").alias("a_comp"), F.col("n").alias("a_n"))
-        both = rows.withColumnRenamed("id", "b").join(one, "key").where("comp < a_comp" if full else "comp <> a_comp")
-        both = both.where(F.least("a_n", "n") * den >= F.greatest("a_n", "n") * num)
-        pairs = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"))
-        found = stored(verified(pairs, texts, ngram, num, den))
-        edges, tested = edges.unionByName(found), tested.unionByName(pairs)
-        labels = components(edges)
-        if full:
-            break
-    return labels
+    degree = stored(near.groupBy("id").agg(F.sum("held").alias("degree")))
+    lead = near.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"), "n")).alias("lead"))
+    lead = stored(lead.select("key", (-F.col("lead.minus")).alias("a"), F.col("lead.n").alias("a_n")))
+    similar_sizes = F.least("a_n", "n") * den >= F.greatest("a_n", "n") * num
+    pairs = near.withColumnRenamed("id", "b").join(lead, "key").where("a <> b").where(similar_sizes)
+    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    stars = stored(verified(pairs, texts, ngram, num, den))
+    labels = components(ties.unionByName(stars))
+
+    rows = near.join(labels, "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
+    still = stored(rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key"))
+    bits = [f"s{i}" for i in range(BIT_WORDS)]
+    two = stored(rows.join(still, "key").join(stored(bit_sketches(texts, ngram)), "id"))
+    one = two.select("key", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("comp").alias("a_comp"), *[F.col(c).alias(f"a_{c}") for c in bits])
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"a_{c}"))) for c in bits[1:]), F.bit_count(F.col(bits[0]).bitwiseXOR(F.col(f"a_{bits[0]}"))))
+    chance = similar_sizes & (differ * (den + num) <= (F.col("n") + F.col("a_n")) * (den - num))
+    rest = one.join(two.withColumnRenamed("id", "b"), "key").where("comp < a_comp").where(chance)
+    rest = stored(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return components(ties.unionByName(stars).unionByName(verified(rest, texts, ngram, num, den)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -178,7 +189,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     firsts = sets.join(members.where("id = rep and n > 0").select("id").distinct(), "id", "left_semi")
     keyed = stored(firsts.select("id", "n", "keys")).select("id", "n", F.explode("keys").alias("key"))
-    shared = stored(keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key"))
+    shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("held"))
+    shared = stored(shared.where("low < high").select("key", "held"))
     near = stored(keyed.join(shared, "key"))
     texts = stored(read.join(near.select("id").distinct(), "id", "left_semi"))
     labels = linked(near, ties, texts, ngram, num, den)
