@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridag.llm.common import small_batches, stored
+from veridag.llm.common import forget, small_batches, stored
 from veridag.llm.components import components
 
 #: 64-bit words of the bit sketch.
@@ -188,10 +188,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ties = stored(members.join(several, "id").where("a < rep").select("a", F.col("rep").alias("b")).distinct())
 
     firsts = sets.join(members.where("id = rep and n > 0").select("id").distinct(), "id", "left_semi")
-    keyed = stored(firsts.select("id", "n", "keys")).select("id", "n", F.explode("keys").alias("key"))
+    firsts = stored(firsts.select("id", "n", "keys"))
+    forget(sets, reps)
+    keyed = firsts.select("id", "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("held"))
     shared = stored(shared.where("low < high").select("key", "held"))
     near = stored(keyed.join(shared, "key"))
+    forget(firsts, shared)
     texts = stored(read.join(near.select("id").distinct(), "id", "left_semi"))
     labels = linked(near, ties, texts, ngram, num, den)
     labels = labels.select(F.col("id").alias("rep"), "comp")
