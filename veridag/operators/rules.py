@@ -81,6 +81,12 @@ def rule_predicate(rule: Rule) -> Column:
     return test
 
 
+def named(pack: list[Rule]) -> tuple[list[str], list[str]]:
+    """Labels and relations that a pack of rules reads."""
+    relations = {x for r in pack for x in (r.with_relation, r.without_relation) if x}
+    return sorted({r.entity for r in pack}), sorted(relations)
+
+
 def matches(facts: DataFrame, rules: list[Rule]) -> DataFrame:
     """(rule_id, entity_type, entity_id, scope columns…) of every rule that a fact meets, in one pass over the facts."""
     hits = F.filter(F.array(*[F.when(rule_predicate(r), F.lit(r.rule_id)) for r in rules]), lambda x: x.isNotNull())

@@ -28,7 +28,10 @@ pack AS (SELECT * FROM (VALUES ('ORD-1', 'block', 0), ('ORD-2', 'warn', 1), ('CU
 
 
 def rule_hits(spark, sf_dir):
-    return rules.matches(graph.facts(nodes(spark, sf_dir), edges(spark, sf_dir)), PACK)
+    """Facts of the labels and relations that the pack names; branches of other labels are pruned from the plan."""
+    labels, relations = rules.named(PACK)
+    scoped = edges(spark, sf_dir).where(F.col("src_label").isin(labels) & F.col("rel_type").isin(relations))
+    return rules.matches(graph.facts(nodes(spark, sf_dir).where(F.col("label").isin(labels)), scoped), PACK)
 
 
 @query(HITS + """, e AS (SELECT rule_id, entity_id, row_number() OVER (PARTITION BY rule_id ORDER BY entity_id) AS k FROM hits)
