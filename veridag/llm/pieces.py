@@ -49,6 +49,7 @@ class Lattice:
         self.trie = {x: (*self.arcs.get(x, (None, None)), x in heads) for x in heads | self.arcs.keys()}
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in ids if sp.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.is_byte = np.isin(np.arange(len(self.text)), list(self.byte_of))
         self.unknown, self.worst = sp.unk_id(), min(s for s, _ in self.arcs.values()) - 10.0
         self.cut = next(c for c in map(re.compile, CUTS) if all(len(c.findall(p)) == 1 for p in self.arcs))
 
@@ -129,7 +130,7 @@ class Lattice:
     def forget(self) -> None:
         """Chains get numbers in self.known; their best ids lie in self.ids from start, with score and the loss of the next path."""
         self.known, self.ids, self.start, self.size = {}, array("i"), array("q"), array("q")
-        self.score, self.loss = array("d"), array("d")
+        self.score, self.loss, self.after = array("d"), array("d"), {}
 
     def chain(self, s: str) -> int:
         score, ids, second = self.two(s)
@@ -142,9 +143,11 @@ class Lattice:
         return k
 
     def others(self, s: str) -> list[tuple[float, list[int]]]:
-        """Loss and ids of the paths after the best."""
-        (top, _), *rest = self.best(s)
-        return [(top - score, ids) for score, ids in rest]
+        """Loss and ids of the paths after the best; chains that lose least are asked for again and again."""
+        if s not in self.after:
+            (top, _), *rest = self.best(s)
+            self.after[s] = [(top - score, ids) for score, ids in rest]
+        return self.after[s]
 
     def encode(self, text: str | None) -> tuple[np.ndarray, list[float], list[list[tuple[int, list[int]]]]]:
         """Ids of the best path, scores of the n best, and what each of these changes: (chain, ids) by position."""
@@ -182,13 +185,14 @@ class Lattice:
             paths = heapq.nsmallest(self.n, more, key=lambda p: p[0])
         return paths
 
-    def decode(self, ids) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The text that these ids stand for."""
-        byte_of, text = self.byte_of, self.text
-        try:
-            return "".join([text[i] for i in ids])[1:] if not byte_of.keys() & set(ids) else self.decode_bytes(ids)
-        except IndexError as e:
-            raise ValueError("an id is not in the vocabulary") from e
+        ids = np.asarray(ids, np.int64)
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(self.text):
+            raise ValueError("an id is not in the vocabulary")
+        if self.is_byte[ids].any():
+            return self.decode_bytes(ids.tolist())
+        return "".join(map(self.text.__getitem__, ids.tolist()))[1:]
 
     def decode_bytes(self, ids) -> str:
         out = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self.text[i].encode() for i in ids)
@@ -245,6 +249,6 @@ def decode_pieces(rows: DataFrame, model: bytes, ids_col: str = "ids", out_col:
     @F.pandas_udf("string")
     def decode(ids: pd.Series) -> pd.Series:
         own = next((x for x in LATTICES.values() if x.model == model), None) or lattice(model, 1)
-        return ids.map(lambda x: None if x is None else own.decode(x.tolist()))
+        return ids.map(lambda x: None if x is None else own.decode(x))
 
     return rows.withColumn(out_col, decode(F.col(ids_col)))
