@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridag.llm.common import forget, small_batches, stored
@@ -22,6 +22,9 @@ from veridag.llm.components import components
 BIT_WORDS = 8
 #: More words than d + 1, so that a sketch with at most so many empty words need not be joined by them.
 SPARE = 2
+#: Still more, as a share of d + 1: similar sketches then have so many more words in common, and each may leave as many
+#: of its most frequent ones unjoined.
+SURPLUS = 0.15
 
 
 class WordHashes(dict):
@@ -68,7 +71,13 @@ class Sketcher:
         #: At a similarity of num / den, at most size * (den - num) / num shingles are in just one of the two.
         self.bands = bands(-(-num // (den - num)))
 
-    def keys(self, hashes: np.ndarray) -> np.ndarray:
+    def keys(self, hashes: np.ndarray) -> list[tuple[np.ndarray, int]]:
+        """(join keys, how many of the most frequent may go) for each size band in which the document can have a partner.
+
+        A partner differs in at most d shingles, d by the smaller size, so of `width` words at least width - d are equal,
+        and at least width - d - spare of them are not empty.  If both leave out one less than so many of their keys, the
+        most frequent first, the rarest key in common stays for both.
+        """
         size = len(hashes)
         out = []
         for i, (low, high) in enumerate(self.bands):
@@ -76,8 +85,9 @@ class Sketcher:
                 break
             if size * self.num > high * self.den:
                 continue  # in no pair whose smaller document is in this band
-            spare = SPARE + (width := high * (self.den - self.num) // self.num) // 500
-            width += 1 + spare
+            most, own = (x * (self.den - self.num) // self.num for x in (high, min(high, size)))
+            spare, surplus = SPARE + most // 500, int(SURPLUS * (most + 1))
+            width = most + 1 + spare + surplus
             part = ((hashes >> np.uint64(20)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)) % np.uint64(width)
             order = np.argsort(part, kind="stable")
             at = np.flatnonzero(np.diff(part[order], prepend=np.uint64(width)))
@@ -85,25 +95,27 @@ class Sketcher:
             if width - len(full) > spare:  # too many empty words to leave them out
                 empty = np.setdiff1d(np.arange(width, dtype=np.uint64), full)
                 full, value = np.concatenate([full, empty]), np.concatenate([value, np.zeros(len(empty), np.uint64)])
-            out.append(mixed(mixed(value) + full * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i + 1)))
-        return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
+            found = mixed(mixed(value) + full * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i + 1))
+            out.append((found.view(np.int64), surplus + most - own))
+        return out
 
 
 def sketched(docs: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
-    """(id, n, fp_a, fp_b, keys): set size, a 128-bit fingerprint of the set, and its join keys."""
+    """(id, n, fp_a, fp_b, keys0, drops0, keys1, drops1): set size, a 128-bit fingerprint, and the keys of up to two bands."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, sketcher = WordHashes(), Sketcher(num, den)
+        words, sketcher, none = WordHashes(), Sketcher(num, den), (np.empty(0, np.int64), 0)
         for b in batches:
             sets = [shingles(t, ngram, words) for t in b["text"]]
+            keys = [[*sketcher.keys(s), none, none][:2] for s in sets]
             yield pd.DataFrame({
                 "id": b["id"], "n": [len(s) for s in sets],
                 "fp_a": [int(np.bitwise_xor.reduce(mixed(s + np.uint64(1))).view(np.int64)) if len(s) else 0 for s in sets],
                 "fp_b": [int(mixed(s + np.uint64(2)).sum().view(np.int64)) if len(s) else 0 for s in sets],
-                "keys": [sketcher.keys(s) for s in sets],
+                "keys0": [k[0][0] for k in keys], "drops0": [k[0][1] for k in keys], "keys1": [k[1][0] for k in keys], "drops1": [k[1][1] for k in keys],
             }).astype({"id": "Int64"})
 
-    return docs.mapInPandas(run, "id long, n long, fp_a long, fp_b long, keys array<long>")
+    return docs.mapInPandas(run, "id long, n long, fp_a long, fp_b long, keys0 array<long>, drops0 int, keys1 array<long>, drops1 int")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
@@ -188,12 +200,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ties = stored(members.join(several, "id").where("a < rep").select("a", F.col("rep").alias("b")).distinct())
 
     firsts = sets.join(members.where("id = rep and n > 0").select("id").distinct(), "id", "left_semi")
-    firsts = stored(firsts.select("id", "n", "keys"))
+    firsts = stored(firsts.select("id", "n", "keys0", "drops0", "keys1", "drops1"))
     forget(sets, reps)
-    keyed = firsts.select("id", "n", F.explode("keys").alias("key"))
+    of_band = [firsts.select("id", "n", F.lit(k).alias("band"), F.col(f"drops{k}").alias("drops"), F.explode(f"keys{k}").alias("key")) for k in (0, 1)]
+    keyed = of_band[0].unionByName(of_band[1])
     shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("held"))
     shared = stored(shared.where("low < high").select("key", "held"))
-    near = stored(keyed.join(shared, "key"))
+    # The keys that no other document has are the rarest, so it does no harm that they are gone before ranks are given.
+    ranks = Window.partitionBy("id", "band", "n").orderBy(F.desc("held"), "key")
+    near = keyed.join(shared, "key").withColumn("rank", F.row_number().over(ranks)).where("rank > drops")
+    near = stored(near.select("key", "id", "n", "held"))
     forget(firsts, shared)
     texts = stored(read.join(near.select("id").distinct(), "id", "left_semi"))
     labels = linked(near, ties, texts, ngram, num, den)
