@@ -72,3 +72,16 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, rows)
+
+
+#: What a Python worker remembers across tasks: of one operator at a time, as Spark uses a worker for all of them.
+HELD: dict = {}
+
+
+def held(kind: str, key: object, make):
+    """The worker's own make(), made once; what it remembered for another operator or model is let go."""
+    if (kind, key) not in HELD:
+        HELD.clear()
+        gc.collect()
+        HELD[kind, key] = make()
+    return HELD[kind, key]

@@ -20,7 +20,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridag.llm.common import small_batches
+from veridag.llm.common import HELD, held, small_batches
 
 SPACE = "▁"
 #: Stands for a SPACE character of the text itself, which must not become a space; no text holds it.
@@ -29,7 +29,7 @@ LETTER = "A-Za-zÀ-ɏͰ-῿"
 #: Ways to cut a text into chains, finest first; the first that cuts no piece is taken.
 CUTS = (f"{SPACE}*(?:[{LETTER}]+|[^{SPACE}{LETTER}]+)|{SPACE}+", f"{SPACE}*[^{SPACE}]+|{SPACE}+", "(?s:.+)")
 #: Segmentations remembered in a Python worker.
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 
 
 @dataclass
@@ -199,16 +199,8 @@ class Lattice:
         return out.decode("utf-8", "replace")[1:]
 
 
-#: One lattice for each model and n in a Python worker, which Spark uses for many tasks.
-LATTICES: dict[tuple[int, int], Lattice] = {}
-
-
 def lattice(model: bytes, n: int) -> Lattice:
-    key = (hash(model), n)
-    if key not in LATTICES:
-        LATTICES.clear()
-        LATTICES[key] = Lattice(model, n)
-    return LATTICES[key]
+    return held("pieces", (hash(model), n), lambda: Lattice(model, n))
 
 
 def read_model(path: str | None = None) -> bytes:
@@ -248,7 +240,7 @@ def decode_pieces(rows: DataFrame, model: bytes, ids_col: str = "ids", out_col:
 
     @F.pandas_udf("string")
     def decode(ids: pd.Series) -> pd.Series:
-        own = next((x for x in LATTICES.values() if x.model == model), None) or lattice(model, 1)
+        own = next((x for x in HELD.values() if isinstance(x, Lattice) and x.model == model), None) or lattice(model, 1)
         return ids.map(lambda x: None if x is None else own.decode(x))
 
     return rows.withColumn(out_col, decode(F.col(ids_col)))
