@@ -215,6 +215,19 @@ def test_decontamination(spark):
     assert decontam.find_leaks(docs(spark, rows), docs(spark, [], "item_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("held", ["third", "all", "two"])
+def test_decontamination_of_a_common_item(spark, held):
+    items = [(i, rng_text(1000 + i, 30)) for i in range(6)]
+    rows, leaks = [], set()
+    for k in range(2 if held == "two" else 60):
+        before, after = rng_text(k, 30 + k), rng_text(100 + k, 40)
+        if held != "third" or k % 3 == 0:
+            before, _ = before + " " + items[2][1], leaks.add((k, 2))
+        rows.append((k, before + " " + after))
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs(spark, rows), docs(spark, items, "item_id long, text string")).collect()}
+    assert got == leaks
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(1)
     for _ in range(200):

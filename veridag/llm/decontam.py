@@ -196,13 +196,22 @@ class Retriever:
                 yield d, k, cosine, share, answer
 
 
-def fit_retriever(docs: DataFrame, items: list[tuple[int, list[int]]], n_terms: int, rank: int, max_share: float, seed: int = 11, **limits: float) -> Retriever:
-    """The retriever of some items: idf over all documents, and a basis of the range of their TF-IDF passages and the items'.
+def item_weights(df: np.ndarray, n: int, items: list[list[int]], max_share: float) -> np.ndarray:
+    """Smoothed idf of the terms that tell an item: those in at most max_share of all chunks, and the rarer half of each item's.
 
-    Terms in more than max_share of all chunks weigh nothing: they say nothing of a passage's subject.
+    The half is kept whatever its counts are, at the weight of max_share at least: copies of an item make its own terms
+    frequent, and those must not lose it.  What weighs nothing then is a term that every item can spare.
     """
+    keep = df <= max_share * n
+    for terms in map(np.unique, items):
+        keep[terms[df[terms] <= np.median(df[terms])]] = True
+    return np.where(keep, np.maximum(np.log((1 + n) / (1 + df)), -math.log(max_share)), 0.0)
+
+
+def fit_retriever(docs: DataFrame, items: list[tuple[int, list[int]]], n_terms: int, rank: int, max_share: float, seed: int = 11, **limits: float) -> Retriever:
+    """The retriever of some items: idf over all documents, and a basis of the range of their TF-IDF passages and the items'."""
     df, n = document_frequency(docs, n_terms)
-    idf = np.where(df > max(1, max_share * n), 0.0, np.log((1 + n) / (1 + df)))
+    idf = item_weights(df, n, [x for _, x in items], max_share)
     start = np.random.default_rng(seed).standard_normal((n_terms, min(rank, n_terms))).astype(np.float32)
     z = range_of(docs, idf, start)
     c = Chunks.of([np.array(x) for _, x in items], n_terms)
