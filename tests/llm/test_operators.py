@@ -228,6 +228,14 @@ def test_decontamination_of_a_common_item(spark, held):
     assert got == leaks
 
 
+def test_decontamination_of_long_items(spark):
+    items = [(0, rng_text(1000, 30)), (1, rng_text(1001, 140)), (2, rng_text(1002, 250)), (3, rng_text(1003, 1100))]
+    rows = [(10 + k, rng_text(k, 600)) for k in range(20)]
+    rows += [(100 + k, rng_text(200 + k, 37 * k) + " " + t + " " + rng_text(300 + k, 90)) for k, t in items]
+    got = {(r["doc_id"], r["item_id"]): r["lcs"] for r in decontam.find_leaks(docs(spark, rows), docs(spark, items, "item_id long, text string")).collect()}
+    assert got == {(100 + k, k): 1.0 for k, _ in items}
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(1)
     for _ in range(200):

@@ -21,9 +21,16 @@ from pyspark.sql import functions as F
 from veridag.llm.common import small_batches, stored
 
 WORD = re.compile(r"\w+")
-#: Words in a chunk; passages are 2, 4 or 8 chunks long and begin at every chunk.
+#: Words in a chunk; passages are 2, 4, 8 or, for long items, further doublings of chunks long and begin at every chunk.
 CHUNK = 16
-SCALES = (2, 4, 8)
+
+
+def scale_of(size: int) -> int:
+    """Chunks of the passages in which an item of `size` words is sought: they hold it from whichever chunk it starts in."""
+    scale = 2
+    while scale * CHUNK < size + CHUNK // 2:
+        scale *= 2
+    return scale
 
 
 def words_of(text: str | None) -> list[str]:
@@ -159,8 +166,7 @@ class Retriever:
         self.masks = [positions(x) for x in self.items]
         self.answers = [x[-max(3, len(x) // 8) :] for x in self.items]
         self.answer_masks = [positions(x) for x in self.answers]
-        # An item is sought among passages that hold it from whichever chunk it starts in.
-        self.scale = np.array([next((s for s in SCALES if s * CHUNK >= len(x) + CHUNK // 2), SCALES[-1]) for x in self.items])
+        self.scale = np.array([scale_of(len(x)) for x in self.items])
 
     def latent(self, c: Chunks) -> np.ndarray:
         row, term, w = c.weighted(self.idf)
@@ -172,10 +178,8 @@ class Retriever:
         z = self.latent(c)
         n, sums = len(z), np.concatenate([np.zeros((1, z.shape[1]), np.float32), np.cumsum(z, axis=0, dtype=np.float64)])
         doc = np.repeat(np.arange(len(docs)), np.diff(c.first))
-        for s in SCALES:
+        for s in np.unique(self.scale).tolist() if n else ():
             own = np.flatnonzero(self.scale == s)
-            if not len(own) or not n:
-                continue
             begin = np.arange(n)
             end = np.minimum(begin + s, c.first[doc + 1])
             x = (sums[end] - sums[begin]).astype(np.float32)
