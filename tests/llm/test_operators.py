@@ -4,6 +4,7 @@ import base64
 import hashlib
 import html
 import itertools
+import math
 import re
 import zlib
 
@@ -307,6 +308,30 @@ def test_near_vectors(spark):
     assert near_vectors(docs(spark, [], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+VECTORS = "vec_id long, embedding array<double>, label int"
+
+
+def test_near_vectors_with_rare_or_far_links(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 16))
+    for k in range(0, 40, 2):  # 20 pairs with a cosine just above the threshold
+        u = rng.normal(size=16)
+        u -= (u @ x[k]) / (x[k] @ x[k]) * x[k]
+        x[k + 1] = 0.852 * x[k] / np.linalg.norm(x[k]) + math.sqrt(1 - 0.852**2) * u / np.linalg.norm(u)
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (y @ y.T >= 0.85) & ~np.eye(600, dtype=bool)
+    assert near.sum() >= 40
+    rows = docs(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)], VECTORS)
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors(rows, threshold=0.85, sample_rows=200, query_rows=2, cell_rows=4, block_rows=64).collect()}
+    assert [got[i] for i in range(600)] == near.sum(axis=1).tolist()
+
+
+def test_near_vectors_of_many_lengths(spark):
+    rows = [(100 * n + k, [float(1 + (i * n) % 7) for i in range(n)][:-1] + [1.0 + k / 1000], 0) for n in range(2, 82) for k in range(2)]
+    got = near_vectors(docs(spark, rows, VECTORS)).collect()
+    assert len(got) == 160 and all(r["n_links"] == 1 for r in got)
+
+
 # --- Lines ---
 
 

@@ -64,29 +64,55 @@ class Grid:
         return np.array([traverse(p, q, visits) for p, q in zip(da, db)], np.int64)
 
 
-def measured_visits(reps: DataFrame, grid: Grid, queries: pd.DataFrame, threshold: float, target: float, most: int = 64) -> tuple[int, float]:
-    """Cells to visit for a mean recall of at least target, and that recall: a bounded query set by brute force against all rows."""
-    q, labels, ids = unit(queries["vec"]), queries["label"].to_numpy(), queries["id"].to_numpy()
-    order = grid.cells(q, most)
+def rank_of(da: np.ndarray, db: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Cells that a query with these half distances visits before it has visited each of `cells`, itself included; ties count."""
+    b = np.sort(db)
+    sums = da[cells // len(db)] + db[cells % len(db)]
+    sums = sums + 1e-12 * (1 + np.abs(sums))
+    return np.array([np.searchsorted(b, x - da, "right").sum() for x in sums], np.int64)
+
+
+def measured_visits(reps: DataFrame, grid: Grid, queries: pd.DataFrame, threshold: float, target: float, first: int, linked: int) -> tuple[int | None, float]:
+    """Cells to visit for a mean recall of at least target, and that recall: queries by brute force against all rows.
+
+    Blocks of queries, `first` and then twice as many each, are measured until `linked` of them have links.  Of fewer in
+    all queries nothing is said: None, unless the queries are all rows.
+    """
+    ranks: list[tuple[np.ndarray, np.ndarray]] = []  # of each query with links: ranks of cells, links there
+    done, size, n = 0, first, reps.count()
+    while done < len(queries) and len(ranks) < linked:
+        block = queries.iloc[done : done + size]
+        q = unit(block["vec"])
+        found = linked_cells(reps, grid, q, block["label"].to_numpy(), block["id"].to_numpy(), threshold)
+        da, db = half_distances(q[:, : grid.half], grid.first), half_distances(q[:, grid.half :], grid.second)
+        ranks += [(rank_of(da[k], db[k], g["cell"].to_numpy()), g["n"].to_numpy()) for k, g in found.groupby("query")]
+        done, size = done + len(block), 2 * size
+    if len(ranks) < linked and done < n:
+        return None, math.nan
+    if not ranks:
+        return 1, 1.0  # no row has a link
+    rank = np.concatenate([r for r, _ in ranks])
+    share = np.concatenate([m / m.sum() for _, m in ranks]) / len(ranks)
+    order = np.argsort(rank, kind="stable")
+    recall = np.cumsum(share[order])
+    at = min(int(np.searchsorted(recall, target - 1e-9)), len(rank) - 1)
+    visits = min(max(4, int(rank[order][at])), len(grid.first) * len(grid.second))
+    return visits, float(share[rank <= visits].sum())
+
+
+def linked_cells(reps: DataFrame, grid: Grid, q: np.ndarray, labels: np.ndarray, ids: np.ndarray, threshold: float) -> pd.DataFrame:
+    """(query, cell, n): in which cells the links of each query are."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = unit(b["vec"])
-            row, col = np.nonzero((q @ x.T >= threshold) & (labels[:, None] == b["label"].to_numpy()) & (ids[:, None] != b["id"].to_numpy()))
-            own = grid.cells(x[np.unique(col)], 1)[:, 0] if len(col) else np.empty(0, np.int64)
-            own = own[np.searchsorted(np.unique(col), col)]
-            hit = order[row] == own[:, None]
-            rank = np.where(hit.any(axis=1), hit.argmax(axis=1), most)
-            yield pd.DataFrame({"query": row, "rank": rank}).value_counts().rename("n").reset_index()
-
-    found = reps.mapInPandas(run, "query long, rank long, n long").groupBy("query", "rank").agg(F.sum("n").alias("n")).toPandas()
-    if found.empty:
-        return 4, 1.0
-    found["share"] = found["n"] / found.groupby("query")["n"].transform("sum")
-    by_rank = found.groupby("rank")["share"].sum().reindex(range(most), fill_value=0).cumsum() / found["query"].nunique()
-    enough = np.flatnonzero(by_rank.to_numpy() >= target)
-    visits = max(4, int(enough[0]) + 1 if len(enough) else most)
-    return visits, float(by_rank.iloc[visits - 1])
+            x, own_labels, own_ids = unit(b["vec"]), b["label"].to_numpy(), b["id"].to_numpy()
+            for s in range(0, len(q), 256):
+                row, col = np.nonzero((q[s : s + 256] @ x.T >= threshold) & (labels[s : s + 256, None] == own_labels) & (ids[s : s + 256, None] != own_ids))
+                if len(row):
+                    some, at = np.unique(col, return_inverse=True)
+                    yield pd.DataFrame({"query": row + s, "cell": grid.cells(x[some], 1)[:, 0][at]}).value_counts().rename("n").reset_index()
+
+    return reps.mapInPandas(run, "query long, cell long, n long").groupBy("query", "cell").agg(F.sum("n").alias("n")).toPandas()
 
 
 def block_links(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -119,15 +145,17 @@ def block_links(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, target: float = 0.995,
-                 sample_rows: int = 16_384, query_rows: int = 256, cell_rows: int = 32, block_rows: int = 1024) -> DataFrame:
+                 sample_rows: int = 16_384, query_rows: int = 256, cell_rows: int = 32, block_rows: int = 1024, linked_rows: int = 32) -> DataFrame:
     """A row per row of vectors: id, n_links, component_id, kept and visits, the cells that each query visited.
 
     Vectors link when their labels are equal and not null and their cosine in double precision is at least threshold.
     Null, empty or zero vectors, and those with null or non-finite components, link with nothing; so do rows without id,
     whose component_id and kept are null.  Only vectors of like length are compared.  Equal vectors are one class, whose
     members link with each other.  Codebooks are fitted on at most sample_rows vectors and the number of cells to visit
-    is measured on at most query_rows queries against all vectors; every vector is indexed.  Cells larger than block_rows
-    are compared block by block.  Rows that repeat an id share the links of each other's vectors.  An empty table gives
+    is measured on query_rows of those against all vectors, or on more of them until linked_rows have links; every vector
+    is indexed.  Cells larger than block_rows are compared block by block.  All vectors of a length are one cell, so that
+    all pairs are compared, where too few of the fitted vectors have links or the cells to visit would cost more than
+    that; so are those of all lengths but the commonest that have at most block_rows vectors.  Rows that repeat an id share the links of each other's vectors.  An empty table gives
     an empty table.
     """
     vec = F.transform(F.col(vec_col), lambda v: v.cast("double"))
@@ -140,20 +168,28 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     members = rows.select("id", "fine", "label", "h1", "h2").join(reps.select("label", "h1", "h2", F.col("id").alias("rep"), "mult"), ["label", "h1", "h2"], "left")
     members = stored(members.select("id", F.when(F.col("fine"), F.col("rep")).alias("rep"), F.when(F.col("fine"), F.col("mult")).alias("mult")))
 
-    counts = edges = None
+    found = []
     visited = 0
-    for (dims,) in sorted(reps.select("dims").distinct().limit(64).collect()):  # lengths of vectors: one in practice
+    lengths = [(r["dims"], r["count"]) for r in reps.groupBy("dims").count().orderBy(F.desc("count"), "dims").collect()]  # one in practice
+    few = [k for k, (_, n) in enumerate(lengths) if k and n <= block_rows]
+    for dims, n in lengths[: few[0] if few else None]:
         one = reps.where(F.col("dims") == dims).select("id", F.col("label").cast("string").alias("label"), "mult", "vec")
-        n = one.count()
         drawn = one.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(sample_rows).toPandas()
         grid = Grid(unit(drawn["vec"]), max(1, min(len(drawn) // 8, round(math.sqrt(n / cell_rows)))))
-        visits, _ = measured_visits(one, grid, drawn.head(query_rows), threshold, target)
+        visits, _ = measured_visits(one, grid, drawn, threshold, target, query_rows, linked_rows)
+        if visits is None or visits > max(4, len(grid.first) * len(grid.second) // 4):
+            grid, visits = None, 1
         visited = max(visited, visits)
-        blocks = block_pairs(one, grid, visits, block_rows)
-        found = blocks.groupBy("label", "cell", "part", "against").applyInPandas(lambda g: block_links(g, threshold), "id long, n long, root long")
-        found = stored(found)
-        c = found.groupBy("id").agg(F.sum("n").alias("n"))
-        e = found.where("root <> id").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct()
+        found.append(linked_pairs(one, grid, visits, block_rows, threshold))
+    if few:
+        rest = reps.where(~F.col("dims").isin([dims for dims, _ in lengths[: few[0]]]))
+        rest = rest.select("id", F.concat_ws(":", "dims", F.col("label").cast("string")).alias("label"), "mult", "vec")
+        found.append(linked_pairs(rest, None, 1, block_rows, threshold))
+        visited = max(visited, 1)
+    counts = edges = None
+    for one in found:
+        c = one.groupBy("id").agg(F.sum("n").alias("n"))
+        e = one.where("root <> id").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct()
         counts, edges = (c, e) if counts is None else (counts.unionByName(c), edges.unionByName(e))
 
     if counts is None:
@@ -166,12 +202,20 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     return out.select(F.col("id").alias(id_col), (F.coalesce("n", F.lit(0)) + F.coalesce(F.col("mult") - 1, F.lit(0))).cast("long").alias("n_links"), comp.alias("component_id"), (F.col("id") == comp).alias("kept"), F.lit(visited).alias("visits"))
 
 
-def block_pairs(reps: DataFrame, grid: Grid, visits: int, block_rows: int) -> DataFrame:
-    """Members and probes of each cell, dealt into blocks of about block_rows so that each pair of blocks meets once."""
+def linked_pairs(reps: DataFrame, grid: Grid | None, visits: int, block_rows: int, threshold: float) -> DataFrame:
+    blocks = block_pairs(reps, grid, visits, block_rows)
+    return stored(blocks.groupBy("label", "cell", "part", "against").applyInPandas(lambda g: block_links(g, threshold), "id long, n long, root long"))
+
+
+def block_pairs(reps: DataFrame, grid: Grid | None, visits: int, block_rows: int) -> DataFrame:
+    """Members and probes of each cell, dealt into blocks of about block_rows so that each pair of blocks meets once.
+
+    Without a grid all vectors of a label are one cell.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            cells = grid.cells(unit(b["vec"]), visits)
+            cells = grid.cells(unit(b["vec"]), visits) if grid else np.zeros((len(b), 1), np.int64)
             yield b.assign(own=cells[:, 0], visits=list(cells))
 
     placed = stored(reps.mapInPandas(run, "id long, label string, mult long, vec array<double>, own long, visits array<long>"))
