@@ -19,8 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a new one where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    master = spark.sparkContext.master
+    if not at and master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not at:
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-')}")
         at = spark.sparkContext.getCheckpointDir()
@@ -68,18 +71,21 @@ def with_outputs(row: str, df: DataFrame, outputs: dict[str, Column]) -> DataFra
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bounds the rows that Spark sends to Python at once, so that a batch of long texts fits in a worker's memory."""
+    """Bounds the rows that Spark sends to Python at once, so that a batch of long texts fits in a worker's memory.
+
+    The setting stays lowered, as Spark reads it when the returned table is run.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, rows)
 
 
-#: What a Python worker remembers across tasks: of one operator at a time, as Spark uses a worker for all of them.
+#: What a Python worker keeps across tasks: the model of one operator at a time, as Spark uses a worker for all of them.
 HELD: dict = {}
 
 
 def held(kind: str, key: object, make):
-    """The worker's own make(), made once; what it remembered for another operator or model is let go."""
+    """The worker's own make(), made once; what it kept for another operator or model is let go."""
     if (kind, key) not in HELD:
         HELD.clear()
         gc.collect()
