@@ -7,62 +7,68 @@ largest share of its words.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veridag.llm.common import held, small_batches
+from veridag.llm.common import small_batches
+from veridag.llm.words import code_points, grouped, hashes, mixed
 
-#: A line is cut into chains of at most so many words.
-CHAIN = 48
 DIMS = 1 << 15
-#: Words remembered in a Python worker, which Spark uses for many tasks.
-REMEMBERED = 300_000
 
 
 def bare(word: str) -> str:
     return word.lower() if word.isalpha() else "".join(filter(str.isalpha, word)).lower()
 
 
-class Hashes(dict):
-    """Hashed feature of a name, remembered: n-grams and affixes are few; whole words are let go now and then."""
-
-    def __missing__(self, name: str) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        h = self[name] = 1 + zlib.crc32(name.encode("utf-8", "surrogatepass")) % (DIMS - 1)
-        return h
-
-
-HASHES = Hashes()
-
-
-def features(word: str) -> list[int]:
-    """Hashed features of a word without its non-letters: itself, affixes of 1 to 3, n-grams of 2 and 3; none if it is empty."""
-    if not word:
-        return []
-    w = word[:64]
-    names = ["w" + w, "p" + w[:1], "p" + w[:2], "p" + w[:3], "s" + w[-1:], "s" + w[-2:], "s" + w[-3:]]
-    names += [w[i : i + 2] for i in range(len(w) - 1)]
-    names += [w[i : i + 3] for i in range(len(w) - 2)]
-    return list(map(HASHES.__getitem__, names))
+def hashed(kind: int, *codes: np.ndarray) -> np.ndarray:
+    """Feature of a kind of n-gram or affix; 0 is that of nothing."""
+    x = np.full(len(codes[0]), kind, np.uint64)
+    for c in codes:
+        x = x * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64) + np.uint64(1)
+    return (mixed(x) % np.uint64(DIMS - 1) + np.uint64(1)).astype(np.int64)
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, hashed feature) of words without their non-letters: each itself, its affixes of 1 to 3, its n-grams of 2 and 3."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    full = np.flatnonzero(size)
+    codes, end = code_points("".join(words)), np.cumsum(size)[full]
+    start, owner = end - size[full], np.repeat(np.arange(len(words)), size)
+    out = [(full, (hashes(codes, start, end) % np.uint64(DIMS - 1) + np.uint64(1)).astype(np.int64))]
+    padded = np.concatenate([codes, np.zeros(3, codes.dtype)])
+    for k in (1, 2, 3):
+        long = start + k <= end  # a shorter word has itself as its affix, which is the one before
+        for kind, at in ((k, start[long]), (3 + k, end[long] - k)):
+            out.append((full[long], hashed(kind, *(padded[at + i] for i in range(k)))))
+    for n in (2, 3):
+        at = np.flatnonzero(owner[: len(owner) - n + 1] == owner[n - 1 :]) if len(owner) >= n else np.empty(0, np.int64)
+        out.append((owner[at], hashed(5 + n, *(padded[at + i] for i in range(n)))))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def features_by_word(words: list[str], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """How many features each word has, and all of them, word by word."""
+    sizes, parts = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+    for i in range(0, len(words), at_once):
+        some = words[i : i + at_once]
+        at, feats = features(some)
+        sizes.append(np.bincount(at, minlength=len(some)))
+        parts.append(feats[np.argsort(at, kind="stable")].astype(np.int32))
+    return np.concatenate(sizes), np.concatenate(parts)
 
 
 def chains(text: str) -> Iterator[list[str]]:
-    for line in text.split("\n"):
-        words = line.split()
-        for i in range(0, len(words), CHAIN):
-            yield words[i : i + CHAIN]
+    """The words of each line, in full: a chain has any length."""
+    return map(str.split, text.split("\n"))
 
 
-def forward_backward(emit: np.ndarray, length: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals (chains, words, languages), and expected transitions, from emission scores and log transitions."""
+def forward_backward(emit: np.ndarray, length: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals (chains, words, languages), from emission scores and log transitions; and the scaled forward and backward scores."""
     n, t, k = emit.shape
     e, a = np.exp(emit - emit.max(axis=2, keepdims=True)), np.exp(trans)
     fore, back = np.empty_like(e), np.empty_like(e)
@@ -72,13 +78,19 @@ def forward_backward(emit: np.ndarray, length: np.ndarray, trans: np.ndarray) ->
         fore[:, i] = x / x.sum(axis=1, keepdims=True)
     back[:, t - 1] = 1.0
     for i in range(t - 2, -1, -1):
-        x = (e[:, i + 1] * back[:, i + 1]) @ a.T
+        back[:, i] = e[:, i + 1] = x = e[:, i + 1] * back[:, i + 1]
+        x = x @ a.T
         back[:, i] = np.where((i + 1 < length)[:, None], x / x.sum(axis=1, keepdims=True), 1.0)
     marginal = fore * back
     marginal /= marginal.sum(axis=2, keepdims=True)
-    pair = fore[:, :-1, :, None] * a * (e[:, 1:] * back[:, 1:])[:, :, None, :]
-    pair *= (np.arange(1, t) < length[:, None])[:, :, None, None] / pair.sum(axis=(2, 3), keepdims=True)
-    return marginal, pair.sum(axis=(0, 1))
+    return marginal, fore, e
+
+
+def transitions(fore: np.ndarray, ahead: np.ndarray, length: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Expected transitions, from forward scores and what lies ahead of each word (its emission and backward score)."""
+    pair = fore[:, :-1, :, None] * np.exp(trans) * ahead[:, 1:, None, :]
+    pair *= (np.arange(1, fore.shape[1]) < length[:, None])[:, :, None, None] / pair.sum(axis=(2, 3), keepdims=True)
+    return pair.sum(axis=(0, 1))
 
 
 @dataclass
@@ -93,32 +105,37 @@ def fit(lines: list[tuple[str, str]], steps: int = 160, batch: int = 192, words:
     langs = sorted({lang for lang, _ in lines})
     rng, k = np.random.default_rng(seed), len(langs)
     model = Model(langs, np.zeros((DIMS, k), np.float32), np.zeros((k, k), np.float32))
-    pieces = [(langs.index(lang), [np.array(f, np.int32) for w in line.split() if (f := features(bare(w)))]) for lang, line in lines]
-    by_lang = [[p for p in pieces if p[0] == i and p[1]] for i in range(k)]
-    by_lang = [own for own in by_lang if own]
+    known: dict[str, int] = {}
+    pieces = [(langs.index(lang), np.array([known.setdefault(b, len(known)) for w in line.split() if (b := bare(w))], np.int64)) for lang, line in lines]
+    size, feats = features_by_word(list(known))
+    first = np.cumsum(size) - size
+    by_lang = [[ws for j, ws in pieces if j == i and len(ws)] for i in range(k)]
+    by_lang = [(i, own) for i, own in enumerate(by_lang) if own]
     if k < 2 or len(by_lang) < 2:
         return model
     g_w, g_t = np.full((DIMS, k), 1e-2, np.float32), np.full((k, k), 1e-2, np.float32)
     for _ in range(steps):
-        feats, gold, length = [], np.zeros((batch, words), int), np.zeros(batch, int)
+        chosen, gold, length = [], np.zeros((batch, words), int), np.zeros(batch, int)
         for i in range(batch):
-            row: list[np.ndarray] = []
+            n = 0
             for _ in range(1 if rng.random() < 0.6 else rng.integers(2, 4)):
-                own = by_lang[rng.integers(len(by_lang))]
-                lang, ws = own[rng.integers(len(own))]
+                lang, own = by_lang[rng.integers(len(by_lang))]
+                ws = own[rng.integers(len(own))]
                 at = rng.integers(max(1, len(ws) - 7))
-                ws = ws[at : at + rng.integers(4, words)][: words - len(row)]
-                gold[i, len(row) : len(row) + len(ws)] = lang
-                row += ws
-            length[i] = len(row)
-            feats.append(row)
-        flat = np.concatenate([ws for row in feats for ws in row])
-        sizes = [len(ws) for row in feats for ws in row]
-        at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                ws = ws[at : at + rng.integers(4, words)][: words - n]
+                gold[i, n : n + len(ws)] = lang
+                chosen.append(ws)
+                n += len(ws)
+            length[i] = n
+        drawn = np.concatenate(chosen)
+        sizes = size[drawn]
+        at = np.cumsum(sizes) - sizes
+        flat = feats[np.repeat(first[drawn] - at, sizes) + np.arange(sizes.sum())]
         mask = np.arange(words) < length[:, None]
         emit = np.zeros((batch, words, k), np.float32)
         emit[mask] = np.add.reduceat(model.weights[flat], at, axis=0)
-        marginal, pairs = forward_backward(emit, length, model.trans)
+        marginal, fore, ahead = forward_backward(emit, length, model.trans)
+        pairs = transitions(fore, ahead, length, model.trans)
         grad = (np.eye(k, dtype=np.float32)[gold] - marginal)[mask]
         spread = np.repeat(grad, sizes, axis=0)
         step = np.stack([np.bincount(flat, spread[:, j], DIMS) for j in range(k)], axis=1) / batch
@@ -133,67 +150,35 @@ def fit(lines: list[tuple[str, str]], steps: int = 160, batch: int = 192, words:
     return model
 
 
-class Tagger:
-    """A model with the emission scores of the words it has met, up to REMEMBERED."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.forget()
-
-    def forget(self) -> None:
-        #: Row of a word as written, and of a bare one; row 0 is that of words without a letter.
-        self.rows, self.bare, self.table, self.used = {}, {"": 0}, np.zeros((1 << 16, len(self.model.langs)), np.float32), 1
-
-    def learn(self, words: list[str]) -> None:
-        """Rows for words that have none."""
-        fresh = []
-        for word in words:
-            b = bare(word)
-            if b not in self.bare:
-                self.bare[b] = self.used + len(fresh)
-                fresh.append(b)
-            self.rows[word] = self.bare[b]
-        if fresh:
-            own = [features(b) for b in fresh]
-            at = np.cumsum([0, *map(len, own)])[:-1]
-            while self.used + len(fresh) > len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[self.used : self.used + len(fresh)] = np.add.reduceat(self.model.weights[[f for x in own for f in x]], at, axis=0)
-            self.used += len(fresh)
-
-    def shares(self, texts: list[str]) -> np.ndarray:
-        """For each text, the sum of its words' probabilities of each language; all 0 without a letter."""
-        if len(self.rows) > REMEMBERED:
-            self.forget()
-        words, length, owner = [], [], []
-        for i, text in enumerate(texts):
-            for chain in chains(text):
-                words += chain
-                length.append(len(chain))
-                owner.append(i)
-        out = np.zeros((len(texts), len(self.model.langs)))
-        if not words:
-            return out
-        self.learn(list({w for w in words if w not in self.rows}))
-        flat, length, owner, table = np.fromiter(map(self.rows.__getitem__, words), np.int32, len(words)), np.array(length), np.array(owner), self.table
-        start = np.concatenate([[0], np.cumsum(length)[:-1]])
-        order = np.argsort(length, kind="stable")
-        for part in np.array_split(order, max(1, len(order) // 4096)):  # chains of like length together
-            n, t = length[part], int(length[part].max())
-            if not t:
-                continue
-            at = np.arange(t)
-            mask = at < n[:, None]
-            ids = np.where(mask, flat[np.minimum(start[part][:, None] + at, len(flat) - 1)], 0)
-            marginal, _ = forward_backward(table[ids], n, self.model.trans)
-            np.add.at(out, owner[part], (marginal * (mask & (ids > 0))[:, :, None]).sum(axis=1))
+def shares(model: Model, texts: list[str]) -> np.ndarray:
+    """For each text, the sum of its words' probabilities of each language; all 0 without a letter."""
+    known: dict[str, int] = {}
+    flat, length, owner = [], [], []
+    for i, text in enumerate(texts):
+        for chain in chains(text):
+            flat += [known.setdefault(w, len(known)) for w in chain]
+            length.append(len(chain))
+            owner.append(i)
+    out = np.zeros((len(texts), len(model.langs)))
+    if not known:
         return out
-
-
-def tagger(model: Model) -> Tagger:
-    """The worker's tagger of this model."""
-    key = hash((tuple(model.langs), model.weights.tobytes(), model.trans.tobytes()))
-    return held("langid", key, lambda: Tagger(model))
+    words = list(map(bare, known))
+    at, feats = features(words)
+    table = np.stack([np.bincount(at, model.weights[feats, k], len(words)) for k in range(len(model.langs))], axis=1)
+    lettered = np.fromiter(map(bool, words), bool, len(words))
+    flat, length, owner = np.array(flat), np.array(length), np.array(owner)
+    start = np.cumsum(length) - length
+    for bits in range(1, int(length.max()).bit_length() + 1):  # chains of like length together
+        part = np.flatnonzero((length >> (bits - 1)) == 1)
+        if len(part):
+            n, t = length[part], np.arange(int(length[part].max()))
+            mask = t < n[:, None]
+            ids = flat[np.minimum(start[part][:, None] + t, len(flat) - 1)]
+            marginal, *_ = forward_backward(table[ids], n, model.trans)
+            counts = mask & lettered[ids]
+            for k in range(len(model.langs)):
+                out[:, k] += np.bincount(owner[part], (marginal[:, :, k] * counts).sum(axis=1), len(texts))
+    return out
 
 
 def held_out(id_col: str) -> F.Column:
@@ -201,8 +186,13 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(True))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 800, lines_per_doc: int = 4, line_chars: int = 600) -> Model:
-    """Fits on a bounded sample: about docs_per_lang labelled documents a language, lines_per_doc lines of each, drawn by hash."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 1200, lines_per_doc: int = 6, line_chars: int = 1000) -> Model:
+    """Fits on a bounded sample: about docs_per_lang labelled documents a language, lines_per_doc lines of each, drawn by
+    hash, and the first line_chars characters of a line.
+
+    Rows without text, label or id, and those held out, are not drawn.  A document that repeats is drawn as often.  With
+    fewer than two languages, or in an empty table, nothing is learned, and one language or none is ever predicted.
+    """
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     draw = F.pmod(F.xxhash64("id", "lang"), F.lit(1 << 30)) / float(1 << 30)
@@ -216,7 +206,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """docs with lang_pred and score, the share of its words' probability that language has.
 
     lang_pred is "und" with score 0 if the text is null or has no letter, or if the model knows no language; ties go to the
-    language first in order.  Input columns of these names give way; others pass through.  Every word of a text counts.
+    language first in order.  Input columns of these names give way; others pass through.  Every word of a text counts, and
+    all of its letters; rows that repeat an id are predicted each from its own text.
     """
     small_batches(docs.sparkSession)
     rows = docs.drop("lang_pred", "score")
@@ -226,14 +217,13 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     def run(batches):
         import pyarrow as pa
 
-        own = tagger(model)
         for b in batches:
             texts = [t or "" for t in b.column(at).to_pylist()]
-            shares = own.shares(texts) if model.langs else np.zeros((len(texts), 1))
-            total = shares.sum(axis=1)
-            best = shares.argmax(axis=1)
+            share = np.concatenate([shares(model, texts[part]) for part in grouped(texts)]) if model.langs and texts else np.zeros((len(texts), 1))
+            total = share.sum(axis=1)
+            best = share.argmax(axis=1)
             names = [model.langs[k] if s > 0 else "und" for k, s in zip(best, total)]
-            score = np.minimum(1.0, shares[np.arange(len(best)), best] / np.where(total > 0, total, 1.0))
+            score = np.minimum(1.0, share[np.arange(len(best)), best] / np.where(total > 0, total, 1.0))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
     return rows.mapInArrow(run, schema)
