@@ -8,19 +8,19 @@ paraphrase it by whether they also hold its answer, the item's last words.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from veridag.llm.common import small_batches, stored
+from veridag.llm.common import forget, small_batches, stored
+from veridag.llm.words import code_points, grouped, hashes, per_text, runs
 
-WORD = re.compile(r"\w+")
 #: Words in a chunk; passages are 2, 4, 8 or, for long items, further doublings of chunks long and begin at every chunk.
 CHUNK = 16
 
@@ -33,13 +33,26 @@ def scale_of(size: int) -> int:
     return scale
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+@cache
+def word_characters() -> np.ndarray:
+    """Whether each code point is a letter, a digit or an underscore."""
+    return np.fromiter((chr(c).isalnum() or c == 95 for c in range(0x110000)), bool, 0x110000)
+
+
+def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-cased words of all texts, and how many each text has."""
+    low = [f"{t or ''}\n".lower() for t in texts]
+    codes = code_points("".join(low))
+    start, end = runs(word_characters()[codes])
+    return hashes(codes, start, end), per_text(start, np.cumsum(np.fromiter(map(len, low), np.int64, len(low))))
 
 
 @dataclass
 class Chunks:
-    """The words of a batch that the benchmark has too, as (chunk, term, count), and where each document's chunks are."""
+    """The words of a batch that the benchmark has too, as (chunk, term, count), and where each document's chunks are.
+
+    Terms beyond n_terms share the weights of others, so that what is held of them is bounded.
+    """
 
     first: np.ndarray  # first chunk of each document, and the end
     row: np.ndarray
@@ -54,7 +67,7 @@ class Chunks:
         term = np.concatenate([*docs, np.empty(0, np.int32)]).astype(np.int64)
         at = np.arange(len(term)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         keep = term >= 0
-        key, count = np.unique((np.repeat(first[:-1], lengths) + at // CHUNK)[keep] * n_terms + term[keep], return_counts=True)
+        key, count = np.unique((np.repeat(first[:-1], lengths) + at // CHUNK)[keep] * n_terms + term[keep] % n_terms, return_counts=True)
         return cls(first, key // n_terms, key % n_terms, count)
 
     def weighted(self, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,8 +77,10 @@ class Chunks:
         return row, term, ((1 + np.log(self.count[keep])) * idf[term]).astype(np.float32)
 
 
-def coded(words: list[str], vocab: dict[str, int]) -> np.ndarray:
-    return np.fromiter(map(vocab.get, words, repeat(-1)), np.int32, len(words))
+def coded(found: np.ndarray, vocab: np.ndarray) -> np.ndarray:
+    """The place of each word in the sorted vocabulary, -1 if it isn't there."""
+    at = np.minimum(np.searchsorted(vocab, found), len(vocab) - 1)
+    return np.where(vocab[at] == found, at, -1).astype(np.int32)
 
 
 def sums_by_row(row: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -77,14 +92,20 @@ def sums_by_row(row: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def encoded(docs: DataFrame, vocab: dict[str, int], kind: str) -> DataFrame:
+def encoded(docs: DataFrame, vocab: np.ndarray) -> DataFrame:
     """(id, terms): the only pass over the texts; the others read what it stores."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "terms": [coded(words_of(t), vocab) for t in b["text"]]})
+            texts = b.column(1).to_pylist()
+            for part in grouped(texts):
+                found, count = words_of(texts[part])
+                terms = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(coded(found, vocab)))
+                yield pa.RecordBatch.from_arrays([b.column(0)[part], terms], names=["id", "terms"])
 
-    return stored(docs.mapInPandas(run, f"id {kind}, terms array<int>"))
+    return stored(docs.mapInArrow(run, T.StructType([docs.schema["id"], T.StructField("terms", T.ArrayType(T.IntegerType()))])))
 
 
 def document_frequency(docs: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
@@ -105,27 +126,32 @@ def document_frequency(docs: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
     return out[:-1], int(out[-1])
 
 
+def partial_range(c: Chunks, idf: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A'A start over the TF-IDF passages A of these chunks, each of length 1."""
+    row, term, w = c.weighted(idf)
+    if not len(row):
+        return np.zeros(start.shape)
+    w /= np.sqrt(np.maximum(np.bincount(row, w.astype(float) ** 2), 1e-12)).astype(np.float32)[row]
+    y = sums_by_row(row, start[term] * w[:, None], int(row[-1]) + 1)
+    order = np.argsort(term, kind="stable")
+    return sums_by_row(term[order], y[row[order]] * w[order][:, None], len(idf))
+
+
 def range_of(docs: DataFrame, idf: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """A'A start over the TF-IDF passages A of all documents: a partial sum a task, added up by Spark a term a row."""
-    rank, n_terms = start.shape[1], len(idf)
+    """A'A start over the passages of all documents: a partial sum a task, added up by Spark a term a row."""
+    rank = start.shape[1]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((n_terms, rank), np.float64)
+        total = np.zeros(start.shape)
         for b in batches:
-            row, term, w = Chunks.of(b["terms"].tolist(), n_terms).weighted(idf)
-            if not len(row):
-                continue
-            w /= np.sqrt(np.maximum(np.bincount(row, w.astype(float) ** 2), 1e-12)).astype(np.float32)[row]
-            y = sums_by_row(row, start[term] * w[:, None], int(row[-1]) + 1)
-            order = np.argsort(term, kind="stable")
-            total += sums_by_row(term[order], y[row[order]] * w[order][:, None], n_terms)
+            total += partial_range(Chunks.of(b["terms"].tolist(), len(idf)), idf, start)
         at = np.flatnonzero(total.any(axis=1))
         yield pd.DataFrame(total[at], columns=[f"z{i}" for i in range(rank)]).assign(term=at)
 
     columns = [f"z{i}" for i in range(rank)]
     parts = docs.select("terms").mapInPandas(run, ", ".join(f"{c} double" for c in columns) + ", term long")
     found = parts.groupBy("term").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
-    out = np.zeros((n_terms, rank))
+    out = np.zeros(start.shape)
     out[found["term"].to_numpy()] = found[columns].to_numpy()
     return out
 
@@ -200,66 +226,77 @@ class Retriever:
                 yield d, k, cosine, share, answer
 
 
-def item_weights(df: np.ndarray, n: int, items: list[list[int]], max_share: float) -> np.ndarray:
-    """Smoothed idf of the terms that tell an item: those in at most max_share of all chunks, and the rarer half of each item's.
+def told_by(df: np.ndarray, items: list[np.ndarray]) -> np.ndarray:
+    """The terms among the rarer half of any item's: kept whatever their counts are, as copies of an item make its own frequent."""
+    keep = np.zeros(len(df), bool)
+    for terms in items:
+        own = np.unique(terms % len(df))
+        keep[own[df[own] <= np.median(df[own])]] = True
+    return keep
 
-    The half is kept whatever its counts are, at the weight of max_share at least: copies of an item make its own terms
-    frequent, and those must not lose it.  What weighs nothing then is a term that every item can spare.
-    """
-    keep = df <= max_share * n
-    for terms in map(np.unique, items):
-        keep[terms[df[terms] <= np.median(df[terms])]] = True
-    return np.where(keep, np.maximum(np.log((1 + n) / (1 + df)), -math.log(max_share)), 0.0)
-
-
-def fit_retriever(docs: DataFrame, items: list[tuple[int, list[int]]], n_terms: int, rank: int, max_share: float, seed: int = 11, **limits: float) -> Retriever:
-    """The retriever of some items: idf over all documents, and a basis of the range of their TF-IDF passages and the items'."""
-    df, n = document_frequency(docs, n_terms)
-    idf = item_weights(df, n, [x for _, x in items], max_share)
-    start = np.random.default_rng(seed).standard_normal((n_terms, min(rank, n_terms))).astype(np.float32)
-    z = range_of(docs, idf, start)
-    c = Chunks.of([np.array(x) for _, x in items], n_terms)
-    row, term, w = c.weighted(idf)
-    own = np.zeros((int(c.first[-1]), n_terms), np.float32)  # chunks of the items: bounded by the block of items
-    own[row, term] = w
-    own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
-    weigh = lambda m: m / max(1e-12, float(np.linalg.norm(m)))  # noqa: E731  both count alike
-    basis, _ = np.linalg.qr(weigh(z) + weigh(own.T @ (own @ start)))
-    return Retriever([i for i, _ in items], [x for _, x in items], idf, basis.astype(np.float32), **limits)
+
+def weights(df: np.ndarray, n: int, told: np.ndarray, common_share: float) -> np.ndarray:
+    """Smoothed idf of the terms that tell an item, at the weight of common_share of all chunks at least, and of the others
+    in at most common_share of them.  A term without weight is one that every item can spare."""
+    return np.where(told | (df <= common_share * n), np.maximum(np.log((1 + n) / (1 + df)), -math.log(common_share)), 0.0)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank: int = 64, max_share: float = 0.02, min_cosine: float = 0.6, min_lcs: float = 0.7,
-               min_paraphrase: float = 0.55, min_answer: float = 1.0, items_at_once: int = 512) -> DataFrame:
+def items_in_blocks(benchmark: DataFrame, at_once: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Ids and word hashes of the items with words, in blocks of about at_once."""
+    usable = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
+    blocks = max(1, math.ceil(usable.count() / at_once))
+    for k in range(blocks):
+        rows = sorted(usable.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect())  # about at_once rows
+        found, count = words_of([r["text"] for r in rows])
+        parts = np.split(found, np.cumsum(count)[:-1]) if rows else []
+        kept = [(r["item_id"], p) for r, p in zip(rows, parts) if len(p)]
+        yield [i for i, _ in kept], [p for _, p in kept]
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank: int = 64, common_share: float = 0.02, min_cosine: float = 0.6, min_lcs: float = 0.7,
+               min_paraphrase: float = 0.55, min_answer: float = 1.0, items_at_once: int = 4096, most_terms: int = 1 << 18) -> DataFrame:
     """(id, item_id, cosine, lcs, answer) of each document and benchmark item (item_id, text) that it holds or paraphrases.
 
     A leak has cosine at least min_cosine in the latent space and shares at least min_lcs of the item's words in order, or
     at least min_paraphrase of them and min_answer of its answer, its last words.  Words are lower-cased runs of letters,
-    digits and underscores.  Items are queries in blocks of items_at_once, each a pass over all documents, so what is sent
-    to tasks is bounded.  Null or empty texts and items leak nothing.  Rows count by themselves: equal rows give equal
-    rows.  Further columns are ignored; an empty table on either side gives an empty table.
+    digits and underscores, compared by 64-bit hashes.  Weights and basis are fitted once for all items; items are then
+    queries in blocks of items_at_once, each a pass over the coded documents, so what is sent to tasks is bounded: by a
+    block, by the benchmark's vocabulary (12 bytes a word) and by most_terms weights.  Null or empty texts and items leak
+    nothing.  Rows count by themselves: equal rows give equal rows.  Further columns are ignored; an empty table on either
+    side gives an empty table.
     """
     small_batches(docs.sparkSession)
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = dict(docs.dtypes)[id_col]
-    schema = f"id {kind}, item_id long, cosine double, lcs double, answer boolean"
-    numbered = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
-    blocks = max(1, math.ceil(numbered.count() / items_at_once))
+    schema = T.StructType([T.StructField("id", read.schema["id"].dataType), *T.StructType.fromDDL("item_id long, cosine double, lcs double, answer boolean").fields])
+    vocab = np.empty(0, np.uint64)
+    for _, items in items_in_blocks(benchmark, items_at_once):
+        vocab = np.unique(np.concatenate([vocab, *items]))
+    if not len(vocab):
+        return docs.sparkSession.createDataFrame([], schema).withColumnRenamed("id", id_col)
+    terms, n_terms = encoded(read, vocab), min(len(vocab), most_terms)
+    df, n = document_frequency(terms, n_terms)
+    told = np.zeros(n_terms, bool)
+    for _, items in items_in_blocks(benchmark, items_at_once):
+        told |= told_by(df, [coded(x, vocab) for x in items])
+    idf = weights(df, n, told, common_share)
+    start = np.random.default_rng(11).standard_normal((n_terms, min(rank, n_terms))).astype(np.float32)
+    ours = np.zeros(start.shape)  # A'A start over the items' own chunks
+    for _, items in items_in_blocks(benchmark, items_at_once):
+        ours += partial_range(Chunks.of([coded(x, vocab) for x in items], n_terms), idf, start)
+    weigh = lambda m: m / max(1e-12, float(np.linalg.norm(m)))  # noqa: E731  documents and items count alike
+    basis, _ = np.linalg.qr(weigh(range_of(terms, idf, start)) + weigh(ours))
     out = None
-    for k in range(blocks):
-        part = numbered.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()  # about items_at_once rows
-        items = sorted((r["item_id"], ws) for r in part if (ws := words_of(r["text"])))
-        if not items:
-            continue
-        vocab = {w: k for k, w in enumerate(sorted({w for _, ws in items for w in ws}))}
-        terms = encoded(read, vocab, kind)
-        retriever = fit_retriever(terms, [(i, coded(ws, vocab).tolist()) for i, ws in items], len(vocab), rank, max_share, min_cosine=min_cosine, min_lcs=min_lcs, min_paraphrase=min_paraphrase, min_answer=min_answer)
-        found = search_all(terms, retriever, schema)
-        out = found if out is None else out.unionByName(found)
-    out = docs.sparkSession.createDataFrame([], schema) if out is None else out
+    for ids, items in items_in_blocks(benchmark, items_at_once):
+        if ids:
+            retriever = Retriever(ids, [coded(x, vocab).tolist() for x in items], idf, basis.astype(np.float32), min_cosine, min_lcs, min_paraphrase, min_answer)
+            found = search_all(terms, retriever, schema)
+            out = found if out is None else out.unionByName(found)
+    out = stored(out)  # few rows, so that the coded documents can go
+    forget(terms)
     return out.withColumnRenamed("id", id_col)
 
 
-def search_all(terms: DataFrame, retriever: Retriever, schema: str) -> DataFrame:
+def search_all(terms: DataFrame, retriever: Retriever, schema: T.StructType) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ids = b["id"].tolist()
