@@ -11,12 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridag.llm.common import forget, small_batches, stored
 from veridag.llm.components import components
+from veridag.llm.words import BASE, grouped, hashes, mixed, per_text, runs
 
 #: 64-bit words of the bit sketch.
 BIT_WORDS = 8
@@ -27,33 +27,37 @@ SPARE = 2
 SURPLUS = 0.15
 
 
-class WordHashes(dict):
-    """64-bit hash of a word, remembered for up to a million words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+#: Bytes as they are compared: A-Z in lower case; and whether they are no blank.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+INSIDE = np.ones(256, bool)
+INSIDE[[9, 10, 11, 12, 13, 32]] = False
+
+
+def shingles(texts: list[str | None], n: int) -> list[np.ndarray]:
+    """For each text, the sorted distinct hashes of its n-word shingles; of the whole sequence where it has fewer words."""
+    out: list[np.ndarray] = []
+    for part in grouped(texts):
+        coded = [f"{t or ''}\n".encode("utf-8", "surrogatepass") for t in texts[part]]
+        codes = LOWER[np.frombuffer(b"".join(coded), np.uint8)]
+        start, end = runs(INSIDE[codes])
+        h, count = hashes(codes, start, end), per_text(start, np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded))))
+        rolled = {n: rolled_hashes(h, n)}
+        first = np.cumsum(count) - count
+        for a, m in zip(first.tolist(), count.tolist()):
+            k = min(n, m)
+            if k not in rolled:
+                rolled[k] = rolled_hashes(h, k) if k else np.empty(0, np.uint64)
+            out.append(np.unique(rolled[k][a : a + m - k + 1]) if k else rolled[0])
+    return out
 
 
-def shingles(text: str | None, n: int, words: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the text's n-word shingles; of the whole sequence where it has fewer words."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z alone, and the six blanks
-    if not parts:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(words.__getitem__, parts), np.uint64, len(parts))
-    k = min(n, len(h))
-    out = np.full(len(h) - k + 1, k, np.uint64)
+def rolled_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k words from each one on."""
+    out = np.full(max(0, len(h) - k + 1), k, np.uint64)
     for i in range(k):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
-    return np.unique(out)
+        out = mixed(out * np.uint64(BASE) + h[i : i + len(out)])
+    return out
 
 
 def bands(least: int) -> list[tuple[int, int]]:
@@ -100,35 +104,46 @@ class Sketcher:
         return out
 
 
-def sketched(docs: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
-    """(id, n, fp_a, fp_b, keys0, drops0, keys1, drops1): set size, a 128-bit fingerprint, and the keys of up to two bands."""
+def fingerprints(docs: DataFrame, ngram: int) -> DataFrame:
+    """(id, n, fp_a, fp_b): size and a 128-bit fingerprint of each set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, sketcher, none = WordHashes(), Sketcher(num, den), (np.empty(0, np.int64), 0)
         for b in batches:
-            sets = [shingles(t, ngram, words) for t in b["text"]]
-            keys = [[*sketcher.keys(s), none, none][:2] for s in sets]
+            sets = shingles(b["text"].tolist(), ngram)
             yield pd.DataFrame({
                 "id": b["id"], "n": [len(s) for s in sets],
                 "fp_a": [int(np.bitwise_xor.reduce(mixed(s + np.uint64(1))).view(np.int64)) if len(s) else 0 for s in sets],
                 "fp_b": [int(mixed(s + np.uint64(2)).sum().view(np.int64)) if len(s) else 0 for s in sets],
-                "keys0": [k[0][0] for k in keys], "drops0": [k[0][1] for k in keys], "keys1": [k[1][0] for k in keys], "drops1": [k[1][1] for k in keys],
             }).astype({"id": "Int64"})
 
-    return docs.mapInPandas(run, "id long, n long, fp_a long, fp_b long, keys0 array<long>, drops0 int, keys1 array<long>, drops1 int")
+    return docs.mapInPandas(run, "id long, n long, fp_a long, fp_b long")
+
+
+def sketched(docs: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
+    """(id, n, keys0, drops0, keys1, drops1): set size, and the keys of up to two bands."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sketcher, none = Sketcher(num, den), (np.empty(0, np.int64), 0)
+        for b in batches:
+            sets = shingles(b["text"].tolist(), ngram)
+            keys = [[*sketcher.keys(s), none, none][:2] for s in sets]
+            yield pd.DataFrame({
+                "id": b["id"], "n": [len(s) for s in sets],
+                "keys0": [k[0][0] for k in keys], "drops0": [k[0][1] for k in keys], "keys1": [k[1][0] for k in keys], "drops1": [k[1][1] for k in keys],
+            })
+
+    return docs.mapInPandas(run, "id long, n long, keys0 array<long>, drops0 int, keys1 array<long>, drops1 int")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) whose texts' shingle sets are similar enough."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, last, one = WordHashes(), None, np.empty(0, np.uint64)
         for rows in batches:
-            good = []
-            for a, ta, tb in zip(rows["a"], rows["text_a"], rows["text_b"]):
-                if a != last:  # rows come sorted by a
-                    last, one = a, shingles(ta, ngram, words)
-                two = shingles(tb, ngram, words)
+            texts = pd.unique(pd.concat([rows["text_a"], rows["text_b"]])).tolist()
+            sets, good = dict(zip(texts, shingles(texts, ngram))), []
+            for ta, tb in zip(rows["text_a"], rows["text_b"]):
+                one, two = sets[ta], sets[tb]
                 both = len(one) + len(two) - len(np.union1d(one, two))
                 good.append(den * both >= num * (len(one) + len(two) - both))
             yield rows.loc[good, ["a", "b"]]
@@ -142,9 +157,8 @@ def bit_sketches(texts: DataFrame, ngram: int) -> DataFrame:
     columns = [f"s{i}" for i in range(BIT_WORDS)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordHashes()
         for b in batches:
-            bits = [np.bincount((shingles(t, ngram, words) >> np.uint64(7)).astype(np.int64) % (64 * BIT_WORDS), minlength=64 * BIT_WORDS) & 1 for t in b["text"]]
+            bits = [np.bincount((s >> np.uint64(7)).astype(np.int64) % (64 * BIT_WORDS), minlength=64 * BIT_WORDS) & 1 for s in shingles(b["text"].tolist(), ngram)]
             packed = np.packbits(np.array(bits, np.uint8).reshape(len(b), -1), axis=1).view(np.int64)
             yield pd.DataFrame(packed.reshape(len(b), -1), columns=columns).assign(id=b["id"].to_numpy())
 
@@ -167,17 +181,21 @@ def linked(near: DataFrame, ties: DataFrame, texts: DataFrame, ngram: int, num:
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     stars = stored(verified(pairs, texts, ngram, num, den))
     labels = components(ties.unionByName(stars))
+    forget(degree, lead, pairs)
 
     rows = near.join(labels, "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
     still = stored(rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key"))
     bits = [f"s{i}" for i in range(BIT_WORDS)]
-    two = stored(rows.join(still, "key").join(stored(bit_sketches(texts, ngram)), "id"))
+    sketches = stored(bit_sketches(texts, ngram))
+    two = stored(rows.join(still, "key").join(sketches, "id"))
     one = two.select("key", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("comp").alias("a_comp"), *[F.col(c).alias(f"a_{c}") for c in bits])
     differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"a_{c}"))) for c in bits[1:]), F.bit_count(F.col(bits[0]).bitwiseXOR(F.col(f"a_{bits[0]}"))))
     chance = similar_sizes & (differ * (den + num) <= (F.col("n") + F.col("a_n")) * (den - num))
     rest = one.join(two.withColumnRenamed("id", "b"), "key").where("comp < a_comp").where(chance)
     rest = stored(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return components(ties.unionByName(stars).unionByName(verified(rest, texts, ngram, num, den)))
+    out = components(ties.unionByName(stars).unionByName(verified(rest, texts, ngram, num, den)))
+    forget(still, sketches, two, rest, stars)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -185,30 +203,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are what blanks (space, U+0009 to U+000D) part, with A-Z lower-cased; a set holds the distinct ngram-word
     shingles, or the whole sequence as one where there are fewer words; without words it is empty and links with nothing.
-    Sets link when den * |A and B| >= num * |A or B|; each proposed pair is counted in full.  Equal sets are one class
-    from the start.  A row without id links with nothing and has no component; rows that repeat an id are one document
-    with links of either text.  Other columns are not carried.  An empty table gives an empty table.
+    Sets link when den * |A and B| >= num * |A or B|; each proposed pair is counted in full.  num / den is at least 2 / 3,
+    so that a document has partners in two size bands at most.  Equal sets are one class from the start.  A row without id
+    links with nothing and has no component; rows that repeat an id are one document with links of either text.  Other columns are not carried.  An empty table gives an empty table.
     """
+    if not 2 * den <= 3 * num < 3 * den:
+        raise ValueError("num / den must be at least 2 / 3 and below 1")
     small_batches(docs.sparkSession)
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = stored(sketched(read, ngram, num, den))
+    sets = stored(fingerprints(read, ngram))
     # Stored, so that the join sees two plain shuffles and can split the partition of a very common set.
     reps = stored(sets.where("n > 0 and id is not null").groupBy("n", "fp_a", "fp_b").agg(F.min("id").alias("rep")))
-    members = sets.select("id", "n", "fp_a", "fp_b").join(reps, ["n", "fp_a", "fp_b"], "left")
+    members = sets.join(reps, ["n", "fp_a", "fp_b"], "left")
     members = stored(members.select("id", "n", F.coalesce("rep", "id").alias("rep")))
     several = members.where("n > 0").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("high")).where("a < high")
     ties = stored(members.join(several, "id").where("a < rep").select("a", F.col("rep").alias("b")).distinct())
-
-    firsts = sets.join(members.where("id = rep and n > 0").select("id").distinct(), "id", "left_semi")
-    firsts = stored(firsts.select("id", "n", "keys0", "drops0", "keys1", "drops1"))
     forget(sets, reps)
-    of_band = [firsts.select("id", "n", F.lit(k).alias("band"), F.col(f"drops{k}").alias("drops"), F.explode(f"keys{k}").alias("key")) for k in (0, 1)]
+
+    # Texts are read again, as keys take as much room as they do and copies need none.
+    firsts = read.join(stored(members.where("id = rep and n > 0").select("id").distinct()), "id", "left_semi")
+    firsts = stored(sketched(firsts, ngram, num, den))
+    of_band = [firsts.select("id", F.lit(k).cast("byte").alias("band"), F.explode(f"keys{k}").alias("key")) for k in (0, 1)]
     keyed = of_band[0].unionByName(of_band[1])
-    shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("held"))
-    shared = stored(shared.where("low < high").select("key", "held"))
+    shared = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1"))
     # The keys that no other document has are the rarest, so it does no harm that they are gone before ranks are given.
-    ranks = Window.partitionBy("id", "band", "n").orderBy(F.desc("held"), "key")
-    near = keyed.join(shared, "key").withColumn("rank", F.row_number().over(ranks)).where("rank > drops")
+    # Of an id with several texts, the keys are ranked together, so that none of them leaves out more than it may.
+    ranks = Window.partitionBy("id", "band").orderBy(F.desc("held"), "key")
+    near = keyed.join(shared, "key").withColumn("rank", F.row_number().over(ranks))
+    near = near.join(firsts.select("id", "n", "drops0", "drops1"), "id").where(F.col("rank") > F.when(F.col("band") == 0, F.col("drops0")).otherwise(F.col("drops1")))
     near = stored(near.select("key", "id", "n", "held"))
     forget(firsts, shared)
     texts = stored(read.join(near.select("id").distinct(), "id", "left_semi"))
