@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from veridag.llm.common import stored
 
 KINDS = ("email", "ip", "card", "phone")
+#: What seeds are of: the kinds of personal data, and secrets, which have columns of their own.
+SEEDED = (*KINDS, "secret")
 # The contract's patterns.  A match can only begin at the head of a run of its first class or where the last match ended,
 # which the look-behind states, and nothing after a possessive part could give way: same matches, in linear time.
 BASE = {
@@ -22,11 +24,17 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What the base patterns may miss: numbers with separators, and addresses without a dotted host or with a spelt-out at.
+#: Secrets that tell themselves: a cloud key's form, or a value with a digit that is assigned to a credential's name.
+SECRET = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<=(?i:password|passwd|pwd|secret|token|api_?key|access_?key)[\x20]{0,2}[=:][\x20]{0,2}[\"']?)(?=[A-Za-z+/_.-]*[0-9])[A-Za-z0-9+/_.-]{8,}+)"
+#: What those patterns may miss: numbers with separators, addresses without a dotted host or with a spelt-out at, and codes.
 LOOSE = {
     "number": r"(?<![A-Za-z0-9._%+@-])\+?[0-9][0-9().\x20-]*[0-9](?![A-Za-z0-9@_%+-])",
     "handle": r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]{1,64}+(?:@|\x20?[\[(]at[\])]\x20?)[A-Za-z0-9-]{2,64}+(?:\.[A-Za-z0-9-]++)*+",
+    "code": r"(?<![A-Za-z0-9+/_=.@-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{12,}+(?![@.][A-Za-z0-9])",
 }
+GATES = {
+    "email": r"@", "handle": r"@|at[\])]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]", "number": r"[0-9]", "secret": r"AKIA|[=:]", "code": r"[A-Za-z+/_-][0-9]|[0-9][A-Za-z+/_-]",
+}
 OCTETS = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$"
 SPAN = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
 
@@ -37,7 +45,7 @@ def digits(c: Column) -> Column:
 
 def valid(kind: str, value: Column) -> Column:
     n = F.length(digits(value))
-    return {"email": F.lit(True), "ip": value.rlike(OCTETS), "card": n.between(13, 19) & F.coalesce(F.call_function("luhn_check", F.when(n.between(13, 19), digits(value))), F.lit(False)), "phone": n.between(9, 15)}[kind]
+    return {"email": F.lit(True), "secret": F.lit(True), "ip": value.rlike(OCTETS), "card": n.between(13, 19) & F.coalesce(F.call_function("luhn_check", F.when(n.between(13, 19), digits(value))), F.lit(False)), "phone": n.between(9, 15)}[kind]
 
 
 def valid_of(kind: str):
@@ -45,9 +53,9 @@ def valid_of(kind: str):
 
 
 def with_matches(df: DataFrame, patterns: dict[str, str], text: Column) -> DataFrame:
-    """Adds {name}_m, the matches, and {name}_g, the text between them; both empty where a needed character is missing."""
+    """Adds {name}_m, the matches, and {name}_g, the text between them; both empty where what every match has is missing."""
     for name, pattern in patterns.items():
-        gate = text.contains("@") | text.contains("at]") | text.contains("at)") if name in ("email", "handle") else text.contains("+") if name == "phone" else text.rlike("[0-9]")
+        gate = text.rlike(GATES[name])
         none = F.array().cast("array<string>")
         df = df.withColumn(f"{name}_m", F.when(gate, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
         df = df.withColumn(f"{name}_g", F.when(gate, F.split(text, pattern, -1)).otherwise(none))
@@ -75,64 +83,69 @@ def tagged(kind: str, found: Column) -> Column:
 
 
 def patterns_of(s: Column) -> Column:
-    """Lexical patterns of an occurrence: two words before, two words after, and the word on either side."""
+    """Lexical patterns of an occurrence: two words before, two words after, the word on either side, and a name with signs
+    that touch the occurrence, as in an assignment."""
     left, right = F.regexp_replace(s["left"], "[0-9]", "0"), F.regexp_replace(s["right"], "[0-9]", "0")
     near = F.concat_ws(" _ ", F.regexp_extract(left, r"(\S+)$", 1), F.regexp_extract(right, r"^(\S+)", 1))
-    return F.filter(F.array(F.concat(F.lit("L "), left), F.concat(F.lit("R "), right), F.concat(F.lit("C "), near)), lambda p: F.length(p) > 6)
+    touching = F.regexp_extract(left, r"([a-z_]+\s?[=:]\s?[\"']?)$", 1)
+    return F.filter(F.array(F.concat(F.lit("L "), left), F.concat(F.lit("R "), right), F.concat(F.lit("C "), near), F.concat(F.lit("T "), touching)), lambda p: F.length(p) > 6)
 
 
 def fits(shape: Column, value: Column, kind: Column) -> Column:
     """Whether an unseen value has a shape that an identifier of this kind could have."""
     n = F.length(digits(value))
     number = ((kind == "phone") & n.between(7, 15)) | ((kind == "card") & n.between(12, 19)) | ((kind == "ip") & value.rlike(r"^[0-9]+(\.[0-9]+){3}$"))
-    return F.when(shape == "handle", kind == "email").otherwise(number)
+    return F.when(shape == "handle", kind == "email").when(shape == "code", kind == "secret").otherwise(number)
 
 
 def discovered(seen: DataFrame, rounds: int, min_support: int, min_pattern: float, min_instance: float) -> DataFrame:
     """(value, kind) of unseen identifiers.  seen: an occurrence a row with value, seed (its kind or null), shape, patterns."""
     edges = stored(seen.select("value", "seed", "shape", F.explode("patterns").alias("pattern")).groupBy("value", "seed", "shape", "pattern").agg(F.count(F.lit(1)).alias("n")))
-    degree = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("degree"))
+    degree = stored(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("degree")))
     unseen = edges.where("seed is null").select("value", "shape", "pattern")
-    reach = unseen.groupBy("value", "shape").agg(F.count(F.lit(1)).alias("reach"))
+    reach = stored(unseen.groupBy("value", "shape").agg(F.count(F.lit(1)).alias("reach")))
     seeds = edges.where("seed is not null").select("value", "pattern", F.col("seed").alias("kind"), F.lit(1.0).alias("r"), F.lit(1).alias("support"))
     votes, trusted = seeds, None
     for _ in range(rounds):
         scored = votes.groupBy("pattern", "kind").agg(F.sum("r").alias("mass"), F.sum("support").alias("support")).join(degree, "pattern")
         scored = scored.withColumn("score", F.col("mass") / F.col("degree") * F.col("support") / (F.col("support") + 1.0))
-        trusted = scored.where((F.col("support") >= min_support) & (F.col("mass") / F.col("degree") >= min_pattern)).select("pattern", "kind", "score")
+        # Stored, as all aggregates here that are joined: so the join sees plain shuffles and can split a hot pattern or value.
+        trusted = stored(scored.where((F.col("support") >= min_support) & (F.col("mass") / F.col("degree") >= min_pattern)).select("pattern", "kind", "score"))
         near = unseen.join(trusted, "pattern").where(fits(F.col("shape"), F.col("value"), F.col("kind")))
         instances = near.groupBy("value", "shape", "kind").agg(F.sum("score").alias("score")).join(reach, ["value", "shape"])
         instances = stored(instances.select("value", "shape", "kind", (F.col("score") / F.col("reach")).alias("r")))
         again = instances.join(unseen, ["value", "shape"]).select("value", "pattern", "kind", "r", F.lit(0).alias("support"))
         votes = seeds.unionByName(again)
     best = instances.where(F.col("r") >= min_instance).groupBy("value", "shape").agg(F.max(F.struct("r", "kind")).alias("top"))
-    return best.select("value", "shape", F.col("top.kind").alias("kind"))
+    return stored(best.select("value", "shape", F.col("top.kind").alias("kind")))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, min_support: int = 3, min_pattern: float = 0.8, min_instance: float = 0.3) -> DataFrame:
-    """A row per row of docs: id, base and all spans as arrays of "kind:start:end", and the number of base spans by kind.
-
-    Base spans are the valid leftmost matches of BASE.  A pattern is trusted for a kind when at least min_support distinct
-    seed values of the kind have it and its mass is at least min_pattern of all identifiers seen with it; an unseen value
-    of a fitting shape becomes a span of a kind when the mean score of its patterns is at least min_instance.  Added
-    spans overlap no base span.  Null or empty text has no spans.  Rows may repeat ids: each gets the spans of its own
-    text.  Other columns are not carried.  An empty table gives an empty table.
+    """A row per row of docs: id, base and all spans as arrays of "kind:start:end", the number of base spans by kind, and
+    the spans of secrets with their number.
+
+    Base spans are the valid leftmost matches of BASE; SECRET gives the seeds of secrets.  A pattern is trusted for a kind
+    when at least min_support distinct seed values of the kind have it and its mass is at least min_pattern of all
+    identifiers seen with it; an unseen value of a fitting shape becomes a span of a kind when the mean score of its
+    patterns is at least min_instance.  Added spans overlap no seed's span.  Null or empty text has no spans.  Rows may
+    repeat ids: each gets the spans of its own text.  Of kinds with equal scores, the last by name has the value.  Other
+    columns are not carried.  An empty table gives an empty table.
     """
     text = F.col("text")
     read = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = with_matches(read, BASE | LOOSE, text)
-    found = found.select("id", F.xxhash64("text").alias("row_hash"), *[spans(name).alias(name) for name in [*BASE, *LOOSE]])
-    found = found.select("id", "row_hash", *[F.filter(k, valid_of(k)).alias(k) for k in BASE], *LOOSE)
-    every = F.concat(*[F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS])
+    found = with_matches(read, BASE | {"secret": SECRET} | LOOSE, text)
+    found = found.select("id", F.xxhash64("text").alias("row_hash"), *[spans(name).alias(name) for name in [*SEEDED, *LOOSE]])
+    found = found.select("id", "row_hash", *[F.filter(k, valid_of(k)).alias(k) for k in SEEDED], *LOOSE)
+    every = F.concat(*[F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in SEEDED])
     found = found.withColumn("every", every)
     clear = {k: F.filter(k, lambda s: ~F.exists("every", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))).alias(k) for k in LOOSE}
-    found = stored(found.select("id", "row_hash", *KINDS, *clear.values()))
+    found = stored(found.select("id", "row_hash", *SEEDED, *clear.values()))
 
     def seen(name: str, seed: Column) -> DataFrame:
         return found.select("id", "row_hash", F.lit(name).alias("shape"), seed.alias("seed"), F.explode(name).alias("s")).select("id", "row_hash", "shape", "seed", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.value").alias("value"), patterns_of(F.col("s")).alias("patterns"))
 
     loose = reduce(DataFrame.unionByName, [seen(k, F.lit(None).cast("string")) for k in LOOSE])
-    seeds = reduce(DataFrame.unionByName, [seen(k, F.lit(k)) for k in KINDS])
+    seeds = reduce(DataFrame.unionByName, [seen(k, F.lit(k)) for k in SEEDED])
     new = loose.join(discovered(seeds.unionByName(loose), rounds, min_support, min_pattern, min_instance), ["value", "shape"])
     added = new.groupBy("id", "row_hash").agg(F.collect_set(F.struct("kind", "start", "end")).alias("added")).select(F.col("id").alias("added_id"), F.col("row_hash").alias("added_hash"), "added")
     rows = found.join(added, F.col("id").eqNullSafe(F.col("added_id")) & (F.col("row_hash") == F.col("added_hash")), "left")
@@ -142,7 +155,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
         plain = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
         return tagged(kind, F.array_sort(F.concat(plain(F.col(kind)), plain(own))))
 
+    secrets = with_added("secret")
     return rows.select(
         F.col("id").alias(id_col), *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
         F.concat(*[tagged(k, F.col(k)) for k in KINDS]).alias("base_spans"), F.concat(*[with_added(k) for k in KINDS]).alias("spans"),
+        F.size(secrets).cast("long").alias("n_secret"), secrets.alias("secret_spans"),
     )

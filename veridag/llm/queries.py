@@ -27,7 +27,9 @@ def query(f):
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
     counts = [f"n_{k}" for k in ("email", "ip", "card", "phone")]
-    return found.select("doc_id", *counts, F.sha2(F.array_join("base_spans", ","), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"))
+    whole = [F.sha2(F.array_join("base_spans", ","), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans")]
+    more = ["n_secret", F.array_join("secret_spans", ",").alias("secret_spans"), (F.size("spans") + F.size("secret_spans")).cast("long").alias("n_found")]
+    return found.select("doc_id", *counts, *whole, *more)
 
 
 @query
