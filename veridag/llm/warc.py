@@ -161,7 +161,12 @@ def record_rows(rows: list[tuple]) -> pd.DataFrame:
 
 
 def read_bundles(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """Every record of the index's bundles, in RECORD's columns, read frame by frame by the bundles' seek tables."""
+    """Every record of the index's bundles, in RECORD's columns, read frame by frame by the bundles' seek tables.
+
+    Bundles are dealt over as many tasks as there are bundles.  An empty index gives no record.
+    """
+    bundles = index.select("bundle").distinct()
+    bundles = bundles.repartition(max(1, bundles.count()), "bundle")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, path = pafs.FileSystem.from_uri(folder)
@@ -171,7 +176,7 @@ def read_bundles(index: DataFrame, folder: str, payloads: bool = True) -> DataFr
                     for frame in frames(source):
                         yield record_rows([(*r[:6], r[6] if payloads else None) for r in records(frame)])
 
-    return index.select("bundle").distinct().mapInPandas(run, RECORD)
+    return bundles.mapInPandas(run, RECORD)
 
 
 def fetch_records(index: DataFrame, folder: str, ids: DataFrame) -> DataFrame:
