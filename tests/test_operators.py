@@ -18,6 +18,7 @@ def one(spark, column, **values):
     ("exists", True, "x", True), ("exists", True, "", False), ("exists", False, None, True), ("equals", "Active", "ACTIVE", True), ("equals", "a", None, False), ("not_equals", "a", None, True),
     ("not_equals", "a", "A", False), ("in", ["A", "b"], "a", True), ("in", ["a"], None, False), ("not_in", ["a"], None, True), ("not_in", ["a"], "A", False), ("contains", "UR", "hurt", True),
     ("contains", "x", None, False), ("gt", 5, "6", True), ("gt", 5, "six", False), ("gte", "5", "5.0", True), ("lt", 5, None, False), ("lte", 5, "5", True), ("lt", 5, "true", False),
+    ("gt", 5, "nan", False), ("lte", 5, "NaN", False), ("gte", 5, "1_000", False),
 ])
 def test_rule_operators(spark, op, value, held, expected):
     assert one(spark, rules.condition(F.col("v").cast("string"), op, value), v=held) is expected
@@ -144,3 +145,70 @@ def test_failing_automation_is_logged(spark):
 def test_judges_agree_with_the_text_of_a_document(spark):
     rows = spark.createDataFrame([("exact", "a", "a"), ("contains", "ell", "hello"), ("at_least", "3", "4"), ("at_least", "3", "x")], "kind string, expected string, actual string")
     assert [r["met"] for r in evals.check_expected(rows).collect()] == [True, True, True, False]
+
+
+def test_names_of_many_words_and_letters(spark):
+    names = spark.createDataFrame([("Disease", "D1", "Non-Small Cell Lung Cancer"), ("Disease", "D2", "lung cancer"), ("Disease", "D3", "Lung Cancer"), ("Gene", "G1", "Sjögren marker"), ("Gene", "G2", "EGF"), ("Gene", "G3", "status")], "label string, key string, name string")
+    texts = spark.createDataFrame([(1, "a non-small cell lung cancer, EGF"), (2, "Lung cancer egf status"), (3, "the SJÖGREN marker"), (4, ""), (5, None)], "text_id long, text string")
+    got = {(r["text_id"], r["key"], r["start"]) for r in linking.resolve_names(texts, names).collect()}
+    assert got == {(1, "D1", 2), (1, "G2", 6), (2, "D2", 1), (2, "D3", 1), (3, "G1", 2)}
+    assert linking.resolve_names(texts, names.limit(0)).count() == 0
+
+
+def test_list_conditions(spark):
+    facts = spark.createDataFrame([("P", "1", {"ill": "flu;Gout"}, {"R": 2}), ("P", "2", {"ill": "gouty"}, {}), ("P", "3", {}, {"R": 1})], "entity_type string, entity_id string, properties map<string,string>, relations map<string,bigint>")
+    pack = [rules.Rule("a", "warn", "P", "", {"ill": {"contains": "gout"}}), rules.Rule("b", "warn", "P", "", with_relation="R", min_count=2), rules.Rule("c", "block", "P", "", without_relation="R")]
+    hits = lambda lists: {(r["rule_id"], r["entity_id"]) for r in rules.matches(facts, pack, lists).collect()}
+    assert hits({"ill": ";"}) == {("a", "1"), ("b", "1"), ("c", "2")}
+    assert hits(None) == {("a", "1"), ("a", "2"), ("b", "1"), ("c", "2")}
+
+
+def test_containing(spark):
+    texts = spark.createDataFrame([(1, "abcabc x"), (2, "ab"), (3, ""), (4, None), (5, "xyz é")], "k long, text string")
+    needles = spark.createDataFrame([("abc",), ("bca",), ("ab",), ("c x",), ("é",), ("abcd",), ("",), (None,), ("ab",)], "needle string")
+    got = sorted((r["k"], r["needle"]) for r in graph.containing(texts, needles).collect())
+    assert got == [(1, "ab"), (1, "abc"), (1, "bca"), (1, "c x"), (2, "ab"), (5, "é")]
+
+
+def test_nearest_in_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 5))
+    rows = [(i, 0, v.tolist()) for i, v in enumerate(x)] + [(60, 0, [0.0] * 5), (61, 0, None), (62, 0, [1.0, None, 1.0, 1.0, 1.0]), (63, 0, [1.0]), (64, 1, x[0].tolist())]
+    points = spark.createDataFrame(rows, "point_id long, collection int, vec array<double>")
+    queries = points.select(F.col("point_id").alias("query_id"), "collection", "vec").where("query_id % 3 = 0")
+    for metric in ("cosine", "dot", "euclid"):
+        y = x / np.linalg.norm(x, axis=1, keepdims=True) if metric == "cosine" else x
+        s = -np.linalg.norm(x[:, None] - x, axis=2) if metric == "euclid" else y @ y.T
+        got = {(r["query_id"], r["rank"]): r["point_id"] for r in vectors.nearest(queries, points, 3, ["collection"], metric, block_rows=9).collect()}
+        for q in range(0, 60, 3):
+            near = sorted((j for j in range(60) if j != q), key=lambda j: (-s[q, j], j))[:3]
+            if metric == "cosine":  # by the others, the zero vector is a point like any
+                assert [got[q, k + 1] for k in range(3)] == near
+        assert all(q not in (61, 62, 63) for q, _ in got)
+
+
+def test_appends_come_once(spark):
+    d = spark.createDataFrame([(1, "2024-01-01 00:00:00", None), (1, "2024-01-01 00:00:00", None), (2, "2024-01-02 00:00:00", "2023-01-01 00:00:00")], "decision_id long, decided_at string, valid_from string")
+    d = d.select("decision_id", F.to_timestamp("decided_at").alias("decided_at"), F.to_timestamp("valid_from").alias("valid_from"))
+    first = log.appended_decisions(d.limit(0), d)
+    again = log.appended_decisions(first, d)
+    assert sorted((r["decision_id"], r["valid_from"].year) for r in again.collect()) == [(1, 2024), (2, 2023)]
+
+
+def test_package_note_and_degradations(spark):
+    rows = [("p", "a", "vector", "one two", 0.9), ("p", "b", "vector", "x" * 400, 0.8)]
+    elements = spark.createDataFrame(rows, "package_id string, element_id string, kind string, content string, score double")
+    asked = spark.createDataFrame([("p",), ("q",)], "package_id string")
+    out = context.assembled(elements, asked, {"vector": "vector_retriever_unavailable", "graph": "graph_retriever_unavailable"}, {}, 50)
+    note = context.missing_note(F.col("kinds"), F.size("dropped"), F.col("degradations"))
+    got = {r["package_id"]: (r["kept"], r["dropped"], r["note"]) for r in out.withColumn("note", note).collect()}
+    assert got["p"] == (["a"], ["b"], "no graph evidence was found; graph_retriever_unavailable; 1 element(s) dropped by token budget")
+    assert got["q"] == ([], [], "no context was retrieved for this question; vector_retriever_unavailable; graph_retriever_unavailable; no_context_retrieved")
+
+
+def test_mentions_with_offsets(spark):
+    t = "The Policy for Keytruda (pembrolizumab mono) and Keytruda. (ab) Lung Cancer"
+    got = [tuple(s) for s in one(spark, text.candidate_mentions(F.col("t")), t=t)]
+    assert got == [("Keytruda", 15, 23), ("pembrolizumab mono", 25, 43), ("Lung Cancer", 64, 75)]

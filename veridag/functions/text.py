@@ -28,6 +28,7 @@ NEGATED_EVIDENCE = (
 # The pattern of entity ids in a question, and the label of each prefix.
 ENTITY_ID = r"\b(PAT\d+|D\d{3}|DIS\d+|CT\d+|AE\d+|B\d{3}|G\d{3}|P\d{3}|POL[_A-Z0-9]*)\b"
 ID_LABELS = (("PAT", "Patient"), ("DIS", "Disease"), ("CT", "ClinicalTrial"), ("AE", "AdverseEvent"), ("POL", "DataGovernancePolicy"), ("D", "Drug"), ("B", "Biomarker"), ("G", "Gene"), ("P", "Protein"))
+# What a citation and a numeric head look like.
 CITATION = r"\[([A-Za-z0-9_.:\-]+)\]"
 NUMERIC_HEAD = r"^[-0-9.,eE \n]+$"
 
@@ -45,6 +46,11 @@ def verdict_strict(text: Column) -> Column:
     return F.when(F.upper(F.trim(text)).startswith("PASS"), "PASS").otherwise("FAIL")
 
 
+def verdict_line_only(text: Column) -> Column:
+    """PASS or FAIL in the first line alone, else UNCLEAR."""
+    return verdict_first_line(text, 0)
+
+
 def snake_to_camel(name: Column) -> Column:
     parts = F.split(name, "_")
     rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1 << 30))))
@@ -64,6 +70,21 @@ def short_id(*parts: Column | str, digits: int = 12) -> Column:
     return F.substring(F.md5(F.concat_ws(":", *parts)), 1, digits)
 
 
+def long_id(*parts: Column | str, digits: int = 20) -> Column:
+    """First hex digits of the SHA-256 of the parts, joined by bars."""
+    return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, digits)
+
+
+def sorted_json(payload: Column) -> Column:
+    """A map as JSON with its keys in order."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(payload))))
+
+
+def parsed_time(text: Column) -> Column:
+    """An ISO date or date with time, null if it is none: such rows belong in quarantine, not at the present moment."""
+    return F.trim(text).try_cast("timestamp")
+
+
 def iri_slug(text: Column, most: int = 96) -> Column:
     """Letters, digits, dots, underscores and single dashes, at most `most` of them; null or empty is "unknown"."""
     dashed = F.regexp_replace(F.trim(text), r"[^A-Za-z0-9._-]+", "-")
@@ -128,6 +149,36 @@ def forbidden_mentions(text: Column, needles: Column) -> Column:
     return F.when(declines(text), F.array().cast("array<string>")).otherwise(F.filter(needles, lambda n: F.contains(low, F.lower(n))))
 
 
+# Words that begin sentences or name kinds, and no concept.
+SPAN_NOISE = (
+    "the this that these those policy drug disease gene protein patient trial adverse event biomarker research paper published approval status "
+    "treats targets mechanism clinical based context answer note scope owner category phase sponsor enrollment severity frequency reported "
+    "trials none recorded unknown unspecified medication indicated quality governance biomedical data table layer hub"
+).split()
+MENTION = r"\b[A-Z][A-Za-z0-9\-]+(?:\s+[A-Z][A-Za-z0-9\-]+){0,3}\b|\([a-z][a-z0-9\- ]{3,}\)"
+
+
+def candidate_mentions(text: Column, least: int = 3) -> Column:
+    """(surface, start, end) of capitalised phrases and of lower-case ones in parentheses, without those of noise words
+    alone; each surface once, whatever its case, where it is first."""
+    whole = F.coalesce(text, F.lit(""))
+    found, gaps = F.regexp_extract_all(whole, F.lit(MENTION), F.lit(0)), F.split(whole, MENTION, -1)
+    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("n")))
+    kind = "struct<at:int,out:array<struct<surface:string,start:int,end:int>>>"
+
+    def step(acc: Column, x: Column) -> Column:
+        start, inner = acc["at"] + x["n"], x["m"].startswith("(")
+        surface = F.trim(F.when(inner, F.substring(x["m"], F.lit(2), F.length(x["m"]) - 2)).otherwise(x["m"]))
+        begin = start + inner.cast("int")
+        words = F.split(F.lower(surface), r"\s+")
+        noise = F.forall(words, lambda w: w.isin(*SPAN_NOISE)) | (F.length(surface) < least) | F.exists(acc["out"], lambda o: F.lower(o["surface"]) == F.lower(surface))
+        more = F.concat(acc["out"], F.array(F.struct(surface.alias("surface"), begin.alias("start"), (begin + F.length(surface)).alias("end"))))
+        return F.struct((start + F.length(x["m"])).alias("at"), F.when(noise, acc["out"]).otherwise(more).alias("out")).cast(kind)
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<surface:string,start:int,end:int>>").alias("out")).cast(kind)
+    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+
+
 def candidate_spans(text: Column, least: int = 3) -> Column:
     """Distinct capitalised phrases of up to four words, in order."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\b([A-Z][A-Za-z0-9\-]+(?:\s+[A-Z][A-Za-z0-9\-]+){0,3})\b"), F.lit(1))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridag.operators.graph import containing
+
 # Words of a question about data assets.
 ASSET_TERMS = (
     "table tables hub layer ard dataset datasets mart load loads incremental job jobs pipeline pipelines schema column columns lineage certified certify quality dq "
@@ -30,11 +32,39 @@ def expanded(entities: DataFrame, edges: DataFrame, most: int = 8) -> DataFrame:
 
 
 def fact_scope(*scopes: DataFrame) -> DataFrame:
-    """(question_id, label, id) of several sources, each named once."""
-    out = scopes[0]
-    for s in scopes[1:]:
-        out = out.unionByName(s)
-    return out.distinct()
+    """(question_id, label, id, source) of several sources, each entity once a question, as the last source that names it has it."""
+    out = None
+    for k, s in enumerate(scopes):
+        one = s.select("question_id", "label", "id", F.lit(k).alias("source"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("question_id", "label", "id").agg(F.max("source").alias("source"))
+
+
+def entity_texts(nodes: DataFrame, edges: DataFrame, label: str, captions: dict[str, str], relations: list[tuple[str, str, bool]], most: int = 8) -> DataFrame:
+    """(label, id, text): one text an entity of a label, with its properties and the first `most` names of its neighbours.
+
+    captions: caption by property; relations: caption, relation, and whether it is followed backward.
+    """
+    own = nodes.where(F.col("label") == label)
+    shown = [F.concat(F.lit(f"{caption}: "), F.coalesce(F.col("props")[name], F.lit("unknown"))) for name, caption in captions.items()]
+    out = own.select("label", "id", F.concat_ws("; ", F.concat(F.lit(f"{label} "), F.coalesce("name", "id")), *shown).alias("text"))
+    for caption, rel, backward in relations:
+        me, other = ("dst", "src") if backward else ("src", "dst")
+        step = edges.where((F.col("rel_type") == rel) & (F.col(f"{me}_label") == label)).select(F.col(f"{me}_id").alias("me"), F.col(f"{other}_label").alias("label"), F.col(f"{other}_id").alias("id"))
+        names = step.join(nodes.select("label", "id", F.coalesce("name", "id").alias("other")), ["label", "id"]).select("me", "other").distinct()
+        some = names.withColumn("k", F.row_number().over(Window.partitionBy("me").orderBy("other"))).where(F.col("k") <= most)
+        told = some.groupBy(F.col("me").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("other")), ", ").alias("others"))
+        out = out.join(told, "id", "left").select("label", "id", F.concat("text", F.lit(f"; {caption}: "), F.coalesce("others", F.lit("none"))).alias("text"))
+    return out
+
+
+def keyword_hits(questions: DataFrame, records: DataFrame, most: int | None = None) -> DataFrame:
+    """(question_id, record_id) where any of a question's terms is in a record's folded title or scope; the first `most` by id."""
+    terms = questions.select("question_id", F.explode("terms").alias("needle")).where("needle <> ''").distinct()
+    texts = records.select("record_id", F.lower(F.concat_ws("\n", "title", "scope")).alias("text"))
+    found = containing(texts, terms).select("record_id", "needle").join(terms, "needle").select("question_id", "record_id").distinct()
+    order = F.row_number().over(Window.partitionBy("question_id").orderBy("record_id"))
+    return found if most is None else found.withColumn("k", order).where(F.col("k") <= most).drop("k")
 
 
 def first_wins(rows: DataFrame, keys: list[str], position: str) -> DataFrame:

@@ -23,7 +23,7 @@ ADVICE = (
 
 def ranked(elements: DataFrame, weights: dict[str, float]) -> DataFrame:
     """rank of each element in its package by score times its kind's weight, then id."""
-    weight = F.create_map(*[x for k, w in weights.items() for x in (F.lit(k), F.lit(w))])[F.col("kind")]
+    weight = F.create_map(*[x for k, w in weights.items() for x in (F.lit(k), F.lit(w))])[F.col("kind")] if weights else F.lit(1.0)
     order = Window.partitionBy("package_id").orderBy(F.desc(F.round(F.col("score") * F.coalesce(weight, F.lit(1.0)), 6)), "element_id")
     return elements.withColumn("rank", F.row_number().over(order))
 
@@ -37,14 +37,16 @@ def deduplicated(elements: DataFrame) -> DataFrame:
 def within_budget(elements: DataFrame, budget: int) -> DataFrame:
     """Elements that fit in rank order: one that doesn't is skipped, later ones may still fit.  A package is a few rows."""
     rows = elements.groupBy("package_id").agg(F.array_sort(F.collect_list(F.struct("rank", "element_id", F.col("tokens")))).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast("array<string>").alias("kept"))
+    none = F.array().cast("array<string>")
+    start = F.struct(F.lit(0).cast("long").alias("spent"), none.alias("kept"), none.alias("dropped"))
 
     def take(acc: Column, row: Column) -> Column:
         fits = acc["spent"] + row["tokens"] <= budget
-        return F.struct(F.when(fits, acc["spent"] + row["tokens"]).otherwise(acc["spent"]).alias("spent"), F.when(fits, F.concat(acc["kept"], F.array(row["element_id"]))).otherwise(acc["kept"]).alias("kept"))
+        more = lambda name, when: F.when(when, F.concat(acc[name], F.array(row["element_id"]))).otherwise(acc[name]).alias(name)
+        return F.struct(F.when(fits, acc["spent"] + row["tokens"]).otherwise(acc["spent"]).alias("spent"), more("kept", fits), more("dropped", ~fits))
 
     out = rows.select("package_id", F.size("rows").alias("n"), F.aggregate("rows", start, take).alias("acc"))
-    return out.select("package_id", "n", F.col("acc.spent").alias("spent"), F.col("acc.kept").alias("kept"))
+    return out.select("package_id", "n", F.col("acc.spent").alias("spent"), F.col("acc.kept").alias("kept"), F.col("acc.dropped").alias("dropped"))
 
 
 def with_tokens(elements: DataFrame) -> DataFrame:
@@ -92,6 +94,77 @@ def gate(question: Column, answer: Column, is_blocked: Column, score: Column, le
     return F.when(advice(question).isNotNull(), "refused_advice").when(is_blocked, "blocked").when(empty | (score < least), "refused_grounding").otherwise("released")
 
 
-def missing_note(n_elements: Column, n_cited: Column, overlap: Column, degradations: Column) -> Column:
-    parts = F.array(F.when(n_elements == 0, "no context was retrieved"), F.when(n_cited == 0, "no citation matches the context"), F.when(overlap < 0.3, "little of the answer is in the context"), F.when(F.size(degradations) > 0, F.concat(F.lit("degraded: "), F.array_join(degradations, ", "))))
-    return F.array_join(F.array_compact(parts), "; ")
+def missing_note(kinds: Column, n_dropped: Column, degradations: Column) -> Column:
+    """What a package lacks: kinds of elements, sources that failed (but prior decisions), and elements over budget."""
+    none = F.size(kinds) == 0
+    lacks = lambda kind, note: F.when(~none & ~F.array_contains(kinds, kind), note)
+    told = F.filter(degradations, lambda d: F.split(d, ":")[0].isin(*PENALTIES) & ~d.startswith("runtime_retriever"))
+    first = F.array(F.when(none, "no context was retrieved for this question"), lacks("graph", "no graph evidence was found"), lacks("vector", "no document evidence was found"))
+    last = F.array(F.when(n_dropped > 0, F.concat(n_dropped.cast("string"), F.lit(" element(s) dropped by token budget"))))
+    note = F.array_join(F.concat(F.array_compact(first), told, F.array_compact(last)), "; ")
+    return F.coalesce(F.nullif(note, F.lit("")), F.lit("insufficient supporting evidence"))
+
+
+def assembled(elements: DataFrame, asked: DataFrame, sources: dict[str, str], weights: dict[str, float], budget: int) -> DataFrame:
+    """A package a row of asked (package_id): elements ranked over all sources, deduplicated and cut to a budget.
+
+    sources: for each kind of element, what it is called when it gave nothing.  kept and dropped hold ids in rank order;
+    degradations name the sources without elements, and that nothing was kept.
+    """
+    packed = within_budget(with_tokens(deduplicated(ranked(elements, weights))), budget)
+    kinds = elements.groupBy("package_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))  # as many as there are sources
+    none = F.array().cast("array<string>")
+    rows = asked.select("package_id").distinct().join(kinds, "package_id", "left").join(packed, "package_id", "left")
+    kept, kinds_ = F.coalesce("kept", none), F.coalesce("kinds", none)
+    failed = [F.when(~F.array_contains(kinds_, kind), F.lit(name)) for kind, name in sources.items()]
+    lost = F.array_compact(F.array(*failed, F.when(F.size(kept) == 0, F.lit("no_context_retrieved"))))
+    return rows.select("package_id", kinds_.alias("kinds"), kept.alias("kept"), F.coalesce("dropped", none).alias("dropped"), F.coalesce("spent", F.lit(0)).cast("long").alias("spent"), lost.alias("degradations"))
+
+
+def seeds(elements: DataFrame) -> DataFrame:
+    """(package_id, curie): concepts of the elements (curies), once a package, from which the graph is searched."""
+    return elements.select("package_id", F.explode("curies").alias("curie")).where("curie is not null").distinct()
+
+
+def graph_elements(found: DataFrame) -> DataFrame:
+    """Elements of entities (package_id, label, id, name, props, links, via): what is known of each, and its links.
+
+    via is curie, for entities reached from a concept, or keyword.  Ids are made of keys, so that they can be cited.
+    """
+    filled = F.map_filter("props", lambda _, v: F.coalesce(v, F.lit("")) != "")
+    detail = F.array_join(F.slice(F.transform(F.array_sort(F.map_entries(filled)), lambda e: F.concat_ws("=", e["key"], e["value"])), 1, 8), "; ")
+    links = F.when(F.size("links") > 0, F.concat(F.lit(". Links: "), F.array_join("links", "; "))).otherwise("")
+    text = F.concat(F.col("label"), F.lit(" "), F.coalesce("name", "id"), F.lit(". "), detail, links)
+    return found.select("package_id", F.concat_ws(":", F.lit("graph"), "label", "id").alias("element_id"), F.lit("graph").alias("kind"), text.alias("content"), F.when(F.col("via") == "curie", 0.75).otherwise(0.55).alias("score"))
+
+
+def rendered(elements: DataFrame) -> DataFrame:
+    """(package_id, text): the elements (rank, source) of a package as a prompt shows them, in rank order."""
+    line = F.format_string("[%s] (%s, source=%s, score=%.3f)\n%s", "element_id", "kind", "source", "score", "content")
+    rows = elements.groupBy("package_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("rows"))  # a package is a few rows
+    return rows.select("package_id", F.array_join(F.transform("rows", lambda r: r["line"]), "\n\n").alias("text"))
+
+
+def with_verdict(rows: DataFrame, fired: DataFrame) -> DataFrame:
+    """rows with is_blocked and advisories, the warnings' rationales in order of rule, of rules fired (package_id, severity, rule_id, rationale)."""
+    warned = F.array_sort(F.collect_list(F.when(F.col("severity") == "warn", F.struct("rule_id", "rationale"))))
+    told = fired.groupBy("package_id").agg(F.max(F.col("severity") == "block").alias("is_blocked"), F.transform(warned, lambda r: r["rationale"]).alias("advisories"))  # a row a rule
+    joined = rows.join(told, "package_id", "left")
+    return joined.withColumn("is_blocked", F.coalesce("is_blocked", F.lit(False))).withColumn("advisories", F.coalesce("advisories", F.array().cast("array<string>")))
+
+
+def verdict_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(package_id, before, after, score_before, score_after) of packages whose outcome or score (package_id, outcome, score) differs."""
+    a = before.select("package_id", F.col("outcome").alias("before"), F.col("score").alias("score_before"))
+    b = after.select("package_id", F.col("outcome").alias("after"), F.col("score").alias("score_after"))
+    return a.join(b, "package_id").where("before <> after or score_before <> score_after")
+
+
+def response_violations(responses: DataFrame) -> DataFrame:
+    """(response_id, problem) of responses (refused, answer, reason) and of their citations (chunk_id, curie) that contradict themselves."""
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    problems = F.array_compact(F.array(
+        F.when(F.col("refused") & F.col("answer").isNotNull(), "a refusal carries an answer"), F.when(F.col("refused") & empty("reason"), "a refusal without a reason"),
+        F.when(~F.col("refused") & F.col("answer").isNull(), "no answer"), F.when(empty("chunk_id") & empty("curie"), "a citation without a target"),
+    ))
+    return responses.select("response_id", F.explode(problems).alias("problem"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridag.functions.text import short_id
+
 
 def share(hits: Column, of: Column) -> Column:
     """hits / of, 0 where of is 0."""
@@ -145,6 +147,41 @@ def unpivot_verdicts(wide: DataFrame, methods: list[str]) -> DataFrame:
     return wide.select("test_id", "is_correct", F.inline(pairs)).where("result is not null")
 
 
+# For each kind of result row, its verdicts as (method, key of the verdict, of correctness, of latency).
+RESULT_SHAPES = {
+    "comprehensive": (("det", "det_verdict", "det_correct", "det_ms"), ("nr", "nr_verdict", "nr_correct", "nr_ms"), ("wr", "wr_verdict", "wr_correct", "wr_ms")),
+    "rubric": (("no_rubric", "no_rubric_verdict", "no_rubric_correct", "no_rubric_ms"), ("with_rubric", "with_rubric_verdict", "with_rubric_correct", "with_rubric_ms"), ("domain_expert", "domain_expert_verdict", "domain_expert_correct", "domain_expert_ms"), ("det", "det_result", "det_correct", "det_ms")),
+    "basic": (("llm_basic", "judge_verdict", "judge_correct", "judge_ms"), ("det", "det_result", "det_correct", "det_ms")),
+}
+BIASES = {"position_bias": "flipped", "verbosity_bias": "prefers_verbose", "adversarial": "fooled"}
+
+
+def hydrated(results: DataFrame) -> DataFrame:
+    """Verdict rows of result rows (test_id, kind, result: map of strings), whatever shape each row has.
+
+    A bias probe's verdict is biased or clean by its own key.  Keys that a row lacks give no verdict.
+    """
+    r = F.col("result")
+    one = lambda method, verdict, correct, ms: F.struct(F.lit(method).alias("method"), verdict.alias("result"), correct.alias("correct"), ms.alias("latency_ms"))
+    rows = [F.when((F.col("kind") == kind) & (r[v].isNotNull() | r[c].isNotNull()), one(m, r[v], F.coalesce(r[c].try_cast("boolean"), F.lit(False)), r[ms].try_cast("double"))) for kind, shapes in RESULT_SHAPES.items() for m, v, c, ms in shapes]
+    for kind, key in BIASES.items():
+        biased = F.coalesce(r[key].try_cast("boolean"), F.lit(False))
+        rows.append(F.when(F.col("kind") == kind, one("bias_test", F.when(biased, "biased").otherwise("clean"), ~biased, F.lit(None).cast("double"))))
+    return results.select("test_id", "kind", F.inline(F.array_compact(F.array(*rows))))
+
+
+def eval_graph(verdicts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (label, id) and edges of evaluation runs: tests in categories, their outputs, verdicts in runs, failure modes."""
+    v = verdicts.select("run_id", F.col("test_id").cast("string").alias("test_id"), "category", "method", "result", "correct", short_id("run_id", F.col("test_id").cast("string"), "method").alias("verdict_id"))
+    mode = F.when(~F.col("correct"), F.concat(F.when(F.col("result") == "PASS", "FalsePass:").otherwise("FalseNeg:"), F.col("method")))
+    e = lambda a, src, rel, b, dst: F.struct(F.lit(a).alias("src_label"), src.alias("src_id"), F.lit(rel).alias("rel_type"), F.lit(b).alias("dst_label"), dst.alias("dst_id"))
+    test, verdict = F.col("test_id"), F.col("verdict_id")
+    rows = F.array(e("TestCase", test, "BELONGS_TO", "Category", F.col("category")), e("TestCase", test, "HAS_OUTPUT", "Output", test), e("Output", test, "JUDGED_BY", "Verdict", verdict), e("EvalRun", F.col("run_id"), "CONTAINS", "Verdict", verdict), e("Verdict", verdict, "EXHIBITS", "FailureMode", mode))
+    edges = v.select(F.inline(rows)).where("dst_id is not null").distinct()
+    ends = edges.select(F.col("src_label").alias("label"), F.col("src_id").alias("id")).unionByName(edges.select(F.col("dst_label").alias("label"), F.col("dst_id").alias("id")))
+    return ends.distinct(), edges
+
+
 def arm_summary(results: DataFrame) -> DataFrame:
     """Per arm: n, errors, behaviour, groundedness, citations, rules and confabulation; null where nothing counts."""
     ratio = lambda hit, of: F.round(F.try_divide(F.count_if(hit).cast("double"), F.count_if(of).cast("double")), 4)

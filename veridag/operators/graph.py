@@ -8,6 +8,27 @@ from pyspark.sql import functions as F
 ENDS = ["src_label", "src_id", "rel_type", "dst_label", "dst_id"]
 
 
+def foreign_edges(rows: DataFrame, label: str, key: str, rel_type: str, dst_label: str, fk: str) -> DataFrame:
+    """Candidate edges from a foreign key, with the other columns in props; rows without a key or a target give none."""
+    rest = [c for c in rows.columns if c not in (key, fk)]
+    props = F.map_filter(F.create_map(*[x for c in rest for x in (F.lit(c), F.col(c).cast("string"))]), lambda _, v: v.isNotNull()) if rest else F.create_map().cast("map<string,string>")
+    ends = [F.lit(label).alias("src_label"), F.col(key).cast("string").alias("src_id"), F.lit(rel_type).alias("rel_type"), F.lit(dst_label).alias("dst_label"), F.col(fk).cast("string").alias("dst_id")]
+    return rows.where(F.col(key).isNotNull() & F.col(fk).isNotNull()).select(*ends, props.alias("props"))
+
+
+def loaded_edges(candidates: DataFrame, nodes: DataFrame, order: str | None = None) -> DataFrame:
+    """An edge a (source, relation, target) both of whose ends are nodes; of its rows the last by `order` gives the props."""
+    keys = nodes.select("label", "id").distinct()
+    for end in ("src", "dst"):
+        candidates = candidates.join(keys.select(F.col("label").alias(f"{end}_label"), F.col("id").alias(f"{end}_id")), [f"{end}_label", f"{end}_id"], "left_semi")
+    return candidates.groupBy(*ENDS).agg((F.max_by("props", order) if order else F.any_value("props")).alias("props"))
+
+
+def without_derived(edges: DataFrame) -> DataFrame:
+    """Edges that were loaded; those that a derivation made (derived is true) go, so that it can be run again."""
+    return edges.where(~F.coalesce(F.col("derived"), F.lit(False)))
+
+
 def matched_edges(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
     """Distinct candidate edges both of whose ends are nodes."""
     keys = nodes.select("label", "id").distinct()
@@ -42,7 +63,7 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataF
 
 def crosswalk(mappings: DataFrame, prefixes: DataFrame) -> DataFrame:
     """CURIEs of (entity_id, entity_type, standard, external_id): prefix:id, where an unknown standard is folded to its letters."""
-    known = mappings.join(F.broadcast(prefixes), "standard", "left")
+    known = mappings.join(prefixes, "standard", "left")
     prefix = F.coalesce("prefix", F.upper(F.regexp_replace("standard", " ", "")))
     return known.select("entity_type", "entity_id", F.concat_ws(":", prefix, "external_id").alias("curie"))
 
@@ -87,6 +108,46 @@ def facts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(maps, ["label", "id"], "left").select(F.col("label").alias("entity_type"), F.col("id").alias("entity_id"), F.col("props").alias("properties"), F.coalesce("relations", none).alias("relations"))
 
 
+def relation_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(entity_type, entity_id, properties, relations): for each relation how many distinct targets; rules need no more of them."""
+    counts = edges.groupBy(F.col("src_label").alias("label"), F.col("src_id").alias("id"), "rel_type").agg(F.count_distinct("dst_label", "dst_id").alias("n"))
+    maps = counts.groupBy("label", "id").agg(F.map_from_entries(F.collect_list(F.struct("rel_type", "n"))).alias("relations"))  # a row a relation
+    rest = [c for c in nodes.columns if c not in ("label", "id", "name", "props")]
+    none = F.create_map().cast("map<string,bigint>")
+    return nodes.join(maps, ["label", "id"], "left").select(F.col("label").alias("entity_type"), F.col("id").alias("entity_id"), F.col("props").alias("properties"), F.coalesce("relations", none).alias("relations"), *rest)
+
+
+def links_of(edges: DataFrame, ids: DataFrame, rel_type: str | None = None) -> DataFrame:
+    """(me, rel_type, other) of the edges at either end of each id (label, id): two equi-joins, never one on an OR."""
+    e = edges.where(F.col("rel_type") == rel_type) if rel_type else edges
+    me = ids.select(F.concat_ws(":", "label", "id").alias("me")).distinct()
+    a, b = F.concat_ws(":", "src_label", "src_id"), F.concat_ws(":", "dst_label", "dst_id")
+    out = e.select(a.alias("me"), "rel_type", b.alias("other")).join(me, "me")
+    return out.unionByName(e.select(b.alias("me"), "rel_type", a.alias("other")).join(me, "me")).distinct()
+
+
+def containing(texts: DataFrame, needles: DataFrame, gram: int = 3) -> DataFrame:
+    """(text columns…, needle) of each text (column text) that holds a needle: an equi-join on the needle's first `gram`
+    characters, which must be among the text's runs of so many, then the check.  Shorter needles join by their own length."""
+    size = F.least(F.length("needle"), F.lit(gram))
+    keyed = needles.where("length(needle) > 0").select("needle").distinct().select("needle", size.alias("size"), F.substring("needle", F.lit(1), size).alias("key"))
+    runs = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(gram)), lambda n: F.transform(
+        F.when(F.length("text") >= n, F.sequence(F.lit(1), F.length("text") - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(n.alias("size"), F.substring("text", i, n).alias("key"))))))
+    return texts.select("*", F.inline(runs)).join(keyed, ["size", "key"]).where(F.contains("text", F.col("needle"))).drop("size", "key")
+
+
+def same_as(pairs: DataFrame) -> DataFrame:
+    """SAME_AS edges between concepts, with method, evidence and confidence."""
+    return pairs.select(F.col("a").alias("src_id"), F.lit("SAME_AS").alias("rel_type"), F.col("b").alias("dst_id"), F.lit("shared_name_token").alias("method"), F.col("token").alias("evidence"), F.lit(0.9).alias("confidence"))
+
+
+def same_concept(pairs: DataFrame, canonicals: DataFrame) -> DataFrame:
+    """pairs (a, b of curies, null if unresolved) with same: whether both have the same canonical curie; unknown ones are their own."""
+    known = lambda c: canonicals.select(F.col("curie").alias(c), F.col("canonical").alias(f"{c}_canonical"))
+    own = lambda c: F.coalesce(f"{c}_canonical", c)
+    return pairs.join(known("a"), "a", "left").join(known("b"), "b", "left").select("a", "b", F.coalesce(own("a") == own("b"), F.lit(False)).alias("same"))
+
+
 def schema_profile(nodes: DataFrame) -> DataFrame:
     keys = nodes.select("label", F.explode(F.map_keys("props")).alias("key")).groupBy("label").agg(F.array_join(F.array_sort(F.collect_set("key")), ",").alias("keys"))
     return nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).join(keys, "label", "left")
@@ -108,19 +169,18 @@ def canonical(curies: DataFrame, same_as: DataFrame, depth: int = 3) -> DataFram
     return near.groupBy(F.substring("origin", 3, 1 << 30).alias("curie")).agg(F.min(F.substring("node", 3, 1 << 30)).alias("canonical"))
 
 
-def shared_token_pairs(terms: DataFrame, least: int = 5, most_terms: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """Pairs of terms (curie, surface) of different vocabularies that share an alphabetic token, and the tokens left out.
+def shared_token_pairs(terms: DataFrame, least: int = 5, crowded: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Pairs of terms (curie, surface) of different vocabularies that share an alphabetic token, and the crowded tokens.
 
-    A token that more than most_terms terms have names no concept and would pair everything with everything; it is
-    reported, not joined.
+    A token that more than `crowded` terms have hardly names a concept and pairs much with much; it is reported, and
+    joined all the same.
     """
     tokens = terms.select("curie", F.explode(F.regexp_extract_all(F.lower("surface"), F.lit(rf"([a-z]{{{least},}})"), F.lit(1))).alias("token")).distinct()
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    kept = tokens.join(counts.where(F.col("n") <= most_terms).select("token"), "token")
     vocabulary = lambda c: F.split(c, ":")[0]
-    other = kept.select("token", F.col("curie").alias("b"))
-    pairs = kept.select("token", F.col("curie").alias("a")).join(other, "token").where((F.col("a") < F.col("b")) & (vocabulary(F.col("a")) != vocabulary(F.col("b"))))
-    return pairs.groupBy("a", "b").agg(F.min("token").alias("token")), counts.where(F.col("n") > most_terms)
+    other = tokens.select("token", F.col("curie").alias("b"))
+    pairs = tokens.select("token", F.col("curie").alias("a")).join(other, "token").where((F.col("a") < F.col("b")) & (vocabulary(F.col("a")) != vocabulary(F.col("b"))))
+    return pairs.groupBy("a", "b").agg(F.min("token").alias("token")), counts.where(F.col("n") > crowded)
 
 
 def inverse(edges: DataFrame, rel_type: str, name: str) -> DataFrame:

@@ -22,20 +22,24 @@ def gram_of(words: Column, n: int):
     return lambda i: F.struct(i.alias("start"), F.lit(n).alias("size"), F.array_join(F.slice(words, i, n), " ").alias("gram"))
 
 
-def resolve_names(texts: DataFrame, names: DataFrame, longest: int = 3, most: int = 12) -> DataFrame:
+def resolve_names(texts: DataFrame, names: DataFrame, longest: int | None = None, most: int = 12) -> DataFrame:
     """(text_id, label, key, name, start): names in texts, longest first.
 
     A name matches whole words: exactly if it has fewer than four letters, else folded.  Names of the stoplist go; within
-    a label, a match inside a longer one goes; of the rest, the first `most` by length and place stay.
+    a label, a match inside a longer one goes, and names with the same span all stay; of the rest, the first `most` by
+    length, place, label and key stay.  `longest` is the most words of a name, by default those of the longest name.
     """
-    words = F.filter(F.split("text", r"[^A-Za-z0-9\-]+"), lambda w: w != "")
+    cut = lambda c: F.filter(F.split(c, r"[^\p{L}\p{N}\-]+"), lambda w: w != "")
+    if longest is None:
+        longest = names.agg(F.max(F.size(cut("name")))).first()[0] or 1
+    words = cut("text")
     grams = texts.select("text_id", F.inline(ngrams(words, longest)))
     keyed = grams.withColumn("folded", F.lower("gram"))
-    known = names.where(~F.lower("name").isin(*NAME_STOPLIST)).distinct().withColumn("folded", F.lower("name"))
-    hits = keyed.join(known, "folded").where((F.length("name") >= 4) | (F.col("name") == F.col("gram")))
+    known = names.where(~F.lower("name").isin(*NAME_STOPLIST)).distinct().withColumn("folded", F.lower(F.array_join(cut("name"), " ")))
+    hits = keyed.join(known, "folded").where((F.length("name") >= 4) | (F.array_join(cut("name"), " ") == F.col("gram")))
     by_label = Window.partitionBy("text_id", "label").orderBy("start", F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
-    hits = hits.withColumn("end", F.col("start") + F.col("size")).withColumn("covered", F.max("end").over(by_label))
-    kept = hits.where("covered is null or end > covered")
+    spans = hits.select("text_id", "label", "start", "size", (F.col("start") + F.col("size")).alias("end")).distinct().withColumn("covered", F.max("end").over(by_label))
+    kept = hits.join(spans.where("covered is null or end > covered"), ["text_id", "label", "start", "size"], "left_semi")
     once = kept.groupBy("text_id", "label", "key", "name").agg(F.min("start").alias("start"))
     order = Window.partitionBy("text_id").orderBy(F.desc(F.length("name")), "start", "label", "key")
     return once.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).drop("k")
@@ -50,6 +54,19 @@ def term_index(*sources: DataFrame) -> DataFrame:
     return fine.select("curie", "surface")
 
 
+def mention_edges(mentions: DataFrame) -> DataFrame:
+    """MENTIONS edges (chunk, concept) of the linked among mentions (mention_id, curie, score)."""
+    return mentions.where(F.col("curie").isNotNull()).select(F.lit("Chunk").alias("src_label"), F.col("mention_id").cast("string").alias("src_id"), F.lit("MENTIONS").alias("rel_type"), F.lit("Concept").alias("dst_label"), F.col("curie").alias("dst_id"), F.col("score").alias("confidence"))
+
+
+def known_curies(curies: DataFrame, *vocabularies: DataFrame) -> DataFrame:
+    """Those of the curies that any of the vocabularies has."""
+    known = vocabularies[0].select("curie")
+    for v in vocabularies[1:]:
+        known = known.unionByName(v.select("curie"))
+    return curies.join(known, "curie", "left_semi")
+
+
 def linked_mentions(scored: DataFrame, concepts: DataFrame, threshold: float) -> DataFrame:
     """Mentions (mention_id, curie, score) with their best curie, or null below the threshold or for an unknown concept."""
     best = scored.groupBy("mention_id").agg(F.max(F.struct("score", "curie")).alias("top")).select("mention_id", "top.curie", "top.score")

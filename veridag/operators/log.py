@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridag.functions.text import sorted_json
+
 
 def as_of(decisions: DataFrame, at: Column) -> DataFrame:
     """Decisions valid at a moment: from valid_from, until before valid_to or open."""
@@ -37,6 +39,33 @@ def chained(events: DataFrame, key: str, at: str) -> DataFrame:
     return events.withColumn("valid_to", F.lead(at).over(Window.partitionBy(key).orderBy(at, "decision_id")))
 
 
+def appended_events(log: DataFrame, events: DataFrame, now: Column) -> DataFrame:
+    """The log with events (event_id, event_type, occurred_at, ingested_at, payload map) that it hasn't yet.
+
+    Each has two times: what was ingested at no stated time is so now.  Payloads are JSON with sorted keys.
+    """
+    new = events.select("event_id", "event_type", "occurred_at", F.coalesce("ingested_at", now).alias("ingested_at"), sorted_json(F.col("payload")).alias("payload"))
+    return log.unionByName(new.dropDuplicates(["event_id"]).join(log.select("event_id"), "event_id", "left_anti"))
+
+
+def appended_decisions(log: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The log with decisions (decision_id, decided_at, valid_from, …) that it hasn't yet, valid from their decision if not said."""
+    new = decisions.withColumn("valid_from", F.coalesce("valid_from", "decided_at")).select(*log.columns)
+    return log.unionByName(new.dropDuplicates(["decision_id"]).join(log.select("decision_id"), "decision_id", "left_anti"))
+
+
+def concept_edges(rows: DataFrame, key: str, curies: str, maps_to: DataFrame, rel_type: str) -> DataFrame:
+    """Edges (src_id, rel_type, dst_label, dst_id) from rows to the entities (label, id) that map to any of their curies."""
+    wanted = rows.select(F.col(key).alias("src_id"), F.explode(curies).alias("curie")).distinct()
+    return wanted.join(maps_to, "curie").select("src_id", F.lit(rel_type).alias("rel_type"), F.col("label").alias("dst_label"), F.col("id").alias("dst_id")).distinct()
+
+
+def with_actions(decisions: DataFrame, actions: DataFrame) -> DataFrame:
+    """decisions with n_actions and their actions (decision_id, action, at) in order of time, as "action" joined by commas."""
+    told = actions.groupBy("decision_id").agg(F.count(F.lit(1)).alias("n_actions"), F.array_sort(F.collect_list(F.struct("at", "action"))).alias("a"))  # a decision has a few
+    return decisions.join(told.select("decision_id", "n_actions", F.array_join(F.transform("a", lambda x: x["action"]), ",").alias("actions")), "decision_id", "left").withColumn("n_actions", F.coalesce("n_actions", F.lit(0)))
+
+
 def appendable(children: DataFrame, decisions: DataFrame) -> DataFrame:
     """Those actions or outcomes whose decision exists."""
     return children.join(decisions.select("decision_id"), "decision_id", "left_semi")
@@ -54,3 +83,9 @@ def provenance_chain(rows: DataFrame, key: str) -> DataFrame:
 
 def stage_times(actions: DataFrame) -> DataFrame:
     return actions.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ms"), 3).alias("mean_ms"), F.max("ms").alias("max_ms"))
+
+
+def stage_percentiles(actions: DataFrame, exact: bool = False) -> DataFrame:
+    """Median and 95th percentile of each stage's times: by a sketch of bounded size, or exact."""
+    p = (lambda q: F.percentile("ms", q)) if exact else (lambda q: F.percentile_approx("ms", q))
+    return actions.groupBy("stage").agg(F.round(p(0.5), 3).alias("p50_ms"), F.round(p(0.95), 3).alias("p95_ms"))

@@ -6,11 +6,12 @@ A condition is {property: value} for equality or {property: {operator: value}};
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEVERITIES = ("block", "warn", "info")  # most severe first
@@ -37,9 +38,10 @@ def present(c: Column) -> Column:
 
 
 def compared(c: Column, value: object, op: str) -> Column:
-    """Numeric comparison; null, booleans and what is no number compare as false."""
+    """Numeric comparison; null, booleans, NaN and what is no number compare as false."""
     number, v = c.cast("string").try_cast("double"), F.lit(float(value))  # type: ignore[arg-type]
-    return F.coalesce({"gt": number > v, "gte": number >= v, "lt": number < v, "lte": number <= v}[op], F.lit(False))
+    test = {"gt": number > v, "gte": number >= v, "lt": number < v, "lte": number <= v}[op]
+    return F.coalesce(test & ~F.isnan(number), F.lit(False))
 
 
 def condition(c: Column, op: str, value: object, is_list: bool = False) -> Column:
@@ -62,22 +64,24 @@ def condition(c: Column, op: str, value: object, is_list: bool = False) -> Colum
     raise ValueError(f"unknown operator {op}")
 
 
-def where_predicate(where: dict, properties: str = "properties") -> Column:
+def where_predicate(where: dict, properties: str = "properties", lists: dict[str, str] | None = None) -> Column:
+    """All tests of a rule's conditions.  lists: properties that hold delimited lists, and the delimiter of each."""
     tests = []
     for name, spec in where.items():
         for op, value in (spec if isinstance(spec, dict) else {"equals": spec}).items():
-            tests.append(condition(F.col(properties)[name], op, value))
+            c, listed = F.col(properties)[name], op == "contains" and name in (lists or {})
+            tests.append(condition(F.split(c, re.escape(lists[name])) if listed else c, op, value, listed))  # type: ignore[index]
     return reduce(and_, tests, F.lit(True))
 
 
-def rule_predicate(rule: Rule) -> Column:
-    """Whether a fact (entity_type, properties, relations) meets a rule."""
-    count = lambda rel: F.coalesce(F.size(F.col("relations")[rel]), F.lit(0))
-    test = (F.col("entity_type") == rule.entity) & where_predicate(rule.where)
+def rule_predicate(rule: Rule, lists: dict[str, str] | None = None) -> Column:
+    """Whether a fact (entity_type, properties, relations with their counts) meets a rule."""
+    count = lambda rel: F.coalesce(F.col("relations")[rel], F.lit(0))
+    test = (F.col("entity_type") == rule.entity) & where_predicate(rule.where, lists=lists)
     if rule.with_relation:
-        test = test & (F.greatest(count(rule.with_relation), F.lit(0)) >= rule.min_count)
+        test = test & (count(rule.with_relation) >= rule.min_count)
     if rule.without_relation:
-        test = test & (F.greatest(count(rule.without_relation), F.lit(0)) == 0)
+        test = test & (count(rule.without_relation) == 0)
     return test
 
 
@@ -87,9 +91,9 @@ def named(pack: list[Rule]) -> tuple[list[str], list[str]]:
     return sorted({r.entity for r in pack}), sorted(relations)
 
 
-def matches(facts: DataFrame, rules: list[Rule]) -> DataFrame:
+def matches(facts: DataFrame, rules: list[Rule], lists: dict[str, str] | None = None) -> DataFrame:
     """(rule_id, entity_type, entity_id, scope columns…) of every rule that a fact meets, in one pass over the facts."""
-    hits = F.filter(F.array(*[F.when(rule_predicate(r), F.lit(r.rule_id)) for r in rules]), lambda x: x.isNotNull())
+    hits = F.filter(F.array(*[F.when(rule_predicate(r, lists), F.lit(r.rule_id)) for r in rules]), lambda x: x.isNotNull())
     rest = [c for c in facts.columns if c not in ("properties", "relations")]
     return facts.select(*rest, F.explode(hits).alias("rule_id"))
 
@@ -100,7 +104,11 @@ def rule_table(spark, rules: list[Rule]) -> DataFrame:
 
 def verdict(hits: DataFrame, rules: DataFrame, scope: list[str], shown: int = 3) -> DataFrame:
     """Per scope and rule: how many entities triggered it, and the first `shown` of them by id."""
-    fired = hits.groupBy(*scope, "rule_id").agg(F.count(F.lit(1)).alias("triggered"), F.array_join(F.slice(F.array_sort(F.collect_set("entity_id")), 1, shown), ",").alias("examples"))
+    keys = [*scope, "rule_id"]
+    order = F.row_number().over(Window.partitionBy(*keys).orderBy("entity_id"))
+    some = hits.select(*keys, "entity_id").distinct().withColumn("k", order).where(F.col("k") <= shown)  # cut before the shuffle
+    some = some.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("entity_id")), ",").alias("examples"))
+    fired = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("triggered")).join(some, keys)
     return fired.join(F.broadcast(rules), "rule_id").select(*scope, "rule_id", "severity", "rank", "rationale", "triggered", "examples")
 
 

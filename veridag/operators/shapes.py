@@ -9,10 +9,13 @@ NUMERIC = ("integer", "decimal", "float", "double")
 
 
 def violation(value: Column, kind: str, limit: object) -> Column:
-    """Whether a value (string, or null) breaks a constraint of a kind: min_count, datatype, in, max_length."""
+    """Whether a value (string, or null; values of a list are parted by semicolons) breaks a constraint of a kind:
+    min_count, max_count, datatype, in, max_length."""
     held = value.isNotNull() & (value != "")
     if kind == "min_count":
         return ~held if int(limit) > 0 else F.lit(False)  # type: ignore[call-overload]
+    if kind == "max_count":
+        return held & (F.size(F.split(value, ";")) > int(limit))  # type: ignore[call-overload]
     if kind == "datatype":
         return held & value.try_cast("double").isNull() if limit in NUMERIC else F.lit(False)
     if kind == "in":
@@ -39,6 +42,24 @@ def conformance(nodes: DataFrame, broken: DataFrame) -> DataFrame:
     return nodes.groupBy("label").agg(F.count(F.lit(1)).alias("nodes")).join(bad, "label", "left").select("label", "nodes", F.coalesce("violating", F.lit(0)).alias("violating"))
 
 
+def miscased(constraints: list[tuple[str, str, str, object]], labels: list[str]) -> list[tuple[str, str]]:
+    """(target, label) of constraint classes that are a label but for their case."""
+    folded = {x.lower(): x for x in labels}
+    return sorted({(cls, folded[cls.lower()]) for cls, *_ in constraints if folded.get(cls.lower(), cls) != cls})
+
+
+# Levels of a policy's enforcement.
+ENFORCEMENT_LEVELS = ("Mandatory", "Advisory", "Informational")
+
+
+def policy_violations(policies: DataFrame) -> DataFrame:
+    """(policy_id, problem) of policies without id, name or jurisdiction, or with an unknown enforcement level."""
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    level = ~F.coalesce(F.col("enforcement_level").isin(*ENFORCEMENT_LEVELS), F.lit(False))
+    problems = [F.when(empty(c), F.lit(f"{c} is required")) for c in ("policy_id", "policy_name", "jurisdiction")] + [F.when(level, F.lit("unknown enforcement_level"))]
+    return policies.select("policy_id", F.explode(F.array_compact(F.array(*problems))).alias("problem"))
+
+
 def unmapped(nodes: DataFrame, declared: dict[str, set[str]], skipped: set[str]) -> DataFrame:
     """(label, key, n) of properties that no constraint declares."""
     known = F.create_map(*[x for label, keys in declared.items() for x in (F.lit(label), F.array(*[F.lit(k) for k in sorted(keys | skipped)]))])

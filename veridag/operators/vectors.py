@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -19,18 +24,64 @@ def similarity(a: Column, b: Column, metric: str = "cosine") -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int, on: list[str], metric: str = "cosine", digits: int = 6) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, k: int, on: list[str], metric: str = "cosine", digits: int = 6, block_rows: int = 4096) -> DataFrame:
     """The k points nearest to each query (query_id, vec) among those equal to it in the columns `on`, itself excluded.
 
-    Exact search of a stated query set: the equi-join on `on` lets Spark shuffle or broadcast as the sizes allow, and each
-    task keeps its own k best of a query before the rows meet.
+    Exact search of a stated query set: both sides are dealt into blocks of about block_rows, each pair of blocks meets in
+    one task, which keeps the k best of each query before rows meet.  Vectors that are null, hold nulls or have another
+    length than the query match nothing, and so do zero vectors by cosine.  Equal scores, rounded to `digits`, are in
+    order of point_id.
     """
-    q = queries.withColumnRenamed("vec", "q_vec")
-    near = points.join(q, on).where(F.col("query_id") != F.col("point_id"))
-    near = near.withColumn("score", F.round(similarity(F.col("q_vec"), F.col("vec"), metric), digits)).where("score is not null").drop("q_vec", "vec")
-    order = [F.desc("score"), "point_id"]
-    local = near.withColumn("part", F.pmod(F.xxhash64("point_id"), F.lit(64))).withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))).where(F.col("rank") <= k)
-    return local.drop("part").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
+    fine = "vec is not null and size(vec) > 0 and forall(vec, x -> x is not null)"
+    vec = F.transform("vec", lambda x: x.cast("double")).alias("vec")
+    q = queries.where(fine).select("query_id", *on, vec, F.size("vec").alias("_dims"))
+    p = points.where(fine).select(*[c for c in points.columns if c != "vec"], vec, F.size("vec").alias("_dims"))
+    q_parts, p_parts = (max(1, math.ceil(df.count() / block_rows)) for df in (q, p))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    q = q.withColumn("_q", part("query_id", q_parts)).withColumn("_p", every(p_parts))
+    p = p.withColumn("_p", part("point_id", p_parts)).withColumn("_q", every(q_parts))
+    rest = [c for c in points.columns if c != "vec"]
+    schema = T.StructType([queries.schema["query_id"], *[points.schema[c] for c in rest], T.StructField("score", T.DoubleType())])
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=schema.names)
+        right = right.sort_values("point_id", kind="stable")
+        a, b = np.stack(left["vec"].to_list()), np.stack(right["vec"].to_list())
+        score = scores(a, b, metric)
+        score[(left["query_id"].to_numpy()[:, None] == right["point_id"].to_numpy()) | ~np.isfinite(score)] = -np.inf
+        top = np.argsort(-np.round(score, digits), axis=1, kind="stable")[:, :k]
+        row = np.repeat(np.arange(len(left)), top.shape[1])
+        out = right[rest].iloc[top.ravel()].assign(query_id=left["query_id"].to_numpy()[row], score=score[row, top.ravel()])
+        return out[np.isfinite(out["score"])][schema.names]
+
+    keys = [*on, "_dims", "_p", "_q"]
+    near = q.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInPandas(best, schema).withColumn("score", F.round("score", digits))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "euclid":
+        return -np.sqrt(np.maximum((a**2).sum(axis=1)[:, None] - 2 * a @ b.T + (b**2).sum(axis=1), 0.0))
+    if metric == "cosine":
+        with np.errstate(invalid="ignore", divide="ignore"):
+            a, b = a / np.linalg.norm(a, axis=1, keepdims=True), b / np.linalg.norm(b, axis=1, keepdims=True)
+    return a @ b.T
+
+
+def with_fallback(found: DataFrame, queries: DataFrame, recent: DataFrame, k: int) -> DataFrame:
+    """found (query_id, point_id, rank), and for queries that found nothing the k most recent of recent (point_id, at)."""
+    last = recent.orderBy(F.desc("at"), F.desc("point_id")).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("at"), F.desc("point_id"))))
+    bare = queries.select("query_id").join(found, "query_id", "left_anti").withColumn("one", F.lit(1))
+    return found.select("query_id", "point_id", "rank").unionByName(bare.join(last.withColumn("one", F.lit(1)), "one").select("query_id", "point_id", "rank"))
+
+
+def upserted(old: DataFrame, new: DataFrame, dims: int) -> tuple[DataFrame, DataFrame]:
+    """Points by id, where a new one replaces the old; and the new ones with another number of dimensions, which replace nothing."""
+    fine = new.where(F.size("vec") == dims)
+    return old.join(fine.select("point_id"), "point_id", "left_anti").unionByName(fine.select(*old.columns)), new.where(~F.coalesce(F.size("vec") == dims, F.lit(False)))
 
 
 def admitted(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
