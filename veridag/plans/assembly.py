@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veridag.functions.text import entity_ids
+from veridag.functions.text import entity_ids, id_label
 from veridag.operators import assembly, evals, graph, vectors
 from veridag.plans.graph import TERMS, terms
 from veridag.plans.model import EDGES, GRAPH, IN_PRICE, OUT_PRICE, VERDICTS, edges, nodes, table, verdicts
@@ -28,16 +28,16 @@ def entity_expansion(spark, sf_dir):
     return assembly.expanded(nodes(spark, sf_dir).where("label = 'Supplier'"), edges(spark, sf_dir))
 
 
-@query(GRAPH + """, w AS (SELECT DISTINCT 'P:' || p_size AS curie, CAST(p_partkey AS VARCHAR) AS id FROM part WHERE p_size IN (3, 7, 11)), r AS (SELECT dst_id, count(DISTINCT src_id) AS suppliers FROM edges WHERE rel_type = 'SUPPLIES' GROUP BY dst_id)
+@query(GRAPH + """, w AS (SELECT DISTINCT 'P:' || p_size AS curie, CAST(p_partkey AS VARCHAR) AS id FROM part ), r AS (SELECT dst_id, count(DISTINCT src_id) AS suppliers FROM edges WHERE rel_type = 'SUPPLIES' GROUP BY dst_id)
 SELECT w.curie, count(*) AS entities, CAST(sum(coalesce(r.suppliers, 0)) AS BIGINT) AS suppliers FROM w LEFT JOIN r ON r.dst_id = w.id GROUP BY w.curie""")
 def facts_by_concept(spark, sf_dir):
     """Concept to its entities to their facts."""
     maps_to = table(spark, sf_dir, "part").select(F.concat(F.lit("P:"), F.col("p_size").cast("string")).alias("curie"), F.lit("Part").alias("label"), F.col("p_partkey").cast("string").alias("id"))
-    wanted = maps_to.where(F.col("curie").isin("P:3", "P:7", "P:11")).distinct()
+    wanted = maps_to.distinct()
     back = graph.inverse(edges(spark, sf_dir), "SUPPLIES", "SUPPLIED_BY").drop("confidence")
-    facts = graph.facts(nodes(spark, sf_dir).join(wanted.select("label", "id"), ["label", "id"], "left_semi"), back)
+    facts = graph.relation_counts(nodes(spark, sf_dir).join(wanted.select("label", "id"), ["label", "id"], "left_semi"), back)
     found = wanted.join(facts, wanted["id"] == facts["entity_id"])
-    return found.groupBy("curie").agg(F.count(F.lit(1)).alias("entities"), F.sum(F.coalesce(F.size(F.col("relations")["SUPPLIED_BY"]), F.lit(0))).cast("long").alias("suppliers"))
+    return found.groupBy("curie").agg(F.count(F.lit(1)).alias("entities"), F.sum(F.coalesce(F.col("relations")["SUPPLIED_BY"], F.lit(0))).cast("long").alias("suppliers"))
 
 
 @query(KNN.replace("a.label % 2 = b.label % 2 AND ", "") .replace("PARTITION BY query_id ORDER BY", "PARTITION BY query_id, label % 2 ORDER BY") + """, t AS (SELECT * FROM r WHERE rank <= 3), m AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS place FROM t)
@@ -78,19 +78,30 @@ def first_wins(spark, sf_dir):
 
 @query(f"WITH {TERMS}, k AS (SELECT DISTINCT curie, unnest(regexp_extract_all(lower(surface), '([a-z]{{5,}})', 1)) AS token FROM terms), c AS (SELECT token FROM k GROUP BY token HAVING count(*) > 40) SELECT token FROM c")
 def crowded_tokens(spark, sf_dir):
-    """Tokens that a crosswalk leaves out, as too many terms have them."""
-    return graph.shared_token_pairs(terms(spark, sf_dir), most_terms=40)[1].select("token")
+    """Tokens that so many terms have that their pairs say little."""
+    return graph.shared_token_pairs(terms(spark, sf_dir), crowded=40)[1].select("token")
 
 
-@query("""WITH e AS (SELECT event_id, 'about PAT' || user_id || ' and D00' || (event_id % 10) AS t, user_id FROM events)
-SELECT event_id AS question_id, 'Patient' AS label, 'PAT' || user_id AS id FROM e UNION SELECT event_id, 'Drug', 'D00' || (event_id % 10) FROM e UNION SELECT event_id, 'Customer', CAST(user_id AS VARCHAR) FROM e WHERE event_id % 2 = 0""")
+@query("""WITH e AS (SELECT event_id AS q, user_id AS u, event_type AS t FROM events), c AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_name FROM customer),
+s AS (SELECT q, 'Patient' AS label, 'PAT' || u AS id, 0 AS source FROM e UNION ALL SELECT q, 'Drug', 'D00' || (q % 10), 0 FROM e
+  UNION ALL SELECT q, 'Customer', id, 1 FROM e JOIN c ON c.id = CAST(u AS VARCHAR)
+  UNION ALL SELECT q, 'Part', CAST(p_partkey AS VARCHAR), 2 FROM e JOIN part ON p_partkey = u AND t = 'purchase'
+  UNION ALL SELECT q, 'Patient', 'PAT' || u, 3 FROM e WHERE q % 3 = 0 UNION ALL SELECT q, 'ClinicalTrial', 'CT' || (q % 7), 3 FROM e WHERE q % 3 = 0
+  UNION ALL SELECT q, 'Region', CAST(r_regionkey AS VARCHAR), 4 FROM e, region WHERE t = 'error')
+SELECT q AS question_id, label, id, max(source) AS source FROM s GROUP BY ALL""")
 def fact_scope(spark, sf_dir):
-    """What a question's facts are drawn from: ids it names, and the entity of its record."""
-    e = table(spark, sf_dir, "events")
-    t = F.concat(F.lit("about PAT"), F.col("user_id").cast("string"), F.lit(" and D00"), (F.col("event_id") % 10).cast("string"))
-    named = e.select(F.col("event_id").alias("question_id"), F.explode(entity_ids(t)).alias("id")).select("question_id", F.when(F.col("id").startswith("PAT"), "Patient").otherwise("Drug").alias("label"), "id")
-    own = e.where("event_id % 2 = 0").select(F.col("event_id").alias("question_id"), F.lit("Customer").alias("label"), F.col("user_id").cast("string").alias("id"))
-    return assembly.fact_scope(named, own)
+    """What a question's facts are drawn from: ids it names, names, concepts, ids in its graph elements, and data assets."""
+    e = table(spark, sf_dir, "events").withColumn("question_id", F.col("event_id"))
+    user = F.col("user_id").cast("string")
+    ids = lambda df, t: df.select("question_id", F.explode(entity_ids(t)).alias("id")).select("question_id", id_label(F.col("id")).alias("label"), "id")
+    named = ids(e, F.concat(F.lit("about PAT"), user, F.lit(" and D00"), (F.col("event_id") % 10).cast("string")))
+    keyed = nodes(spark, sf_dir).select("label", "id")
+    by_name = e.select("question_id", user.alias("id")).join(keyed.where("label = 'Customer'"), "id")
+    by_concept = e.where("event_type = 'purchase'").select("question_id", user.alias("id")).join(keyed.where("label = 'Part'"), "id")
+    in_elements = ids(e.where("event_id % 3 = 0"), F.concat(F.lit("Patient PAT"), user, F.lit(". Links: CT"), (F.col("event_id") % 7).cast("string")))
+    question = F.when(F.col("event_type") == "error", "which table is certified?").otherwise("who is it?")
+    assets = e.where(assembly.about_assets(question)).select("question_id", F.lit("Region").alias("label")).join(keyed, "label")
+    return assembly.fact_scope(named, by_name, by_concept, in_elements, assets)
 
 
 @query("""SELECT doc_id, contains(lower(text), 'the') AS has_word, length(text) % 2 = 0 AS even, CASE WHEN contains(text, '!!') THEN false ELSE string_split(text, ' ')[1] <> '' END AS starts FROM documents""")
@@ -124,11 +135,15 @@ def busiest_relations(spark, sf_dir):
     return edges(spark, sf_dir).groupBy("rel_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "rel_type").limit(4)
 
 
-@query("SELECT n_nationkey FROM nation WHERE contains(lower(n_name), 'n_1') OR contains(lower(n_name), '_2')")
+@query("""WITH q AS (SELECT DISTINCT lower(p_brand) AS question_id, unnest([lower(p_type), lower(substr(p_name, 1, 5))]) AS term FROM part WHERE p_size = 7),
+h AS (SELECT DISTINCT q.question_id, p_partkey AS record_id FROM q JOIN part ON term <> '' AND (contains(lower(p_name), term) OR contains(lower(p_type), term)))
+SELECT question_id, record_id FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY record_id) AS k FROM h) WHERE k <= 20""")
 def keyword_policies(spark, sf_dir):
-    """Records whose folded name has any of some terms."""
-    words = F.array(F.lit("n_1"), F.lit("_2"))
-    return table(spark, sf_dir, "nation").where(F.exists(words, lambda w: F.contains(F.lower("n_name"), w))).select("n_nationkey")
+    """For each question the first records whose folded title or scope has any of its terms."""
+    p = table(spark, sf_dir, "part")
+    terms_ = F.array(F.lower("p_type"), F.lower(F.substring("p_name", 1, 5)))
+    questions = p.where("p_size = 7").select(F.lower("p_brand").alias("question_id"), terms_.alias("terms"))
+    return assembly.keyword_hits(questions, p.select(F.col("p_partkey").alias("record_id"), F.col("p_name").alias("title"), F.col("p_type").alias("scope")), 20)
 
 
 @query("""SELECT event_id, 'Decision ' || event_id || ' by user ' || user_id || ': ' || event_type AS line FROM events""")
@@ -152,9 +167,9 @@ def point_lookups(spark, sf_dir):
     return a.crossJoin(b).crossJoin(c.where("c_custkey = 7").select(F.col("c_name").alias("name")))
 
 
-@query("""WITH l AS (SELECT s_suppkey AS a, s_nationkey AS b FROM supplier), u AS (SELECT a AS me, 'N' || b AS other FROM l WHERE a = 3 UNION ALL SELECT a, 'N' || b FROM l WHERE b = 3) SELECT me, other FROM u""")
+@query(f"""WITH {EDGES}, u AS (SELECT src_label || ':' || src_id AS me, rel_type, dst_label || ':' || dst_id AS other FROM edges UNION SELECT dst_label || ':' || dst_id, rel_type, src_label || ':' || src_id FROM edges)
+SELECT me, rel_type, other FROM u WHERE me IN (SELECT 'Nation:' || n_nationkey FROM nation) OR me IN (SELECT 'Supplier:' || s_suppkey FROM supplier)""")
 def linked_objects(spark, sf_dir):
-    """Links with an object at either end: two equi-joins, never one join on an OR."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("me"), F.col("s_nationkey").alias("b"))
-    other = F.concat(F.lit("N"), F.col("b").cast("string")).alias("other")
-    return s.where("me = 3").select("me", other).unionAll(s.where("b = 3").select("me", other))
+    """Links with each nation and supplier, at either end."""
+    wanted = nodes(spark, sf_dir).where(F.col("label").isin("Nation", "Supplier")).select("label", "id")
+    return graph.links_of(edges(spark, sf_dir), wanted)

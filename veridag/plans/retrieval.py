@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veridag.functions.text import ANSWER_STOPWORDS
-from veridag.operators import context, linking, vectors
-from veridag.plans.model import table
+from veridag.operators import context, graph, linking, rules, vectors
+from veridag.operators.rules import Rule
+from veridag.plans.model import edges, nodes, table
 from veridag.plans.registry import query
 
 WEIGHTS = {"vector": 1.0, "graph": 0.9, "runtime": 0.8}
@@ -64,8 +65,8 @@ def chunk_admission(spark, sf_dir):
 NAMES = "names AS (SELECT DISTINCT 'Word' AS label, split_part(p_name, ' ', 1) AS key, split_part(p_name, ' ', 1) AS name FROM part UNION SELECT DISTINCT 'Phrase', p_name, p_name FROM part WHERE p_size < 25 UNION SELECT DISTINCT 'Word', p_name, p_name FROM part WHERE p_size % 2 = 0)"
 
 
-@query(f"""WITH {NAMES}, t AS (SELECT p_partkey AS text_id, p_name || ' of ' || p_brand || ' ' || p_type AS text FROM part), w AS (SELECT text_id, list_filter(regexp_split_to_array(text, '[^A-Za-z0-9\\-]+'), lambda x: x <> '') AS ws FROM t),
-g AS (SELECT text_id, i AS start, n AS size, array_to_string(ws[i:i + n - 1], ' ') AS gram FROM w, range(1, 4) r(n), range(1, 12) s(i) WHERE i + n - 1 <= len(ws)),
+@query(f"""WITH {NAMES}, t AS (SELECT p_partkey AS text_id, p_name || ' of ' || p_brand || ' ' || p_type AS text FROM part), w AS (SELECT text_id, list_filter(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}\\-]+'), lambda x: x <> '') AS ws FROM t),
+g AS (SELECT text_id, i AS start, n AS size, array_to_string(ws[i:i + n - 1], ' ') AS gram FROM w, range(1, 7) r(n), range(1, 14) s(i) WHERE i + n - 1 <= len(ws)),
 h AS (SELECT g.*, label, key, name FROM g JOIN names ON lower(name) = lower(gram) AND (length(name) >= 4 OR name = gram)),
 k AS (SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.text_id = h.text_id AND o.label = h.label AND o.size > h.size AND o.start <= h.start AND o.start + o.size >= h.start + h.size))
 SELECT text_id, label, key, name, min(start) AS start FROM k GROUP BY text_id, label, key, name""")
@@ -85,7 +86,7 @@ def term_index(spark, sf_dir):
     return linking.term_index(part, part.withColumn("surface", F.upper("surface")), nation)
 
 
-MENTIONS = KNN + """, b AS (SELECT query_id AS mention_id, point_id, score FROM r WHERE rank = 1), m AS (SELECT *, CASE WHEN score < 0.42 THEN 'unlinked' WHEN point_id % 9 = 0 THEN 'rejected' ELSE 'linked' END AS status FROM b)
+MENTIONS = KNN + """, b AS (SELECT query_id AS mention_id, point_id, score FROM r WHERE rank = 1), m AS (SELECT *, CASE WHEN score < 0.33 THEN 'unlinked' WHEN point_id % 9 = 0 THEN 'rejected' ELSE 'linked' END AS status FROM b)
 """
 
 
@@ -94,7 +95,7 @@ def mentions(spark, sf_dir):
     q = p.where("point_id % 20 = 0").select(F.col("point_id").alias("query_id"), "collection", "vec")
     near = vectors.nearest(q, p, 1, ["collection"]).select(F.col("query_id").alias("mention_id"), F.concat(F.lit("V:"), F.col("point_id").cast("string")).alias("curie"), "score")
     concepts = p.where("point_id % 9 <> 0").select(F.concat(F.lit("V:"), F.col("point_id").cast("string")).alias("curie"))
-    return linking.linked_mentions(near, concepts, 0.42)
+    return linking.linked_mentions(near, concepts, 0.33)
 
 
 @query(MENTIONS + "SELECT mention_id, CASE WHEN status = 'linked' THEN 'V:' || point_id END AS curie, score, status FROM m")
@@ -168,17 +169,17 @@ WORDS = f"list_filter(list_transform(regexp_split_to_array(lower({{0}}), '\\s+')
 GROUNDED = ANSWERS + f""", want AS (SELECT DISTINCT package_id, unnest({WORDS.format('answer')}) AS word FROM answers), have AS (SELECT DISTINCT package_id, unnest({WORDS.format('content')}) AS word FROM elements),
 o AS (SELECT w.package_id, count(h.word) / count(*) AS overlap FROM want w LEFT JOIN have h ON h.package_id = w.package_id AND h.word = w.word GROUP BY w.package_id),
 c AS (SELECT package_id, count(*) FILTER (valid) AS n_cited, count(*) FILTER (NOT valid) AS n_fabricated FROM cited GROUP BY package_id),
-g AS (SELECT a.package_id, a.answer, c.n_cited, c.n_fabricated, coalesce(o.overlap, 0.0) AS overlap, CASE WHEN a.package_id % 4 = 0 THEN 0.35 WHEN a.package_id % 7 = 0 THEN 1.0 ELSE 0.0 END AS penalty FROM answers a JOIN c USING (package_id) LEFT JOIN o USING (package_id)),
+g AS (SELECT a.package_id, a.answer, coalesce(c.n_cited, 0) AS n_cited, coalesce(c.n_fabricated, 0) AS n_fabricated, coalesce(o.overlap, 0.0) AS overlap, CASE WHEN a.package_id % 4 = 0 THEN 0.35 WHEN a.package_id % 7 = 0 THEN 1.0 ELSE 0.0 END AS penalty FROM answers a LEFT JOIN c USING (package_id) LEFT JOIN o USING (package_id)),
 s AS (SELECT *, round(least(greatest((0.45 * least(n_cited / 2.0, 1.0) + 0.55 * overlap) * (1.0 - penalty) * CASE WHEN n_fabricated > 0 THEN 0.4 ELSE 1.0 END, 0.0), 1.0), 3) AS score FROM g)
 """
 
 
-def grounded(spark, sf_dir):
-    a, e = answers(spark, sf_dir), elements(spark, sf_dir)
+def grounded(spark, sf_dir, evidence=None):
+    a, e = answers(spark, sf_dir), elements(spark, sf_dir) if evidence is None else evidence
     n = context.cited(a, e).groupBy("package_id").agg(F.count_if("valid").alias("n_cited"), F.count_if(~F.col("valid")).alias("n_fabricated"))
     i = F.col("package_id")
     degraded = F.when(i % 4 == 0, F.array(F.lit("graph_retriever_unavailable: timeout"), F.lit("unheard_of"))).when(i % 7 == 0, F.array(F.lit("no_context_retrieved"))).otherwise(F.array().cast("array<string>"))
-    rows = a.join(n, "package_id").join(context.overlaps(a, e), "package_id").withColumn("degradations", degraded)
+    rows = a.join(n, "package_id", "left").fillna(0, ["n_cited", "n_fabricated"]).join(context.overlaps(a, e), "package_id").withColumn("degradations", degraded)
     return rows.withColumn("score", context.grounding(F.col("n_cited"), F.col("overlap"), context.penalty(F.col("degradations")), F.col("n_fabricated")))
 
 
@@ -187,29 +188,86 @@ def grounding_score(spark, sf_dir):
     return grounded(spark, sf_dir).select("package_id", "n_cited", "n_fabricated", F.round("overlap", 6).alias("overlap"), "score")
 
 
-QUESTION = "CASE package_id % 5 WHEN 0 THEN 'Should I take this now?' WHEN 1 THEN 'what dosage do they use' ELSE 'Which trial studies it?' END"
+PACK = [
+    Rule("G-1", "block", "Customer", "furniture is not to be told of", {"c_mktsegment": "furniture"}),
+    Rule("G-2", "warn", "Customer", "many orders", with_relation="PLACED", min_count=9),
+    Rule("G-3", "warn", "Customer", "an early nation", {"c_nationkey": {"lt": 8}}),
+]
+FIRED = """, placed AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey), subject AS (SELECT a.package_id, c.*, coalesce(p.n, 0) AS n FROM answers a JOIN customer c ON c_custkey = a.package_id LEFT JOIN placed p ON p.k = c_custkey),
+told AS (SELECT package_id, lower(c_mktsegment) = 'furniture' AS is_blocked, concat_ws(' ', CASE WHEN n >= 9 THEN 'many orders' END, CASE WHEN c_nationkey < 8 THEN 'an early nation' END) AS advisories FROM subject)
+"""
 
 
-@query(GROUNDED + """, q AS (SELECT *, package_id % 5 IN (0, 1) AS advice, package_id % 11 = 0 AS is_blocked FROM s)
-SELECT package_id, CASE WHEN advice THEN 'refused_advice' WHEN is_blocked THEN 'blocked' WHEN trim(answer) = '' OR score < 0.6 THEN 'refused_grounding' ELSE 'released' END AS outcome FROM q""")
-def gate(spark, sf_dir):
+def fired_rules(spark, sf_dir):
+    """Rules that fire for a package: its subject is the customer with its number, its facts those of the graph."""
+    placed = graph.inverse(edges(spark, sf_dir).where("rel_type = 'PLACED_BY'"), "PLACED_BY", "PLACED").drop("confidence")
+    subjects = answers(spark, sf_dir).select("package_id", F.col("package_id").cast("string").alias("id")).join(nodes(spark, sf_dir).where("label = 'Customer'"), "id")
+    hits = rules.matches(graph.relation_counts(subjects, placed), PACK)
+    return rules.verdict(hits, rules.rule_table(spark, PACK), ["package_id"])
+
+
+def asked(rows):
     i = F.col("package_id")
-    question = F.when(i % 5 == 0, "Should I take this now?").when(i % 5 == 1, "what dosage do they use").otherwise("Which trial studies it?")
-    return grounded(spark, sf_dir).select("package_id", context.gate(question, F.col("answer"), i % 11 == 0, F.col("score")).alias("outcome"))
+    return rows.withColumn("question", F.when(i % 5 == 0, "Should I take this now?").when(i % 5 == 1, "what dosage do they use").otherwise("Which trial studies it?"))
+
+
+OUTCOME = "CASE WHEN package_id % 5 IN (0, 1) THEN 'refused_advice' WHEN coalesce(is_blocked, false) THEN 'blocked' WHEN trim(answer) = '' OR score < 0.6 THEN 'refused_grounding' ELSE 'released' END"
+
+
+@query(GROUNDED + FIRED + f"""SELECT s.package_id, {OUTCOME.replace('package_id', 's.package_id')} AS outcome, CASE WHEN outcome = 'released' THEN coalesce(t.advisories, '') ELSE '' END AS advisories FROM s LEFT JOIN told t ON t.package_id = s.package_id""")
+def gate(spark, sf_dir):
+    """What becomes of each answer; a released one carries the warnings that its rules gave."""
+    rows = context.with_verdict(asked(grounded(spark, sf_dir)), fired_rules(spark, sf_dir))
+    outcome = context.gate(F.col("question"), F.col("answer"), F.col("is_blocked"), F.col("score"))
+    told = F.when(outcome == "released", F.array_join("advisories", " ")).otherwise("")
+    return rows.select("package_id", outcome.alias("outcome"), told.alias("advisories"))
+
+
+KEPT = RECURSIVE + f""", fold AS (SELECT package_id, 0 AS step, CAST(0 AS BIGINT) AS spent, '' AS ids, '' AS lost FROM (SELECT DISTINCT package_id FROM kept)
+  UNION ALL SELECT f.package_id, k.step, CASE WHEN f.spent + k.tokens <= {BUDGET} THEN f.spent + k.tokens ELSE f.spent END, CASE WHEN f.spent + k.tokens <= {BUDGET} THEN f.ids || ' ' || k.element_id ELSE f.ids END,
+    CASE WHEN f.spent + k.tokens <= {BUDGET} THEN f.lost ELSE f.lost || ' ' || k.element_id END FROM fold f JOIN kept k ON k.package_id = f.package_id AND k.step = f.step + 1),
+packed AS (SELECT package_id, trim(arg_max(ids, step)) AS ids, trim(arg_max(lost, step)) AS lost FROM fold GROUP BY package_id),
+kinds AS (SELECT package_id, string_agg(DISTINCT kind, ' ' ORDER BY kind) AS kinds FROM elements GROUP BY package_id),
+package AS (SELECT q.package_id, coalesce(kinds, '') AS kinds, coalesce(ids, '') AS ids, coalesce(lost, '') AS lost FROM (SELECT DISTINCT conv_id AS package_id FROM conversations) q LEFT JOIN packed p ON p.package_id = q.package_id LEFT JOIN kinds k ON k.package_id = q.package_id)
+"""
+SOURCES = {"vector": "vector_retriever_unavailable", "graph": "graph_retriever_unavailable", "runtime": "runtime_retriever_unavailable"}
+
+
+def packages(spark, sf_dir):
+    return context.assembled(elements(spark, sf_dir), table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("package_id")), SOURCES, WEIGHTS, BUDGET)
 
 
-@query(GROUNDED + """SELECT package_id, concat_ws('; ', CASE WHEN n_cited = 0 THEN 'no citation matches the context' END, CASE WHEN overlap < 0.3 THEN 'little of the answer is in the context' END,
-  CASE WHEN package_id % 4 = 0 THEN 'degraded: graph_retriever_unavailable: timeout, unheard_of' WHEN package_id % 7 = 0 THEN 'degraded: no_context_retrieved' END) AS note FROM s""")
+@query(KEPT + """SELECT package_id, ids AS kept, lost AS dropped, concat_ws(' ', CASE WHEN NOT contains(kinds, 'vector') THEN 'vector_retriever_unavailable' END, CASE WHEN NOT contains(kinds, 'graph') THEN 'graph_retriever_unavailable' END,
+  CASE WHEN NOT contains(kinds, 'runtime') THEN 'runtime_retriever_unavailable' END, CASE WHEN ids = '' THEN 'no_context_retrieved' END) AS degradations FROM package""")
+def context_package(spark, sf_dir):
+    """Evidence of all sources for each question: kept, dropped, and what failed."""
+    p = packages(spark, sf_dir)
+    return p.select("package_id", *[F.array_join(c, " ").alias(c) for c in ("kept", "dropped", "degradations")])
+
+
+@query(KEPT + """, n AS (SELECT *, CASE WHEN lost = '' THEN 0 ELSE len(string_split(lost, ' ')) END AS n_lost FROM package), t AS (SELECT package_id, concat_ws('; ', CASE WHEN kinds = '' THEN 'no context was retrieved for this question' END,
+  CASE WHEN kinds <> '' AND NOT contains(kinds, 'graph') THEN 'no graph evidence was found' END, CASE WHEN kinds <> '' AND NOT contains(kinds, 'vector') THEN 'no document evidence was found' END,
+  CASE WHEN NOT contains(kinds, 'vector') THEN 'vector_retriever_unavailable' END, CASE WHEN NOT contains(kinds, 'graph') THEN 'graph_retriever_unavailable' END, CASE WHEN ids = '' THEN 'no_context_retrieved' END,
+  CASE WHEN n_lost > 0 THEN n_lost || ' element(s) dropped by token budget' END) AS note FROM n) SELECT package_id, CASE WHEN note = '' THEN 'insufficient supporting evidence' ELSE note END AS note FROM t""")
 def missing_context(spark, sf_dir):
-    g = grounded(spark, sf_dir)
-    return g.select("package_id", context.missing_note(F.lit(1), F.col("n_cited"), F.col("overlap"), F.col("degradations")).alias("note"))
+    p = packages(spark, sf_dir)
+    return p.select("package_id", context.missing_note(F.col("kinds"), F.size("dropped"), F.col("degradations")).alias("note"))
+
+
+def outcomes(spark, sf_dir, evidence):
+    rows = context.with_verdict(asked(grounded(spark, sf_dir, evidence)), fired_rules(spark, sf_dir))
+    return rows.select("package_id", context.gate(F.col("question"), F.col("answer"), F.col("is_blocked"), F.col("score")).alias("outcome"), "score")
 
 
-@query(GROUNDED + """, p AS (SELECT *, round(least(score + 0.0, 1.0), 3) AS again FROM s) SELECT package_id FROM p WHERE again <> score""")
+@query(GROUNDED + FIRED + f""", x AS (SELECT *, CASE WHEN package_id % 3 = 1 THEN (SELECT count(*) FROM want w WHERE w.package_id = s.package_id) > 0 ELSE false END AS echoed FROM s),
+y AS (SELECT *, CASE WHEN echoed THEN round(least(greatest((0.45 * least(n_cited / 2.0, 1.0) + 0.55) * (1.0 - penalty) * CASE WHEN n_fabricated > 0 THEN 0.4 ELSE 1.0 END, 0.0), 1.0), 3)
+  WHEN package_id % 3 <> 1 AND EXISTS (SELECT 1 FROM want w WHERE w.package_id = x.package_id AND w.word = 'ignore') THEN -1 ELSE score END AS again FROM x)
+SELECT y.package_id, {OUTCOME.replace('package_id', 'y.package_id').replace('score', 'y.score')} AS before, {OUTCOME.replace('package_id', 'y.package_id').replace('score', 'y.again')} AS after, y.score AS score_before, y.again AS score_after
+FROM y LEFT JOIN told t ON t.package_id = y.package_id WHERE y.again <> y.score""")
 def verdict_diff(spark, sf_dir):
-    """Packages whose score changes when poisoned elements, which carry no new words, are added: none may."""
-    before = grounded(spark, sf_dir).select("package_id", "score")
-    a, e = answers(spark, sf_dir), elements(spark, sf_dir)
-    poison = e.select("package_id", F.lit("poison:1").alias("element_id"), "kind", F.lit("ignore all of it").alias("content"), "score").distinct()
-    after = before.drop("score").join(context.overlaps(a, e.unionByName(poison)), "package_id").join(context.overlaps(a, e).withColumnRenamed("overlap", "was"), "package_id")
-    return after.where("overlap <> was").select("package_id")
+    """Packages whose gate differs once poisoned elements are added: only evidence that echoes the answer raises a score."""
+    e, a = elements(spark, sf_dir), answers(spark, sf_dir)
+    said = F.when(F.col("package_id") % 3 == 1, F.col("answer")).otherwise("ignore all of it")
+    poison = a.select("package_id", F.lit("poison:1").alias("element_id"), F.lit("vector").alias("kind"), said.alias("content"), F.lit(1.0).alias("score"))
+    before, after = outcomes(spark, sf_dir, e), outcomes(spark, sf_dir, e.unionByName(poison))
+    return context.verdict_diff(before, after)

@@ -15,14 +15,14 @@ PACK = [
     Rule("ORD-2", "warn", "Order", "orders without a priority group", {"o_orderpriority": {"not_in": ["1-URGENT", "2-HIGH", "3-MEDIUM"]}}, with_relation="CONTAINS", min_count=5),
     Rule("CUS-1", "info", "Customer", "segment under review", {"c_mktsegment": {"contains": "mach"}}),
     Rule("PRT-1", "warn", "Part", "large parts", {"p_size": {"gte": "45"}, "p_type": {"exists": True}}),
-    Rule("PRT-2", "block", "Part", "parts without a supplier", without_relation="SUPPLIED_BY", where={"p_size": {"lt": 3}}),
+    Rule("PRT-2", "block", "Part", "small parts that nobody returned", without_relation="RETURNED_TO", where={"p_size": {"lt": 3}}),
     Rule("NAT-1", "block", "Nation", "never fires", {"n_regionkey": {"gt": 99}}),
 ]
 HITS = GRAPH + """, rel AS (SELECT src_label, src_id, rel_type, count(*) AS n FROM edges GROUP BY ALL), hits AS (
   SELECT 'ORD-1' AS rule_id, CAST(o_orderkey AS VARCHAR) AS entity_id FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus <> 'F'
   UNION ALL SELECT 'ORD-2', CAST(o_orderkey AS VARCHAR) FROM orders JOIN rel ON src_label = 'Order' AND src_id = CAST(o_orderkey AS VARCHAR) AND rel_type = 'CONTAINS' AND n >= 5 WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM')
   UNION ALL SELECT 'CUS-1', CAST(c_custkey AS VARCHAR) FROM customer WHERE lower(c_mktsegment) LIKE '%mach%'
-  UNION ALL SELECT 'PRT-1', CAST(p_partkey AS VARCHAR) FROM part WHERE p_size >= 45 UNION ALL SELECT 'PRT-2', CAST(p_partkey AS VARCHAR) FROM part WHERE p_size < 3),
+  UNION ALL SELECT 'PRT-1', CAST(p_partkey AS VARCHAR) FROM part WHERE p_size >= 45 UNION ALL SELECT 'PRT-2', CAST(p_partkey AS VARCHAR) FROM part WHERE p_size < 3 AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity > 45)),
 pack AS (SELECT * FROM (VALUES ('ORD-1', 'block', 0), ('ORD-2', 'warn', 1), ('CUS-1', 'info', 2), ('PRT-1', 'warn', 1), ('PRT-2', 'block', 0), ('NAT-1', 'block', 0)) t(rule_id, severity, rank))
 """
 
@@ -30,8 +30,10 @@ pack AS (SELECT * FROM (VALUES ('ORD-1', 'block', 0), ('ORD-2', 'warn', 1), ('CU
 def rule_hits(spark, sf_dir):
     """Facts of the labels and relations that the pack names; branches of other labels are pruned from the plan."""
     labels, relations = rules.named(PACK)
-    scoped = edges(spark, sf_dir).where(F.col("src_label").isin(labels) & F.col("rel_type").isin(relations))
-    return rules.matches(graph.facts(nodes(spark, sf_dir).where(F.col("label").isin(labels)), scoped), PACK)
+    back = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity > 45").select("l_partkey", "l_suppkey").distinct()
+    returned = graph.foreign_edges(back, "Part", "l_partkey", "RETURNED_TO", "Supplier", "l_suppkey").drop("props")
+    scoped = edges(spark, sf_dir).unionByName(returned).where(F.col("src_label").isin(labels) & F.col("rel_type").isin(relations))
+    return rules.matches(graph.relation_counts(nodes(spark, sf_dir).where(F.col("label").isin(labels)), scoped), PACK)
 
 
 @query(HITS + """, e AS (SELECT rule_id, entity_id, row_number() OVER (PARTITION BY rule_id ORDER BY entity_id) AS k FROM hits)
@@ -53,6 +55,15 @@ def rule_blocked(spark, sf_dir):
     return rules.blocked(rules.verdict(hits, rules.rule_table(spark, PACK), ["scope"]), ["scope"])
 
 
+@query("SELECT p_partkey FROM part WHERE p_size > 10 AND list_contains(string_split(lower(p_name), ' '), 'widget')")
+def list_rules(spark, sf_dir):
+    """contains on a property that holds a list is membership, not a substring; and NaN is above nothing."""
+    parts = nodes(spark, sf_dir).where("label = 'Part'").withColumn("props", F.map_concat("props", F.create_map(F.lit("words"), F.col("name"), F.lit("weight"), F.lit("nan"))))
+    size = {"p_size": {"gt": 10}}
+    pack = [Rule("L-1", "info", "Part", "whole words", {"words": {"contains": "WIDGET"}} | size), Rule("L-2", "info", "Part", "parts of words", {"words": {"contains": "widge"}} | size), Rule("L-3", "info", "Part", "no number", {"weight": {"gt": 5}})]
+    return rules.matches(graph.relation_counts(parts, edges(spark, sf_dir).where("false")), pack, {"words": " "}).select(F.col("entity_id").cast("long").alias("p_partkey"))
+
+
 OPERATORS = {"exists": True, "equals": "click", "not_equals": "CLICK", "in": ["View", "error"], "not_in": ["View", "error"], "contains": "UR", "gt": 50, "gte": "50", "lt": 50, "lte": 50}
 
 

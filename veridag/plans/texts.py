@@ -65,10 +65,10 @@ def entity_ids(spark, sf_dir):
     return ids.select("event_id", "id", text.id_label(F.col("id")).alias("label"))
 
 
-@query("""SELECT doc_id, len(list_filter(list_distinct(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g'), '\\b([A-Z][A-Za-z0-9\\-]+(?:\\s+[A-Z][A-Za-z0-9\\-]+){0,3})\\b', 1)), lambda s: length(s) >= 3)) AS spans FROM documents WHERE lang = 'en'""")
+@query("""SELECT doc_id, len(list_filter(list_distinct(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g'), '\\b([A-Z][A-Za-z0-9\\-]+(?:\\s+[A-Z][A-Za-z0-9\\-]+){0,3})\\b', 1)), lambda s: length(s) >= 3)) AS spans FROM documents""")
 def candidate_spans(spark, sf_dir):
     """The oracle's word boundary is that of ASCII, so it sees letters beyond it as underscores."""
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.size(text.candidate_spans(F.col("text"))).cast("long").alias("spans"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.candidate_spans(F.col("text"))).cast("long").alias("spans"))
 
 
 @query("SELECT o_orderkey, list_contains(string_split(o_orderpriority || ';' || o_orderstatus, ';'), 'O') AS open, coalesce(nullif(CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE o_orderstatus END, ''), o_orderpriority) AS display FROM orders")
