@@ -166,7 +166,7 @@ def read_bundles(index: DataFrame, folder: str, payloads: bool = True) -> DataFr
     Bundles are dealt over as many tasks as there are bundles.  An empty index gives no record.
     """
     bundles = index.select("bundle").distinct()
-    bundles = bundles.repartition(max(1, bundles.count()), "bundle")
+    bundles = bundles.repartition(max(1, bundles.count()))  # by a key, the plan would keep the few tasks of distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, path = pafs.FileSystem.from_uri(folder)
