@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from veridag.operators import evals, log
+from veridag.plans import evals as evaluations
 from veridag.plans.model import IN_PRICE, OUT_PRICE, VERDICTS, nodes, table, verdicts
-from veridag.plans.registry import query
+from veridag.plans.registry import ORACLES, query
 from veridag.sources import tabular
 from veridag.streaming import events as streams
 
@@ -153,7 +154,11 @@ def layer_labels(spark, sf_dir):
     return verdicts(spark, sf_dir).select(name.alias("name")).groupBy("name", layer.alias("layer")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+PARTS = {"categories": evaluations.category_breakdown, "leaderboard": evaluations.judge_leaderboard, "methods": evaluations.method_comparison}
+
+
+@query(f"""WITH {", ".join(f"{name} AS ({ORACLES[f.__name__]})" for name, f in PARTS.items())}
+SELECT CAST(to_json(MAP {{{", ".join(f"'{name}': (SELECT CAST(to_json(list(x ORDER BY {'category' if name == 'categories' else 'method'})) AS VARCHAR) FROM {name} x)" for name in PARTS)}}}) AS VARCHAR) AS report""")
 def dashboard_report(spark, sf_dir):
     """All small reads of an evaluation as one JSON document."""
     v = verdicts(spark, sf_dir)
