@@ -9,6 +9,7 @@ from veridag.llm import langid, pieces, warc
 from veridag.llm.boilerplate import extract_main_text
 from veridag.llm.common import LOWER, UPPER, table
 from veridag.llm.decontam import find_leaks
+from veridag.llm.divergence import audit_sources
 from veridag.llm.jaccard import near_duplicates
 from veridag.llm.linededup import drop_shared_lines
 from veridag.llm.multiindex import near_vectors
@@ -109,3 +110,28 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = pieces.decode_pieces(pieces.encode_pieces(docs, model), model)
     # The hash of the decoded text shows the round trip: it equals that of the text.
     return coded.select("doc_id", "n_pieces", "ids", "scores", "alternatives", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_source_divergence"] = f"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS text FROM documents),
+w AS (SELECT k, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT k) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+own AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+total AS (SELECT g.lang, g.source, coalesce(sum(own.n), 0) AS n FROM g LEFT JOIN own USING (lang, source) GROUP BY g.lang, g.source),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(own.n, 0) AS n, CAST(1 + 1000000000 * CAST(coalesce(own.n, 0) + 2 AS HUGEINT) // (total.n + 2 * v.v) AS BIGINT) AS p,
+        CAST(1 + 1000000000 * CAST(kept.n + 2 AS HUGEINT) // (v.n + 2 * v.v) AS BIGINT) AS q
+      FROM g JOIN kept USING (lang) JOIN v USING (lang) JOIN total USING (lang, source) LEFT JOIN own USING (lang, source, term)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+UNION ALL SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM terms) WHERE rank <= 10
+"""
