@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridag.llm import langid, pieces, warc
+from veridag.llm import chat, langid, pieces, warc
 from veridag.llm.boilerplate import extract_main_text
-from veridag.llm.common import LOWER, UPPER, table
+from veridag.llm.common import LOWER, UPPER, stored, table
 from veridag.llm.decontam import find_leaks
 from veridag.llm.divergence import audit_sources
 from veridag.llm.jaccard import near_duplicates
@@ -15,6 +15,8 @@ from veridag.llm.linededup import drop_shared_lines
 from veridag.llm.multiindex import near_vectors
 from veridag.llm.pii import find_pii
 from veridag.llm.sharding import shard_rows
+from veridag.llm.trie import prefix_trie
+from veridag.llm.turns import ordered_turns
 
 QUERIES, ORACLES = {}, {}
 
@@ -135,3 +137,54 @@ terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS val
 SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
 UNION ALL SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM terms) WHERE rank <= 10
 """
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+#: CRC-32 of a decimal number c, bit by bit: a list element of a digit flips its bits in, and each of eight -1 shifts one out.
+CRC32 = """xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: list_concat([CAST(ascii(x) AS BIGINT)], [-1, -1, -1, -1, -1, -1, -1, -1])))),
+       lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"""
+
+ORACLES["op12_prefix_trie"] = f"""
+WITH r AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+      FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, n, {CRC32} % 4 AS h FROM (SELECT c, count(*) AS n FROM r GROUP BY c)),
+m AS (SELECT a.c, a.h, a.c - a.c % 20 AS base, least(a.h, coalesce(b.n, 0)) AS m FROM convs a LEFT JOIN convs b ON b.c = a.c - a.c % 20),
+t AS (SELECT m.c, r.pos, role, text FROM m JOIN r ON r.c = m.base AND r.pos < m.h UNION ALL SELECT m.c, r.pos - m.h + m.m, role, text FROM m JOIN r ON r.c = m.c AND r.pos >= m.h),
+seq AS (SELECT convs.c, list({{'role': role, 'text': text}} ORDER BY pos) FILTER (pos IS NOT NULL) AS s FROM convs LEFT JOIN t ON t.c = convs.c GROUP BY convs.c),
+pre AS (SELECT c, len(coalesce(s, [])) AS n, d, coalesce(s, [])[1:d] AS k FROM (SELECT c, s, unnest(range(0, len(coalesce(s, [])) + 1)) AS d FROM seq)),
+nodes AS (SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, CASE WHEN d > 0 THEN len(regexp_extract_all(k[d].text, '[^\\x20\\x09-\\x0D]+')) ELSE 0 END AS words FROM pre GROUP BY d, k),
+mem AS (SELECT pre.c, pre.d, pre.n, nodes.conv_id FROM pre JOIN nodes USING (d, k)),
+up AS (SELECT n.conv_id, n.d, n.n_convs, n.words, mem.conv_id AS parent FROM nodes n LEFT JOIN mem ON mem.c = n.conv_id AND mem.d = n.d - 1),
+kids AS (SELECT parent AS conv_id, d - 1 AS d, count(*) AS n FROM up WHERE d > 0 GROUP BY ALL),
+whole AS (SELECT up.*, coalesce(kids.n, 0) AS n_children FROM up LEFT JOIN kids USING (conv_id, d)),
+sub AS (SELECT mem.conv_id, mem.d, count(*) FILTER (w.n_children = 0) AS n_leaves, CAST(sum((w.n_convs - 1) * w.words) AS BIGINT) AS saved_tokens FROM whole w JOIN mem ON mem.c = w.conv_id AND mem.d <= w.d GROUP BY ALL),
+ends AS (SELECT conv_id, d, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM mem WHERE d = n GROUP BY ALL)
+SELECT w.conv_id, w.d AS depth, w.parent AS parent_conv_id, w.n_convs, w.n_children, sub.n_leaves, sub.saved_tokens, sha256(coalesce(ends.ids, '')) AS ends_sha256
+FROM whole w JOIN sub USING (conv_id, d) LEFT JOIN ends USING (conv_id, d)
+"""
+
+
+@query
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = "</s>[INST] ok [/INST]"  # a conversation of control strings
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string"))
+    pieces_of = chat.format_chat(chat.conversations_as_replies(stored(ordered_turns(rows))), "conv_id")
+    return chat.conversation_digests(pieces_of).withColumn("conv_id", F.col("key").cast("long")).drop("key")
+
+
+ORACLES["op13_chat_formatting"] = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, length(regexp_replace(text, '([\[<])(\\*)(/?(?:INST|SYS|OUT|ROLE|AS)\]|/?s>)', '\1\\\2\3', 'g')) AS n,
+        length(regexp_replace(role, '([\[<])(\\*)(/?(?:INST|SYS|OUT|ROLE|AS)\]|/?s>)', '\1\\\2\3', 'g')) AS r FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(CAST(sum(length(text)) FILTER (role = 'assistant') AS BIGINT), 0) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(3 + sum(n + CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 13 WHEN 'assistant' THEN 10 ELSE r + 20 END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
