@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from string import Formatter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -58,6 +59,18 @@ def entity_texts(nodes: DataFrame, edges: DataFrame, label: str, captions: dict[
     return out
 
 
+def templated_texts(rows: DataFrame, kind: str, key: str, name: str, template: str) -> DataFrame:
+    """(source_id, name, text) of rows by a template in which {column} stands for a column's value, "unknown" if it is null.
+
+    The template is cut at plan time, so that a text is one expression; {{ and }} stand for braces.
+    """
+    parts = []
+    for literal, column, *_ in Formatter().parse(template):
+        parts += [F.lit(literal)] if literal else []
+        parts += [F.coalesce(F.col(column).cast("string"), F.lit("unknown"))] if column else []
+    return rows.select(F.concat_ws(":", F.lit(kind), F.col(key).cast("string")).alias("source_id"), F.col(name).alias("name"), F.concat(*parts, F.lit("")).alias("text"))
+
+
 def keyword_hits(questions: DataFrame, records: DataFrame, most: int | None = None) -> DataFrame:
     """(question_id, record_id) where any of a question's terms is in a record's folded title or scope; the first `most` by id."""
     terms = questions.select("question_id", F.explode("terms").alias("needle")).where("needle <> ''").distinct()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridag.functions.text import citations, content_words, fingerprint, token_estimate
+from veridag.operators.assembly import keyword_hits
 
 # Penalties of degradations that undermine confidence; any other costs 0.1.
 PENALTIES = {"no_context_retrieved": 1.0, "vector_retriever_unavailable": 0.5, "graph_retriever_unavailable": 0.25, "vector_collection_unavailable": 0.15, "runtime_retriever_unavailable": 0.0}
@@ -138,11 +141,59 @@ def graph_elements(found: DataFrame) -> DataFrame:
     return found.select("package_id", F.concat_ws(":", F.lit("graph"), "label", "id").alias("element_id"), F.lit("graph").alias("kind"), text.alias("content"), F.when(F.col("via") == "curie", 0.75).otherwise(0.55).alias("score"))
 
 
-def rendered(elements: DataFrame) -> DataFrame:
-    """(package_id, text): the elements (rank, source) of a package as a prompt shows them, in rank order."""
-    line = F.format_string("[%s] (%s, source=%s, score=%.3f)\n%s", "element_id", "kind", "source", "score", "content")
+def keyword_elements(questions: DataFrame, nodes: DataFrame, labels: list[str], title: str, scope: str, most: int = 8) -> DataFrame:
+    """Elements of the entities of some labels whose title or scope (names of properties, or "name") has any of a question's
+    terms (package_id, terms): the first `most` by label and id, below those that a concept leads to."""
+    of = lambda c: F.coalesce("name", F.lit("")) if c == "name" else F.coalesce(F.col("props")[c], F.lit(""))
+    rows = nodes.where(F.col("label").isin(labels)).withColumn("record_id", F.concat_ws(":", "label", "id"))
+    hits = keyword_hits(questions.select(F.col("package_id").alias("question_id"), "terms"), rows.select("record_id", of(title).alias("title"), of(scope).alias("scope")), most)
+    found = hits.join(rows, "record_id").select(F.col("question_id").alias("package_id"), "label", "id", "name", "props", F.array().cast("array<string>").alias("links"), F.lit("keyword").alias("via"))
+    return graph_elements(found)
+
+
+#: What a source of elements gives; further columns are left out, and curies may be missing.
+ELEMENT = ("package_id", "element_id", "kind", "content", "score", "curies")
+
+
+class Retrievers:
+    """Sources of elements by name, which a user adds to: each a function of the questions that gives their elements."""
+
+    def __init__(self) -> None:
+        self.sources: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+    def register(self, name: str, source: Callable[[DataFrame], DataFrame]) -> None:
+        if name in self.sources:
+            raise ValueError(f"there is a retriever {name} already")
+        self.sources[name] = source
+
+    def gathered(self, asked: DataFrame) -> tuple[DataFrame | None, dict[str, str]]:
+        """Elements of all sources, and of those whose plan can't be made, why: they are degradations, and stop no other."""
+        out, failed = None, {}
+        for name, source in self.sources.items():
+            try:
+                rows = source(asked)
+                rows = rows if "curies" in rows.columns else rows.withColumn("curies", F.array().cast("array<string>"))
+                rows = rows.select(*ELEMENT)
+            except Exception as e:  # noqa: BLE001  whatever a user's source raises belongs in the report
+                failed[name] = f"{name}_retriever_unavailable: {type(e).__name__}"
+                continue
+            out = rows if out is None else out.unionByName(rows)
+        return out, failed
+
+
+def rendered(elements: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(package_id, text): the elements (rank, source) of a package as a prompt shows them, in rank order.
+
+    Elements with curies show them; packages of asked without elements say so.
+    """
+    has = "curies" in elements.columns
+    curies = F.when(F.size("curies") > 0, F.concat(F.lit(", curies="), F.array_join("curies", " "))).otherwise("") if has else F.lit("")
+    line = F.concat(F.format_string("[%s] (%s, source=%s, score=%.3f", "element_id", "kind", "source", "score"), curies, F.lit(")\n"), "content")
     rows = elements.groupBy("package_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("rows"))  # a package is a few rows
-    return rows.select("package_id", F.array_join(F.transform("rows", lambda r: r["line"]), "\n\n").alias("text"))
+    out = rows.select("package_id", F.array_join(F.transform("rows", lambda r: r["line"]), "\n\n").alias("text"))
+    if asked is None:
+        return out
+    return asked.select("package_id").distinct().join(out, "package_id", "left").withColumn("text", F.coalesce("text", F.lit("nothing was retrieved")))
 
 
 def with_verdict(rows: DataFrame, fired: DataFrame) -> DataFrame:

@@ -167,7 +167,44 @@ def hydrated(results: DataFrame) -> DataFrame:
     for kind, key in BIASES.items():
         biased = F.coalesce(r[key].try_cast("boolean"), F.lit(False))
         rows.append(F.when(F.col("kind") == kind, one("bias_test", F.when(biased, "biased").otherwise("clean"), ~biased, F.lit(None).cast("double"))))
-    return results.select("test_id", "kind", F.inline(F.array_compact(F.array(*rows))))
+    kept = [c for c in ("run_id", "test_id", "category", "is_correct", "kind") if c in results.columns]
+    return results.select(*kept, F.inline(F.array_compact(F.array(*rows))))
+
+
+def run_objects(results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Objects (object_id, object_type, props) and links (source, rel_type, target) of run files' results, as read_runs gives them.
+
+    A run, its tests and their categories, a verdict a judge and test, the judges, and a bias pattern for each verdict that
+    passes what is bad.  What several files say of one object counts once, with the props of the largest run.
+    """
+    slug = lambda c: F.concat(F.lit("cat-"), F.regexp_replace(F.lower(c), " ", "-"))
+    text = lambda **p: F.map_filter(F.create_map(*[x for k, v in p.items() for x in (F.lit(k), v.cast("string"))]), lambda _, v: v.isNotNull())
+    obj = lambda id_, kind, props: F.struct(id_.alias("object_id"), F.lit(kind).alias("object_type"), props.alias("props"))
+    link = lambda a, rel, b: F.struct(a.alias("source"), F.lit(rel).alias("rel_type"), b.alias("target"))
+    run, test, category = F.col("run_id"), F.col("test_id"), F.coalesce("category", F.lit("unknown"))
+    base = results.select("run_id", F.inline(F.array(
+        obj(run, "EvalRun", text(source_file=F.col("file"))), obj(slug(category), "Category", text(name=category)),
+        obj(test, "TestCase", text(category=category, is_correct=F.col("is_correct"), error_type=F.col("result")["error_type"])),
+    )))
+    v = hydrated(results).withColumn("verdict_id", F.concat_ws(":", "run_id", "test_id", "method"))
+    bad = (F.col("result") == "PASS") & ~F.col("correct")
+    judge, verdict, bias = F.concat(F.lit("judge-"), "method"), F.col("verdict_id"), F.when(bad, F.concat(F.lit("bias-fp-"), "verdict_id"))
+    told = v.select("run_id", F.inline(F.array(
+        obj(judge, "Judge", text(method=F.col("method"))), obj(verdict, "Verdict", text(result=F.col("result"), correct=F.col("correct"), latency_ms=F.col("latency_ms"))), obj(bias, "BiasPattern", text(bias_type=F.lit("false_positive"))),
+    )))
+    objects = base.unionByName(told).where("object_id is not null").groupBy("object_id", "object_type").agg(F.max_by("props", "run_id").alias("props"))
+    links = results.select(F.inline(F.array(link(test, "BELONGS_TO", slug(category))))).unionByName(
+        v.select(F.inline(F.array(link(verdict, "EVALUATED_IN", run), link(judge, "PRODUCES", verdict), link(verdict, "TESTS", test), link(verdict, "EXHIBITS", bias))))
+    )
+    return objects, links.where("target is not null").distinct()
+
+
+def proof_lineage(evidence: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(summary, run_id, method, result, failure_mode): from each summary (summary, run_id), through the runs that it rests on,
+    to their wrong verdicts and, where it has one, the mode of failure: a pass of what is bad, or a fail of what is good."""
+    wrong = verdicts.where(~F.col("correct"))
+    mode = F.when(F.col("result") == "PASS", F.concat(F.lit("FalsePass:"), "method")).when(F.col("result") == "FAIL", F.concat(F.lit("FalseNeg:"), "method"))
+    return evidence.select("summary", "run_id").distinct().join(wrong, "run_id").select("summary", "run_id", "test_id", "method", "result", mode.alias("failure_mode"))
 
 
 def eval_graph(verdicts: DataFrame) -> tuple[DataFrame, DataFrame]:

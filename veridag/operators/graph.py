@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridag.sources.tables import stored
+
 ENDS = ["src_label", "src_id", "rel_type", "dst_label", "dst_id"]
 
 
@@ -100,6 +102,22 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("label", "id").agg(F.count(F.lit(1)).alias("degree"))
 
 
+def scoped_facts(nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = None, types: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """Facts of the entities that ids (label, id; a null label is any) and types name, the first `most` by type and id.
+
+    The scope cuts nodes and edges before relations are gathered, and the limit, which has an order, before edges are read.
+    """
+    wanted = nodes if types is None else nodes.where(F.col("label").isin(types))
+    if ids is not None:
+        exact = wanted.join(ids.where("label is not null").select("label", "id").distinct(), ["label", "id"], "left_semi")
+        loose = wanted.join(ids.where("label is null").select("id").distinct(), "id", "left_semi").select(*wanted.columns)
+        wanted = exact.select(*wanted.columns).unionByName(loose).dropDuplicates(["label", "id"])
+    if most is not None:
+        wanted = stored(wanted.orderBy("label", "id").limit(most))
+    own = wanted.select(F.col("label").alias("src_label"), F.col("id").alias("src_id"))
+    return facts(wanted, edges.join(own, ["src_label", "src_id"], "left_semi"))
+
+
 def facts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(entity_type, entity_id, properties, relations): each relation with its sorted distinct targets; no relation, empty map."""
     targets = edges.groupBy(F.col("src_label").alias("label"), F.col("src_id").alias("id"), "rel_type").agg(F.array_sort(F.collect_set("dst_id")).alias("targets"))
@@ -108,10 +126,19 @@ def facts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(maps, ["label", "id"], "left").select(F.col("label").alias("entity_type"), F.col("id").alias("entity_id"), F.col("props").alias("properties"), F.coalesce("relations", none).alias("relations"))
 
 
-def relation_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(entity_type, entity_id, properties, relations): for each relation how many distinct targets; rules need no more of them."""
-    counts = edges.groupBy(F.col("src_label").alias("label"), F.col("src_id").alias("id"), "rel_type").agg(F.count_distinct("dst_label", "dst_id").alias("n"))
-    maps = counts.groupBy("label", "id").agg(F.map_from_entries(F.collect_list(F.struct("rel_type", "n"))).alias("relations"))  # a row a relation
+def relation_counts(nodes: DataFrame, edges: DataFrame, relations: list[str] | None = None) -> DataFrame:
+    """(entity_type, entity_id, properties, relations): for each relation how many distinct targets; rules need no more of them.
+
+    With relations named, edges must be distinct, and one aggregate counts those named and no other.
+    """
+    ends = [F.col("src_label").alias("label"), F.col("src_id").alias("id")]
+    if relations is not None:
+        pairs = edges.where(F.col("rel_type").isin(relations)).groupBy(*ends).agg(*[F.count_if(F.col("rel_type") == r).alias(f"n{i}") for i, r in enumerate(relations)])
+        found = [x for i, r in enumerate(relations) for x in (F.lit(r), F.nullif(F.col(f"n{i}"), F.lit(0)))]
+        maps = pairs.select("label", "id", F.map_filter(F.create_map(*found), lambda _, n: n.isNotNull()).alias("relations")) if relations else pairs.withColumn("relations", F.create_map().cast("map<string,bigint>"))
+    else:
+        counts = edges.groupBy(*ends, "rel_type").agg(F.count_distinct("dst_label", "dst_id").alias("n"))
+        maps = counts.groupBy("label", "id").agg(F.map_from_entries(F.collect_list(F.struct("rel_type", "n"))).alias("relations"))  # a row a relation
     rest = [c for c in nodes.columns if c not in ("label", "id", "name", "props")]
     none = F.create_map().cast("map<string,bigint>")
     return nodes.join(maps, ["label", "id"], "left").select(F.col("label").alias("entity_type"), F.col("id").alias("entity_id"), F.col("props").alias("properties"), F.coalesce("relations", none).alias("relations"), *rest)
@@ -127,13 +154,28 @@ def links_of(edges: DataFrame, ids: DataFrame, rel_type: str | None = None) -> D
 
 
 def containing(texts: DataFrame, needles: DataFrame, gram: int = 3) -> DataFrame:
-    """(text columns…, needle) of each text (column text) that holds a needle: an equi-join on the needle's first `gram`
-    characters, which must be among the text's runs of so many, then the check.  Shorter needles join by their own length."""
-    size = F.least(F.length("needle"), F.lit(gram))
-    keyed = needles.where("length(needle) > 0").select("needle").distinct().select("needle", size.alias("size"), F.substring("needle", F.lit(1), size).alias("key"))
-    runs = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(gram)), lambda n: F.transform(
-        F.when(F.length("text") >= n, F.sequence(F.lit(1), F.length("text") - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(n.alias("size"), F.substring("text", i, n).alias("key"))))))
-    return texts.select("*", F.inline(runs)).join(keyed, ["size", "key"]).where(F.contains("text", F.col("needle"))).drop("size", "key")
+    """(text columns…, needle) of each text (column text) that holds a needle, by an inverted index of character runs.
+
+    A needle is sought by the one of its runs of `gram` characters that the fewest texts hold, and not at all if one of them
+    is in no text; a shorter needle is a run itself.  Texts are named by a hash until the check, for which they join
+    again: what is made of a text is in proportion to its length.  Null and empty texts and needles match nothing.
+    """
+    wanted = needles.where("length(needle) > 0").select("needle").distinct().withColumn("size", F.least(F.length("needle"), F.lit(gram)))
+    sizes = sorted(r[0] for r in wanted.select("size").distinct().collect())  # `gram` of them at most
+    if not sizes:
+        return texts.withColumn("needle", F.lit(None).cast("string")).limit(0)
+    runs = lambda c, n: F.array_distinct(F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+    keyed = texts.withColumn("_text_hash", F.xxhash64("text"))
+    postings = keyed.select("_text_hash", F.explode(F.concat(*[runs("text", n) for n in sizes])).alias("run"))
+    parts = None
+    for n in sizes:
+        own = wanted.where(F.col("size") == n).select("needle", F.explode(runs("needle", n)).alias("run"))
+        parts = own if parts is None else parts.unionByName(own)
+    held = stored(postings.groupBy("run").agg(F.count(F.lit(1)).alias("n")))
+    rarest = parts.join(held, "run", "left").groupBy("needle").agg(F.count_if(F.col("n").isNull()).alias("missing"), F.min(F.struct("n", "run")).alias("least"))
+    keys = stored(rarest.where("missing = 0").select("needle", "least.run"))
+    found = stored(postings.join(keys, "run").select("_text_hash", "needle").distinct())
+    return keyed.join(found, "_text_hash").where(F.contains("text", F.col("needle"))).drop("_text_hash")
 
 
 def same_as(pairs: DataFrame) -> DataFrame:
@@ -169,18 +211,46 @@ def canonical(curies: DataFrame, same_as: DataFrame, depth: int = 3) -> DataFram
     return near.groupBy(F.substring("origin", 3, 1 << 30).alias("curie")).agg(F.min(F.substring("node", 3, 1 << 30)).alias("canonical"))
 
 
+def equivalence_classes(pairs: DataFrame) -> DataFrame:
+    """(id, canonical) for each id of the undirected pairs (a, b): the smallest id that pairs lead to, however far.
+
+    In a round each id and the canonical id it has take the smallest one of its neighbours, and then that one's: chains
+    shorten by a factor a round, and about log n rounds are left.  Each round is stored.  Pairs with a null go; an id paired
+    with itself alone is its own class; repeated pairs count once.
+    """
+    known = pairs.where("a is not null and b is not null").select("a", "b")
+    both = stored(known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    of = stored(both.select(F.col("a").alias("id")).distinct().select("id", F.col("id").alias("canonical")))
+    while True:
+        seen = both.join(of.select(F.col("id").alias("b"), "canonical"), "b").groupBy(F.col("a").alias("id")).agg(F.min("canonical").alias("near"))
+        near = stored(of.join(seen, "id"))
+        hooked = near.select("id", F.least("canonical", "near").alias("canonical")).unionByName(near.select(F.col("canonical").alias("id"), F.col("near").alias("canonical")))
+        hooked = stored(hooked.groupBy("id").agg(F.min("canonical").alias("canonical")))
+        up = hooked.select(F.col("id").alias("canonical"), F.col("canonical").alias("above"))
+        jumped = hooked.join(up, "canonical").select("id", F.least("canonical", "above").alias("canonical"))
+        changed = stored(jumped.join(of.select("id", F.col("canonical").alias("before")), "id"))
+        of = changed.select("id", "canonical")
+        if changed.where("canonical <> before").isEmpty():
+            return of
+
+
 def shared_token_pairs(terms: DataFrame, least: int = 5, crowded: int = 1000) -> tuple[DataFrame, DataFrame]:
     """Pairs of terms (curie, surface) of different vocabularies that share an alphabetic token, and the crowded tokens.
 
-    A token that more than `crowded` terms have hardly names a concept and pairs much with much; it is reported, and
-    joined all the same.
+    Terms meet by token and by the two vocabularies, so that no pair within a vocabulary is made.  A token that more than
+    `crowded` terms have hardly names a concept and pairs much with much; it is reported, and joined all the same: the
+    tokens are stored, so that a hot one can be split.
     """
     tokens = terms.select("curie", F.explode(F.regexp_extract_all(F.lower("surface"), F.lit(rf"([a-z]{{{least},}})"), F.lit(1))).alias("token")).distinct()
+    tokens = stored(tokens.withColumn("own", F.split("curie", ":")[0]))
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    vocabulary = lambda c: F.split(c, ":")[0]
-    other = tokens.select("token", F.col("curie").alias("b"))
-    pairs = tokens.select("token", F.col("curie").alias("a")).join(other, "token").where((F.col("a") < F.col("b")) & (vocabulary(F.col("a")) != vocabulary(F.col("b"))))
-    return pairs.groupBy("a", "b").agg(F.min("token").alias("token")), counts.where(F.col("n") > crowded)
+    met = stored(tokens.select("token", "own").distinct().groupBy("token").agg(F.array_sort(F.collect_list("own")).alias("all")).where(F.size("all") > 1))  # a row a vocabulary
+    # Of two vocabularies the first in order is on the left; a vocabulary is dealt to each one after it.
+    sides = stored(tokens.join(met, "token").select("token", "curie", "own", F.explode("all").alias("with")).where("own <> with"))
+    left = sides.where("own < with").select("token", "own", "with", F.col("curie").alias("x"))
+    right = sides.where("own > with").select("token", F.col("with").alias("own"), F.col("own").alias("with"), F.col("curie").alias("y"))
+    pairs = left.join(right, ["token", "own", "with"])
+    return pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("token").alias("token")), counts.where(F.col("n") > crowded)
 
 
 def inverse(edges: DataFrame, rel_type: str, name: str) -> DataFrame:

@@ -1,42 +1,50 @@
-"""Linking of text mentions to terms: dictionary names over token n-grams, and mentions to concepts."""
+"""Linking of text mentions to terms: dictionary names by their rarest words, and mentions to concepts."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridag.functions.text import MENTION, SPAN_NOISE
+from veridag.sources.tables import stored
+
 # Names that are too general to resolve.
 NAME_STOPLIST = ("type", "status", "protein", "mutation", "expression")
 
 
-def ngrams(words: Column, longest: int) -> Column:
-    """(start, size, gram) of all runs of 1 to `longest` words."""
-    out = []
-    for n in range(1, longest + 1):
-        at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        out.append(F.transform(at, gram_of(words, n)))
-    return F.concat(*out)
-
+def cut_words(c: str) -> Column:
+    return F.filter(F.split(c, r"[^\p{L}\p{N}\-]+"), lambda w: w != "")
 
-def gram_of(words: Column, n: int):
-    return lambda i: F.struct(i.alias("start"), F.lit(n).alias("size"), F.array_join(F.slice(words, i, n), " ").alias("gram"))
 
+def named_spans(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(text_id, label, key, name, start, size): where texts have all words of a name (label, key, name), in order.
 
-def resolve_names(texts: DataFrame, names: DataFrame, longest: int | None = None, most: int = 12) -> DataFrame:
+    A name is sought by the one of its words that texts use least, and not at all if one of them is in no text; only where
+    that word is are the others looked for, each at its place.  So the work follows the places found, not the length of
+    the longest name.  Words are compared folded, and exactly for names of fewer than four letters.  text_id names one text.
+    """
+    known = stored(names.select("label", "key", "name").distinct().withColumn("words", cut_words("name")).where("size(words) > 0").withColumn("nid", F.monotonically_increasing_id()))
+    parts = known.select("nid", F.size("words").alias("size"), (F.length("name") >= 4).alias("loose"), F.posexplode("words").alias("j", "own")).withColumn("token", F.lower("own"))
+    tokens = texts.select("text_id", F.posexplode(cut_words("text")).alias("pos", "word")).select("text_id", (F.col("pos") + 1).alias("pos"), "word", F.lower("word").alias("token"))
+    held = stored(tokens.join(parts.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    rarest = parts.join(held, "token", "left").groupBy("nid", "size", "loose").agg(F.count_if(F.col("n").isNull()).alias("missing"), F.min(F.struct("n", "j", "token", "own")).alias("x"))
+    keys = stored(rarest.where("missing = 0").select("nid", "size", "loose", F.col("x.j").alias("key_j"), "x.token", "x.own"))
+    same = F.col("loose") | (F.col("word") == F.col("own"))
+    met = tokens.join(keys, "token").where(same).select("text_id", (F.col("pos") - F.col("key_j")).alias("start"), "nid", "size", "key_j").where("start >= 1")
+    rest = met.where("size > 1").join(parts.select("nid", "j", "loose", "token", "own"), "nid").where("j <> key_j").withColumn("pos", F.col("start") + F.col("j"))
+    whole = rest.join(tokens, ["text_id", "pos", "token"]).where(same).groupBy("text_id", "start", "nid", "size").agg(F.count(F.lit(1)).alias("n")).where("n = size - 1")
+    spans = met.where("size = 1").select("text_id", "start", "nid", "size").unionByName(whole.drop("n"))
+    return spans.join(known.drop("words"), "nid").select("text_id", "label", "key", "name", "start", "size")
+
+
+def resolve_names(texts: DataFrame, names: DataFrame, most: int = 12) -> DataFrame:
     """(text_id, label, key, name, start): names in texts, longest first.
 
     A name matches whole words: exactly if it has fewer than four letters, else folded.  Names of the stoplist go; within
     a label, a match inside a longer one goes, and names with the same span all stay; of the rest, the first `most` by
-    length, place, label and key stay.  `longest` is the most words of a name, by default those of the longest name.
+    length, place, label and key stay.
     """
-    cut = lambda c: F.filter(F.split(c, r"[^\p{L}\p{N}\-]+"), lambda w: w != "")
-    if longest is None:
-        longest = names.agg(F.max(F.size(cut("name")))).first()[0] or 1
-    words = cut("text")
-    grams = texts.select("text_id", F.inline(ngrams(words, longest)))
-    keyed = grams.withColumn("folded", F.lower("gram"))
-    known = names.where(~F.lower("name").isin(*NAME_STOPLIST)).distinct().withColumn("folded", F.lower(F.array_join(cut("name"), " ")))
-    hits = keyed.join(known, "folded").where((F.length("name") >= 4) | (F.array_join(cut("name"), " ") == F.col("gram")))
+    hits = named_spans(texts, names.where(~F.lower("name").isin(*NAME_STOPLIST)))
     by_label = Window.partitionBy("text_id", "label").orderBy("start", F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
     spans = hits.select("text_id", "label", "start", "size", (F.col("start") + F.col("size")).alias("end")).distinct().withColumn("covered", F.max("end").over(by_label))
     kept = hits.join(spans.where("covered is null or end > covered"), ["text_id", "label", "start", "size"], "left_semi")
@@ -45,6 +53,25 @@ def resolve_names(texts: DataFrame, names: DataFrame, longest: int | None = None
     return once.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).drop("k")
 
 
+def mention_rows(texts: DataFrame, least: int = 3) -> DataFrame:
+    """(text_id, surface, start, end) of the mentions of texts (text_id, text), as candidate_mentions gives them.
+
+    Places are running sums over a text's matches, a row a match, so that a text with many takes time in proportion.
+    Rows that repeat an id and text count once.
+    """
+    found, gaps = F.regexp_extract_all("text", F.lit(MENTION), F.lit(0)), F.split("text", MENTION, -1)
+    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("gap")))
+    rows = texts.where(F.col("text").isNotNull()).select("text_id", F.xxhash64("text").alias("h"), F.posexplode(pairs).alias("k", "x"))
+    rows = rows.groupBy("text_id", "h", "k").agg(F.any_value("x").alias("x")).select("text_id", "h", "k", "x.m", "x.gap")
+    before = F.sum(F.col("gap") + F.length("m")).over(Window.partitionBy("text_id", "h").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
+    inner = F.col("m").startswith("(")
+    placed = rows.withColumn("start", (F.coalesce(before, F.lit(0)) + F.col("gap") + inner.cast("int")).cast("int"))
+    placed = placed.withColumn("surface", F.trim(F.when(inner, F.substring("m", F.lit(2), F.length("m") - 2)).otherwise(F.col("m")))).withColumn("folded", F.lower("surface"))
+    told = placed.where((F.length("surface") >= least) & ~F.forall(F.split("folded", r"\s+"), lambda w: w.isin(*SPAN_NOISE)))
+    first = told.groupBy("text_id", "h", "folded").agg(F.min(F.struct("start", "surface")).alias("x"))
+    return first.select("text_id", "x.surface", "x.start", (F.col("x.start") + F.length("x.surface")).alias("end"))
+
+
 def term_index(*sources: DataFrame) -> DataFrame:
     """Distinct (curie, surface) of vocabularies, by curie and folded surface; surfaces under two letters go."""
     rows = sources[0]

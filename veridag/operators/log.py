@@ -13,19 +13,32 @@ def as_of(decisions: DataFrame, at: Column) -> DataFrame:
     return decisions.where((F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at)))
 
 
-def as_of_join(probes: DataFrame, decisions: DataFrame, on: list[str]) -> DataFrame:
-    """For each probe (at, …), the decision of its key that is valid then: the last one begun, if not over.
+def as_of_join(probes: DataFrame, decisions: DataFrame, on: list[str], outer: bool = True, width_us: int = 60_000_000) -> DataFrame:
+    """For each probe (at, …), every decision of its key that is valid then; outer: a row with null where there is none.
 
-    One window over both, so that a key's rows are shuffled once and no pair of rows is made.
+    decisions: (…, decision_id, valid_from, valid_to), valid from valid_from until before valid_to, or open if that is null.
+    Each interval lies in the two or so buckets of time that are at least as wide as itself, and a probe in one bucket of
+    each width that occurs, so that rows meet by key and bucket, whatever the intervals' lengths, and bounds are checked
+    after.  A hot key's rows are in as many buckets as its time has.  Null keys and moments match nothing.
     """
-    keyed = decisions.select(*on, F.col("valid_from").alias("_t"), F.lit(0).alias("_probe"), F.struct("decision_id", "valid_to").alias("_d"))
-    rest = [c for c in probes.columns if c not in on]
-    rows = keyed.withColumn("_p", F.lit(None).cast(probes.select(F.struct(*rest).alias("x")).schema["x"].dataType))
-    asked = probes.select(*on, F.col("at").alias("_t"), F.lit(1).alias("_probe"), F.lit(None).cast(keyed.schema["_d"].dataType).alias("_d"), F.struct(*rest).alias("_p"))
-    last = F.last("_d", ignorenulls=True).over(Window.partitionBy(*on).orderBy("_t", "_probe").rowsBetween(Window.unboundedPreceding, 0))
-    found = rows.unionByName(asked).withColumn("_last", last).where("_probe = 1")
-    valid = F.col("_last.valid_to").isNull() | (F.col("_last.valid_to") > F.col("_t"))
-    return found.select(*on, "_p.*", F.when(valid, F.col("_last.decision_id")).alias("decision_id"))
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    horizon = probes.agg(F.max(us("at"))).first()[0]
+    end = F.least(F.coalesce(us("valid_to"), F.lit((horizon or 0) + 1)), F.lit((horizon or 0) + 1))
+    cut = decisions.select(*on, "decision_id", us("valid_from").alias("_from"), end.alias("_to")).where("_from < _to")
+    level = F.greatest(F.lit(0), F.ceil(F.log2((F.col("_to") - F.col("_from")) / F.lit(float(width_us)))))
+    cut = cut.withColumn("_level", level.cast("int"))
+    size = (F.lit(width_us) * F.pow(F.lit(2), F.col("_level"))).cast("long")
+    bucket = lambda t: F.call_function("div", t - F.pmod(t, size), size)
+    cut = cut.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_from")), bucket(F.col("_to") - 1))))
+    levels = sorted(r[0] for r in cut.select("_level").distinct().collect()) or [0]  # one a power of two
+    asked = probes.withColumn("_at", us("at")).withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels])))
+    found = asked.withColumn("_bucket", bucket(F.col("_at"))).join(cut, [*on, "_level", "_bucket"]).where("_from <= _at and _at < _to")
+    found = found.select(*probes.columns, "decision_id")
+    if not outer:
+        return found
+    had = found.select(*[F.col(c).alias(f"_{c}") for c in probes.columns]).distinct()
+    bare = probes.join(had, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in probes.columns], "left_anti")
+    return found.unionByName(bare.withColumn("decision_id", F.lit(None).cast(decisions.schema["decision_id"].dataType)))
 
 
 def superseded(decisions: DataFrame, closes: DataFrame) -> DataFrame:
@@ -66,6 +79,12 @@ def with_actions(decisions: DataFrame, actions: DataFrame) -> DataFrame:
     return decisions.join(told.select("decision_id", "n_actions", F.array_join(F.transform("a", lambda x: x["action"]), ",").alias("actions")), "decision_id", "left").withColumn("n_actions", F.coalesce("n_actions", F.lit(0)))
 
 
+def action_rows(decisions: DataFrame, actions: DataFrame) -> DataFrame:
+    """A row an action (decision_id, action, at) of known decisions, numbered in order of time: for decisions with many."""
+    order = Window.partitionBy("decision_id").orderBy("at", "action")
+    return actions.join(decisions.select("decision_id").distinct(), "decision_id", "left_semi").withColumn("seq", F.row_number().over(order))
+
+
 def appendable(children: DataFrame, decisions: DataFrame) -> DataFrame:
     """Those actions or outcomes whose decision exists."""
     return children.join(decisions.select("decision_id"), "decision_id", "left_semi")

@@ -14,6 +14,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridag.sources.tables import stored
+
 SEVERITIES = ("block", "warn", "info")  # most severe first
 
 
@@ -102,8 +104,79 @@ def rule_table(spark, rules: list[Rule]) -> DataFrame:
     return spark.createDataFrame([(r.rule_id, r.severity, SEVERITIES.index(r.severity), r.rationale) for r in rules], "rule_id string, severity string, rank int, rationale string")
 
 
+# Conditions that hold where a property is missing; they are told by the facts that break them.
+ABSENT_HOLDS = ("not_equals", "not_in", "no_relation", "absent")
+CONDITION_ROWS = "rule_id string, entity string, name string, op string, value string, number double"
+
+
+def condition_rows(spark, rules: list[Rule], lists: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """A pack as data: rules (rule_id, entity, needed) and conditions, a row a value.
+
+    needed is how many of a rule's conditions facts must meet; the others must not be broken.  Conditions on equality have
+    a row a value, which facts join by it, and the others one row of the property.
+    """
+    rows, heads = [], []
+    for r in rules:
+        needed = 0
+        for name, spec in r.where.items():
+            for op, value in (spec if isinstance(spec, dict) else {"equals": spec}).items():
+                condition(F.lit(None), op, value)  # an unknown operator fails here
+                op = {(True): "present", False: "absent"}[bool(value)] if op == "exists" else "holds" if op == "contains" and name in (lists or {}) else op
+                values = sorted({folded(v) for v in (value if op in ("in", "not_in") else [value])})
+                needed += op not in ABSENT_HOLDS
+                rows += [(r.rule_id, r.entity, name, op, v, float(value) if op in ("gt", "gte", "lt", "lte") else None) for v in values]
+        if r.with_relation and r.min_count > 0:
+            needed += 1
+            rows.append((r.rule_id, r.entity, r.with_relation, "relation", None, float(r.min_count)))
+        if r.without_relation:
+            rows.append((r.rule_id, r.entity, r.without_relation, "no_relation", None, None))
+        heads.append((r.rule_id, r.entity, needed))
+    return spark.createDataFrame(heads, "rule_id string, entity string, needed long"), spark.createDataFrame(rows, CONDITION_ROWS)
+
+
+def row_matches(facts: DataFrame, heads: DataFrame, conditions: DataFrame, lists: dict[str, str] | None = None) -> DataFrame:
+    """What matches() gives, with the rules as tables: facts meet conditions in joins on label and property, so that a pack
+    may have any number of rules.
+
+    Facts are exploded into their properties.  Equality, membership and their opposites join by the folded value too; only
+    comparisons, substrings and presence meet every value of their property.  A rule fires where a fact meets as many of its
+    conditions as it needs and breaks none; rules that need none are tried on all entities of their label.
+    """
+    scope = [c for c in facts.columns if c not in ("properties", "relations")]
+    held = F.map_filter(F.col("properties"), lambda _, v: v.isNotNull())
+    each = facts.select(*scope, F.explode(held).alias("name", "value")).withColumn("low", F.lower("value"))
+    on = [F.col("entity_type") == F.col("entity"), F.col("name") == F.col("c_name")]
+    c = conditions.select("rule_id", "entity", F.col("name").alias("c_name"), "op", F.col("value").alias("c_value"), "number")
+    verdict_of = lambda hit: F.struct("rule_id", F.concat_ws("\u0001", "op", "c_name", F.when(F.col("op").isin("in", "not_in"), F.lit("")).otherwise(F.coalesce("c_value", F.lit("")))).alias("condition"), F.col("op").isin(*ABSENT_HOLDS).alias("breaks"), hit.alias("hit"))
+    told = lambda rows, hit: rows.select(*scope, verdict_of(hit).alias("x")).where("x.hit")
+
+    equal = c.where(F.col("op").isin("equals", "in", "not_equals", "not_in"))
+    out = told(each.join(equal, [*on, F.col("low") == F.col("c_value")]), F.lit(True))
+    number = F.col("value").try_cast("double")
+    test = F.when(F.col("op") == "gt", number > F.col("number")).when(F.col("op") == "gte", number >= F.col("number")).when(F.col("op") == "lt", number < F.col("number")).when(F.col("op") == "lte", number <= F.col("number"))
+    test = F.when(F.col("op").isin("present", "absent"), F.col("value") != "").when(F.col("op") == "contains", F.contains("low", F.col("c_value"))).otherwise(test & ~F.isnan(number))
+    loose = c.where(F.col("op").isin("present", "absent", "contains", "gt", "gte", "lt", "lte"))
+    out = out.unionByName(told(each.join(loose, on), F.coalesce(test, F.lit(False))))
+    for name, mark in (lists or {}).items():
+        parts = each.where(F.col("name") == name).withColumn("low", F.explode(F.array_distinct(F.split("low", re.escape(mark.lower())))))
+        out = out.unionByName(told(parts.join(c.where("op = 'holds'"), [*on, F.col("low") == F.col("c_value")]), F.lit(True)))
+    counted = facts.select(*scope, F.explode("relations").alias("name", "n"))
+    related = c.where(F.col("op").isin("relation", "no_relation"))
+    out = out.unionByName(told(counted.join(related, on), F.coalesce(F.when(F.col("op") == "relation", F.col("n") >= F.col("number")).otherwise(F.col("n") > 0), F.lit(False))))
+
+    keys = [*scope, "rule_id"]
+    met = out.select(*scope, "x.rule_id", "x.condition", "x.breaks").groupBy(*keys, "condition", "breaks").agg(F.count(F.lit(1)).alias("n"))
+    met = stored(met.groupBy(*keys).agg(F.count_if(~F.col("breaks")).alias("met"), F.count_if("breaks").alias("broken")))
+    some = met.where("broken = 0").join(heads.where("needed > 0").select("rule_id", "needed"), "rule_id").where("met = needed")
+    free = facts.select(*scope).join(heads.where("needed = 0").select("rule_id", "entity"), F.col("entity_type") == F.col("entity")).select(*keys)
+    bad = met.where("broken > 0").select(*[F.col(k).alias(f"bad_{k}") for k in keys])
+    free = free.join(bad, [F.col(k).eqNullSafe(F.col(f"bad_{k}")) for k in keys], "left_anti")
+    return some.select(*keys).unionByName(free)
+
+
 def verdict(hits: DataFrame, rules: DataFrame, scope: list[str], shown: int = 3) -> DataFrame:
     """Per scope and rule: how many entities triggered it, and the first `shown` of them by id."""
+    hits = stored(hits.select(*scope, "rule_id", "entity_id"))  # read twice
     keys = [*scope, "rule_id"]
     order = F.row_number().over(Window.partitionBy(*keys).orderBy("entity_id"))
     some = hits.select(*keys, "entity_id").distinct().withColumn("k", order).where(F.col("k") <= shown)  # cut before the shuffle

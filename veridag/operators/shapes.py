@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veridag.functions.text import snake_to_camel
+
 NUMERIC = ("integer", "decimal", "float", "double")
 
 
@@ -65,3 +67,19 @@ def unmapped(nodes: DataFrame, declared: dict[str, set[str]], skipped: set[str])
     known = F.create_map(*[x for label, keys in declared.items() for x in (F.lit(label), F.array(*[F.lit(k) for k in sorted(keys | skipped)]))])
     keys = nodes.select("label", F.explode(F.map_keys("props")).alias("key"))
     return keys.where(~F.coalesce(F.array_contains(known[F.col("label")], F.col("key")), F.lit(False))).groupBy("label", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def bridged(nodes: DataFrame, declared: DataFrame, aliases: DataFrame, skipped: tuple[str, ...] = ()) -> DataFrame:
+    """(label, key, path, n): for the properties of nodes, the declared path of their class that holds them, null if none.
+
+    declared: (label, path); aliases: (label, key, path).  Candidates are the alias, the name in camel case and the name as
+    it is, the first of them that is declared; classes match whatever their case.  Empty values and skipped keys don't count.
+    """
+    filled = F.map_filter("props", lambda k, v: (F.coalesce(v, F.lit("")) != "") & ~k.isin(*skipped))
+    keys = nodes.select("label", F.explode(F.map_keys(filled)).alias("key")).groupBy("label", "key").agg(F.count(F.lit(1)).alias("n"))
+    low = lambda df: df.withColumn("low", F.lower("label")).drop("label")
+    of = low(aliases).withColumnRenamed("path", "alias")
+    named = keys.withColumn("low", F.lower("label")).join(of, ["low", "key"], "left")
+    tried = named.select("label", "low", "key", "n", F.posexplode(F.array("alias", snake_to_camel(F.col("key")), "key")).alias("k", "path"))
+    known = tried.join(low(declared).distinct(), ["low", "path"], "left_semi").groupBy("label", "key").agg(F.min_by("path", "k").alias("path"))
+    return keys.join(known, ["label", "key"], "left").select("label", "key", "path", "n")

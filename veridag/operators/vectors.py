@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veridag.sources.tables import stored
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -71,6 +76,106 @@ def scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return a @ b.T
 
 
+@dataclass(frozen=True)
+class VectorIndex:
+    """Hash tables over vectors: codes (table, code, point_id), the points themselves, and the hyperplanes of each table."""
+
+    codes: DataFrame
+    points: DataFrame
+    planes: np.ndarray  # tables x bits x dims
+
+
+def build_index(points: DataFrame, dims: int, tables: int = 16, bits: int = 10, seed: int = 7) -> VectorIndex:
+    """Random-projection hash tables over points (point_id, vec, …), stored: a bit of a code is the side of a hyperplane.
+
+    Vectors that are null, hold nulls, are zero or have other than dims dimensions are in no table, as they have no cosine
+    with anything.  A code of `bits` bits suits some 30 * 2**bits points; point_id must be unique.
+    """
+    planes = np.random.default_rng(seed).normal(size=(tables, bits, dims))
+    fine = "vec is not null and size(vec) = {} and forall(vec, x -> x is not null) and exists(vec, x -> x <> 0)".format(dims)
+    kept = stored(points.where(fine).withColumn("vec", F.transform("vec", lambda x: x.cast("double"))))
+    kind = points.schema["point_id"].dataType.simpleString()
+
+    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                own = codes_of(np.stack(b["vec"].to_list()), planes)[0]
+                yield pd.DataFrame({"table": np.tile(np.arange(tables), len(b)), "code": own.ravel(), "point_id": np.repeat(b["point_id"].to_numpy(), tables)})
+
+    coded = kept.select("point_id", "vec").mapInPandas(code, f"table int, code long, point_id {kind}")
+    return VectorIndex(stored(coded.repartition("table", "code").sortWithinPartitions("table", "code")), kept, planes)
+
+
+def codes_of(x: np.ndarray, planes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code of each row in each table, and how far the row is from each hyperplane."""
+    far = np.einsum("nd,tbd->ntb", x, planes)
+    return (far > 0) @ (1 << np.arange(planes.shape[1])), far
+
+
+def probed_codes(x: np.ndarray, planes: np.ndarray, probes: int) -> np.ndarray:
+    """The codes to look up for each row in each table: its own, and those with the nearest hyperplanes crossed, the
+    cheapest sets of one or two crossings first."""
+    own, far = codes_of(x, planes)
+    bits = planes.shape[1]
+    sets = [(i,) for i in range(bits)] + [(i, j) for i in range(bits) for j in range(i)]
+    flips = np.array([sum(1 << i for i in s) for s in sets])
+    cost = np.stack([(far[..., list(s)] ** 2).sum(axis=-1) for s in sets], axis=-1)
+    order = np.argsort(cost, axis=-1, kind="stable")[..., : max(0, probes - 1)]
+    return np.concatenate([own[..., None], own[..., None] ^ flips[order]], axis=-1)
+
+
+def indexed(queries: DataFrame, index: VectorIndex, k: int, on: list[str], probes: int = 8, digits: int = 6, least: float | None = None) -> DataFrame:
+    """What nearest() gives by cosine, from the points in the probed buckets alone, with `compared`, the points that each
+    query was compared with.
+
+    Scores are exact; what may be missing are points whose codes differ too much in every table.  With `least`, queries
+    that find fewer than k points of that score or more are searched again in full, by nearest().
+    """
+    planes, payload = index.planes, [c for c in index.points.columns if c not in ("point_id", "vec")]
+    fine = f"vec is not null and size(vec) = {planes.shape[2]} and forall(vec, x -> x is not null) and exists(vec, x -> x <> 0)"
+    q = queries.where(fine).select("query_id", *on, F.transform("vec", lambda x: x.cast("double")).alias("vec"))
+    kind, tables = queries.schema["query_id"].dataType.simpleString(), planes.shape[0]
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                codes = probed_codes(np.stack(b["vec"].to_list()), planes, probes)
+                n = codes.shape[2]
+                yield pd.DataFrame({"query_id": np.repeat(b["query_id"].to_numpy(), tables * n), "table": np.tile(np.repeat(np.arange(tables), n), len(b)), "code": codes.ravel()})
+
+    wanted = q.select("query_id", "vec").mapInPandas(look, f"query_id {kind}, table int, code long")
+    pairs = wanted.join(index.codes, ["table", "code"]).where("query_id <> point_id").select("query_id", "point_id").distinct()
+    left = q.select("query_id", F.col("vec").alias("_vec"), *[F.col(c).alias(f"_{c}") for c in on])
+    met = pairs.join(left, "query_id").join(index.points, "point_id")
+    for c in on:
+        met = met.where(F.col(f"_{c}") == F.col(c))
+    rest = ["query_id", "point_id", *payload]
+    schema = T.StructType([*[met.schema[c] for c in rest], T.StructField("score", T.DoubleType())])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for c in ("_vec", "vec"))
+            cosine = np.einsum("nd,nd->n", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], pa.array(cosine)], names=[*rest, "score"])
+
+    scored = met.select(*rest, "_vec", "vec").mapInArrow(score, schema).where(~F.isnan("score")).withColumn("score", F.round("score", digits))
+    each = Window.partitionBy("query_id")
+    near = scored.withColumn("rank", F.row_number().over(each.orderBy(F.desc("score"), "point_id"))).withColumn("compared", F.count(F.lit(1)).over(each)).where(F.col("rank") <= k)
+    if least is None:
+        return near
+    near = stored(near)
+    whole = near.where(F.col("score") >= least).groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    again = stored(queries.join(whole, "query_id", "left_anti"))
+    full = nearest(again, index.points, k, on, digits=digits).withColumn("compared", F.lit(index.points.count()))
+    return near.join(whole.select("query_id"), "query_id", "left_semi").select(*near.columns).unionByName(full.select(*near.columns))
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row: of how many exact neighbours (query_id, point_id), how many were found, and their share."""
+    hit = exact.select("query_id", "point_id").join(found.select("query_id", "point_id", F.lit(1).alias("hit")), ["query_id", "point_id"], "left")
+    return hit.agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("found")).withColumn("recall", F.try_divide("found", "n"))
+
+
 def with_fallback(found: DataFrame, queries: DataFrame, recent: DataFrame, k: int) -> DataFrame:
     """found (query_id, point_id, rank), and for queries that found nothing the k most recent of recent (point_id, at)."""
     last = recent.orderBy(F.desc("at"), F.desc("point_id")).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("at"), F.desc("point_id"))))
@@ -78,10 +183,17 @@ def with_fallback(found: DataFrame, queries: DataFrame, recent: DataFrame, k: in
     return found.select("query_id", "point_id", "rank").unionByName(bare.join(last.withColumn("one", F.lit(1)), "one").select("query_id", "point_id", "rank"))
 
 
-def upserted(old: DataFrame, new: DataFrame, dims: int) -> tuple[DataFrame, DataFrame]:
-    """Points by id, where a new one replaces the old; and the new ones with another number of dimensions, which replace nothing."""
-    fine = new.where(F.size("vec") == dims)
-    return old.join(fine.select("point_id"), "point_id", "left_anti").unionByName(fine.select(*old.columns)), new.where(~F.coalesce(F.size("vec") == dims, F.lit(False)))
+def upserted(old: DataFrame, new: DataFrame, dims: int, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Points by id, where a new one replaces the old; and the new ones that are refused, which replace nothing.
+
+    Refused are vectors that are null, hold nulls or have another number of dimensions.  Of a batch's points with one id the
+    last by `order` stays, ties by their vector; a null order comes first.
+    """
+    fine = F.coalesce((F.size("vec") == dims) & F.forall("vec", lambda x: x.isNotNull()), F.lit(False))
+    rest = [c for c in old.columns if c != "point_id"]
+    last = new.where(fine).groupBy("point_id").agg(F.max_by(F.struct(*rest), F.struct(*([order] if order else []), "vec")).alias("x"))
+    kept = old.join(new.where(fine).select("point_id"), "point_id", "left_anti")
+    return kept.unionByName(last.select("point_id", *[F.col("x")[c].alias(c) for c in rest]).select(*old.columns)), new.where(~fine)
 
 
 def admitted(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:

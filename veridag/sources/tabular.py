@@ -39,10 +39,18 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Results of evaluation run files (JSON with an array `results`), a row a result with its keys and file."""
+    """Results of evaluation run files (JSON with run_id and an array `results`), a row a result with its keys and file.
+
+    (file, run_id, pos, result, kind, test_id, category, is_correct): a run without id is named by its file, and a result
+    without test_id by a hash of itself, so that it has the same name whenever it is read.
+    """
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     results = F.from_json(F.get_json_object("value", "$.results"), "array<map<string,string>>")
-    return files.select("file", F.posexplode(results).alias("pos", "result")).withColumn("kind", result_kind(F.map_keys("result")))
+    run = F.coalesce(F.get_json_object("value", "$.run_id"), F.regexp_replace("file", r"\.[^.]*$", ""))
+    rows = files.select("file", run.alias("run_id"), F.posexplode(results).alias("pos", "result"))
+    own = F.concat(F.lit("test-"), F.substring(F.md5(F.to_json(F.map_from_entries(F.array_sort(F.map_entries("result"))))), 1, 12))
+    r = F.col("result")
+    return rows.select("*", result_kind(F.map_keys("result")).alias("kind"), F.coalesce(r["test_id"], own).alias("test_id"), r["category"].alias("category"), r["is_correct"].try_cast("boolean").alias("is_correct"))
 
 
 # The key that tells a kind of result row from the others, first match wins.
