@@ -25,4 +25,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from veridag.plans import assembly, evals, graph, retrieval, rules, runtime, store, texts  # noqa: F401
+    from veridag.plans import assembly, evals, graph, mechanics, retrieval, rules, runtime, store, texts  # noqa: F401

@@ -27,13 +27,17 @@ pack AS (SELECT * FROM (VALUES ('ORD-1', 'block', 0), ('ORD-2', 'warn', 1), ('CU
 """
 
 
-def rule_hits(spark, sf_dir):
+def scoped_counts(spark, sf_dir):
     """Facts of the labels and relations that the pack names; branches of other labels are pruned from the plan."""
     labels, relations = rules.named(PACK)
     back = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity > 45").select("l_partkey", "l_suppkey").distinct()
     returned = graph.foreign_edges(back, "Part", "l_partkey", "RETURNED_TO", "Supplier", "l_suppkey").drop("props")
     scoped = edges(spark, sf_dir).unionByName(returned).where(F.col("src_label").isin(labels) & F.col("rel_type").isin(relations))
-    return rules.matches(graph.relation_counts(nodes(spark, sf_dir).where(F.col("label").isin(labels)), scoped), PACK)
+    return graph.relation_counts(nodes(spark, sf_dir).where(F.col("label").isin(labels)), scoped, relations)
+
+
+def rule_hits(spark, sf_dir):
+    return rules.matches(scoped_counts(spark, sf_dir), PACK)
 
 
 @query(HITS + """, e AS (SELECT rule_id, entity_id, row_number() OVER (PARTITION BY rule_id ORDER BY entity_id) AS k FROM hits)

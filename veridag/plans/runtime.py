@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from veridag.operators import evals, log
@@ -11,6 +9,7 @@ from veridag.plans import evals as evaluations
 from veridag.plans.model import IN_PRICE, OUT_PRICE, VERDICTS, nodes, table, verdicts
 from veridag.plans.registry import ORACLES, query
 from veridag.sources import tabular
+from veridag.sources.tables import new_folder
 from veridag.streaming import events as streams
 
 MOMENT = "2024-01-15 12:00:00"
@@ -109,11 +108,10 @@ def streamed_dedup(spark, sf_dir):
     glob = "*.parquet" if folder.endswith(".parquet") else name
     source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", glob).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
     once = streams.deduplicated(source.unionByName(source), "40 days")
-    name = f"dedup_{uuid.uuid4().hex}"
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-    run = once.writeStream.format("parquet").option("path", f"{base}/{name}/out").option("checkpointLocation", f"{base}/{name}/state").trigger(availableNow=True).start()
+    base = new_folder(spark, "dedup")
+    run = once.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema(once.schema).parquet(f"{base}/{name}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.schema(once.schema).parquet(f"{base}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT p_partkey, TRY_CAST(CASE WHEN p_partkey % 5 = 0 THEN 'n/a' ELSE CAST(p_size AS VARCHAR) END AS BIGINT) AS size, CASE WHEN p_partkey % 2 = 0 THEN true WHEN p_partkey % 3 = 0 THEN false END AS flag FROM part")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from veridag.functions import text
@@ -12,6 +10,7 @@ from veridag.plans.graph import TERMS, terms
 from veridag.plans.model import EDGES, GRAPH, METHODS, VERDICTS, edges, nodes, table, verdicts, verdicts_wide
 from veridag.plans.registry import query
 from veridag.plans.retrieval import KNN, MENTIONS, mentions, points
+from veridag.sources.tables import new_folder, stored
 from veridag.streaming import events as streams
 
 
@@ -102,21 +101,20 @@ def corpus_entities(spark, sf_dir):
     return out
 
 
-@query("""SELECT 'policy:' || n_nationkey AS source_id, n_name AS name, 'Policy ' || n_name || ': rules of ' || lower(n_name) || ' (scope: ' || r_name || ')' AS text FROM nation JOIN region ON r_regionkey = n_regionkey
-UNION ALL SELECT 'dataset:' || p_partkey, p_name, 'Analytics-ready dataset ' || p_name || ': ' || p_type || ' Grain: ' || p_size || '. Owner: ' || p_brand || '.' FROM part
-UNION ALL SELECT DISTINCT 'rule:' || c_mktsegment, c_mktsegment, 'Data quality rule type ' || c_mktsegment || ': segment Quality dimension: ' || lower(c_mktsegment) || '.' FROM customer
-UNION ALL SELECT 'supplier:' || s_suppkey, s_name, 'Supplier ' || s_name || ' is known for: nation ' || s_nationkey || '.' FROM supplier WHERE s_acctbal > 0""")
+@query("""SELECT 'policy:' || n_nationkey AS source_id, n_name AS name, n_name || ' sets rules for ' || r_name || ' (nation ' || n_nationkey || ').' AS text FROM nation JOIN region ON r_regionkey = n_regionkey
+UNION ALL SELECT 'dataset:' || p_partkey, p_name, p_name || ' is of type ' || p_type || ', size ' || p_size || ', made by ' || p_brand || '.' FROM part
+UNION ALL SELECT DISTINCT 'rule:' || c_mktsegment, c_mktsegment, 'Checks of the segment {' || c_mktsegment || '}.' FROM customer
+UNION ALL SELECT 'supplier:' || s_suppkey, s_name, s_name || ' has credit ' || CASE WHEN s_acctbal > 0 THEN 'yes' ELSE 'unknown' END || ' in nation ' || s_nationkey || '.' FROM supplier""")
 def corpus_governance(spark, sf_dir):
-    """Texts of policies, datasets, rule types and suppliers."""
+    """Texts of policies, datasets, rule types and suppliers, a template a kind."""
     t = lambda name: table(spark, sf_dir, name)
-    key = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string")).alias("source_id")
+    text = assembly.templated_texts
     n = t("nation").join(t("region"), F.col("r_regionkey") == F.col("n_regionkey"))
-    out = n.select(key("policy", "n_nationkey"), F.col("n_name").alias("name"), F.format_string("Policy %s: rules of %s (scope: %s)", "n_name", F.lower("n_name"), "r_name").alias("text"))
-    out = out.unionByName(t("part").select(key("dataset", "p_partkey"), F.col("p_name").alias("name"), F.format_string("Analytics-ready dataset %s: %s Grain: %s. Owner: %s.", "p_name", "p_type", F.col("p_size").cast("string"), "p_brand").alias("text")))
-    kinds = t("customer").select("c_mktsegment").distinct()
-    out = out.unionByName(kinds.select(key("rule", "c_mktsegment"), F.col("c_mktsegment").alias("name"), F.format_string("Data quality rule type %s: segment Quality dimension: %s.", "c_mktsegment", F.lower("c_mktsegment")).alias("text")))
-    s = t("supplier").where("s_acctbal > 0")
-    return out.unionByName(s.select(key("supplier", "s_suppkey"), F.col("s_name").alias("name"), F.format_string("Supplier %s is known for: nation %s.", "s_name", F.col("s_nationkey").cast("string")).alias("text")))
+    out = text(n, "policy", "n_nationkey", "n_name", "{n_name} sets rules for {r_name} (nation {n_nationkey}).")
+    out = out.unionByName(text(t("part"), "dataset", "p_partkey", "p_name", "{p_name} is of type {p_type}, size {p_size}, made by {p_brand}."))
+    out = out.unionByName(text(t("customer").select("c_mktsegment").distinct(), "rule", "c_mktsegment", "c_mktsegment", "Checks of the segment {{{c_mktsegment}}}."))
+    s = t("supplier").withColumn("credit", F.when(F.col("s_acctbal") > 0, "yes"))
+    return out.unionByName(text(s, "supplier", "s_suppkey", "s_name", "{s_name} has credit {credit} in nation {s_nationkey}."))
 
 
 @query("SELECT vec_id AS point_id, CASE WHEN vec_id % 2 = 0 AND vec_id % 6 <> 0 THEN label + 100 ELSE label END AS label FROM embeddings")
@@ -226,7 +224,7 @@ def automation_log(spark, sf_dir):
     """Automations on a stream of events; one whose handler fails is logged and stops no other."""
     events = table(spark, sf_dir, "events")
     folder, _, name = events.inputFiles()[0].rpartition("/")
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + f"/automations_{uuid.uuid4().hex}"
+    base = new_folder(spark, "automations")
 
     def broken(batch):
         raise ValueError("this handler fails")
@@ -345,6 +343,7 @@ s AS (SELECT doc_id, trim(CASE WHEN m[1] = '(' THEN m[2:-2] ELSE m END) AS surfa
 def mention_spans(spark, sf_dir):
     """Surfaces worth linking, whole texts, with their offsets, which each give the surface back."""
     whole = F.concat(F.regexp_replace("text", r"[^\x00-\x7F]", "_"), F.lit(" (some generic name) The Policy (ab) Some Generic Name"))
-    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", whole.alias("t")).withColumn("m", text.candidate_mentions(F.col("t")))
-    back = F.forall("m", lambda s: F.substring(F.col("t"), s["start"] + 1, s["end"] - s["start"]) == s["surface"])
-    return d.select("doc_id", F.size("m").cast("long").alias("spans"), back.alias("in_place"))
+    d = stored(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", whole.alias("text")))
+    m = stored(linking.mention_rows(d.withColumnRenamed("doc_id", "text_id")))
+    there = m.join(d, F.col("text_id") == F.col("doc_id")).select("doc_id", F.expr("substring(text, start + 1, end - start) = surface").alias("there"))
+    return there.groupBy("doc_id").agg(F.count(F.lit(1)).alias("spans"), F.min("there").alias("in_place"))
