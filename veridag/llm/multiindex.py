@@ -2,6 +2,8 @@
 
 Two codebooks, one for each half of the vectors, form a grid of cells.  A query visits cells in order of the sum of its
 two half distances (multi-sequence traversal) until the recall target, then the vectors there are verified by cosine.
+How many cells that takes is measured on links planted at the threshold as well as on those that a sample has, so that a
+table with few or no links is searched by the same way as one with many.
 """
 
 from __future__ import annotations
@@ -72,32 +74,40 @@ def rank_of(da: np.ndarray, db: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return np.array([np.searchsorted(b, x - da, "right").sum() for x in sums], np.int64)
 
 
-def measured_visits(reps: DataFrame, grid: Grid, queries: pd.DataFrame, threshold: float, target: float, first: int, linked: int) -> tuple[int | None, float]:
-    """Cells to visit for a mean recall of at least target, and that recall: queries by brute force against all rows.
+def planted(x: np.ndarray, threshold: float, seed: int = 11) -> np.ndarray:
+    """For each unit row a vector whose cosine with it is the threshold, in a random direction: the links hardest to find."""
+    u = np.random.default_rng(seed).normal(size=x.shape)
+    u -= (u * x).sum(axis=1, keepdims=True) * x
+    size = np.linalg.norm(u, axis=1, keepdims=True)
+    return threshold * x + math.sqrt(max(0.0, 1 - threshold**2)) * u / np.where(size > 0, size, 1)  # of one dimension there is no other direction
 
-    Blocks of queries, `first` and then twice as many each, are measured until `linked` of them have links.  Of fewer in
-    all queries nothing is said: None, unless the queries are all rows.
+
+def measured_visits(reps: DataFrame, grid: Grid, sample: pd.DataFrame, threshold: float, target: float, query_rows: int, planted_rows: int = 1024) -> tuple[int, float, float]:
+    """Cells to visit for a mean recall of at least target, and the recall of planted and of real links then.
+
+    Links at the very threshold are planted beside planted_rows of the sample; and query_rows of it are compared by brute
+    force with all rows.  Both kinds of links, if there are real ones, must be found.  A link is found from either end, so
+    that few are lost of those that one end misses.
     """
-    ranks: list[tuple[np.ndarray, np.ndarray]] = []  # of each query with links: ranks of cells, links there
-    done, size, n = 0, first, reps.count()
-    while done < len(queries) and len(ranks) < linked:
-        block = queries.iloc[done : done + size]
-        q = unit(block["vec"])
-        found = linked_cells(reps, grid, q, block["label"].to_numpy(), block["id"].to_numpy(), threshold)
+    q = unit(sample["vec"].iloc[:planted_rows])
+    da, db = half_distances(q[:, : grid.half], grid.first), half_distances(q[:, grid.half :], grid.second)
+    there = grid.cells(unit(planted(q, threshold)), 1)
+    curves = [(np.concatenate([rank_of(da[k], db[k], there[k]) for k in range(len(q))]), np.full(len(q), 1 / len(q)))]
+    some = sample.iloc[:query_rows]
+    found = linked_cells(reps, grid, q[: len(some)] if len(some) <= len(q) else unit(some["vec"]), some["label"].to_numpy(), some["id"].to_numpy(), threshold)
+    if len(found):
+        q = unit(some["vec"])
         da, db = half_distances(q[:, : grid.half], grid.first), half_distances(q[:, grid.half :], grid.second)
-        ranks += [(rank_of(da[k], db[k], g["cell"].to_numpy()), g["n"].to_numpy()) for k, g in found.groupby("query")]
-        done, size = done + len(block), 2 * size
-    if len(ranks) < linked and done < n:
-        return None, math.nan
-    if not ranks:
-        return 1, 1.0  # no row has a link
-    rank = np.concatenate([r for r, _ in ranks])
-    share = np.concatenate([m / m.sum() for _, m in ranks]) / len(ranks)
-    order = np.argsort(rank, kind="stable")
-    recall = np.cumsum(share[order])
-    at = min(int(np.searchsorted(recall, target - 1e-9)), len(rank) - 1)
-    visits = min(max(4, int(rank[order][at])), len(grid.first) * len(grid.second))
-    return visits, float(share[rank <= visits].sum())
+        own = [(rank_of(da[k], db[k], g["cell"].to_numpy()), g["n"].to_numpy() / g["n"].sum()) for k, g in found.groupby("query")]
+        curves.append((np.concatenate([r for r, _ in own]), np.concatenate([m for _, m in own]) / len(own)))
+    visits = 4
+    for rank, share in curves:
+        order = np.argsort(rank, kind="stable")
+        at = min(int(np.searchsorted(np.cumsum(share[order]), target - 1e-9)), len(rank) - 1)
+        visits = max(visits, int(rank[order][at]))
+    visits = min(visits, len(grid.first) * len(grid.second))
+    recall = [float(share[rank <= visits].sum()) for rank, share in curves]
+    return visits, recall[0], recall[-1] if len(recall) > 1 else math.nan
 
 
 def linked_cells(reps: DataFrame, grid: Grid, q: np.ndarray, labels: np.ndarray, ids: np.ndarray, threshold: float) -> pd.DataFrame:
@@ -145,18 +155,19 @@ def block_links(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, target: float = 0.995,
-                 sample_rows: int = 16_384, query_rows: int = 256, cell_rows: int = 32, block_rows: int = 1024, linked_rows: int = 32) -> DataFrame:
-    """A row per row of vectors: id, n_links, component_id, kept and visits, the cells that each query visited.
+                 sample_rows: int = 16_384, query_rows: int = 256, cell_rows: int = 32, block_rows: int = 1024) -> DataFrame:
+    """A row per row of vectors: id, n_links, component_id, kept, visits, the cells that each query visited, and compared, the
+    vectors that it was compared with there.
 
     Vectors link when their labels are equal and not null and their cosine in double precision is at least threshold.
     Null, empty or zero vectors, and those with null or non-finite components, link with nothing; so do rows without id,
     whose component_id and kept are null.  Only vectors of like length are compared.  Equal vectors are one class, whose
-    members link with each other.  Codebooks are fitted on at most sample_rows vectors and the number of cells to visit
-    is measured on query_rows of those against all vectors, or on more of them until linked_rows have links; every vector
-    is indexed.  Cells larger than block_rows are compared block by block.  All vectors of a length are one cell, so that
-    all pairs are compared, where too few of the fitted vectors have links or the cells to visit would cost more than
-    that; so are those of all lengths but the commonest that have at most block_rows vectors.  Rows that repeat an id share the links of each other's vectors.  An empty table gives
-    an empty table.
+    members link with each other.  Codebooks are fitted on at most sample_rows vectors, for cells of about cell_rows vectors
+    of one label, and the number of cells to visit is measured (see measured_visits) on links planted in the sample and on
+    query_rows of it against all vectors; every vector is indexed.  Cells larger than block_rows are compared block by
+    block.  All vectors of lengths but the commonest that have at most block_rows vectors are one cell a length and label.
+    Rows that repeat an id share the links of each other's vectors.  Columns of other names are ignored, label and vector
+    columns are named by the caller.  An empty table gives an empty table.
     """
     vec = F.transform(F.col(vec_col), lambda v: v.cast("double"))
     fine = (F.size("vec") > 0) & F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vec", lambda v: v != 0)
@@ -175,10 +186,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     for dims, n in lengths[: few[0] if few else None]:
         one = reps.where(F.col("dims") == dims).select("id", F.col("label").cast("string").alias("label"), "mult", "vec")
         drawn = one.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(sample_rows).toPandas()
-        grid = Grid(unit(drawn["vec"]), max(1, min(len(drawn) // 8, round(math.sqrt(n / cell_rows)))))
-        visits, _ = measured_visits(one, grid, drawn, threshold, target, query_rows, linked_rows)
-        if visits is None or visits > max(4, len(grid.first) * len(grid.second) // 4):
-            grid, visits = None, 1
+        beside = one.groupBy("label").count().agg(F.sum(F.col("count").cast("double") ** 2) / n).first()[0]  # of one label, for a vector on average
+        grid = Grid(unit(drawn["vec"]), max(1, min(len(drawn) // 8, round(math.sqrt(beside / cell_rows)))))
+        visits, _, _ = measured_visits(one, grid, drawn, threshold, target, query_rows)
         visited = max(visited, visits)
         found.append(linked_pairs(one, grid, visits, block_rows, threshold))
     if few:
@@ -186,28 +196,31 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         rest = rest.select("id", F.concat_ws(":", "dims", F.col("label").cast("string")).alias("label"), "mult", "vec")
         found.append(linked_pairs(rest, None, 1, block_rows, threshold))
         visited = max(visited, 1)
-    counts = edges = None
-    for one in found:
+    counts = edges = compared = None
+    for one, met in found:
         c = one.groupBy("id").agg(F.sum("n").alias("n"))
         e = one.where("root <> id").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct()
-        counts, edges = (c, e) if counts is None else (counts.unionByName(c), edges.unionByName(e))
+        counts, edges, compared = (c, e, met) if counts is None else (counts.unionByName(c), edges.unionByName(e), compared.unionByName(met))
 
     if counts is None:
-        return members.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"), F.lit(0).alias("visits"))
+        return members.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"), F.lit(0).alias("visits"), F.lit(0).cast("long").alias("compared"))
     labels = components(edges)
     links = counts.groupBy("id").agg(F.sum("n").alias("n")).select(F.col("id").alias("rep"), "n")
-    known = stored(links.join(labels.select(F.col("id").alias("rep"), "comp"), "rep", "full"))
+    known = links.join(labels.select(F.col("id").alias("rep"), "comp"), "rep", "full")
+    known = stored(known.join(compared.withColumnRenamed("id", "rep"), "rep", "full"))
     out = members.join(known, "rep", "left")
     comp = F.coalesce("comp", "rep", "id")
-    return out.select(F.col("id").alias(id_col), (F.coalesce("n", F.lit(0)) + F.coalesce(F.col("mult") - 1, F.lit(0))).cast("long").alias("n_links"), comp.alias("component_id"), (F.col("id") == comp).alias("kept"), F.lit(visited).alias("visits"))
+    return out.select(F.col("id").alias(id_col), (F.coalesce("n", F.lit(0)) + F.coalesce(F.col("mult") - 1, F.lit(0))).cast("long").alias("n_links"), comp.alias("component_id"), (F.col("id") == comp).alias("kept"), F.lit(visited).alias("visits"), F.coalesce("compared", F.lit(0)).cast("long").alias("compared"))
 
 
-def linked_pairs(reps: DataFrame, grid: Grid | None, visits: int, block_rows: int, threshold: float) -> DataFrame:
-    blocks = block_pairs(reps, grid, visits, block_rows)
-    return stored(blocks.groupBy("label", "cell", "part", "against").applyInPandas(lambda g: block_links(g, threshold), "id long, n long, root long"))
+def linked_pairs(reps: DataFrame, grid: Grid | None, visits: int, block_rows: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Links (id, n, root) block by block, and how many vectors each was compared with (id, compared)."""
+    blocks, compared = block_pairs(reps, grid, visits, block_rows)
+    links = blocks.groupBy("label", "cell", "part", "against").applyInPandas(lambda g: block_links(g, threshold), "id long, n long, root long")
+    return stored(links), compared
 
 
-def block_pairs(reps: DataFrame, grid: Grid | None, visits: int, block_rows: int) -> DataFrame:
+def block_pairs(reps: DataFrame, grid: Grid | None, visits: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
     """Members and probes of each cell, dealt into blocks of about block_rows so that each pair of blocks meets once.
 
     Without a grid all vectors of a label are one cell.
@@ -223,9 +236,10 @@ def block_pairs(reps: DataFrame, grid: Grid | None, visits: int, block_rows: int
     rows = placed.withColumn("cell", F.col("own")).withColumn("probe", F.lit(False)).unionByName(probes)
     sizes = placed.groupBy("label", F.col("own").alias("cell")).agg(F.count(F.lit(1)).alias("in_cell"))
     probed = placed.select("label", F.explode("visits").alias("cell")).groupBy("label", "cell").agg(F.count(F.lit(1)).alias("at_cell"))
-    sizes = stored(sizes.join(probed, ["label", "cell"]).select("label", "cell", F.ceil(F.col("in_cell") / block_rows).alias("parts"), F.ceil(F.col("at_cell") / block_rows).alias("sides")))
-    dealt = rows.join(sizes, ["label", "cell"])  # a cell without members ends here
+    sizes = stored(sizes.join(probed, ["label", "cell"]).select("label", "cell", "in_cell", F.ceil(F.col("in_cell") / block_rows).alias("parts"), F.ceil(F.col("at_cell") / block_rows).alias("sides")))
+    met = placed.select("id", "label", F.explode("visits").alias("cell")).join(sizes, ["label", "cell"]).groupBy("id").agg((F.sum("in_cell") - 1).alias("compared"))
+    dealt = rows.join(sizes.drop("in_cell"), ["label", "cell"])  # a cell without members ends here
     own = F.pmod(F.xxhash64("id"), F.when(F.col("probe"), F.col("sides")).otherwise(F.col("parts")))
     all_of = F.when(F.col("probe"), F.col("parts")).otherwise(F.col("sides"))
     dealt = dealt.withColumn("mine", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), all_of - 1)))
-    return dealt.select("label", "cell", "probe", "id", "mult", "vec", "own", "visits", F.when(F.col("probe"), F.col("other")).otherwise(F.col("mine")).alias("part"), F.when(F.col("probe"), F.col("mine")).otherwise(F.col("other")).alias("against"))
+    return dealt.select("label", "cell", "probe", "id", "mult", "vec", "own", "visits", F.when(F.col("probe"), F.col("other")).otherwise(F.col("mine")).alias("part"), F.when(F.col("probe"), F.col("mine")).otherwise(F.col("other")).alias("against")), met
