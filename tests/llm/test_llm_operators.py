@@ -129,6 +129,90 @@ def test_html_parts_beside_the_article_go(part):
     assert main_text(blocks(f"<article><p>first</p>{part}<p>last</p></article>")) == "first\nlast"
 
 
+@pytest.mark.parametrize("part", ["<svg-icon></svg-icon>", "<select-box>", "<title-card></title-card>", '<svg class="i"/>', '<svg title="a>b"><path d="M0"/></svg>', "<svg>", "<template>", "<noscript><p>x</p></noscript>", "<SCRIPT>x</p></SCRIPT >"])
+def test_html_opaque_elements_take_no_more_than_themselves(part):
+    assert main_text(blocks(f"<article><p>first</p>{part}<p>last</p></article><p>beside</p>")) == "first\nlast"
+
+
+@pytest.mark.parametrize("part", ['<section class="reader-comments"><p>c</p></section>', '<div id="user-comments">c</div>', '<div class="comment-body">c</div>', '<div class="cookie-policy-popup">c</div>', '<p class="ad">c</p>', '<aside>c</aside>', '<ul class="share"><li>c</li></ul>'])
+def test_html_comments_and_notices_go(part):
+    assert main_text(blocks(f"<article><p>first</p>{part}<p>last</p></article>")) == "first\nlast"
+
+
+@pytest.mark.parametrize(("part", "text"), [('<h2 id="search">Search</h2>', "Search"), ('<h2 id="related">Kin</h2>', "Kin"), ('<p id="share">Share prices fell</p>', "Share prices fell"), ('<p class="side">s</p>', "s"), ("<p>a <label>b</label> c</p>", "a b c")])
+def test_html_article_parts_are_not_judged_by_their_ids(part, text):
+    assert main_text(blocks(f"<article><p>first</p>{part}<p>last</p></article>")) == f"first\n{text}\nlast"
+
+
+def test_html_main_around_a_teaser():
+    page = "<main><h1>Title</h1><p>{}</p><article class='teaser'>Read more</article></main>"
+    assert main_text(blocks(page.format("long body text " * 4))) == "Title\n" + "long body text " * 3 + "long body text"
+    assert main_text(blocks("<main><p>small</p><article><p>the whole long article</p></article></main>")) == "the whole long article"
+
+
+def test_html_of_many_unclosed_elements():
+    page = "<article>" + "<svg><p>x</p>" * 20_000 + "</article>"
+    assert main_text(blocks(page)) == "\n".join(["x"] * 20_000)
+
+
+def reference_text(page):
+    """The text of an article by the standard parser, of pages whose tags are all closed."""
+    from html.parser import HTMLParser
+
+    out, text, stack = [], [], []
+
+    class Parser(HTMLParser):
+        def flush(self):
+            words = " ".join("".join(text).split())
+            if words:
+                out.append(words)
+            text.clear()
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("p", "h2", "li", "ul", "article", "nav", "section", "aside", "div"):
+                self.flush()
+            if tag == "br":
+                text.append(" ")
+                return
+            stack.append((tag, tag in ("nav", "aside", "script", "svg", "form") or any(k == "class" and re.search("ad|comments", v) for k, v in attrs)))
+
+        def handle_endtag(self, tag):
+            if tag in ("p", "h2", "li", "ul", "article", "nav", "section", "aside", "div"):
+                self.flush()
+            if tag != "br":
+                stack.pop()
+
+        def handle_data(self, data):
+            if any(t == "article" for t, _ in stack) and not any(gone for _, gone in stack):
+                text.append(data)
+
+    p = Parser(convert_charrefs=True)
+    p.feed(page)
+    p.close()
+    p.flush()
+    return "\n".join(out)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_html_markup_against_a_parser(seed):
+    rng = np.random.default_rng(seed)
+    inline = lambda: rng.choice(["one ", "two &amp; three ", "<b>bold</b> ", "a<br>b ", "&lt;i&gt; ", "<em>x</em>y ", "<svg><path></path></svg>", "\n"])
+    run = lambda: "".join(inline() for _ in range(rng.integers(1, 6)))
+
+    def block(depth):
+        kind = rng.integers(0, 8 if depth else 4)
+        if kind < 3:
+            return f"<p>{run()}</p>"
+        if kind == 3:
+            return f"<h2 id='menu'>{run()}</h2>"
+        inner = "".join(block(depth - 1) for _ in range(rng.integers(1, 4)))
+        return [f"<ul><li>{run()}</li><li>{run()}</li></ul>", f"<nav>{inner}</nav>", f"<section>{inner}</section>", f"<div class='{rng.choice(['ad', 'user-comments'])}'>{inner}</div>"][kind - 4]
+
+    for _ in range(40):
+        page = f"<html><body><nav><p>menu</p></nav><article>{''.join(block(3) for _ in range(4))}</article><aside><p>side</p></aside></body></html>"
+        assert main_text(blocks(page)) == reference_text(page)
+
+
 def test_html_array_decides_what_markup_only_hints_at(spark):
     same, table = "read next the ten best stories of the week by our own staff", "page_id long, url string, html string, host string, text string"
     rows = [(i, f"http://h/{i}", f'<article><p>{same}</p><p>own {i}</p><div class="related-stories">{same} {rng_text(i, 3)}</div></article>', "clash", None) for i in range(4)]
@@ -425,6 +509,29 @@ def test_near_vectors_with_rare_or_far_links(spark):
     assert [got[i] for i in range(600)] == near.sum(axis=1).tolist()
 
 
+@pytest.mark.parametrize("links", [0, 5])
+def test_near_vectors_keep_the_grid_where_links_are_rare(spark, links):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k in range(links):  # at the threshold, in a random direction
+        u = rng.normal(size=64)
+        u -= (u @ x[k]) * x[k]
+        x[k + 100] = 0.9301 * x[k] + math.sqrt(1 - 0.9301**2) * u / np.linalg.norm(u)
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": range(20_000), "embedding": x.tolist(), "label": 0}))
+    got = near_vectors(rows).select("vec_id", "n_links", "component_id", "compared").toPandas().set_index("vec_id")
+    want = {i for k in range(links) for i in (k, k + 100)}
+    assert set(got.index[got["n_links"] > 0]) == want and all(got.loc[k + 100, "component_id"] == k for k in range(links))
+    assert got["compared"].sum() < 0.25 * 20_000 * 20_000
+
+
+def test_near_vectors_of_repeated_ids_and_clashing_columns(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.001], 0), (2, [0.0, 1.0], 0), (3, [0.001, 1.0], 0)]
+    clash = docs(spark, rows, VECTORS).withColumn("id", F.lit(5)).withColumn("vec", F.lit("x")).withColumn("cell", F.lit(1)).withColumn("n_links", F.lit(9))
+    got = sorted((r["vec_id"], r["n_links"] > 0, r["component_id"]) for r in near_vectors(clash).collect())
+    assert [x[0] for x in got] == [1, 1, 2, 3] and got[2:] == [(2, True, 2), (3, True, 2)]
+
+
 def test_near_vectors_of_many_lengths(spark):
     rows = [(100 * n + k, [float(1 + (i * n) % 7) for i in range(n)][:-1] + [1.0 + k / 1000], 0) for n in range(2, 82) for k in range(2)]
     got = near_vectors(docs(spark, rows, VECTORS)).collect()
