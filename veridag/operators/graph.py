@@ -118,12 +118,25 @@ def scoped_facts(nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = Non
     return facts(wanted, edges.join(own, ["src_label", "src_id"], "left_semi"))
 
 
-def facts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(entity_type, entity_id, properties, relations): each relation with its sorted distinct targets; no relation, empty map."""
-    targets = edges.groupBy(F.col("src_label").alias("label"), F.col("src_id").alias("id"), "rel_type").agg(F.array_sort(F.collect_set("dst_id")).alias("targets"))
-    maps = targets.groupBy("label", "id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("rel_type", "targets")))).alias("relations"))
-    none = F.create_map().cast("map<string,array<string>>")
-    return nodes.join(maps, ["label", "id"], "left").select(F.col("label").alias("entity_type"), F.col("id").alias("entity_id"), F.col("props").alias("properties"), F.coalesce("relations", none).alias("relations"))
+def facts(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(entity_type, entity_id, properties, relations): each relation with its sorted distinct targets; no relation, empty map.
+
+    With `most`, a relation lists its first targets only, cut before rows meet, so that a hub is no large row, and a map
+    `counts` tells how many it has.
+    """
+    keys = [F.col("src_label").alias("label"), F.col("src_id").alias("id"), "rel_type"]
+    none = lambda kind: F.create_map().cast(f"map<string,{kind}>")
+    if most is None:
+        targets = edges.groupBy(*keys).agg(F.array_sort(F.collect_set("dst_id")).alias("targets"))
+    else:
+        distinct = edges.select(*keys, "dst_id").distinct()
+        order = Window.partitionBy("label", "id", "rel_type").orderBy("dst_id")
+        first = distinct.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).groupBy("label", "id", "rel_type").agg(F.array_sort(F.collect_list("dst_id")).alias("targets"))
+        targets = first.join(distinct.groupBy("label", "id", "rel_type").agg(F.count(F.lit(1)).alias("n")), ["label", "id", "rel_type"])
+    of = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct("rel_type", c))))  # noqa: E731  a row a relation
+    maps = targets.groupBy("label", "id").agg(of("targets").alias("relations"), *([of("n").alias("counts")] if most is not None else []))
+    out = nodes.join(maps, ["label", "id"], "left").select(F.col("label").alias("entity_type"), F.col("id").alias("entity_id"), F.col("props").alias("properties"), F.coalesce("relations", none("array<string>")).alias("relations"), *([F.coalesce("counts", none("bigint")).alias("counts")] if most is not None else []))
+    return out
 
 
 def relation_counts(nodes: DataFrame, edges: DataFrame, relations: list[str] | None = None) -> DataFrame:

@@ -163,6 +163,15 @@ def scoped_facts(spark, sf_dir):
     return found.select("entity_id", F.coalesce(F.size(F.col("relations")["CONTAINS"]), F.lit(0)).cast("long").alias("parts"))
 
 
+@query("""WITH e AS (SELECT DISTINCT l_suppkey, CAST(l_partkey AS VARCHAR) AS p FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY p) AS k FROM e)
+SELECT CAST(s_suppkey AS VARCHAR) AS entity_id, string_agg(p, ' ' ORDER BY p) FILTER (k <= 5) AS parts, count(p) AS n FROM supplier LEFT JOIN r ON l_suppkey = s_suppkey GROUP BY s_suppkey""")
+def facts_of_hubs(spark, sf_dir):
+    """Suppliers with the first five of their parts and how many they have: no row lists all targets of a hub."""
+    e = edges(spark, sf_dir).where("src_label = 'Supplier' and rel_type = 'SUPPLIES'")
+    f = graph.facts(nodes(spark, sf_dir).where("label = 'Supplier'"), e, 5)
+    return f.select("entity_id", F.array_join(F.col("relations")["SUPPLIES"], " ").alias("parts"), F.coalesce(F.col("counts")["SUPPLIES"], F.lit(0)).alias("n"))
+
+
 @query("SELECT user_id AS decision_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type, event_id) AS seq FROM events JOIN customer ON c_custkey = user_id")
 def action_rows(spark, sf_dir):
     """Actions of decisions, a row each, in order of time."""
