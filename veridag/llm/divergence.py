@@ -9,38 +9,60 @@ form is ahead whatever the totals are, so that a term with k such others is not
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridag.llm.common import LOWER, UPPER, forget, stored
+from veridag.llm.common import forget, small_batches, stored
 
-#: A run of letters A-Z, a-z and of anything beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-#: Marks a document's distinct terms among its occurrences; no term can begin with it.
-ONCE = "#"
+#: A term is a run of letters A-Z, a-z and of anything beyond ASCII; this lower-cases A-Z and blanks what is no term.
+TO_TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
+COUNTS = "lang string, source string, term string, n long, docs long"
+#: Terms that a task counts before it hands them on.
+AT_ONCE = 200_000
 SKYBAND = "lang string, source string, term string, n long, n_lang long, value long, part int"
 
 
-def folded(term: Column) -> Column:
-    """A-Z alone in lower case."""
-    return F.when(term.rlike("[A-Z]"), F.when(F.length(term) == F.octet_length(term), F.lower(term)).otherwise(F.translate(term, UPPER, LOWER))).otherwise(term)
-
-
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences of each term in each group, and how many of its rows have it."""
+    """(lang, source, term, n, docs): occurrences of each term in each group, and how many of its rows have it.
+
+    Tasks count whole batches of UTF-8 bytes, in which no ASCII byte is part of another character.
+    """
+    small_batches(docs.sparkSession)
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TERM), F.lit(0))
-    rows = docs.select(name("lang"), name("source"), words.alias("words"))
-    once = F.transform(F.array_distinct(F.transform(F.array_distinct("words"), folded)), lambda x: F.concat(F.lit(ONCE), x))
-    keys = rows.select("lang", "source", F.explode(F.concat("words", once)).alias("key"))
-    marked = F.col("key").startswith(ONCE)
-    terms = keys.select("lang", "source", marked.alias("marked"), folded(F.when(marked, F.substring("key", 2, 1 << 30)).otherwise(F.col("key"))).alias("term"))
-    return terms.groupBy("lang", "source", "term").agg(F.count_if(~F.col("marked")).alias("n"), F.count_if("marked").alias("docs"))
+
+    def rows_of(found: dict) -> pa.RecordBatch:
+        parts = []
+        for (lang, source), (terms, docs) in found.items():
+            words = list(terms)
+            texts = pa.array(words, pa.binary()).cast(pa.string())
+            counts = [np.fromiter(c, np.int64, len(words)) for c in (terms.values(), map(docs.__getitem__, words))]
+            parts.append([pa.repeat(lang, len(words)), pa.repeat(source, len(words)), texts, *map(pa.array, counts)])
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+        columns = [pa.concat_arrays(c) for c in zip(*parts)] or [pa.array([], k) for k in kinds]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict = {}
+        for b in batches:
+            for lang, source, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+                terms, docs = found.setdefault((lang, source), (Counter(), Counter()))
+                words = text.translate(TO_TERMS).split()
+                terms.update(words)
+                docs.update(set(words))
+            if sum(len(terms) for terms, _ in found.values()) >= AT_ONCE:
+                yield rows_of(found)
+                found = {}
+        yield rows_of(found)
+
+    rows = docs.select(name("lang"), name("source"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    return rows.mapInArrow(count, COUNTS).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def rate(count: Column, total: Column, kept: Column) -> Column:
@@ -53,18 +75,26 @@ def divergence(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
-def skyband(rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The rows (term, n, n_lang) that fewer than k others dominate: n at least, n_lang at most, an earlier term."""
+def skyband(rows: pd.DataFrame, k: int, probes: int = 128) -> pd.DataFrame:
+    """The rows (term, n, n_lang) that fewer than k others dominate: n at least, n_lang at most, an earlier term.
+
+    Rows that k of some promising ones dominate go at once; those left are compared in an order in which whoever dominates
+    a row comes before it, with the ones kept: if k dominate a row, k of these are in the skyband themselves.
+    """
     rows = rows.sort_values(["n", "n_lang", "term"], ascending=[False, True, True], kind="stable")
     rows = rows[rows.groupby(["n", "n_lang"], sort=False).cumcount() < k]  # equal counts: only the term decides
     place = np.empty(len(rows), np.int64)
     place[np.argsort(rows["term"].to_numpy(object), kind="stable")] = np.arange(len(rows))
-    lang, kept, n = rows["n_lang"].to_numpy(), np.zeros(len(rows), bool), 0
-    # Whoever dominates a row comes before it, and k of its dominators are in the skyband themselves if it has k.
-    langs, places = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
-    for i in range(len(rows)):
-        if np.count_nonzero((langs[:n] <= lang[i]) & (places[:n] < place[i])) < k:
-            kept[i], langs[n], places[n], n = True, lang[i], place[i], n + 1
+    n, lang = rows["n"].to_numpy(), rows["n_lang"].to_numpy()
+    hits = np.zeros(len(rows), np.int64)
+    for i in np.argsort(-(n.astype(float) ** 2 / np.maximum(lang, 1)), kind="stable")[:probes]:
+        hits += (n <= n[i]) & (lang >= lang[i]) & (place > place[i])
+    left = np.flatnonzero(hits < k)
+    rows, lang, place, kept, m = rows.iloc[left], lang[left], place[left], np.zeros(len(left), bool), 0
+    langs, places = np.empty(len(left), np.int64), np.empty(len(left), np.int64)
+    for i in range(len(left)):
+        if np.count_nonzero((langs[:m] <= lang[i]) & (places[:m] < place[i])) < k:
+            kept[i], langs[m], places[m], m = True, lang[i], place[i], m + 1
     return rows[kept]
 
 
