@@ -155,6 +155,7 @@ SPAN_NOISE = (
     "treats targets mechanism clinical based context answer note scope owner category phase sponsor enrollment severity frequency reported "
     "trials none recorded unknown unspecified medication indicated quality governance biomedical data table layer hub"
 ).split()
+# What a mention looks like.
 MENTION = r"\b[A-Z][A-Za-z0-9\-]+(?:\s+[A-Z][A-Za-z0-9\-]+){0,3}\b|\([a-z][a-z0-9\- ]{3,}\)"
 
 

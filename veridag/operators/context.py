@@ -99,6 +99,7 @@ def gate(question: Column, answer: Column, is_blocked: Column, score: Column, le
 
 def missing_note(kinds: Column, n_dropped: Column, degradations: Column) -> Column:
     """What a package lacks: kinds of elements, sources that failed (but prior decisions), and elements over budget."""
+    # The wording of the notes.
     none = F.size(kinds) == 0
     lacks = lambda kind, note: F.when(~none & ~F.array_contains(kinds, kind), note)
     told = F.filter(degradations, lambda d: F.split(d, ":")[0].isin(*PENALTIES) & ~d.startswith("runtime_retriever"))

@@ -135,14 +135,14 @@ def busiest_relations(spark, sf_dir):
     return edges(spark, sf_dir).groupBy("rel_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "rel_type").limit(4)
 
 
-@query("""WITH q AS (SELECT DISTINCT lower(p_brand) AS question_id, unnest([lower(p_type), lower(substr(p_name, 1, 5))]) AS term FROM part WHERE p_size = 7),
+@query("""WITH q AS (SELECT DISTINCT lower(p_brand) AS question_id, unnest([lower(p_type), lower(substr(p_name, 1, 5))]) AS term FROM part),
 h AS (SELECT DISTINCT q.question_id, p_partkey AS record_id FROM q JOIN part ON term <> '' AND (contains(lower(p_name), term) OR contains(lower(p_type), term)))
 SELECT question_id, record_id FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY record_id) AS k FROM h) WHERE k <= 20""")
 def keyword_policies(spark, sf_dir):
     """For each question the first records whose folded title or scope has any of its terms."""
     p = table(spark, sf_dir, "part")
     terms_ = F.array(F.lower("p_type"), F.lower(F.substring("p_name", 1, 5)))
-    questions = p.where("p_size = 7").select(F.lower("p_brand").alias("question_id"), terms_.alias("terms"))
+    questions = p.select(F.lower("p_brand").alias("question_id"), terms_.alias("terms"))
     return assembly.keyword_hits(questions, p.select(F.col("p_partkey").alias("record_id"), F.col("p_name").alias("title"), F.col("p_type").alias("scope")), 20)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veridag.operators import evals, log
 from veridag.plans import evals as evaluations
-from veridag.plans.model import IN_PRICE, OUT_PRICE, VERDICTS, nodes, table, verdicts
+from veridag.plans.model import IN_PRICE, NODES, OUT_PRICE, VERDICTS, nodes, table, verdicts
 from veridag.plans.registry import ORACLES, query
 from veridag.sources import tabular
 from veridag.sources.tables import new_folder
@@ -140,9 +140,9 @@ def result_kinds(spark, sf_dir):
     return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT label, id, 'IS_A' AS rel FROM (SELECT 'Nation' AS label, CAST(n_nationkey AS VARCHAR) AS id FROM nation UNION ALL SELECT 'Region', CAST(r_regionkey AS VARCHAR) FROM region)")
+@query(f"WITH {NODES} SELECT label, id, 'IS_A' AS rel FROM nodes")
 def typed_objects(spark, sf_dir):
-    return nodes(spark, sf_dir).where(F.col("label").isin("Nation", "Region")).select("label", "id", F.lit("IS_A").alias("rel"))
+    return nodes(spark, sf_dir).select("label", "id", F.lit("IS_A").alias("rel"))
 
 
 @query(VERDICTS + """SELECT CASE WHEN method = 'language' THEN 'Eval_' WHEN method = 'length' THEN 'Ctx_' ELSE 'Other_' END || 'x' AS name, CASE WHEN method = 'language' THEN 'Evaluation' WHEN method = 'length' THEN 'Context' ELSE 'Biomedical' END AS layer, count(*) AS n FROM verdicts GROUP BY ALL""")
