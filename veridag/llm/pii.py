@@ -36,7 +36,6 @@ GATES = {
     "email": r"@", "handle": r"@|at[\])]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]", "number": r"[0-9]", "secret": r"AKIA|[=:]", "code": r"[A-Za-z+/_-][0-9]|[0-9][A-Za-z+/_-]",
 }
 OCTETS = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$"
-SPAN = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
 
 
 def digits(c: Column) -> Column:
@@ -53,29 +52,50 @@ def valid_of(kind: str):
 
 
 def with_matches(df: DataFrame, patterns: dict[str, str], text: Column) -> DataFrame:
-    """Adds {name}_m, the matches, and {name}_g, the text between them; both empty where what every match has is missing."""
+    """Adds {name}_m, the matches, {name}_g, the text between them, and {name}_e, where each match ends; all empty where what
+    every match has is missing."""
+    none = F.array().cast("array<string>")
     for name, pattern in patterns.items():
         gate = text.rlike(GATES[name])
-        none = F.array().cast("array<string>")
         df = df.withColumn(f"{name}_m", F.when(gate, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
         df = df.withColumn(f"{name}_g", F.when(gate, F.split(text, pattern, -1)).otherwise(none))
-    return df
+    kept = df.columns
+    for name in patterns:
+        m, g = F.col(f"{name}_m"), F.col(f"{name}_g")
+        df = df.withColumn(f"{name}_n", F.zip_with(F.slice(g, 1, F.size(m)), m, lambda x, y: F.length(x) + F.length(y)))
+    return df.select(*kept, *[running_sums(F.col(f"{name}_n")).alias(f"{name}_e") for name in patterns])
+
+
+def running_sums(n: Column, chunk: int = 256) -> Column:
+    """Sums of an array up to each element.  A fold copies what it has with every step; so sums are made in chunks, and what
+    is before each chunk by a fold over the chunks alone."""
+    each = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(n) / chunk).cast("int") - 1, F.lit(0)))
+    part = lambda k: F.slice(n, k * chunk + 1, chunk)
+    add = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out"))
+    start = lambda at: F.struct(at.alias("at"), F.array().cast("array<int>").alias("out"))
+    sums = F.transform(each, lambda k: F.struct(k.alias("k"), F.aggregate(part(k), F.lit(0), lambda s, x: s + x).alias("sum")))
+    ends = F.aggregate(sums, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<k:int,before:int>>").alias("out")), lambda acc, x: F.struct((acc["at"] + x["sum"]).alias("at"), F.concat(acc["out"], F.array(F.struct(x["k"].alias("k"), acc["at"].alias("before")))).alias("out")), lambda acc: acc["out"])
+    return F.flatten(F.transform(ends, lambda c: F.aggregate(part(c["k"]), start(c["before"]), add, lambda acc: acc["out"])))
 
 
 def spans(name: str) -> Column:
     """Start and end in code points, value, and the two words on either side, of each match."""
-    m, g = F.col(f"{name}_m"), F.col(f"{name}_g")
-    left = F.transform(F.slice(g, 1, F.size(m)), lambda x: F.struct(F.length(x).alias("n"), F.lower(F.regexp_extract(F.substring(x, -80, 80), r"(\S+\s+\S+)\s*$", 1)).alias("left")))
+    m, g, e = F.col(f"{name}_m"), F.col(f"{name}_g"), F.col(f"{name}_e")
+    left = F.transform(F.slice(g, 1, F.size(m)), lambda x: F.lower(F.regexp_extract(F.substring(x, -80, 80), r"(\S+\s+\S+)\s*$", 1)))
     right = F.transform(F.slice(g, 2, F.size(m)), lambda x: F.lower(F.regexp_extract(F.substring(x, 1, 80), r"^\s*(\S+\s+\S+)", 1)))
-    parts = F.transform(F.arrays_zip(m.alias("m"), left.alias("l"), right.alias("r")), lambda x: F.struct(x["m"].alias("m"), x["l"]["n"].alias("n"), x["l"]["left"].alias("left"), x["r"].alias("right")))
+    return F.transform(F.arrays_zip(m.alias("m"), e.alias("e"), left.alias("l"), right.alias("r")), lambda x: F.struct((x["e"] - F.length(x["m"])).alias("start"), x["e"].alias("end"), x["m"].alias("value"), x["l"].alias("left"), x["r"].alias("right")))
+
+
+def mask(name: str) -> Column:
+    """A byte a code point up to the last match: 1 in valid matches, else 0; null without matches."""
+    m, g = F.col(f"{name}_m"), F.col(f"{name}_g")
+    parts = F.zip_with(F.slice(g, 1, F.size(m)), m, lambda x, y: F.concat(F.repeat(F.lit("0"), F.length(x)), F.repeat(F.when(valid(name, y), "1").otherwise("0"), F.length(y))))
+    return F.when(F.size(m) > 0, F.array_join(parts, "").cast("binary"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["n"]
-        end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value"), x["left"].alias("left"), x["right"].alias("right"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
+def touches(masks: list[str], s: Column) -> Column:
+    """Whether a span has a code point that any of the masks marks."""
+    return reduce(lambda x, y: x | y, [F.coalesce(F.contains(F.substring(F.col(c), s["start"] + 1, s["end"] - s["start"]), F.lit(b"1")), F.lit(False)) for c in masks])
 
 
 def tagged(kind: str, found: Column) -> Column:
@@ -98,35 +118,44 @@ def fits(shape: Column, value: Column, kind: Column) -> Column:
     return F.when(shape == "handle", kind == "email").when(shape == "code", kind == "secret").otherwise(number)
 
 
-def discovered(seen: DataFrame, rounds: int, min_support: int, min_pattern: float, min_instance: float) -> DataFrame:
-    """(value, kind) of unseen identifiers.  seen: an occurrence a row with value, seed (its kind or null), shape, patterns."""
+def discovered(seen: DataFrame, rounds: int, min_support: int, min_pattern: float, min_instance: float, min_share: float) -> DataFrame:
+    """(value, kind) of unseen identifiers.  seen: an occurrence a row with value, seed (its kind or null), shape, patterns.
+
+    Against a pattern count the seeds of other kinds and what can't be of its kind; a value that fits is unknown, and says
+    nothing until it is found.  What is found with confidence supports further patterns in the next round, as seeds do.
+    """
     edges = stored(seen.select("value", "seed", "shape", F.explode("patterns").alias("pattern")).groupBy("value", "seed", "shape", "pattern").agg(F.count(F.lit(1)).alias("n")))
-    degree = stored(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("degree")))
+    fit = lambda k: F.col("seed").isNull() & F.coalesce(fits(F.col("shape"), F.col("value"), F.lit(k)), F.lit(False))
+    # A row a pattern: how many values it has, and of each kind how many seeds and how many that might be one.
+    around = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("degree"), *[F.count_if((F.col("seed") == k) | fit(k)).alias(f"may_{k}") for k in SEEDED])
+    around = stored(around.select("pattern", "degree", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"may_{k}").alias("may")) for k in SEEDED])).alias("x")).select("pattern", "degree", "x.kind", "x.may").where("may > 0"))
     unseen = edges.where("seed is null").select("value", "shape", "pattern")
     reach = stored(unseen.groupBy("value", "shape").agg(F.count(F.lit(1)).alias("reach")))
     seeds = edges.where("seed is not null").select("value", "pattern", F.col("seed").alias("kind"), F.lit(1.0).alias("r"), F.lit(1).alias("support"))
-    votes, trusted = seeds, None
+    votes, instances = seeds, None
     for _ in range(rounds):
-        scored = votes.groupBy("pattern", "kind").agg(F.sum("r").alias("mass"), F.sum("support").alias("support")).join(degree, "pattern")
-        scored = scored.withColumn("score", F.col("mass") / F.col("degree") * F.col("support") / (F.col("support") + 1.0))
+        scored = stored(votes.groupBy("pattern", "kind").agg(F.sum("r").alias("mass"), F.sum("support").alias("support"))).join(around, ["pattern", "kind"])
+        pure = F.col("mass") / (F.col("mass") + F.col("degree") - F.col("may"))
+        scored = scored.withColumn("pure", pure).withColumn("score", pure * F.col("support") / (F.col("support") + 1.0))
         # Stored, as all aggregates here that are joined: so the join sees plain shuffles and can split a hot pattern or value.
-        trusted = stored(scored.where((F.col("support") >= min_support) & (F.col("mass") / F.col("degree") >= min_pattern)).select("pattern", "kind", "score"))
+        trusted = stored(scored.where((F.col("support") >= min_support) & (F.col("pure") >= min_pattern) & (F.col("support") >= min_share * F.col("may"))).select("pattern", "kind", "score"))
         near = unseen.join(trusted, "pattern").where(fits(F.col("shape"), F.col("value"), F.col("kind")))
         instances = near.groupBy("value", "shape", "kind").agg(F.sum("score").alias("score")).join(reach, ["value", "shape"])
         instances = stored(instances.select("value", "shape", "kind", (F.col("score") / F.col("reach")).alias("r")))
-        again = instances.join(unseen, ["value", "shape"]).select("value", "pattern", "kind", "r", F.lit(0).alias("support"))
+        again = instances.join(unseen, ["value", "shape"]).select("value", "pattern", "kind", "r", (F.col("r") >= min_instance).cast("int").alias("support"))
         votes = seeds.unionByName(again)
     best = instances.where(F.col("r") >= min_instance).groupBy("value", "shape").agg(F.max(F.struct("r", "kind")).alias("top"))
     return stored(best.select("value", "shape", F.col("top.kind").alias("kind")))
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, min_support: int = 3, min_pattern: float = 0.8, min_instance: float = 0.3) -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, min_support: int = 3, min_pattern: float = 0.8, min_instance: float = 0.3, min_share: float = 0.1) -> DataFrame:
     """A row per row of docs: id, base and all spans as arrays of "kind:start:end", the number of base spans by kind, and
     the spans of secrets with their number.
 
     Base spans are the valid leftmost matches of BASE; SECRET gives the seeds of secrets.  A pattern is trusted for a kind
-    when at least min_support distinct seed values of the kind have it and its mass is at least min_pattern of all
-    identifiers seen with it; an unseen value of a fitting shape becomes a span of a kind when the mean score of its
+    when at least min_support distinct values of the kind have it, seeds or found with confidence in the round before, they
+    are at least min_share of the values with it that could be of the kind, and their mass is at least min_pattern of
+    itself and the values that can't; an unseen value of a fitting shape becomes a span of a kind when the mean score of its
     patterns is at least min_instance.  Added spans overlap no seed's span.  Null or empty text has no spans.  Rows may
     repeat ids: each gets the spans of its own text.  Of kinds with equal scores, the last by name has the value.  Other
     columns are not carried.  An empty table gives an empty table.
@@ -134,19 +163,18 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     text = F.col("text")
     read = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = with_matches(read, BASE | {"secret": SECRET} | LOOSE, text)
-    found = found.select("id", F.xxhash64("text").alias("row_hash"), *[spans(name).alias(name) for name in [*SEEDED, *LOOSE]])
-    found = found.select("id", "row_hash", *[F.filter(k, valid_of(k)).alias(k) for k in SEEDED], *LOOSE)
-    every = F.concat(*[F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in SEEDED])
-    found = found.withColumn("every", every)
-    clear = {k: F.filter(k, lambda s: ~F.exists("every", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))).alias(k) for k in LOOSE}
-    found = stored(found.select("id", "row_hash", *SEEDED, *clear.values()))
+    # Of all text only arrays and masks go on; loose matches on a seed's place are dropped by the masks.
+    masks = [f"mask_{k}" for k in SEEDED]
+    found = found.select("id", F.xxhash64("text").alias("row_hash"), *[spans(name).alias(name) for name in [*SEEDED, *LOOSE]], *[mask(k).alias(f"mask_{k}") for k in SEEDED])
+    clear = [F.filter(k, lambda s: ~touches(masks, s)).alias(k) for k in LOOSE]
+    found = stored(found.select("id", "row_hash", *[F.filter(k, valid_of(k)).alias(k) for k in SEEDED], *clear))
 
     def seen(name: str, seed: Column) -> DataFrame:
         return found.select("id", "row_hash", F.lit(name).alias("shape"), seed.alias("seed"), F.explode(name).alias("s")).select("id", "row_hash", "shape", "seed", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.value").alias("value"), patterns_of(F.col("s")).alias("patterns"))
 
     loose = reduce(DataFrame.unionByName, [seen(k, F.lit(None).cast("string")) for k in LOOSE])
     seeds = reduce(DataFrame.unionByName, [seen(k, F.lit(k)) for k in SEEDED])
-    new = loose.join(discovered(seeds.unionByName(loose), rounds, min_support, min_pattern, min_instance), ["value", "shape"])
+    new = loose.join(discovered(seeds.unionByName(loose), rounds, min_support, min_pattern, min_instance, min_share), ["value", "shape"])
     added = new.groupBy("id", "row_hash").agg(F.collect_set(F.struct("kind", "start", "end")).alias("added")).select(F.col("id").alias("added_id"), F.col("row_hash").alias("added_hash"), "added")
     rows = found.join(added, F.col("id").eqNullSafe(F.col("added_id")) & (F.col("row_hash") == F.col("added_hash")), "left")
 
