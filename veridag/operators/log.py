@@ -73,10 +73,19 @@ def concept_edges(rows: DataFrame, key: str, curies: str, maps_to: DataFrame, re
     return wanted.join(maps_to, "curie").select("src_id", F.lit(rel_type).alias("rel_type"), F.col("label").alias("dst_label"), F.col("id").alias("dst_id")).distinct()
 
 
-def with_actions(decisions: DataFrame, actions: DataFrame) -> DataFrame:
-    """decisions with n_actions and their actions (decision_id, action, at) in order of time, as "action" joined by commas."""
-    told = actions.groupBy("decision_id").agg(F.count(F.lit(1)).alias("n_actions"), F.array_sort(F.collect_list(F.struct("at", "action"))).alias("a"))  # a decision has a few
-    return decisions.join(told.select("decision_id", "n_actions", F.array_join(F.transform("a", lambda x: x["action"]), ",").alias("actions")), "decision_id", "left").withColumn("n_actions", F.coalesce("n_actions", F.lit(0)))
+def with_actions(decisions: DataFrame, actions: DataFrame, most: int | None = None) -> DataFrame:
+    """decisions with n_actions and their actions (decision_id, action, at) in order of time, as "action" joined by commas.
+
+    With `most`, only the last so many are told, and no more than those meet in a row; action_rows gives all as rows.
+    """
+    rows = actions
+    if most is not None:
+        order = Window.partitionBy("decision_id").orderBy(F.desc("at"), F.desc("action"))
+        rows = actions.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most)
+    told = rows.groupBy("decision_id").agg(F.array_sort(F.collect_list(F.struct("at", "action"))).alias("a"))
+    told = told.select("decision_id", F.array_join(F.transform("a", lambda x: x["action"]), ",").alias("actions"))
+    n = actions.groupBy("decision_id").agg(F.count(F.lit(1)).alias("n_actions"))
+    return decisions.join(n, "decision_id", "left").join(told, "decision_id", "left").select(*decisions.columns, F.coalesce("n_actions", F.lit(0)).alias("n_actions"), "actions")
 
 
 def action_rows(decisions: DataFrame, actions: DataFrame) -> DataFrame:

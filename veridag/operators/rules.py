@@ -143,6 +143,7 @@ def row_matches(facts: DataFrame, heads: DataFrame, conditions: DataFrame, lists
     conditions as it needs and breaks none; rules that need none are tried on all entities of their label.
     """
     scope = [c for c in facts.columns if c not in ("properties", "relations")]
+    facts = stored(facts)  # read once by each kind of condition
     held = F.map_filter(F.col("properties"), lambda _, v: v.isNotNull())
     each = facts.select(*scope, F.explode(held).alias("name", "value")).withColumn("low", F.lower("value"))
     on = [F.col("entity_type") == F.col("entity"), F.col("name") == F.col("c_name")]

@@ -179,6 +179,24 @@ def action_rows(spark, sf_dir):
     return log.action_rows(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("decision_id")), actions).select("decision_id", "action.event_id", "seq")
 
 
+@query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT c_custkey AS decision_id, coalesce(any_value(n), 0) AS n_actions, string_agg(event_type, ',' ORDER BY ts, event_type) AS actions FROM customer LEFT JOIN e ON user_id = c_custkey AND k <= 10 GROUP BY c_custkey""")
+def last_actions(spark, sf_dir):
+    """Decisions with the number of their actions and the last ten: no row holds all that a busy decision has."""
+    actions = table(spark, sf_dir, "events").select(F.col("user_id").alias("decision_id"), F.col("event_type").alias("action"), F.col("ts").alias("at"))
+    return log.with_actions(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("decision_id")), actions, 10)
+
+
+@query("SELECT event_type AS stage, count(*) AS n, true AS p50_close, true AS p95_close FROM events GROUP BY event_type")
+def stage_sketches(spark, sf_dir):
+    """Median and 95th percentile of each stage's times by a sketch of bounded size, held against the ranks that they stand for."""
+    actions = table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("ms"))
+    told = log.stage_percentiles(actions).select("stage", "p50_ms", "p95_ms")
+    rows = actions.join(F.broadcast(told), "stage")  # a row a stage
+    close = lambda q, c: ((F.count_if(F.col("ms") < F.col(c) - 0.001) <= (q + 0.01) * F.count(F.lit(1))) & (F.count_if(F.col("ms") <= F.col(c) + 0.001) >= (q - 0.01) * F.count(F.lit(1))))
+    return rows.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), close(0.5, "p50_ms").alias("p50_close"), close(0.95, "p95_ms").alias("p95_close"))
+
+
 def event_stream(spark, sf_dir):
     """The events table as a stream, with its times in UTC."""
     events = table(spark, sf_dir, "events")
