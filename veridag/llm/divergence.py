@@ -81,11 +81,16 @@ def skyband(rows: pd.DataFrame, k: int, probes: int = 128) -> pd.DataFrame:
     Rows that k of some promising ones dominate go at once; those left are compared in an order in which whoever dominates
     a row comes before it, with the ones kept: if k dominate a row, k of these are in the skyband themselves.
     """
-    rows = rows.sort_values(["n", "n_lang", "term"], ascending=[False, True, True], kind="stable")
-    rows = rows[rows.groupby(["n", "n_lang"], sort=False).cumcount() < k]  # equal counts: only the term decides
     place = np.empty(len(rows), np.int64)
     place[np.argsort(rows["term"].to_numpy(object), kind="stable")] = np.arange(len(rows))
-    n, lang = rows["n"].to_numpy(), rows["n_lang"].to_numpy()
+    n, lang = rows["n"].to_numpy(np.int64), rows["n_lang"].to_numpy(np.int64)
+    order = np.lexsort((place, lang, -n))
+    n, lang = n[order], lang[order]
+    # Of equal counts only the terms decide, and the first k may stay.
+    fresh = np.concatenate([[True], (n[1:] != n[:-1]) | (lang[1:] != lang[:-1])])[: len(n)]
+    run = np.arange(len(n)) - np.maximum.accumulate(np.where(fresh, np.arange(len(n)), 0))
+    first = run < k
+    rows, n, lang, place = rows.iloc[order[first]], n[first], lang[first], place[order[first]]
     hits = np.zeros(len(rows), np.int64)
     for i in np.argsort(-(n.astype(float) ** 2 / np.maximum(lang, 1)), kind="stable")[:probes]:
         hits += (n <= n[i]) & (lang >= lang[i]) & (place > place[i])
