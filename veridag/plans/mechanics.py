@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from veridag.functions.text import question_terms
 from veridag.operators import context, evals, graph, log, partials, rules, shapes, vectors
-from veridag.plans.model import VERDICTS, edges, nodes, table, verdicts
+from veridag.plans.model import VERDICTS, edges, nodes, table, verdicts, verdicts_wide
 from veridag.plans.registry import query
 from veridag.plans.retrieval import points
 from veridag.plans.rules import HITS, PACK, scoped_counts
-from veridag.sources import tables
+from veridag.sources import tables, tabular
 from veridag.streaming import events as streams
 
 OVERLAPPING = """WITH d AS (SELECT event_id AS decision_id, user_id, ts AS valid_from, CASE WHEN event_id % 7 <> 0 THEN ts + to_minutes(CAST(event_id * 37 % 4000 AS BIGINT)) END AS valid_to FROM events),
@@ -119,6 +119,26 @@ def proof_lineage(spark, sf_dir):
     return evals.proof_lineage(evidence, v)
 
 
+RUN_FILES = VERDICTS + """SELECT part, kind, n FROM (SELECT 'object' AS part, 'EvalRun' AS kind, count(DISTINCT test_id // 50) AS n FROM wide UNION ALL SELECT 'object', 'Category', count(DISTINCT category) FROM wide
+UNION ALL SELECT 'object', 'TestCase', count(*) FROM wide UNION ALL SELECT 'object', 'Judge', count(DISTINCT method) FROM verdicts UNION ALL SELECT 'object', 'Verdict', count(*) FROM verdicts
+UNION ALL SELECT 'object', 'BiasPattern', count(*) FROM verdicts WHERE result = 'PASS' AND NOT correct UNION ALL SELECT 'link', 'BELONGS_TO', count(*) FROM wide UNION ALL SELECT 'link', k, count(*) FROM verdicts, (VALUES ('EVALUATED_IN'), ('PRODUCES'), ('TESTS')) t(k) GROUP BY k
+UNION ALL SELECT 'link', 'EXHIBITS', count(*) FROM verdicts WHERE result = 'PASS' AND NOT correct) WHERE n > 0"""
+
+
+@query(RUN_FILES)
+def run_files(spark, sf_dir):
+    """Verdicts written as run files of fifty results and read back into typed objects and links."""
+    wide = verdicts_wide(spark, sf_dir)
+    right = lambda m: (F.col(f"{m}_verdict") != "UNCLEAR") & ((F.col(f"{m}_verdict") == "PASS") == F.col("is_correct"))
+    told = [x for short, m in (("det", "language"), ("nr", "length"), ("wr", "style")) for x in (F.col(f"{m}_verdict").alias(f"{short}_verdict"), right(m).alias(f"{short}_correct"), F.col(f"{m}_ms").alias(f"{short}_ms"))]
+    rows = wide.select(F.concat(F.lit("R"), F.call_function("div", "test_id", F.lit(50)).cast("string")).alias("run_id"), F.struct(F.col("test_id").cast("string").alias("test_id"), "category", "is_correct", *told).alias("result"))
+    path = tables.new_folder(spark, "runs")
+    rows.groupBy("run_id").agg(F.collect_list("result").alias("results")).select(F.to_json(F.struct("run_id", "results"))).write.text(path)  # fifty a run
+    objects, links = evals.run_objects(tabular.read_runs(spark, path, lines=True))
+    count = lambda df, part, kind: df.groupBy(F.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(part).alias("part"), "kind", "n")
+    return count(objects, "object", "object_type").unionByName(count(links, "link", "rel_type"))
+
+
 @query("""WITH d AS (SELECT 'Nation' AS label, 'Nation:' || n_nationkey AS record_id, n_nationkey AS id, n_name AS name, 'n_regionkey=' || n_regionkey AS detail, lower(n_name) || chr(10) || n_regionkey AS t FROM nation
 UNION ALL SELECT 'Region', 'Region:' || r_regionkey, r_regionkey, r_name, 'r_name=' || r_name, lower(r_name) || chr(10) FROM region),
 q AS (SELECT c_custkey AS package_id, [lower(substr(c_mktsegment, 1, 2)), lower(n_name)] AS terms FROM customer JOIN nation ON n_nationkey = c_nationkey),

@@ -38,13 +38,14 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edges.write.mode("overwrite").partitionBy("rel_type").parquet(f"{path}/edges")
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
+def read_runs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Results of evaluation run files (JSON with run_id and an array `results`), a row a result with its keys and file.
+    A file is one document, or, with lines, has one on each line, so that many runs need few files.
 
     (file, run_id, pos, result, kind, test_id, category, is_correct): a run without id is named by its file, and a result
     without test_id by a hash of itself, so that it has the same name whenever it is read.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    files = spark.read.text(path, wholetext=not lines).select(F.col("_metadata.file_name").alias("file"), "value")
     results = F.from_json(F.get_json_object("value", "$.results"), "array<map<string,string>>")
     run = F.coalesce(F.get_json_object("value", "$.run_id"), F.regexp_replace("file", r"\.[^.]*$", ""))
     rows = files.select("file", run.alias("run_id"), F.posexplode(results).alias("pos", "result"))
