@@ -201,7 +201,7 @@ def test_trie_of_no_rows(spark):
 
 @pytest.mark.parametrize("shape", ["chain", "star", "random", "comb", "forest"])
 def test_subtree_sums(spark, shape):
-    rng, n = random.Random(2), 150
+    rng, n = random.Random(2), 60
     parent = {"chain": lambda i: i - 1, "star": lambda i: 0, "random": lambda i: rng.randrange(i), "comb": lambda i: max(0, i - 1 - i % 2), "forest": lambda i: i - 4 if i >= 4 else None}[shape]
     rows = [(i, None if i == 0 else parent(i), 1, rng.randint(-5, 50)) for i in range(n)]
     want = {r[0]: [r[2], r[3]] for r in rows}
