@@ -220,9 +220,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ties = stored(members.join(several, "id").where("a < rep").select("a", F.col("rep").alias("b")).distinct())
     forget(sets, reps)
 
-    # Texts are read again, as keys take as much room as they do and copies need none.
-    firsts = read.join(stored(members.where("id = rep and n > 0").select("id").distinct()), "id", "left_semi")
-    firsts = stored(sketched(firsts, ngram, num, den))
+    # Texts are read again, as storing the keys of copies, which need none, would take more room.  Keys are made where a text
+    # is read, and go to the join in its place, as they are less than half as large.
+    ids = stored(members.where("id = rep and n > 0").select("id").distinct())
+    firsts = stored(sketched(read, ngram, num, den).join(ids, "id", "left_semi"))
     of_band = [firsts.select("id", F.lit(k).cast("byte").alias("band"), F.explode(f"keys{k}").alias("key")) for k in (0, 1)]
     keyed = of_band[0].unionByName(of_band[1])
     shared = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1"))
