@@ -388,3 +388,19 @@ def test_bridge_prefers_aliases(spark):
     declared = spark.createDataFrame([("DRUG", "drugType"), ("DRUG", "kind"), ("DRUG", "name"), ("DRUG", "drug_type"), ("Other", "odd")], "label string, path string")
     aliases = spark.createDataFrame([("drug", "drug_type", "kind"), ("Drug", "name", "undeclared")], "label string, key string, path string")
     assert sorted(tuple(r) for r in shapes.bridged(nodes, declared, aliases, ("source",)).collect()) == [("Drug", "drug_type", "kind", 1), ("Drug", "name", "name", 1), ("Drug", "odd", None, 1)]
+
+
+# --- joins that must not pass through the driver ---
+
+
+def broadcasts(df):
+    return "Broadcast" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_names_are_not_broadcast(spark):
+    texts = spark.createDataFrame([(1, "a large ring"), (2, "Ring")], "text_id long, text string")
+    names = spark.createDataFrame([("W", "r", "ring"), ("P", "l", "large ring")], "label string, key string, name string")
+    assert not broadcasts(linking.named_spans(texts, names))
+    found = linking.resolve_names(texts, names)
+    assert not broadcasts(found)
+    assert sorted((r["text_id"], r["key"], r["start"]) for r in found.collect()) == [(1, "l", 2), (1, "r", 3), (2, "r", 1)]

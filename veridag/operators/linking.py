@@ -22,19 +22,20 @@ def named_spans(texts: DataFrame, names: DataFrame) -> DataFrame:
     A name is sought by the one of its words that texts use least, and not at all if one of them is in no text; only where
     that word is are the others looked for, each at its place.  So the work follows the places found, not the length of
     the longest name.  Words are compared folded, and exactly for names of fewer than four letters.  text_id names one text.
+    All joins shuffle: the planner takes exploded words for no more than the texts' file, and would send them by the driver.
     """
     known = stored(names.select("label", "key", "name").distinct().withColumn("words", cut_words("name")).where("size(words) > 0").withColumn("nid", F.monotonically_increasing_id()))
     parts = known.select("nid", F.size("words").alias("size"), (F.length("name") >= 4).alias("loose"), F.posexplode("words").alias("j", "own")).withColumn("token", F.lower("own"))
     tokens = texts.select("text_id", F.posexplode(cut_words("text")).alias("pos", "word")).select("text_id", (F.col("pos") + 1).alias("pos"), "word", F.lower("word").alias("token"))
-    held = stored(tokens.join(parts.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n")))
-    rarest = parts.join(held, "token", "left").groupBy("nid", "size", "loose").agg(F.count_if(F.col("n").isNull()).alias("missing"), F.min(F.struct("n", "j", "token", "own")).alias("x"))
+    held = stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).join(parts.select("token").distinct().hint("merge"), "token", "left_semi"))
+    rarest = parts.join(held.hint("merge"), "token", "left").groupBy("nid", "size", "loose").agg(F.count_if(F.col("n").isNull()).alias("missing"), F.min(F.struct("n", "j", "token", "own")).alias("x"))
     keys = stored(rarest.where("missing = 0").select("nid", "size", "loose", F.col("x.j").alias("key_j"), "x.token", "x.own"))
     same = F.col("loose") | (F.col("word") == F.col("own"))
-    met = tokens.join(keys, "token").where(same).select("text_id", (F.col("pos") - F.col("key_j")).alias("start"), "nid", "size", "key_j").where("start >= 1")
-    rest = met.where("size > 1").join(parts.select("nid", "j", "loose", "token", "own"), "nid").where("j <> key_j").withColumn("pos", F.col("start") + F.col("j"))
-    whole = rest.join(tokens, ["text_id", "pos", "token"]).where(same).groupBy("text_id", "start", "nid", "size").agg(F.count(F.lit(1)).alias("n")).where("n = size - 1")
+    met = tokens.join(keys.hint("merge"), "token").where(same).select("text_id", (F.col("pos") - F.col("key_j")).alias("start"), "nid", "size", "key_j").where("start >= 1")
+    rest = met.where("size > 1").join(parts.select("nid", "j", "loose", "token", "own").hint("merge"), "nid").where("j <> key_j").withColumn("pos", F.col("start") + F.col("j"))
+    whole = rest.join(tokens.hint("merge"), ["text_id", "pos", "token"]).where(same).groupBy("text_id", "start", "nid", "size").agg(F.count(F.lit(1)).alias("n")).where("n = size - 1")
     spans = met.where("size = 1").select("text_id", "start", "nid", "size").unionByName(whole.drop("n"))
-    return spans.join(known.drop("words"), "nid").select("text_id", "label", "key", "name", "start", "size")
+    return spans.join(known.drop("words").hint("merge"), "nid").select("text_id", "label", "key", "name", "start", "size")
 
 
 def resolve_names(texts: DataFrame, names: DataFrame, most: int = 12) -> DataFrame:
@@ -44,10 +45,10 @@ def resolve_names(texts: DataFrame, names: DataFrame, most: int = 12) -> DataFra
     a label, a match inside a longer one goes, and names with the same span all stay; of the rest, the first `most` by
     length, place, label and key stay.
     """
-    hits = named_spans(texts, names.where(~F.lower("name").isin(*NAME_STOPLIST)))
+    hits = stored(named_spans(texts, names.where(~F.lower("name").isin(*NAME_STOPLIST))))  # read twice
     by_label = Window.partitionBy("text_id", "label").orderBy("start", F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
     spans = hits.select("text_id", "label", "start", "size", (F.col("start") + F.col("size")).alias("end")).distinct().withColumn("covered", F.max("end").over(by_label))
-    kept = hits.join(spans.where("covered is null or end > covered"), ["text_id", "label", "start", "size"], "left_semi")
+    kept = hits.join(spans.where("covered is null or end > covered").hint("merge"), ["text_id", "label", "start", "size"], "left_semi")
     once = kept.groupBy("text_id", "label", "key", "name").agg(F.min("start").alias("start"))
     order = Window.partitionBy("text_id").orderBy(F.desc(F.length("name")), "start", "label", "key")
     return once.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).drop("k")
