@@ -397,6 +397,14 @@ def broadcasts(df):
     return "Broadcast" in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_intervals_are_not_broadcast(spark):
+    decisions = spark.createDataFrame([(1, 7, at(0), at(5))], "decision_id long, user_id long, valid_from timestamp, valid_to timestamp")
+    probes = spark.createDataFrame([(1, 7, at(4)), (2, 7, at(6))], "probe long, user_id long, at timestamp")
+    found = log.as_of_join(probes, decisions, ["user_id"])
+    assert not broadcasts(found)
+    assert sorted(((r["probe"], r["decision_id"]) for r in found.collect()), key=repr) == [(1, 1), (2, None)]
+
+
 def test_names_are_not_broadcast(spark):
     texts = spark.createDataFrame([(1, "a large ring"), (2, "Ring")], "text_id long, text string")
     names = spark.createDataFrame([("W", "r", "ring"), ("P", "l", "large ring")], "label string, key string, name string")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridag.functions.text import sorted_json
+from veridag.sources.tables import stored
 
 
 def as_of(decisions: DataFrame, at: Column) -> DataFrame:
@@ -13,31 +14,41 @@ def as_of(decisions: DataFrame, at: Column) -> DataFrame:
     return decisions.where((F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at)))
 
 
+def width_level(length: Column, width_us: int) -> Column:
+    """Which of the widths, each four times the one before, is the first as wide as a length."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(length / F.lit(float(width_us))) / 2)).cast("int")
+
+
 def as_of_join(probes: DataFrame, decisions: DataFrame, on: list[str], outer: bool = True, width_us: int = 60_000_000) -> DataFrame:
     """For each probe (at, …), every decision of its key that is valid then; outer: a row with null where there is none.
 
     decisions: (…, decision_id, valid_from, valid_to), valid from valid_from until before valid_to, or open if that is null.
     Each interval lies in the two or so buckets of time that are at least as wide as itself, and a probe in one bucket of
     each width that occurs, so that rows meet by key and bucket, whatever the intervals' lengths, and bounds are checked
-    after.  A hot key's rows are in as many buckets as its time has.  Null keys and moments match nothing.
+    after.  Widths grow by four, as each of them costs a row a probe.  A hot key's rows are in as many buckets as its time
+    has.  Null keys and moments match nothing.  All joins shuffle: the planner takes the exploded rows for fewer than they
+    are, and would send them by the driver.
     """
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     horizon = probes.agg(F.max(us("at"))).first()[0]
     end = F.least(F.coalesce(us("valid_to"), F.lit((horizon or 0) + 1)), F.lit((horizon or 0) + 1))
     cut = decisions.select(*on, "decision_id", us("valid_from").alias("_from"), end.alias("_to")).where("_from < _to")
-    level = F.greatest(F.lit(0), F.ceil(F.log2((F.col("_to") - F.col("_from")) / F.lit(float(width_us)))))
-    cut = cut.withColumn("_level", level.cast("int"))
-    size = (F.lit(width_us) * F.pow(F.lit(2), F.col("_level"))).cast("long")
-    bucket = lambda t: F.call_function("div", t - F.pmod(t, size), size)
-    cut = cut.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_from")), bucket(F.col("_to") - 1))))
-    levels = sorted(r[0] for r in cut.select("_level").distinct().collect()) or [0]  # one a power of two
-    asked = probes.withColumn("_at", us("at")).withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels])))
-    found = asked.withColumn("_bucket", bucket(F.col("_at"))).join(cut, [*on, "_level", "_bucket"]).where("_from <= _at and _at < _to")
+    cut = stored(cut.withColumn("_level", width_level(F.col("_to") - F.col("_from"), width_us)))  # read twice
+    levels = sorted(r[0] for r in cut.select("_level").distinct().collect()) or [0]  # one a power of four
+
+    def bucket(t: Column, level: Column) -> Column:
+        size = (F.lit(width_us) * F.pow(F.lit(4), level)).cast("long")
+        return F.call_function("div", t - F.pmod(t, size), size)
+
+    spread = F.explode(F.sequence(bucket(F.col("_from"), F.col("_level")), bucket(F.col("_to") - 1, F.col("_level"))))
+    cut = cut.withColumn("_b", spread).withColumn("_bucket", F.col("_b") * 32 + F.col("_level")).drop("_b", "_level")
+    asked = probes.withColumn("_bucket", F.explode(F.array(*[bucket(us("at"), F.lit(k)) * 32 + k for k in levels])))
+    found = asked.join(cut.hint("merge"), [*on, "_bucket"]).where((F.col("_from") <= us("at")) & (us("at") < F.col("_to")))
     found = found.select(*probes.columns, "decision_id")
     if not outer:
         return found
     had = found.select(*[F.col(c).alias(f"_{c}") for c in probes.columns]).distinct()
-    bare = probes.join(had, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in probes.columns], "left_anti")
+    bare = probes.join(had.hint("merge"), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in probes.columns], "left_anti")
     return found.unionByName(bare.withColumn("decision_id", F.lit(None).cast(decisions.schema["decision_id"].dataType)))
 
 
