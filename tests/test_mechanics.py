@@ -412,3 +412,20 @@ def test_names_are_not_broadcast(spark):
     found = linking.resolve_names(texts, names)
     assert not broadcasts(found)
     assert sorted((r["text_id"], r["key"], r["start"]) for r in found.collect()) == [(1, "l", 2), (1, "r", 3), (2, "r", 1)]
+
+
+# --- results that equal SQL's ---
+
+
+def test_rounding_and_json_as_in_sql(spark):
+    import duckdb
+
+    from veridag.functions.numbers import rounded
+
+    x = [203.15 / 100, 330.65 / 100, 268.15 / 100, -2.0315, 0.00049, 2e-6, 12345678.25, None, 7.0]
+    con = duckdb.connect()
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, v double")
+    assert [r[0] for r in got.orderBy("i").select(rounded("v", 3)).collect()] == [con.execute("SELECT round(CAST(? AS DOUBLE), 3)", [v]).fetchone()[0] for v in x]
+    want = con.execute("SELECT CAST(to_json(list(t ORDER BY i)) AS VARCHAR) FROM (SELECT CAST(unnest(range(?)) AS INT) AS i, unnest(CAST(? AS DOUBLE[])) AS v) t", [len(x), x]).fetchone()[0]
+    assert json.loads(tabular.report({"t": got}).first()["report"]) == {"t": want}
+

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridag.functions.numbers import rounded
 from veridag.functions.text import citations, content_words, fingerprint, token_estimate
 from veridag.operators.assembly import keyword_hits
 
@@ -27,7 +28,7 @@ ADVICE = (
 def ranked(elements: DataFrame, weights: dict[str, float]) -> DataFrame:
     """rank of each element in its package by score times its kind's weight, then id."""
     weight = F.create_map(*[x for k, w in weights.items() for x in (F.lit(k), F.lit(w))])[F.col("kind")] if weights else F.lit(1.0)
-    order = Window.partitionBy("package_id").orderBy(F.desc(F.round(F.col("score") * F.coalesce(weight, F.lit(1.0)), 6)), "element_id")
+    order = Window.partitionBy("package_id").orderBy(F.desc(rounded(F.col("score") * F.coalesce(weight, F.lit(1.0)), 6)), "element_id")
     return elements.withColumn("rank", F.row_number().over(order))
 
 
@@ -80,7 +81,7 @@ def penalty(degradations: Column) -> Column:
 def grounding(n_cited: Column, overlap: Column, fine: Column, n_fabricated: Column) -> Column:
     """Score in [0, 1] from valid citations, overlap, penalty and fabricated citations."""
     base = (0.45 * F.least(n_cited / 2.0, F.lit(1.0)) + 0.55 * overlap) * (1.0 - fine)
-    return F.round(F.least(F.greatest(F.when(n_fabricated > 0, base * 0.4).otherwise(base), F.lit(0.0)), F.lit(1.0)), 3)
+    return rounded(F.least(F.greatest(F.when(n_fabricated > 0, base * 0.4).otherwise(base), F.lit(0.0)), F.lit(1.0)), 3)
 
 
 def advice(question: Column) -> Column:

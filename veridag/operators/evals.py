@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridag.functions.numbers import rounded
 from veridag.functions.text import short_id
 
 
@@ -23,8 +24,8 @@ def wrong_fail() -> Column:
 
 def method_comparison(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("method").agg(
-        F.count(F.lit(1)).alias("total"), F.count_if("correct").alias("n_correct"), F.round(100.0 * F.avg(F.col("correct").cast("double")), 1).alias("accuracy"),
-        F.count_if(wrong_pass()).alias("false_passes"), F.round(F.avg("latency_ms"), 2).alias("avg_latency"),
+        F.count(F.lit(1)).alias("total"), F.count_if("correct").alias("n_correct"), rounded(100.0 * F.avg(F.col("correct").cast("double")), 1).alias("accuracy"),
+        F.count_if(wrong_pass()).alias("false_passes"), rounded(F.avg("latency_ms"), 2).alias("avg_latency"),
     )
 
 
@@ -43,8 +44,8 @@ def confusion(verdicts: DataFrame, *by: str) -> DataFrame:
     pe = share((tp + fn) * (tp + fp) + (tn + fp) * (tn + fn), total * total)
     kappa = F.when(pe >= 1, 0.0).otherwise(share(po - pe, 1 - pe))
     return n.select(
-        *by, "tp", "fn", "tn", "fp", F.round(po, 4).alias("accuracy"), F.round(share(tp, tp + fn), 4).alias("tpr"), F.round(share(tn, tn + fp), 4).alias("tnr"),
-        F.round(share(tp, tp + fp), 4).alias("precision"), F.round(share(2 * tp, 2 * tp + fp + fn), 4).alias("f1"), F.round(kappa, 4).alias("kappa"), (F.round(po - kappa, 4) > 0.1).alias("gap_flag"),
+        *by, "tp", "fn", "tn", "fp", rounded(po, 4).alias("accuracy"), rounded(share(tp, tp + fn), 4).alias("tpr"), rounded(share(tn, tn + fp), 4).alias("tnr"),
+        rounded(share(tp, tp + fp), 4).alias("precision"), rounded(share(2 * tp, 2 * tp + fp + fn), 4).alias("f1"), rounded(kappa, 4).alias("kappa"), (rounded(po - kappa, 4) > 0.1).alias("gap_flag"),
     )
 
 
@@ -53,7 +54,7 @@ def pareto(rows: DataFrame, key: str) -> DataFrame:
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     total = Window.partitionBy()
     order = Window.orderBy(F.desc("n"), key).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select(key, "n", F.round(100.0 * F.col("n") / F.sum("n").over(total), 2).alias("pct"), F.round(100.0 * F.sum("n").over(order) / F.sum("n").over(total), 2).alias("cumulative_pct"))
+    return counts.select(key, "n", rounded(100.0 * F.col("n") / F.sum("n").over(total), 2).alias("pct"), rounded(100.0 * F.sum("n").over(order) / F.sum("n").over(total), 2).alias("cumulative_pct"))
 
 
 def cost(in_price: float, out_price: float) -> Column:
@@ -64,23 +65,23 @@ def cost(in_price: float, out_price: float) -> Column:
 def run_cost(verdicts: DataFrame, in_price: float, out_price: float, per_day: int) -> DataFrame:
     c = cost(in_price, out_price)
     totals = verdicts.groupBy("run_id").agg(
-        F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.round(F.avg(c), 8).alias("cost_per_eval"), F.round(F.avg("latency_ms"), 3).alias("ms_per_judgment")
+        F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), rounded(F.avg(c), 8).alias("cost_per_eval"), rounded(F.avg("latency_ms"), 3).alias("ms_per_judgment")
     )
-    return totals.withColumn("daily", F.round(F.col("cost_per_eval") * per_day, 4)).withColumn("monthly", F.round(F.col("cost_per_eval") * per_day * 30, 3))
+    return totals.withColumn("daily", rounded(F.col("cost_per_eval") * per_day, 4)).withColumn("monthly", rounded(F.col("cost_per_eval") * per_day * 30, 3))
 
 
 def cost_by_method(verdicts: DataFrame, in_price: float, out_price: float) -> DataFrame:
     """Cost per method, and of all under the method null."""
     c = cost(in_price, out_price)
-    return verdicts.rollup("method").agg(F.round(F.sum(c), 6).alias("cost"), F.round(F.avg(c), 8).alias("per_verdict"))
+    return verdicts.rollup("method").agg(rounded(F.sum(c), 6).alias("cost"), rounded(F.avg(c), 8).alias("per_verdict"))
 
 
 def leaderboard(verdicts: DataFrame, in_price: float, out_price: float) -> DataFrame:
     """Accuracy, false-pass rate over bad outputs, cost, and the number of wrong verdicts by kind, as a map."""
     kind = F.when(wrong_pass(), "false_pass").when(wrong_fail(), "false_fail").when(F.col("result") == "UNCLEAR", "unclear")
     main = verdicts.groupBy("method").agg(
-        F.round(F.avg(F.col("correct").cast("double")), 4).alias("accuracy"), F.round(share(F.count_if(wrong_pass()), F.count_if(~F.col("is_correct"))), 4).alias("false_pass_rate"),
-        F.round(F.sum(cost(in_price, out_price)), 6).alias("cost"),
+        rounded(F.avg(F.col("correct").cast("double")), 4).alias("accuracy"), rounded(share(F.count_if(wrong_pass()), F.count_if(~F.col("is_correct"))), 4).alias("false_pass_rate"),
+        rounded(F.sum(cost(in_price, out_price)), 6).alias("cost"),
     )
     kinds = verdicts.where(kind.isNotNull()).groupBy("method", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
     profile = kinds.groupBy("method").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "kind", F.col("n").cast("string")))), ",").alias("profile"))
@@ -96,17 +97,17 @@ def difficulty(verdicts: DataFrame) -> DataFrame:
 
 
 def hardest(verdicts: DataFrame, n: int) -> DataFrame:
-    tests = difficulty(verdicts).select("test_id", F.round("difficulty", 2).alias("difficulty")).where("difficulty > 0")
+    tests = difficulty(verdicts).select("test_id", rounded("difficulty", 2).alias("difficulty")).where("difficulty > 0")
     return tests.orderBy(F.desc("difficulty"), "test_id").limit(n)
 
 
 def category_breakdown(verdicts: DataFrame) -> DataFrame:
     """Tests of each category and the mean of their accuracies, a macro mean."""
-    return difficulty(verdicts).groupBy("category").agg(F.count(F.lit(1)).alias("tests"), F.round(F.avg(1 - F.col("difficulty")), 4).alias("mean_accuracy"))
+    return difficulty(verdicts).groupBy("category").agg(F.count(F.lit(1)).alias("tests"), rounded(F.avg(1 - F.col("difficulty")), 4).alias("mean_accuracy"))
 
 
 def accuracy_by(verdicts: DataFrame, rows: str, columns: str, values: list[str]) -> DataFrame:
-    return verdicts.groupBy(rows).pivot(columns, values).agg(F.round(F.avg(F.col("correct").cast("double")), 4))
+    return verdicts.groupBy(rows).pivot(columns, values).agg(rounded(F.avg(F.col("correct").cast("double")), 4))
 
 
 def consistency(verdicts: DataFrame) -> DataFrame:
@@ -119,8 +120,8 @@ def false_rates(verdicts: DataFrame) -> DataFrame:
     """Two false-pass rates over bad outputs, PASS alone and any wrong verdict, and the false-fail rate over good ones."""
     bad, good = ~F.col("is_correct"), F.col("is_correct")
     return verdicts.groupBy("method").agg(
-        F.round(share(F.count_if(wrong_pass()), F.count_if(bad)), 4).alias("pass_on_bad"), F.round(share(F.count_if(bad & ~F.col("correct")), F.count_if(bad)), 4).alias("wrong_on_bad"),
-        F.round(share(F.count_if(wrong_fail()), F.count_if(good)), 4).alias("fail_on_good"),
+        rounded(share(F.count_if(wrong_pass()), F.count_if(bad)), 4).alias("pass_on_bad"), rounded(share(F.count_if(bad & ~F.col("correct")), F.count_if(bad)), 4).alias("wrong_on_bad"),
+        rounded(share(F.count_if(wrong_fail()), F.count_if(good)), 4).alias("fail_on_good"),
     )
 
 
@@ -132,7 +133,7 @@ def harder_than(verdicts: DataFrame, prefix: str) -> DataFrame:
     miss = verdicts.where(F.col("method").startswith(prefix)).groupBy("category").agg(F.avg((~F.col("correct")).cast("double")).alias("miss"))
     order = Window.orderBy(F.desc("miss"), "category")
     next_ = miss.select("category", "miss", F.lead("category").over(order).alias("easier"), F.lead("miss").over(order).alias("easier_miss"))
-    return next_.where("miss > easier_miss").select("category", "easier", F.round(F.col("miss") - F.col("easier_miss"), 4).alias("delta"))
+    return next_.where("miss > easier_miss").select("category", "easier", rounded(F.col("miss") - F.col("easier_miss"), 4).alias("delta"))
 
 
 def verdict_pivot(verdicts: DataFrame, methods: list[str]) -> DataFrame:
@@ -221,11 +222,11 @@ def eval_graph(verdicts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def arm_summary(results: DataFrame) -> DataFrame:
     """Per arm: n, errors, behaviour, groundedness, citations, rules and confabulation; null where nothing counts."""
-    ratio = lambda hit, of: F.round(F.try_divide(F.count_if(hit).cast("double"), F.count_if(of).cast("double")), 4)
+    ratio = lambda hit, of: rounded(F.try_divide(F.count_if(hit).cast("double"), F.count_if(of).cast("double")), 4)
     answered, unanswerable = F.col("outcome") == "answer", F.col("expected") != "answer"
     return results.groupBy("arm").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("outcome") == "error").alias("errors"), ratio(F.col("behaviour_correct"), F.lit(True)).alias("behaviour_correct"),
-        F.round(F.avg(F.when(answered, F.col("groundedness"))), 4).alias("groundedness"), ratio(answered & F.col("has_citation"), answered).alias("citation_coverage"),
+        rounded(F.avg(F.when(answered, F.col("groundedness"))), 4).alias("groundedness"), ratio(answered & F.col("has_citation"), answered).alias("citation_coverage"),
         ratio(F.col("rules_hit"), F.col("rules_hit").isNotNull()).alias("rule_compliance"), ratio(unanswerable & answered, unanswerable).alias("confabulation"),
     )
 

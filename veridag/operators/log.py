@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridag.functions.numbers import rounded
 from veridag.functions.text import sorted_json
 from veridag.sources.tables import stored
 
@@ -121,10 +122,10 @@ def provenance_chain(rows: DataFrame, key: str) -> DataFrame:
 
 
 def stage_times(actions: DataFrame) -> DataFrame:
-    return actions.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ms"), 3).alias("mean_ms"), F.max("ms").alias("max_ms"))
+    return actions.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("ms"), 3).alias("mean_ms"), F.max("ms").alias("max_ms"))
 
 
 def stage_percentiles(actions: DataFrame, exact: bool = False) -> DataFrame:
     """Median and 95th percentile of each stage's times: by a sketch of bounded size, or exact."""
     p = (lambda q: F.percentile("ms", q)) if exact else (lambda q: F.percentile_approx("ms", q))
-    return actions.groupBy("stage").agg(F.round(p(0.5), 3).alias("p50_ms"), F.round(p(0.95), 3).alias("p95_ms"))
+    return actions.groupBy("stage").agg(rounded(p(0.5), 3).alias("p50_ms"), rounded(p(0.95), 3).alias("p95_ms"))

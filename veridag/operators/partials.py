@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veridag.functions.numbers import rounded
 from veridag.sources.tables import stored
 
 SUMS = ("n", "correct", "false_passes", "false_negatives", "input_tokens", "output_tokens", "latency_ms", "timed")
@@ -44,4 +45,4 @@ def read_off(states: DataFrame, *quantiles: float) -> DataFrame:
     ratio = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
     at: list[Column] = [F.when(F.col("timed") > 0, F.kll_sketch_get_quantile_double("latencies", F.lit(q))).alias(f"p{round(q * 100)}_ms") for q in quantiles]
     keys = [c for c in states.columns if c not in (*SUMS, "tests", "latencies")]
-    return states.select(*keys, *SUMS, F.round(100 * ratio("correct", "n"), 1).alias("accuracy_pct"), F.round(ratio("latency_ms", "timed"), 3).alias("mean_ms"), F.hll_sketch_estimate("tests").alias("n_tests"), *at)
+    return states.select(*keys, *SUMS, rounded(100 * ratio("correct", "n"), 1).alias("accuracy_pct"), rounded(ratio("latency_ms", "timed"), 3).alias("mean_ms"), F.hll_sketch_estimate("tests").alias("n_tests"), *at)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veridag.functions.numbers import rounded
 from veridag.functions.text import ANSWER_STOPWORDS
 from veridag.operators import context, graph, linking, rules, vectors
 from veridag.operators.rules import Rule
@@ -40,7 +41,7 @@ def failure_clusters(spark, sf_dir):
     p = points(spark, sf_dir)
     q = p.where("point_id % 20 = 0 and label in (0, 3, 6)").select(F.col("point_id").alias("query_id"), "collection", "vec")
     near = vectors.nearest(q, p, 4, ["collection"])
-    return near.groupBy(F.concat(F.lit("Eval_Cluster:"), F.col("query_id").cast("string")).alias("cluster")).agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("label") % 3 == 0).alias("failing"), F.round(F.avg("score"), 5).alias("mean_score"))
+    return near.groupBy(F.concat(F.lit("Eval_Cluster:"), F.col("query_id").cast("string")).alias("cluster")).agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("label") % 3 == 0).alias("failing"), rounded(F.avg("score"), 5).alias("mean_score"))
 
 
 @query("SELECT label % 2 AS collection, count(*) AS points, count(*) FILTER (len(embedding) <> 64) AS wrong_dims FROM embeddings GROUP BY ALL")
@@ -106,7 +107,7 @@ def mention_links(spark, sf_dir):
 @query(MENTIONS + "SELECT count(*) AS considered, count(*) FILTER (status = 'linked') AS linked, count(*) FILTER (status = 'unlinked') AS unlinked, count(*) FILTER (status = 'rejected') AS rejected, round(count(*) FILTER (status = 'linked') / count(*), 4) AS link_rate FROM m")
 def link_statistics(spark, sf_dir):
     n = lambda s: F.count_if(F.col("status") == s)
-    return mentions(spark, sf_dir).agg(F.count(F.lit(1)).alias("considered"), n("linked").alias("linked"), n("unlinked").alias("unlinked"), n("rejected").alias("rejected"), F.round(n("linked") / F.count(F.lit(1)), 4).alias("link_rate"))
+    return mentions(spark, sf_dir).agg(F.count(F.lit(1)).alias("considered"), n("linked").alias("linked"), n("unlinked").alias("unlinked"), n("rejected").alias("rejected"), rounded(n("linked") / F.count(F.lit(1)), 4).alias("link_rate"))
 
 
 def elements(spark, sf_dir):
@@ -185,7 +186,7 @@ def grounded(spark, sf_dir, evidence=None):
 
 @query(GROUNDED + "SELECT package_id, n_cited, n_fabricated, round(overlap, 6) AS overlap, score FROM s")
 def grounding_score(spark, sf_dir):
-    return grounded(spark, sf_dir).select("package_id", "n_cited", "n_fabricated", F.round("overlap", 6).alias("overlap"), "score")
+    return grounded(spark, sf_dir).select("package_id", "n_cited", "n_fabricated", rounded("overlap", 6).alias("overlap"), "score")
 
 
 PACK = [

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veridag.functions.numbers import plain_number
+
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """All columns as trimmed strings; empty is null; a byte-order mark before the first name is no part of it."""
@@ -65,10 +67,23 @@ def result_kind(keys: Column) -> Column:
     return out
 
 
+def json_object(df: DataFrame) -> Column:
+    """A row as a JSON object: nulls are told, and doubles have the digits that other engines write."""
+    def value(name: str, kind: str) -> Column:
+        listed = F.to_json(F.array(name))  # [value]
+        own = F.substring(listed, F.lit(2), F.length(listed) - 2)
+        return F.when(~F.isnan(name) & (F.abs(name) != float("inf")), plain_number(F.col(name))).otherwise(own) if kind == "double" else own
+
+    told = [F.concat(F.lit(f'"{name}":'), F.coalesce(F.when(F.col(name).isNotNull(), value(name, kind)), F.lit("null"))) for name, kind in df.dtypes]
+    return F.concat(F.lit("{"), F.concat_ws(",", *told), F.lit("}"))
+
+
 def report(tables: dict[str, DataFrame]) -> DataFrame:
     """One JSON document of small result tables, each at most a few hundred rows by its definition."""
     out = None
     for name, df in tables.items():
-        one = df.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*df.columns)))).alias("rows")).select(F.lit(name).alias("name"), "rows")
+        rows = F.array_sort(F.collect_list(F.struct(*df.columns, json_object(df).alias("_json"))))
+        told = df.agg(F.concat(F.lit("["), F.array_join(F.transform(rows, lambda r: r["_json"]), ","), F.lit("]")).alias("rows"))
+        one = told.select(F.lit(name).alias("name"), "rows")
         out = one if out is None else out.unionByName(one)
     return out.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "rows"))))).alias("report"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
+from veridag.functions.numbers import rounded
 from veridag.functions.text import sorted_json
 from veridag.operators.log import concept_edges
 
@@ -23,7 +24,7 @@ def deduplicated(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
 def windowed_counts(events: DataFrame, width: str = "10 minutes", lateness: str = "1 hour") -> DataFrame:
     """Events and their mean value per window and type; append mode emits a window once the watermark has passed it."""
     w = F.window("ts", width)
-    found = events.withWatermark("ts", lateness).groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
+    found = events.withWatermark("ts", lateness).groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("value"), 6).alias("mean_value"))
     return found.select(F.col("w.start").alias("start"), "event_type", "n", "mean_value")
 
 
@@ -34,7 +35,7 @@ def closed_windows(events: DataFrame, width: str = "10 minutes", lateness: str =
     can't be known any more; LateRows counts those.
     """
     once = deduplicated(events, lateness)
-    found = once.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
+    found = once.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("value"), 6).alias("mean_value"))
     return found.select(F.col("w.start").alias("start"), "event_type", "n", "mean_value")
 
 
