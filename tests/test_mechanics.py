@@ -429,3 +429,10 @@ def test_rounding_and_json_as_in_sql(spark):
     want = con.execute("SELECT CAST(to_json(list(t ORDER BY i)) AS VARCHAR) FROM (SELECT CAST(unnest(range(?)) AS INT) AS i, unnest(CAST(? AS DOUBLE[])) AS v) t", [len(x), x]).fetchone()[0]
     assert json.loads(tabular.report({"t": got}).first()["report"]) == {"t": want}
 
+
+def test_copies_do_not_hide_a_point_from_itself(spark):
+    x = np.random.default_rng(3).normal(size=(600, 32))
+    points = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(np.concatenate([x, x, x]))], "point_id long, collection int, vec array<double>")
+    queries = points.where("point_id % 20 = 0").select((-1 - F.col("point_id")).alias("query_id"), "collection", F.transform("vec", lambda v: v * 1.5).alias("vec"), F.col("point_id").alias("own"))
+    for found in (vectors.indexed(queries, vectors.build_index(points, 32, tables=4, bits=6), 1, ["collection"], probes=2, least=0.9, own="own"), vectors.nearest(queries, points, 1, ["collection"], block_rows=100, own="own")):
+        assert sorted((-1 - r["query_id"], r["point_id"]) for r in found.collect()) == [(i, i) for i in range(0, 1800, 20)]

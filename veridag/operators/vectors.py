@@ -13,9 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veridag.functions.numbers import rounded
 from veridag.sources.tables import stored
 
 
+# Queries that a task scores at once: what it holds is this many times the points of a block.
+SLICE = 1 << 30
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -29,17 +34,17 @@ def similarity(a: Column, b: Column, metric: str = "cosine") -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int, on: list[str], metric: str = "cosine", digits: int = 6, block_rows: int = 4096) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, k: int, on: list[str], metric: str = "cosine", digits: int = 6, block_rows: int = 4096, own: str | None = None) -> DataFrame:
     """The k points nearest to each query (query_id, vec) among those equal to it in the columns `on`, itself excluded.
 
     Exact search of a stated query set: both sides are dealt into blocks of about block_rows, each pair of blocks meets in
-    one task, which keeps the k best of each query before rows meet.  Vectors that are null, hold nulls or have another
-    length than the query match nothing, and so do zero vectors by cosine.  Equal scores, rounded to `digits`, are in
-    order of point_id.
+    one task, which keeps the k best of each query before rows meet and scores SLICE queries at once.  Vectors that are
+    null, hold nulls or have another length than the query match nothing, and so do zero vectors by cosine.  Equal scores,
+    rounded to `digits`, are in order of point_id, but for the point that the queries' column `own` names, which is first.
     """
     fine = "vec is not null and size(vec) > 0 and forall(vec, x -> x is not null)"
     vec = F.transform("vec", lambda x: x.cast("double")).alias("vec")
-    q = queries.where(fine).select("query_id", *on, vec, F.size("vec").alias("_dims"))
+    q = queries.where(fine).select("query_id", *on, *([F.col(own).alias("_own")] if own else []), vec, F.size("vec").alias("_dims"))
     p = points.where(fine).select(*[c for c in points.columns if c != "vec"], vec, F.size("vec").alias("_dims"))
     q_parts, p_parts = (max(1, math.ceil(df.count() / block_rows)) for df in (q, p))
     part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
@@ -47,24 +52,33 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, on: list[str], metric
     q = q.withColumn("_q", part("query_id", q_parts)).withColumn("_p", every(p_parts))
     p = p.withColumn("_p", part("point_id", p_parts)).withColumn("_q", every(q_parts))
     rest = [c for c in points.columns if c != "vec"]
-    schema = T.StructType([queries.schema["query_id"], *[points.schema[c] for c in rest], T.StructField("score", T.DoubleType())])
+    schema = T.StructType([queries.schema["query_id"], *[points.schema[c] for c in rest], *([T.StructField("_own", queries.schema[own].dataType)] if own else []), T.StructField("score", T.DoubleType())])
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame(columns=schema.names)
         right = right.sort_values("point_id", kind="stable")
-        a, b = np.stack(left["vec"].to_list()), np.stack(right["vec"].to_list())
-        score = scores(a, b, metric)
-        score[(left["query_id"].to_numpy()[:, None] == right["point_id"].to_numpy()) | ~np.isfinite(score)] = -np.inf
-        top = np.argsort(-np.round(score, digits), axis=1, kind="stable")[:, :k]
+        b, ids = np.stack(right["vec"].to_list()), right["point_id"].to_numpy()
+        return pd.concat([best_of(left.iloc[i : i + SLICE], right, b, ids) for i in range(0, len(left), SLICE)])
+
+    def best_of(left: pd.DataFrame, right: pd.DataFrame, b: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+        score = scores(np.stack(left["vec"].to_list()), b, metric)
+        score[(left["query_id"].to_numpy()[:, None] == ids) | ~np.isfinite(score)] = -np.inf
+        order = -np.round(score, digits)
+        top = np.lexsort((left["_own"].to_numpy()[:, None] != ids, order), axis=1)[:, :k] if own else np.argsort(order, axis=1, kind="stable")[:, :k]
         row = np.repeat(np.arange(len(left)), top.shape[1])
         out = right[rest].iloc[top.ravel()].assign(query_id=left["query_id"].to_numpy()[row], score=score[row, top.ravel()])
+        out = out.assign(_own=left["_own"].to_numpy()[row]) if own else out
         return out[np.isfinite(out["score"])][schema.names]
 
     keys = [*on, "_dims", "_p", "_q"]
-    near = q.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInPandas(best, schema).withColumn("score", F.round("score", digits))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    near = q.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInPandas(best, schema).withColumn("score", rounded("score", digits))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), *own_first(own), "point_id")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("_own")
+
+
+def own_first(own: str | None) -> list[Column]:
+    return [F.desc(F.col("_own").eqNullSafe(F.col("point_id")))] if own else []
 
 
 def scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -124,16 +138,17 @@ def probed_codes(x: np.ndarray, planes: np.ndarray, probes: int) -> np.ndarray:
     return np.concatenate([own[..., None], own[..., None] ^ flips[order]], axis=-1)
 
 
-def indexed(queries: DataFrame, index: VectorIndex, k: int, on: list[str], probes: int = 8, digits: int = 6, least: float | None = None) -> DataFrame:
+def indexed(queries: DataFrame, index: VectorIndex, k: int, on: list[str], probes: int = 8, digits: int = 6, least: float | None = None, own: str | None = None) -> DataFrame:
     """What nearest() gives by cosine, from the points in the probed buckets alone, with `compared`, the points that each
     query was compared with.
 
     Scores are exact; what may be missing are points whose codes differ too much in every table.  With `least`, queries
-    that find fewer than k points of that score or more are searched again in full, by nearest().
+    that find fewer than k points of that score or more are searched again in full, by nearest().  Of equal scores, the
+    point that the queries' column `own` names is first.
     """
     planes, payload = index.planes, [c for c in index.points.columns if c not in ("point_id", "vec")]
     fine = f"vec is not null and size(vec) = {planes.shape[2]} and forall(vec, x -> x is not null) and exists(vec, x -> x <> 0)"
-    q = queries.where(fine).select("query_id", *on, F.transform("vec", lambda x: x.cast("double")).alias("vec"))
+    q = queries.where(fine).select("query_id", *on, *([F.col(own).alias("_own")] if own else []), F.transform("vec", lambda x: x.cast("double")).alias("vec"))
     kind, tables = queries.schema["query_id"].dataType.simpleString(), planes.shape[0]
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,11 +160,11 @@ def indexed(queries: DataFrame, index: VectorIndex, k: int, on: list[str], probe
 
     wanted = q.select("query_id", "vec").mapInPandas(look, f"query_id {kind}, table int, code long")
     pairs = wanted.join(index.codes, ["table", "code"]).where("query_id <> point_id").select("query_id", "point_id").distinct()
-    left = q.select("query_id", F.col("vec").alias("_vec"), *[F.col(c).alias(f"_{c}") for c in on])
+    left = q.select("query_id", *(["_own"] if own else []), F.col("vec").alias("_vec"), *[F.col(c).alias(f"_{c}") for c in on])
     met = pairs.join(left, "query_id").join(index.points, "point_id")
     for c in on:
         met = met.where(F.col(f"_{c}") == F.col(c))
-    rest = ["query_id", "point_id", *payload]
+    rest = ["query_id", "point_id", *(["_own"] if own else []), *payload]
     schema = T.StructType([*[met.schema[c] for c in rest], T.StructField("score", T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,15 +173,15 @@ def indexed(queries: DataFrame, index: VectorIndex, k: int, on: list[str], probe
             cosine = np.einsum("nd,nd->n", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], pa.array(cosine)], names=[*rest, "score"])
 
-    scored = met.select(*rest, "_vec", "vec").mapInArrow(score, schema).where(~F.isnan("score")).withColumn("score", F.round("score", digits))
+    scored = met.select(*rest, "_vec", "vec").mapInArrow(score, schema).where(~F.isnan("score")).withColumn("score", rounded("score", digits))
     each = Window.partitionBy("query_id")
-    near = scored.withColumn("rank", F.row_number().over(each.orderBy(F.desc("score"), "point_id"))).withColumn("compared", F.count(F.lit(1)).over(each)).where(F.col("rank") <= k)
+    near = scored.withColumn("rank", F.row_number().over(each.orderBy(F.desc("score"), *own_first(own), "point_id"))).withColumn("compared", F.count(F.lit(1)).over(each)).where(F.col("rank") <= k).drop("_own")
     if least is None:
         return near
     near = stored(near)
     whole = near.where(F.col("score") >= least).groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
     again = stored(queries.join(whole, "query_id", "left_anti"))
-    full = nearest(again, index.points, k, on, digits=digits).withColumn("compared", F.lit(index.points.count()))
+    full = nearest(again, index.points, k, on, digits=digits, own=own).withColumn("compared", F.lit(index.points.count()))
     return near.join(whole.select("query_id"), "query_id", "left_semi").select(*near.columns).unionByName(full.select(*near.columns))
 
 
