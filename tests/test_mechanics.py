@@ -436,3 +436,23 @@ def test_copies_do_not_hide_a_point_from_itself(spark):
     queries = points.where("point_id % 20 = 0").select((-1 - F.col("point_id")).alias("query_id"), "collection", F.transform("vec", lambda v: v * 1.5).alias("vec"), F.col("point_id").alias("own"))
     for found in (vectors.indexed(queries, vectors.build_index(points, 32, tables=4, bits=6), 1, ["collection"], probes=2, least=0.9, own="own"), vectors.nearest(queries, points, 1, ["collection"], block_rows=100, own="own")):
         assert sorted((-1 - r["query_id"], r["point_id"]) for r in found.collect()) == [(i, i) for i in range(0, 1800, 20)]
+
+
+def test_containing_long_needles(spark):
+    rng = random.Random(11)
+    words = ["alpha", "beta", "gämma", "dé", "x", "🙂🙂", "theta"]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60)))) for i in range(200)] + [(900, None), (901, ""), (902, "z" * 300)]
+    needles = [t[a : a + n] for _, t in texts[:80] if t and len(t) > 70 for a, n in ((3, 19), (5, 20), (7, 21), (0, 45), (9, 3), (11, 1))] + ["z" * 20, "z" * 301, "not in any of the texts", "beta gämma beta gämma beta"]
+    rows = graph.containing(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(n,) for n in needles], "needle string"))
+    assert not broadcasts(rows)
+    assert sorted((r["doc_id"], r["needle"]) for r in rows.collect()) == sorted((i, n) for i, t in texts if t for n in set(needles) if n in t)
+
+
+def test_marks_are_fewer_than_characters():
+    rng = random.Random(12)
+    text = "".join(rng.choice("abcdefghij klmnop") for _ in range(5000))
+    found = set(graph.marked(text).tolist())
+    assert len(found) < 0.3 * len(text)
+    assert all(set(graph.marked(text[a : a + n]).tolist()) <= found for a in range(0, 4000, 37) for n in (20, 33))
+    assert all(len(graph.marked(text[a : a + 20])) == 1 for a in range(0, 4000, 37))
+

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,29 +170,102 @@ def links_of(edges: DataFrame, ids: DataFrame, rel_type: str | None = None) -> D
     return out.unionByName(e.select(b.alias("me"), "rel_type", a.alias("other")).join(me, "me")).distinct()
 
 
+# A run of RUN characters is marked in a stretch of SPAN where its hash is the least of the stretch's runs; SKETCH is the
+# number of bits of a sketch of runs, and CHUNK how many of them a row of it has.
+RUN, SPAN, SKETCH, CHUNK = 12, 20, 1 << 27, 1 << 20
+
+
+def marked(text: str) -> np.ndarray:
+    """Hashes of the marked runs of a text.  A text that holds a needle of SPAN characters or more has all of its marks."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(c) < SPAN:
+        return np.empty(0, np.int64)
+    n, h = len(c) - RUN + 1, np.zeros(len(c) - RUN + 1, np.uint64)
+    for j in range(RUN):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + c[j : j + n]
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(h, SPAN - RUN + 1).min(axis=1)).view(np.int64)
+
+
+def mark_rows(rows: DataFrame, id: str, text: str, among: np.ndarray | None = None) -> DataFrame:
+    """(id, run): the marks of texts; with `among`, a sketch, only those that it may hold."""
+    kind = rows.schema[id].dataType.simpleString()
+    held = rows.sparkSession.sparkContext.broadcast(among) if among is not None else None
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(0, len(b), 256):
+                part = b.iloc[i : i + 256]
+                found = [marked(t) for t in part[text]]
+                run = np.concatenate([np.empty(0, np.int64), *found])
+                own = np.repeat(part[id].to_numpy(), [len(x) for x in found])
+                if held is not None:
+                    bit = run.view(np.uint64) % np.uint64(SKETCH)
+                    keep = (held.value[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                    run, own = run[keep], own[keep]
+                yield pd.DataFrame({id: own, "run": run})
+
+    return rows.where(F.col(text).isNotNull()).select(id, text).mapInPandas(mark, f"{id} {kind}, run long")
+
+
+def sketch_of(runs: DataFrame) -> np.ndarray:
+    """A bit set for each run, of SKETCH bits whatever their number; its chunks are made in tasks."""
+
+    def chunk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(CHUNK, np.uint8)
+        bits[rows["bit"].to_numpy() % CHUNK] = 1
+        return pd.DataFrame({"chunk": [key[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    # Signed remainder made that of the unsigned hash: SKETCH is a power of two.
+    bit = F.col("run").bitwiseAND(F.lit(SKETCH - 1))
+    rows = runs.select(bit.alias("bit")).distinct().withColumn("chunk", F.floor(F.col("bit") / CHUNK))
+    out = np.zeros(SKETCH // 8, np.uint8)
+    for k, bits in rows.groupBy("chunk").applyInPandas(chunk, "chunk long, bits binary").collect():  # SKETCH / CHUNK rows at most
+        out[k * CHUNK // 8 : (k + 1) * CHUNK // 8] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def rarest_runs(parts: DataFrame, postings: DataFrame) -> DataFrame:
+    """(nid, run) of needles all of whose runs (nid, run) are in texts: the run that the fewest texts hold."""
+    held = stored(postings.groupBy("run").agg(F.count(F.lit(1)).alias("n")))
+    rarest = parts.join(held.hint("merge"), "run", "left").groupBy("nid").agg(F.count_if(F.col("n").isNull()).alias("missing"), F.min_by("run", "n").alias("run"))
+    return stored(rarest.where("missing = 0").select("nid", "run"))
+
+
 def containing(texts: DataFrame, needles: DataFrame, gram: int = 3) -> DataFrame:
     """(text columns…, needle) of each text (column text) that holds a needle, by an inverted index of character runs.
 
-    A needle is sought by the one of its runs of `gram` characters that the fewest texts hold, and not at all if one of them
-    is in no text; a shorter needle is a run itself.  Texts are named by a hash until the check, for which they join
-    again: what is made of a text is in proportion to its length.  Null and empty texts and needles match nothing.
+    A needle is sought by the one of its runs that the fewest texts hold, and not at all if one of them is in no text.
+    Needles of SPAN characters or more have long runs, marked about one in five, and a sketch of all needles' runs keeps
+    from the shuffle what texts have besides.  Shorter needles have all their runs of `gram` characters; one shorter still
+    is a run itself.  Texts are named by a hash until the check, for which they join again: what is made of a text is in
+    proportion to its length.  Null and empty texts and needles match nothing.  All joins shuffle, as the planner takes
+    runs for no more than the texts' file.
     """
-    wanted = needles.where("length(needle) > 0").select("needle").distinct().withColumn("size", F.least(F.length("needle"), F.lit(gram)))
-    sizes = sorted(r[0] for r in wanted.select("size").distinct().collect())  # `gram` of them at most
+    wanted = needles.where("length(needle) > 0").select("needle").distinct().withColumn("size", F.when(F.length("needle") >= SPAN, F.lit(SPAN)).otherwise(F.least(F.length("needle"), F.lit(gram))))
+    wanted = stored(wanted.withColumn("nid", F.monotonically_increasing_id()))
+    sizes = sorted(r[0] for r in wanted.select("size").distinct().collect())  # `gram` of them at most, and SPAN
     if not sizes:
         return texts.withColumn("needle", F.lit(None).cast("string")).limit(0)
-    runs = lambda c, n: F.array_distinct(F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)))
     keyed = texts.withColumn("_text_hash", F.xxhash64("text"))
-    postings = keyed.select("_text_hash", F.explode(F.concat(*[runs("text", n) for n in sizes])).alias("run"))
-    parts = None
-    for n in sizes:
-        own = wanted.where(F.col("size") == n).select("needle", F.explode(runs("needle", n)).alias("run"))
-        parts = own if parts is None else parts.unionByName(own)
-    held = stored(postings.groupBy("run").agg(F.count(F.lit(1)).alias("n")))
-    rarest = parts.join(held, "run", "left").groupBy("needle").agg(F.count_if(F.col("n").isNull()).alias("missing"), F.min(F.struct("n", "run")).alias("least"))
-    keys = stored(rarest.where("missing = 0").select("needle", "least.run"))
-    found = stored(postings.join(keys, "run").select("_text_hash", "needle").distinct())
-    return keyed.join(found, "_text_hash").where(F.contains("text", F.col("needle"))).drop("_text_hash")
+    found = []
+    if short := [n for n in sizes if n < SPAN]:
+        runs = lambda c, n: F.array_distinct(F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+        postings = keyed.select("_text_hash", F.explode(F.concat(*[runs("text", n) for n in short])).alias("run"))
+        parts = None
+        for n in short:
+            own = wanted.where(F.col("size") == n).select("nid", F.explode(runs("needle", n)).alias("run"))
+            parts = own if parts is None else parts.unionByName(own)
+        found.append(postings.join(rarest_runs(parts, postings).hint("merge"), "run").select("_text_hash", "nid").distinct())
+    if SPAN in sizes:
+        parts = stored(mark_rows(wanted.where(F.col("size") == SPAN), "nid", "needle"))
+        keys = rarest_runs(parts, mark_rows(keyed, "_text_hash", "text", sketch_of(parts)))
+        postings = mark_rows(keyed, "_text_hash", "text", sketch_of(keys))
+        found.append(postings.join(keys.hint("merge"), "run").select("_text_hash", "nid").distinct())
+    met = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    met = stored(met.join(wanted.select("nid", "needle").hint("merge"), "nid").select("_text_hash", "needle"))
+    return keyed.join(met.hint("merge"), "_text_hash").where(F.contains("text", F.col("needle"))).drop("_text_hash")
 
 
 def same_as(pairs: DataFrame) -> DataFrame:
