@@ -72,10 +72,18 @@ def templated_texts(rows: DataFrame, kind: str, key: str, name: str, template: s
 
 
 def keyword_hits(questions: DataFrame, records: DataFrame, most: int | None = None) -> DataFrame:
-    """(question_id, record_id) where any of a question's terms is in a record's folded title or scope; the first `most` by id."""
+    """(question_id, record_id) where any of a question's terms is in a record's folded title or scope; the first `most` by id.
+
+    The first `most` of a question are among the first of its terms, so that terms are cut before questions meet them: in
+    parts by a hash of the record, and then as wholes.
+    """
     terms = questions.select("question_id", F.explode("terms").alias("needle")).where("needle <> ''").distinct()
     texts = records.select("record_id", F.lower(F.concat_ws("\n", "title", "scope")).alias("text"))
-    found = containing(texts, terms).select("record_id", "needle").join(terms, "needle").select("question_id", "record_id").distinct()
+    hits = containing(texts, terms).select("record_id", "needle")
+    if most is not None:
+        for part in ([F.pmod(F.xxhash64("record_id"), F.lit(64))], []):
+            hits = hits.withColumn("k", F.dense_rank().over(Window.partitionBy("needle", *part).orderBy("record_id"))).where(F.col("k") <= most).drop("k")
+    found = hits.distinct().join(terms, "needle").select("question_id", "record_id").distinct()
     order = F.row_number().over(Window.partitionBy("question_id").orderBy("record_id"))
     return found if most is None else found.withColumn("k", order).where(F.col("k") <= most).drop("k")
 
