@@ -456,3 +456,23 @@ def test_marks_are_fewer_than_characters():
     assert all(set(graph.marked(text[a : a + n]).tolist()) <= found for a in range(0, 4000, 37) for n in (20, 33))
     assert all(len(graph.marked(text[a : a + 20])) == 1 for a in range(0, 4000, 37))
 
+
+def test_a_key_has_a_timer_a_batch(spark):
+    import pandas as pd
+
+    class Listed(list):
+        appendValue, get, put, exists = list.append, lambda self: iter(self), lambda self, x: self.__setitem__(slice(None), x), lambda self: bool(self)  # noqa: N815
+        appendList = list.extend  # noqa: N815
+
+    class Handle:
+        def __init__(self):
+            self.timers = []
+
+        def registerTimer(self, ms):  # noqa: N802
+            self.timers.append(ms)
+
+    p = streams.ClosesDecisions()
+    p.handle, p.waiting = Handle(), Listed()
+    rows = pd.DataFrame({"key": 1, "decision_id": range(500), "valid_from": pd.date_range("2024-01-01", periods=500, freq="s")})
+    list(p.handleInputRows((1,), iter([rows, rows]), None))
+    assert len(p.waiting) == 1000 and p.handle.timers == [int(rows["valid_from"][0].value // 10**6)]

@@ -94,7 +94,10 @@ CLOSES = T.StructType([T.StructField("key", T.LongType()), T.StructField("decisi
 
 class ClosesDecisions(StatefulProcessor):
     """Of a key's decisions, when each is closed by the next one: what came since the watermark waits until nothing can
-    come before it any more, and then the open decision is closed by it and it is the open one."""
+    come before it any more, and then the open decision is closed by it and it is the open one.
+
+    The first that waits has a timer; one that expires takes all that is ready and sets that of the first of the rest, so
+    that a key's waiting decisions are read once a batch and not once a decision."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         pair = "at long, decision_id long"  # microseconds
@@ -102,12 +105,14 @@ class ClosesDecisions(StatefulProcessor):
         self.waiting = handle.getListState("waiting", pair)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  the names are Spark's
+        first = None
         for b in rows:
-            at = b["valid_from"].astype("datetime64[us]").astype("int64")
-            for t, d in zip(at.tolist(), b["decision_id"].tolist()):
-                self.waiting.appendValue((t, d))
-            for ms in sorted({-(-t // 1000) for t in at.tolist()}):
-                self.handle.registerTimer(ms)
+            at = b["valid_from"].astype("datetime64[us]").astype("int64").tolist()
+            if at:
+                self.waiting.appendList(list(zip(at, b["decision_id"].tolist())))
+                first = min(at) if first is None else min(first, *at)
+        if first is not None:
+            self.handle.registerTimer(-(-first // 1000))
         yield pd.DataFrame(columns=CLOSES.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -124,6 +129,7 @@ class ClosesDecisions(StatefulProcessor):
             self.waiting.clear()
             if rest:
                 self.waiting.put(rest)
+                self.handle.registerTimer(-(-rest[0][0] // 1000))
         yield pd.DataFrame(out, columns=CLOSES.names).astype({"closed_at": "datetime64[us]"})
 
     def close(self) -> None:
