@@ -476,3 +476,23 @@ def test_a_key_has_a_timer_a_batch(spark):
     rows = pd.DataFrame({"key": 1, "decision_id": range(500), "valid_from": pd.date_range("2024-01-01", periods=500, freq="s")})
     list(p.handleInputRows((1,), iter([rows, rows]), None))
     assert len(p.waiting) == 1000 and p.handle.timers == [int(rows["valid_from"][0].value // 10**6)]
+
+
+# --- few rows before rows meet ---
+
+
+def test_overlap_makes_rows_of_shared_words_only(spark):
+    answers = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "none of it"), (3, None)], "package_id long, answer string")
+    elements = spark.createDataFrame([(1, "Alpha; zeta"), (1, "alpha beta"), (3, "alpha")], "package_id long, content string")
+    found = context.overlaps(answers, elements)
+    assert "array_intersect" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["package_id"]: r["overlap"] for r in found.collect()} == {1: 0.5, 2: 0.0, 3: 0.0}
+
+
+def test_terms_are_cut_before_questions_meet_them(spark):
+    questions = spark.createDataFrame([(q, ["ring", "bolt"]) for q in range(3)] + [(9, ["nut"])], "question_id long, terms array<string>")
+    records = spark.createDataFrame([(i % 150, ("ring", "Bolt", "nut")[i % 3], None) for i in range(400)], "record_id long, title string, scope string")
+    found = assembly.keyword_hits(questions, records, 4)
+    assert "dense_rank" in found._jdf.queryExecution().optimizedPlan().toString()
+    want = {q: sorted({i % 150 for i in range(400) if ("ring", "bolt", "nut")[i % 3] in t})[:4] for q, t in [(0, ["ring", "bolt"]), (1, ["ring", "bolt"]), (2, ["ring", "bolt"]), (9, ["nut"])]}
+    assert sorted((r["question_id"], r["record_id"]) for r in found.collect()) == sorted((q, i) for q, ids in want.items() for i in ids)

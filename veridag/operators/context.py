@@ -65,11 +65,15 @@ def cited(answers: DataFrame, elements: DataFrame) -> DataFrame:
 
 
 def overlaps(answers: DataFrame, elements: DataFrame) -> DataFrame:
-    """(package_id, overlap): share of the answer's content words that the package has; 0 without either."""
-    have = elements.select("package_id", F.explode(content_words(F.col("content"))).alias("word")).distinct()
-    want = answers.select("package_id", F.explode(content_words(F.col("answer"))).alias("word")).distinct()
-    hit = want.join(have.withColumn("hit", F.lit(1)), ["package_id", "word"], "left").groupBy("package_id").agg((F.count("hit") / F.count(F.lit(1))).alias("overlap"))
-    return answers.select("package_id").distinct().join(hit, "package_id", "left").select("package_id", F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
+    """(package_id, overlap): share of the answer's content words that the package has; 0 without either.
+
+    Each element meets the answer's words as one row, and only words that both have become rows.
+    """
+    words = F.array_distinct(F.flatten(F.collect_list(content_words(F.col("answer")))))  # a package has an answer
+    want = answers.groupBy("package_id").agg(words.alias("words"))
+    both = F.array_intersect("words", content_words(F.col("content")))
+    hit = elements.select("package_id", "content").join(want, "package_id").select("package_id", F.explode(both).alias("word")).distinct().groupBy("package_id").agg(F.count(F.lit(1)).alias("n"))
+    return want.join(hit, "package_id", "left").select("package_id", F.coalesce(F.try_divide("n", F.size("words")), F.lit(0.0)).alias("overlap"))
 
 
 def penalty(degradations: Column) -> Column:
