@@ -18,7 +18,7 @@ from veridag.sources.tables import stored
 
 
 # Queries that a task scores at once: what it holds is this many times the points of a block.
-SLICE = 1 << 30
+SLICE = 256
 
 
 def dot(a: Column, b: Column) -> Column:
