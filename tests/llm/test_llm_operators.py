@@ -262,6 +262,23 @@ def test_html_array_decides_what_markup_only_hints_at(spark):
     assert extract_main_text(docs(spark, [], table)).count() == 0
 
 
+def test_html_array_takes_what_pages_share_beside_articles(spark):
+    menu, foot = "home news sport", "all rights reserved by the owners of this fine site"
+    page = lambda i, ad: f'<nav>{menu}</nav><p>x <span class="ad">{ad}</span> y</p><article><p>own {rng_text(i, 9)}</p></article><footer>{foot} {i}</footer>'
+    rows = [(i, "http://h/", page(i, f"buy {i}")) for i in range(3)] + [(3, "http://other/", page(3, "buy"))]
+    rows.append((4, "http://h/4", f"<div>{foot}</div><div>text of a page without an article</div>"))
+    got = {r["page_id"]: tuple(r)[2:] for r in extract_main_text(docs(spark, rows, "page_id long, url string, html string")).collect()}
+    # On host h the array takes the footer, though not its number; what markup has beside and pages don't share goes by the check.
+    assert got[0] == (f"own {rng_text(0, 9)}", True, 10, 8) and got[3] == (f"own {rng_text(3, 9)}", True, 0, 17)
+    assert got[4] == ("text of a page without an article", False, 10, 0)
+
+
+def test_html_array_needs_a_whole_short_stretch(spark):
+    rows = [(i, "http://h/", f"<nav>home news sport</nav><article>own {i}</article>") for i in range(3)] + [(3, "http://h/", "<nav>home news</nav><article>own 3</article>")]
+    got = {r["page_id"]: (r["text"], r["n_repeated"], r["n_beside"]) for r in extract_main_text(docs(spark, rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: ("own 0", 3, 0), 1: ("own 1", 3, 0), 2: ("own 2", 3, 0), 3: ("own 3", 0, 2)}
+
+
 def test_html_repeated_runs_against_brute_force(spark):
     rng, run = np.random.default_rng(8), 8
     shared = [rng_text(500 + k, 14).split() for k in range(6)]
