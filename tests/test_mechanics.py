@@ -47,6 +47,19 @@ def test_every_valid_decision(spark):
     assert [r["decision_id"] for r in log.as_of_join(probes.limit(3), decisions.limit(0), ["user_id"]).collect()] == [None] * 3
 
 
+def test_intervals_that_no_probe_can_meet_or_of_rare_lengths_cost_nothing(spark, monkeypatch):
+    seen, keep = [], log.stored
+    monkeypatch.setattr(log, "stored", lambda df: seen.append(keep(df)) or seen[-1])
+    d = [(i, i % 2, at(i), at(i + 100)) for i in range(400)] + [(1000 + k, 0, at(50), at(50 + 4**k)) for k in range(6)] + [(2000, 0, at(0), None)]
+    decisions = spark.createDataFrame(d, "decision_id long, user_id long, valid_from timestamp, valid_to timestamp")
+    probes = spark.createDataFrame([(i, 0, at(i * 9)) for i in range(100)], "probe long, user_id long, at timestamp")
+    want = sorted((i, x) for i, _, t in ((i, 0, at(i * 9)) for i in range(100)) for x, own, a, b in d if own == 0 and a <= t and (b is None or b > t))
+    assert sorted((r["probe"], r["decision_id"]) for r in log.as_of_join(probes, decisions, ["user_id"], outer=False).collect()) == want
+    assert all(t.where("user_id = 1").isEmpty() for t in seen)
+    assert seen[-1].select(F.pmod("_bucket", F.lit(32))).distinct().count() == 2  # widths that a probe has a row for
+    assert log.kept_levels({0: 1, 1: 2, 3: 90, 5: 1, 7: 1}) == [3, 7] and log.kept_levels({2: 5, 3: 5}) == [2, 3] and log.kept_levels({}) == [0]
+
+
 # --- vectors ---
 
 

@@ -20,35 +20,50 @@ def width_level(length: Column, width_us: int) -> Column:
     return F.greatest(F.lit(0), F.ceil(F.log2(length / F.lit(float(width_us))) / 2)).cast("int")
 
 
+def kept_levels(counts: dict[int, int], share: int = 16) -> list[int]:
+    """Of the levels and their numbers of intervals, those that keep their own width: the widest, and those that a share of
+    all intervals has, with what narrower ones pass on.  The others' intervals go to the next width kept."""
+    kept, waiting, total = [], 0, sum(counts.values())
+    for k in sorted(counts):
+        waiting += counts[k]
+        if waiting * share >= total or k == max(counts):
+            kept, waiting = [*kept, k], 0
+    return kept or [0]
+
+
 def as_of_join(probes: DataFrame, decisions: DataFrame, on: list[str], outer: bool = True, width_us: int = 60_000_000) -> DataFrame:
     """For each probe (at, …), every decision of its key that is valid then; outer: a row with null where there is none.
 
     decisions: (…, decision_id, valid_from, valid_to), valid from valid_from until before valid_to, or open if that is null.
     Each interval lies in the two or so buckets of time that are at least as wide as itself, and a probe in one bucket of
-    each width that occurs, so that rows meet by key and bucket, whatever the intervals' lengths, and bounds are checked
-    after.  Widths grow by four, as each of them costs a row a probe.  A hot key's rows are in as many buckets as its time
-    has.  Null keys and moments match nothing.  All joins shuffle: the planner takes the exploded rows for fewer than they
-    are, and would send them by the driver.
+    each width in use, so that rows meet by key and bucket, whatever the intervals' lengths, and bounds are checked
+    after.  Each width costs a row a probe, so they grow by four, and intervals of a length that few have lie in wider
+    buckets.  Decisions of keys that nobody asks about don't enter.  A hot key's rows are in as many buckets as its time
+    has.  Null keys and moments match nothing.  The exploded intervals are stored, so that the planner knows their size.
     """
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     horizon = probes.agg(F.max(us("at"))).first()[0]
     end = F.least(F.coalesce(us("valid_to"), F.lit((horizon or 0) + 1)), F.lit((horizon or 0) + 1))
-    cut = decisions.select(*on, "decision_id", us("valid_from").alias("_from"), end.alias("_to")).where("_from < _to")
+    asked_for = stored(probes.select(*on).distinct())
+    cut = decisions.join(asked_for, on, "left_semi").select(*on, "decision_id", us("valid_from").alias("_from"), end.alias("_to")).where("_from < _to")
     cut = stored(cut.withColumn("_level", width_level(F.col("_to") - F.col("_from"), width_us)))  # read twice
-    levels = sorted(r[0] for r in cut.select("_level").distinct().collect()) or [0]  # one a power of four
+    levels = kept_levels({r[0]: r[1] for r in cut.groupBy("_level").count().collect()})  # one a power of four
 
     def bucket(t: Column, level: Column) -> Column:
         size = (F.lit(width_us) * F.pow(F.lit(4), level)).cast("long")
         return F.call_function("div", t - F.pmod(t, size), size)
 
+    cut = cut.withColumn("_level", F.array_min(F.filter(F.array(*[F.lit(k) for k in levels]), lambda k: k >= F.col("_level"))))
     spread = F.explode(F.sequence(bucket(F.col("_from"), F.col("_level")), bucket(F.col("_to") - 1, F.col("_level"))))
-    cut = cut.withColumn("_b", spread).withColumn("_bucket", F.col("_b") * 32 + F.col("_level")).drop("_b", "_level")
+    cut = stored(cut.withColumn("_b", spread).withColumn("_bucket", F.col("_b") * 32 + F.col("_level")).drop("_b", "_level"))
     asked = probes.withColumn("_bucket", F.explode(F.array(*[bucket(us("at"), F.lit(k)) * 32 + k for k in levels])))
-    found = asked.join(cut.hint("merge"), [*on, "_bucket"]).where((F.col("_from") <= us("at")) & (us("at") < F.col("_to")))
-    found = found.select(*probes.columns, "decision_id")
+    cut = cut.select(*[F.col(c).alias(f"_{c}") for c in (*on, "decision_id")], "_from", "_to", F.col("_bucket").alias("_at_bucket"))
+    valid = [*[F.col(c) == F.col(f"_{c}") for c in on], F.col("_bucket") == F.col("_at_bucket"), F.col("_from") <= us("at"), us("at") < F.col("_to")]
+    found = asked.join(cut, valid).select(*probes.columns, F.col("_decision_id").alias("decision_id"))
     if not outer:
         return found
-    had = found.select(*[F.col(c).alias(f"_{c}") for c in probes.columns]).distinct()
+    # Which probes have any is asked without their pairs.
+    had = asked.join(cut, valid, "left_semi").select(*[F.col(c).alias(f"_{c}") for c in probes.columns]).distinct()
     bare = probes.join(had.hint("merge"), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in probes.columns], "left_anti")
     return found.unionByName(bare.withColumn("decision_id", F.lit(None).cast(decisions.schema["decision_id"].dataType)))
 
