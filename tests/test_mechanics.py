@@ -227,6 +227,40 @@ def test_a_thousand_rules_as_rows(spark):
     assert sorted(map(key, got.collect())) == sorted(want) and len(want) > 1000
 
 
+def test_rules_as_rows_in_many_tasks(spark, monkeypatch):
+    rng = random.Random(9)
+    facts = [("X", f"e{i}", {"p": rng.choice("abc"), "q": str(rng.randint(0, 5))}, {"R": rng.randint(0, 3)}) for i in range(300)]
+    df = spark.createDataFrame(facts, "entity_type string, entity_id string, properties map<string,string>, relations map<string,bigint>")
+    pack = generated_rules(rng, 60)
+    want = sorted((r["rule_id"], r["entity_id"]) for r in rules.matches(df, pack).collect())
+    monkeypatch.setattr(tables, "TASK_ROWS", 10)
+    got = rules.row_matches(df, *rules.condition_rows(spark, pack))
+    assert sorted((r["rule_id"], r["entity_id"]) for r in got.collect()) == want and want
+
+
+# --- rows of a task in graph queries ---
+
+
+def test_edges_of_many_lines_are_dealt_to_tasks_of_bounded_rows(spark, sf_dir, monkeypatch):
+    from veridag.plans import model
+
+    want = sorted(map(tuple, model.edges(spark, sf_dir).collect()))
+    monkeypatch.setattr(tables, "TASK_ROWS", 200)
+    e = model.edges(spark, sf_dir)
+    assert sorted(map(tuple, e.collect())) == want
+    held = e.where("rel_type = 'SUPPLIES'").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert max(r["count"] for r in held) <= 400 and len(held) > 10
+
+
+@pytest.mark.parametrize(("name", "without"), [("linked_objects", r"Aggregate \[l_orderkey"), ("facts_of_hubs", r"Aggregate \[label#\d+, id#\d+, rel_type#\d+, dst_id#\d+\]"), ("facts_by_concept", r"count\(distinct"), ("corpus_entities", r"Aggregate \[me#\d+, other#\d+\]")])
+def test_graph_queries_hold_no_rows_that_they_can_do_without(spark, sf_dir, name, without):
+    from veridag.plans import registry
+
+    registry.load()
+    plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(without, plan)
+
+
 # --- partial states ---
 
 

@@ -162,12 +162,16 @@ def relation_counts(nodes: DataFrame, edges: DataFrame, relations: list[str] | N
 
 
 def links_of(edges: DataFrame, ids: DataFrame, rel_type: str | None = None) -> DataFrame:
-    """(me, rel_type, other) of the edges at either end of each id (label, id): two equi-joins, never one on an OR."""
+    """(me, rel_type, other) of the edges at either end of each id (label, id): two equi-joins, never one on an OR.
+
+    Only edges with an end of one of the ids' labels are read.
+    """
+    labels = [r[0] for r in ids.select("label").distinct().collect()]  # a row a label
     e = edges.where(F.col("rel_type") == rel_type) if rel_type else edges
     me = ids.select(F.concat_ws(":", "label", "id").alias("me")).distinct()
     a, b = F.concat_ws(":", "src_label", "src_id"), F.concat_ws(":", "dst_label", "dst_id")
-    out = e.select(a.alias("me"), "rel_type", b.alias("other")).join(me, "me")
-    return out.unionByName(e.select(b.alias("me"), "rel_type", a.alias("other")).join(me, "me")).distinct()
+    end = lambda name, own, far: e.where(F.col(name).isin(labels)).select(own.alias("me"), "rel_type", far.alias("other")).join(me, "me")
+    return end("src_label", a, b).unionByName(end("dst_label", b, a)).distinct()
 
 
 # A run of RUN characters is marked in a stretch of SPAN where its hash is the least of the stretch's runs; SKETCH is the

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veridag.sources.tables import dealt
+
 METHODS = ["language", "length", "style"]
 IN_PRICE, OUT_PRICE = 0.8, 4.0
 
@@ -77,10 +79,12 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src_label, src_id, rel_type, dst_label, dst_id), distinct."""
     t = lambda name: table(spark, sf_dir, name)
     e = lambda df, a, src, rel, b, dst: df.select(F.lit(a).alias("src_label"), F.col(src).cast("string").alias("src_id"), F.lit(rel).alias("rel_type"), F.lit(b).alias("dst_label"), F.col(dst).cast("string").alias("dst_id"))
+    lines = t("lineitem").count()  # of the files' footers
+    pairs = lambda *keys: dealt(t("lineitem").select(*keys), lines, *keys).distinct()
     out = e(t("orders"), "Order", "o_orderkey", "PLACED_BY", "Customer", "o_custkey")
     for x in (
-        e(t("lineitem").select("l_orderkey", "l_partkey").distinct(), "Order", "l_orderkey", "CONTAINS", "Part", "l_partkey"),
-        e(t("lineitem").select("l_suppkey", "l_partkey").distinct(), "Supplier", "l_suppkey", "SUPPLIES", "Part", "l_partkey"),
+        e(pairs("l_orderkey", "l_partkey"), "Order", "l_orderkey", "CONTAINS", "Part", "l_partkey"),
+        e(pairs("l_suppkey", "l_partkey"), "Supplier", "l_suppkey", "SUPPLIES", "Part", "l_partkey"),
         e(t("customer"), "Customer", "c_custkey", "IN_NATION", "Nation", "c_nationkey"), e(t("supplier"), "Supplier", "s_suppkey", "IN_NATION", "Nation", "s_nationkey"),
         e(t("nation"), "Nation", "n_nationkey", "IN_REGION", "Region", "n_regionkey"),
     ):

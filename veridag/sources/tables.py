@@ -35,6 +35,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a task where keys are made distinct or counted: keys are short and compress so well that a partition of the bytes
+#: that Spark aims at has many millions, all of which a task would hold.
+TASK_ROWS = 1 << 18
+
+
+def dealt(df: DataFrame, rows: int, *keys: str, task_rows: int | None = None) -> DataFrame:
+    """The rows dealt out by key to as many tasks as so many rows need; few are left to Spark's own dealing."""
+    parts = -(-rows // (task_rows or TASK_ROWS))
+    return df.repartition(parts, *keys) if parts > 4 else df
+
+
 def bucketed(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
     return df.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
 
