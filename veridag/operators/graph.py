@@ -122,18 +122,19 @@ def scoped_facts(nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = Non
     return facts(wanted, edges.join(own, ["src_label", "src_id"], "left_semi"))
 
 
-def facts(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+def facts(nodes: DataFrame, edges: DataFrame, most: int | None = None, distinct_edges: bool = False) -> DataFrame:
     """(entity_type, entity_id, properties, relations): each relation with its sorted distinct targets; no relation, empty map.
 
     With `most`, a relation lists its first targets only, cut before rows meet, so that a hub is no large row, and a map
-    `counts` tells how many it has.
+    `counts` tells how many it has.  distinct_edges: no two edges have the same ends and relation, so that none are sought.
     """
     keys = [F.col("src_label").alias("label"), F.col("src_id").alias("id"), "rel_type"]
     none = lambda kind: F.create_map().cast(f"map<string,{kind}>")
     if most is None:
         targets = edges.groupBy(*keys).agg(F.array_sort(F.collect_set("dst_id")).alias("targets"))
     else:
-        distinct = edges.select(*keys, "dst_id").distinct()
+        distinct = edges.select(*keys, "dst_id")
+        distinct = distinct if distinct_edges else distinct.distinct()
         order = Window.partitionBy("label", "id", "rel_type").orderBy("dst_id")
         first = distinct.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).groupBy("label", "id", "rel_type").agg(F.array_sort(F.collect_list("dst_id")).alias("targets"))
         targets = first.join(distinct.groupBy("label", "id", "rel_type").agg(F.count(F.lit(1)).alias("n")), ["label", "id", "rel_type"])
