@@ -14,7 +14,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridag.sources.tables import stored
+from veridag.sources.tables import dealt, stored
 
 SEVERITIES = ("block", "warn", "info")  # most severe first
 
@@ -166,7 +166,8 @@ def row_matches(facts: DataFrame, heads: DataFrame, conditions: DataFrame, lists
     out = out.unionByName(told(counted.join(related, on), F.coalesce(F.when(F.col("op") == "relation", F.col("n") >= F.col("number")).otherwise(F.col("n") > 0), F.lit(False))))
 
     keys = [*scope, "rule_id"]
-    met = out.select(*scope, "x.rule_id", "x.condition", "x.breaks").groupBy(*keys, "condition", "breaks").agg(F.count(F.lit(1)).alias("n"))
+    # Dealt by key first: as good as all of these rows differ, and a task that counted them before would hold them all.
+    met = dealt(out.select(*scope, "x.rule_id", "x.condition", "x.breaks"), facts.count(), *keys).groupBy(*keys, "condition", "breaks").agg(F.count(F.lit(1)).alias("n"))
     met = stored(met.groupBy(*keys).agg(F.count_if(~F.col("breaks")).alias("met"), F.count_if("breaks").alias("broken")))
     some = met.where("broken = 0").join(heads.where("needed > 0").select("rule_id", "needed"), "rule_id").where("met = needed")
     free = facts.select(*scope).join(heads.where("needed = 0").select("rule_id", "entity"), F.col("entity_type") == F.col("entity")).select(*keys)
