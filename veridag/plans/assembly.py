@@ -36,7 +36,7 @@ def facts_by_concept(spark, sf_dir):
     maps_to = table(spark, sf_dir, "part").select(F.concat(F.lit("P:"), F.col("p_size").cast("string")).alias("curie"), F.lit("Part").alias("label"), F.col("p_partkey").cast("string").alias("id"))
     wanted = maps_to.distinct()
     back = graph.inverse(edges(spark, sf_dir), "SUPPLIES", "SUPPLIED_BY").drop("confidence")
-    facts = graph.relation_counts(nodes(spark, sf_dir).join(wanted.select("label", "id"), ["label", "id"], "left_semi"), back)
+    facts = graph.relation_counts(nodes(spark, sf_dir).join(wanted.select("label", "id"), ["label", "id"], "left_semi"), back, ["SUPPLIED_BY"])
     found = wanted.join(facts, wanted["id"] == facts["entity_id"])
     return found.groupBy("curie").agg(F.count(F.lit(1)).alias("entities"), F.sum(F.coalesce(F.col("relations")["SUPPLIED_BY"], F.lit(0))).cast("long").alias("suppliers"))
 
