@@ -52,9 +52,10 @@ def entity_texts(nodes: DataFrame, edges: DataFrame, label: str, captions: dict[
     for caption, rel, backward in relations:
         me, other = ("dst", "src") if backward else ("src", "dst")
         step = edges.where((F.col("rel_type") == rel) & (F.col(f"{me}_label") == label)).select(F.col(f"{me}_id").alias("me"), F.col(f"{other}_label").alias("label"), F.col(f"{other}_id").alias("id"))
-        names = step.join(nodes.select("label", "id", F.coalesce("name", "id").alias("other")), ["label", "id"]).select("me", "other").distinct()
-        some = names.withColumn("k", F.row_number().over(Window.partitionBy("me").orderBy("other"))).where(F.col("k") <= most)
-        told = some.groupBy(F.col("me").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("other")), ", ").alias("others"))
+        names = step.join(nodes.select("label", "id", F.coalesce("name", "id").alias("other")), ["label", "id"]).select("me", "other")
+        # Equal names share a place, and are made one after the cut.
+        some = names.withColumn("k", F.dense_rank().over(Window.partitionBy("me").orderBy("other"))).where(F.col("k") <= most)
+        told = some.groupBy(F.col("me").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("other")), ", ").alias("others"))
         out = out.join(told, "id", "left").select("label", "id", F.concat("text", F.lit(f"; {caption}: "), F.coalesce("others", F.lit("none"))).alias("text"))
     return out
 
