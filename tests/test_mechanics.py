@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veridag.operators import assembly, context, evals, graph, linking, log, partials, rules, shapes, vectors
+from veridag.plans import registry
 from veridag.sources import tables, tabular
 from veridag.streaming import events as streams
 
@@ -485,6 +486,25 @@ def test_copies_do_not_hide_a_point_from_itself(spark):
         assert sorted((-1 - r["query_id"], r["point_id"]) for r in found.collect()) == [(i, i) for i in range(0, 1800, 20)]
 
 
+def test_near_copies_do_not_hide_a_point_from_itself(spark, tmp_path):
+    x = np.random.default_rng(5).normal(size=(200, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    moved = x + 0.04 * (np.arange(64) % 4 == np.arange(200)[:, None] % 4)
+    rows = [(i, i % 10, v.tolist()) for i, v in enumerate(np.concatenate([x, moved]))]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    registry.load()
+    found = registry.QUERIES["indexed_search"](spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == [(i, i, 1) for i in range(0, 400, 20)]
+
+
+def test_a_query_that_misses_the_point_it_names_is_searched_in_full(spark):
+    rows = [(0, 0, [1.0, 0.0, 0.0]), (1, 0, [-1.0, 0.01, 0.0]), (2, 0, [-1.0, 0.0, 0.5])]
+    points = spark.createDataFrame(rows, "point_id long, collection int, vec array<double>")
+    queries = spark.createDataFrame([(-1, 0, [-1.0, 0.0, 0.1], [1.0, 0.0, 0.0], 0)], "query_id long, collection int, vec array<double>, exact array<double>, own long")
+    found = vectors.indexed(queries, vectors.build_index(points, 3, tables=2, bits=4), 1, ["collection"], probes=1, least=-1.0, own="own", exact="exact")
+    assert [(r["point_id"], r["score"], r["compared"]) for r in found.collect()] == [(0, 1.0, 3)]
+
+
 def test_containing_long_needles(spark):
     rng = random.Random(11)
     words = ["alpha", "beta", "gämma", "dé", "x", "🙂🙂", "theta"]

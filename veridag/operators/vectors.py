@@ -138,17 +138,20 @@ def probed_codes(x: np.ndarray, planes: np.ndarray, probes: int) -> np.ndarray:
     return np.concatenate([own[..., None], own[..., None] ^ flips[order]], axis=-1)
 
 
-def indexed(queries: DataFrame, index: VectorIndex, k: int, on: list[str], probes: int = 8, digits: int = 6, least: float | None = None, own: str | None = None) -> DataFrame:
+def indexed(queries: DataFrame, index: VectorIndex, k: int, on: list[str], probes: int = 8, digits: int = 6, least: float | None = None, own: str | None = None, exact: str | None = None) -> DataFrame:
     """What nearest() gives by cosine, from the points in the probed buckets alone, with `compared`, the points that each
     query was compared with.
 
     Scores are exact; what may be missing are points whose codes differ too much in every table.  With `least`, queries
-    that find fewer than k points of that score or more are searched again in full, by nearest().  Of equal scores, the
-    point that the queries' column `own` names is first.
+    that find fewer than k points of that score or more are searched again in full, by nearest(), and so are those that
+    don't find the point that the column `own` names; of equal scores, that point is first.  With `exact`, the queries'
+    `vec` only looks buckets up, and scores are those of the vector in the column `exact`.
     """
     planes, payload = index.planes, [c for c in index.points.columns if c not in ("point_id", "vec")]
-    fine = f"vec is not null and size(vec) = {planes.shape[2]} and forall(vec, x -> x is not null) and exists(vec, x -> x <> 0)"
-    q = queries.where(fine).select("query_id", *on, *([F.col(own).alias("_own")] if own else []), F.transform("vec", lambda x: x.cast("double")).alias("vec"))
+    fine = "{0} is not null and size({0}) = {1} and forall({0}, x -> x is not null) and exists({0}, x -> x <> 0)"
+    q = queries.where(fine.format("vec", planes.shape[2])).where(fine.format(exact or "vec", planes.shape[2]))
+    doubles = lambda c: F.transform(c, lambda x: x.cast("double"))
+    q = q.select("query_id", *on, *([F.col(own).alias("_own")] if own else []), doubles("vec").alias("vec"), doubles(exact or "vec").alias("_vec"))
     kind, tables = queries.schema["query_id"].dataType.simpleString(), planes.shape[0]
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,7 +163,7 @@ def indexed(queries: DataFrame, index: VectorIndex, k: int, on: list[str], probe
 
     wanted = q.select("query_id", "vec").mapInPandas(look, f"query_id {kind}, table int, code long")
     pairs = wanted.join(index.codes, ["table", "code"]).where("query_id <> point_id").select("query_id", "point_id").distinct()
-    left = q.select("query_id", *(["_own"] if own else []), F.col("vec").alias("_vec"), *[F.col(c).alias(f"_{c}") for c in on])
+    left = q.select("query_id", *(["_own"] if own else []), "_vec", *[F.col(c).alias(f"_{c}") for c in on])
     met = pairs.join(left, "query_id").join(index.points, "point_id")
     for c in on:
         met = met.where(F.col(f"_{c}") == F.col(c))
@@ -175,12 +178,13 @@ def indexed(queries: DataFrame, index: VectorIndex, k: int, on: list[str], probe
 
     scored = met.select(*rest, "_vec", "vec").mapInArrow(score, schema).where(~F.isnan("score")).withColumn("score", rounded("score", digits))
     each = Window.partitionBy("query_id")
-    near = scored.withColumn("rank", F.row_number().over(each.orderBy(F.desc("score"), *own_first(own), "point_id"))).withColumn("compared", F.count(F.lit(1)).over(each)).where(F.col("rank") <= k).drop("_own")
+    near = scored.withColumn("rank", F.row_number().over(each.orderBy(F.desc("score"), *own_first(own), "point_id"))).withColumn("compared", F.count(F.lit(1)).over(each)).where(F.col("rank") <= k)
     if least is None:
-        return near
+        return near.drop("_own")
     near = stored(near)
-    whole = near.where(F.col("score") >= least).groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
-    again = stored(queries.join(whole, "query_id", "left_anti"))
+    named = F.bool_or(F.col("_own").isNull() | (F.col("_own") == F.col("point_id"))) if own else F.lit(True)
+    whole = near.groupBy("query_id").agg(F.count_if(F.col("score") >= least).alias("n"), named.alias("named")).where((F.col("n") >= k) & F.col("named"))
+    near, again = near.drop("_own"), stored(queries.withColumn("vec", F.col(exact or "vec")).join(whole, "query_id", "left_anti"))
     full = nearest(again, index.points, k, on, digits=digits, own=own).withColumn("compared", F.lit(index.points.count()))
     return near.join(whole.select("query_id"), "query_id", "left_semi").select(*near.columns).unionByName(full.select(*near.columns))
 
