@@ -505,6 +505,28 @@ def test_a_query_that_misses_the_point_it_names_is_searched_in_full(spark):
     assert [(r["point_id"], r["score"], r["compared"]) for r in found.collect()] == [(0, 1.0, 3)]
 
 
+def test_index_makes_no_row_of_a_pair(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 16))
+    points = spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(x)], "point_id long, collection int, vec array<float>").repartition(3)
+    queries = points.where("point_id % 4 = 0").select((-1 - F.col("point_id")).alias("query_id"), "collection", "vec")
+    index = vectors.build_index(points, 16, tables=4, bits=3)
+    found = vectors.indexed(queries, index, 3, ["collection"], probes=2, block_rows=100)
+    plan = found._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "MapInArrow" not in plan
+    codes, looked = vectors.codes_of(x.astype(np.float32).astype(float), index.planes)[0], vectors.probed_codes(x.astype(np.float32).astype(float), index.planes, 2)
+    want = {}
+    for i in range(0, 3000, 4):
+        met = np.flatnonzero((codes[:, :, None] == looked[i][None]).any(axis=(1, 2)) & (np.arange(3000) % 2 == i % 2))
+        y = x.astype(np.float32).astype(float)
+        cosine = y[met] @ y[i] / np.linalg.norm(y[met], axis=1) / np.linalg.norm(y[i])
+        want[-1 - i] = (len(met), [int(met[j]) for j in np.argsort(-np.round(cosine, 6), kind="stable")[:3]])
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], (r["compared"], []))[1].append(r["point_id"])
+    assert got == want
+
+
 def test_containing_long_needles(spark):
     rng = random.Random(11)
     words = ["alpha", "beta", "gämma", "dé", "x", "🙂🙂", "theta"]

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,17 +58,13 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, on: list[str], metric
             return pd.DataFrame(columns=schema.names)
         right = right.sort_values("point_id", kind="stable")
         b, ids = np.stack(right["vec"].to_list()), right["point_id"].to_numpy()
-        return pd.concat([best_of(left.iloc[i : i + SLICE], right, b, ids) for i in range(0, len(left), SLICE)])
-
-    def best_of(left: pd.DataFrame, right: pd.DataFrame, b: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
-        score = scores(np.stack(left["vec"].to_list()), b, metric)
-        score[(left["query_id"].to_numpy()[:, None] == ids) | ~np.isfinite(score)] = -np.inf
-        order = -np.round(score, digits)
-        top = np.lexsort((left["_own"].to_numpy()[:, None] != ids, order), axis=1)[:, :k] if own else np.argsort(order, axis=1, kind="stable")[:, :k]
-        row = np.repeat(np.arange(len(left)), top.shape[1])
-        out = right[rest].iloc[top.ravel()].assign(query_id=left["query_id"].to_numpy()[row], score=score[row, top.ravel()])
-        out = out.assign(_own=left["_own"].to_numpy()[row]) if own else out
-        return out[np.isfinite(out["score"])][schema.names]
+        return pd.concat([best_rows(left.iloc[i : i + SLICE], right, b, ids) for i in range(0, len(left), SLICE)])
+
+    def best_rows(left: pd.DataFrame, right: pd.DataFrame, b: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+        names = left["query_id"].to_numpy(), ids, left["_own"].to_numpy() if own else None
+        row, top, score, _ = best_of(scores(np.stack(left["vec"].to_list()), b, metric), *names, k, digits)
+        out = right[rest].iloc[top].assign(query_id=names[0][row], score=score)
+        return (out.assign(_own=names[2][row]) if own else out)[schema.names]
 
     keys = [*on, "_dims", "_p", "_q"]
     near = q.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInPandas(best, schema).withColumn("score", rounded("score", digits))
@@ -77,6 +72,21 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, on: list[str], metric
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("_own")
 
 
+def best_of(score: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, own: np.ndarray | None, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The k best points of each query, from scores of queries x points in order of their ids, where what is not finite is
+    no score: places of query and point, score, and, on the first row of each query, how many scores it had."""
+    score[(query_ids[:, None] == ids) | ~np.isfinite(score)] = -np.inf
+    order = np.round(score, digits)
+    if own is not None:
+        order[own[:, None] == ids] += 0.5 * 10.0**-digits  # before those that are equal, after those above
+    top = order.argmax(axis=1)[:, None] if k == 1 else np.argsort(-order, axis=1, kind="stable")[:, :k]
+    row, met = np.repeat(np.arange(len(score)), top.shape[1]), np.zeros(top.shape, int)
+    met[:, 0] = np.isfinite(score).sum(axis=1)
+    best = score[row, top.ravel()]
+    some = np.isfinite(best)
+    return row[some], top.ravel()[some], best[some], met.ravel()[some]
+
+
 def own_first(own: str | None) -> list[Column]:
     return [F.desc(F.col("_own").eqNullSafe(F.col("point_id")))] if own else []
 
@@ -92,13 +102,15 @@ def scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
 
 @dataclass(frozen=True)
 class VectorIndex:
-    """Hash tables over vectors: codes (table, code, point_id), the points themselves, and the hyperplanes of each table."""
+    """Hash tables over vectors: the points, each with `codes`, its code in each table, and the hyperplanes of each table."""
 
-    codes: DataFrame
     points: DataFrame
     planes: np.ndarray  # tables x bits x dims
 
 
+FINE = "{0} is not null and size({0}) = {1} and forall({0}, x -> x is not null) and exists({0}, x -> x <> 0)"
+
+
 def build_index(points: DataFrame, dims: int, tables: int = 16, bits: int = 10, seed: int = 7) -> VectorIndex:
     """Random-projection hash tables over points (point_id, vec, …), stored: a bit of a code is the side of a hyperplane.
 
@@ -106,18 +118,12 @@ def build_index(points: DataFrame, dims: int, tables: int = 16, bits: int = 10,
     with anything.  A code of `bits` bits suits some 30 * 2**bits points; point_id must be unique.
     """
     planes = np.random.default_rng(seed).normal(size=(tables, bits, dims))
-    fine = "vec is not null and size(vec) = {} and forall(vec, x -> x is not null) and exists(vec, x -> x <> 0)".format(dims)
-    kept = stored(points.where(fine).withColumn("vec", F.transform("vec", lambda x: x.cast("double"))))
-    kind = points.schema["point_id"].dataType.simpleString()
+    code = F.pandas_udf(lambda v: pd.Series(list(codes_of(stacked(v), planes)[0]) if len(v) else [], dtype=object), "array<long>")
+    return VectorIndex(stored(points.where(FINE.format("vec", dims)).withColumn("codes", code("vec"))), planes)
 
-    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                own = codes_of(np.stack(b["vec"].to_list()), planes)[0]
-                yield pd.DataFrame({"table": np.tile(np.arange(tables), len(b)), "code": own.ravel(), "point_id": np.repeat(b["point_id"].to_numpy(), tables)})
 
-    coded = kept.select("point_id", "vec").mapInPandas(code, f"table int, code long, point_id {kind}")
-    return VectorIndex(stored(coded.repartition("table", "code").sortWithinPartitions("table", "code")), kept, planes)
+def stacked(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_list()).astype(float)
 
 
 def codes_of(x: np.ndarray, planes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +144,7 @@ def probed_codes(x: np.ndarray, planes: np.ndarray, probes: int) -> np.ndarray:
     return np.concatenate([own[..., None], own[..., None] ^ flips[order]], axis=-1)
 
 
-def indexed(queries: DataFrame, index: VectorIndex, k: int, on: list[str], probes: int = 8, digits: int = 6, least: float | None = None, own: str | None = None, exact: str | None = None) -> DataFrame:
+def indexed(queries: DataFrame, index: VectorIndex, k: int, on: list[str], probes: int = 8, digits: int = 6, least: float | None = None, own: str | None = None, exact: str | None = None, block_rows: int = 4096) -> DataFrame:
     """What nearest() gives by cosine, from the points in the probed buckets alone, with `compared`, the points that each
     query was compared with.
 
@@ -146,46 +152,65 @@ def indexed(queries: DataFrame, index: VectorIndex, k: int, on: list[str], probe
     that find fewer than k points of that score or more are searched again in full, by nearest(), and so are those that
     don't find the point that the column `own` names; of equal scores, that point is first.  With `exact`, the queries'
     `vec` only looks buckets up, and scores are those of the vector in the column `exact`.
+
+    A bucket's queries and points meet in blocks of about block_rows, each pair of blocks in one task, so that no row is
+    made of a pair; small blocks share a task.  What is shuffled is each point once a table, each query once a bucket, and
+    k rows a query and block.
     """
-    planes, payload = index.planes, [c for c in index.points.columns if c not in ("point_id", "vec")]
-    fine = "{0} is not null and size({0}) = {1} and forall({0}, x -> x is not null) and exists({0}, x -> x <> 0)"
-    q = queries.where(fine.format("vec", planes.shape[2])).where(fine.format(exact or "vec", planes.shape[2]))
-    doubles = lambda c: F.transform(c, lambda x: x.cast("double"))
-    q = q.select("query_id", *on, *([F.col(own).alias("_own")] if own else []), doubles("vec").alias("vec"), doubles(exact or "vec").alias("_vec"))
-    kind, tables = queries.schema["query_id"].dataType.simpleString(), planes.shape[0]
-
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                codes = probed_codes(np.stack(b["vec"].to_list()), planes, probes)
-                n = codes.shape[2]
-                yield pd.DataFrame({"query_id": np.repeat(b["query_id"].to_numpy(), tables * n), "table": np.tile(np.repeat(np.arange(tables), n), len(b)), "code": codes.ravel()})
-
-    wanted = q.select("query_id", "vec").mapInPandas(look, f"query_id {kind}, table int, code long")
-    pairs = wanted.join(index.codes, ["table", "code"]).where("query_id <> point_id").select("query_id", "point_id").distinct()
-    left = q.select("query_id", *(["_own"] if own else []), "_vec", *[F.col(c).alias(f"_{c}") for c in on])
-    met = pairs.join(left, "query_id").join(index.points, "point_id")
-    for c in on:
-        met = met.where(F.col(f"_{c}") == F.col(c))
-    rest = ["query_id", "point_id", *(["_own"] if own else []), *payload]
-    schema = T.StructType([*[met.schema[c] for c in rest], T.StructField("score", T.DoubleType())])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for c in ("_vec", "vec"))
-            cosine = np.einsum("nd,nd->n", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], pa.array(cosine)], names=[*rest, "score"])
-
-    scored = met.select(*rest, "_vec", "vec").mapInArrow(score, schema).where(~F.isnan("score")).withColumn("score", rounded("score", digits))
+    planes, payload = index.planes, [c for c in index.points.columns if c not in ("vec", "codes")]
+    tables, dims = planes.shape[0], planes.shape[2]
+    probed = F.pandas_udf(lambda v: pd.Series([x.ravel() for x in probed_codes(stacked(v), planes, probes)] if len(v) else [], dtype=object), "array<long>")
+    q = queries.where(FINE.format("vec", dims)).where(FINE.format(exact or "vec", dims)).withColumn("_probed", probed("vec"))
+    q = q.select("query_id", *on, *([F.col(own).alias("_own")] if own else []), F.col(exact or "vec").alias("vec"), "_probed")
+    keys, each_probe = [*on, "_table", "_code"], F.size("_probed") / tables
+    q = stored(q).select("*", F.posexplode("_probed").alias("_table", "_code")).withColumn("_table", F.floor(F.col("_table") / each_probe).cast("int"))
+    p = index.points.select("*", F.posexplode("codes").alias("_table", "_code"))
+    sizes = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    buckets = sizes(q, "_qs").join(sizes(p, "_ps"), keys).withColumn("_bucket", F.monotonically_increasing_id())  # a row a bucket
+    buckets = stored(buckets.select(*keys, "_bucket", *[F.ceil(F.col(c) / block_rows).alias(c) for c in ("_qs", "_ps")], F.col("_qs").alias("_n_q"), F.col("_ps").alias("_n_p")))
+    met = buckets.agg(F.sum(F.greatest(F.col("_n_p") * F.col("_qs"), F.col("_n_q") * F.col("_ps")))).first()[0]
+    bins, block = -(-(met or 1) // block_rows), ["_bucket", "_p", "_q"]
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    bin = F.pmod(F.xxhash64(*block), F.lit(bins)).alias("_bin")
+    q = q.join(buckets, keys).withColumn("_q", part("query_id", "_qs")).withColumn("_p", every("_ps"))
+    q = q.select("query_id", *(["_own"] if own else []), "vec", "_probed", "_table", F.col("_bucket").alias("_bucket"), "_p", "_q", bin)  # named anew, as both sides have it from one table
+    p = p.join(buckets, keys).withColumn("_p", part("point_id", "_ps")).withColumn("_q", every("_qs")).select(*payload, "vec", "codes", *block, bin)
+    schema = T.StructType([queries.schema["query_id"], *[index.points.schema[c] for c in payload], *([T.StructField("_own", queries.schema[own].dataType)] if own else []), T.StructField("score", T.DoubleType()), T.StructField("compared", T.LongType())])
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=schema.names)
+        right = right.sort_values("point_id", kind="stable")
+        a, b, codes = stacked(left["vec"]), stacked(right["vec"]), np.stack(right["codes"].to_list())
+        looked = np.stack(left["_probed"].to_list()).reshape(len(left), tables, -1)
+        query_ids, ids, table, named = left["query_id"].to_numpy(), right["point_id"].to_numpy(), left["_table"].to_numpy(), left["_own"].to_numpy() if own else None
+        points_of, out = right.groupby(block).indices, [(np.zeros(0, int),) * 4]
+        for key, w in left.groupby(block).indices.items():
+            for x in (w[i : i + SLICE] for i in range(0, len(w), SLICE) if key in points_of):
+                y = points_of[key]
+                score = scores(a[x], b[y], "cosine")
+                for t in range(table[x[0]]):  # a pair is scored in the first table where it meets
+                    for code in looked[x, t].T:
+                        score[code[:, None] == codes[y, t]] = -np.inf
+                row, top, *rest = best_of(score, query_ids[x], ids[y], named[x] if own else None, k, digits)
+                out.append((x[row], y[top], *rest))
+        row, top, score, compared = map(np.concatenate, zip(*out))
+        found = right[payload].iloc[top].assign(query_id=query_ids[row], score=score, compared=compared)
+        return (found.assign(_own=named[row]) if own else found)[schema.names]
+
+    found = q.groupBy("_bin").cogroup(p.groupBy("_bin")).applyInPandas(best, schema).withColumn("score", rounded("score", digits))
     each = Window.partitionBy("query_id")
-    near = scored.withColumn("rank", F.row_number().over(each.orderBy(F.desc("score"), *own_first(own), "point_id"))).withColumn("compared", F.count(F.lit(1)).over(each)).where(F.col("rank") <= k)
+    near = found.withColumn("rank", F.row_number().over(each.orderBy(F.desc("score"), *own_first(own), "point_id"))).withColumn("compared", F.sum("compared").over(each)).where(F.col("rank") <= k)
     if least is None:
         return near.drop("_own")
     near = stored(near)
     named = F.bool_or(F.col("_own").isNull() | (F.col("_own") == F.col("point_id"))) if own else F.lit(True)
     whole = near.groupBy("query_id").agg(F.count_if(F.col("score") >= least).alias("n"), named.alias("named")).where((F.col("n") >= k) & F.col("named"))
     near, again = near.drop("_own"), stored(queries.withColumn("vec", F.col(exact or "vec")).join(whole, "query_id", "left_anti"))
-    full = nearest(again, index.points, k, on, digits=digits, own=own).withColumn("compared", F.lit(index.points.count()))
+    if again.isEmpty():
+        return near
+    full = nearest(again, index.points.drop("codes"), k, on, digits=digits, own=own).withColumn("compared", F.lit(index.points.count()))
     return near.join(whole.select("query_id"), "query_id", "left_semi").select(*near.columns).unionByName(full.select(*near.columns))
 
 
