@@ -14,8 +14,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from veridag.llm import decontam, langid, pieces, warc
-from veridag.llm.boilerplate import blocks, extract_main_text, main_text
+from veridag.llm import boilerplate, decontam, langid, pieces, warc
+from veridag.llm.boilerplate import blocks, extract_main_text, main_text, stream
 from veridag.llm.components import components
 from veridag.llm.jaccard import near_duplicates
 from veridag.llm.linededup import drop_shared_lines
@@ -307,6 +307,46 @@ def test_html_repeated_runs_against_brute_force(spark):
     assert got == want and any(len(want[i]) < len(" ".join(parts)) for i, _, parts in pages)
 
 
+def test_html_streams_hold_every_token():
+    page = "<nav>home news</nav><main><p>around</p><article><h1>a title</h1><p>own words</p><div class='related-stories'>read next</div></article></main><footer>all rights</footer>"
+    found = blocks(page, beside=True)
+    streams, places = stream(found, 8)
+    assert sorted(w for _, words in streams for w in words) == sorted(w for b in found for w in b.text.split())
+    at = {start + i: w for start, words in streams for i, w in enumerate(words)}
+    assert [[at[start + i] for i in range(len(b.text.split()))] for b, (start, *_) in zip(found, places)] == [b.text.split() for b in found]
+
+
+@pytest.mark.parametrize("group_bytes", [1 << 24, 1500])
+def test_html_array_reads_articles_too(spark, monkeypatch, group_bytes):
+    monkeypatch.setattr(boilerplate, "GROUP_BYTES", group_bytes)
+    rng, run = np.random.default_rng(9), 8
+    shared = [rng_text(700 + k, 14).split() for k in range(6)]
+    pages = []
+    for i in range(40):
+        parts = [rng_text(i * 10 + k, int(rng.integers(1, 12))) for k in range(3)] + [" ".join(shared[int(rng.integers(6))][int(rng.integers(5)) :]) for _ in range(3)]
+        pages.append((i, f"http://h{i % 2}/{i}", i % 3 > 0, [parts[k] for k in rng.permutation(6)]))
+    pages += [(100 + k, f"http://h0/{k}", *pages[0][2:]) for k in range(5)]  # equal pages count once
+    seen, held_outside = {}, {}
+    for _, url, article, parts in pages:
+        w = " ".join(parts).split()
+        for k in range(len(w) - run + 1):
+            seen.setdefault((url[:9], *w[k : k + run]), set()).add(tuple(parts))
+            held_outside.setdefault((url[:9], *w[k : k + run]), set()).update([] if article else [tuple(parts)])
+    want = {}
+    for i, url, article, parts in pages:
+        w = " ".join(parts).split()
+        covered = lambda held: {k + j for k in range(len(w) - run + 1) for j in range(run) if len(held[(url[:9], *w[k : k + run])]) >= 3}  # noqa: B023, E731
+        gone, out, at = covered(held_outside) if not article else (), [], 0
+        for p in parts:
+            out.append(" ".join(x for j, x in enumerate(p.split(), at) if j not in gone))
+            at += len(p.split())
+        want[i] = ("\n".join(x for x in out if x), article, len(covered(seen)), 0)
+    rows = [(i, url, ("<article>{}</article>" if article else "{}").format("".join(f"<p>{p}</p>" for p in parts))) for i, url, article, parts in pages]
+    got = {r["page_id"]: tuple(r)[2:] for r in extract_main_text(docs(spark, rows, "page_id long, url string, html string"), run=run).collect()}
+    assert got == want
+    assert sum(n for _, article, n, _ in want.values() if article) > 0 and any(len(want[i][0]) < len("\n".join(parts)) for i, _, article, parts in pages if not article)
+
+
 # --- Sharding ---
 
 
